@@ -7,16 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .decontaminate import DECONTAMINATE_SQL, decontaminate_query
+from .language import language_query
+from .mixing import mixing_query
 from .quality import quality_query
+from .toxicity import toxicity_query
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_query(read(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_query(read(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality": op3_quality}
+    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op5_language": op5_language, "op6_mixing": op6_mixing, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontaminate": DECONTAMINATE_SQL}
