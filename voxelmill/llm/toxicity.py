@@ -1,6 +1,6 @@
 """Toxicity: a factorization machine over hashed terms of whole documents.
 
-The terms of a document are the set of its words and of their prefixes of four to six bytes, hashed.
+The terms of a document are the set of its words and of their prefixes of four to eight bytes, hashed.
 The score is the logistic of w0 + sum of w + sum over pairs of <v_i, v_j>, so pairs of terms that are
 toxic only together, such as an insult with a mention of a group, weigh beyond their sums.
 
@@ -22,7 +22,7 @@ from .common import filter_text, held_out, labelled_sample, map_text
 from .words import Powers, mix, prefix_sums, span_hash, word_spans
 
 BITS = 20
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 def terms(data: np.ndarray, off: np.ndarray, pw: Powers, slot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +88,7 @@ def fit_machine(row: np.ndarray, term: np.ndarray, y: np.ndarray, prior: float,
     g0, gw, gv = 1e-8, np.full(size, 1e-8), np.full((size, factors), 1e-8)
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     start = np.searchsorted(row, np.arange(len(y) + 1))
-    rate, l1, l2 = 0.15, 2e-5, 1e-4
+    rate, l1, l2 = 0.3, 1e-5, 1e-4
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), 128):
@@ -113,7 +113,7 @@ def fit_machine(row: np.ndarray, term: np.ndarray, y: np.ndarray, prior: float,
     return w0, w, v
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, per_class: int = 4000, factors: int = 4, least_df: int = 3, z: float = 4.0, epochs: int = 6, seed: int = 11) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, per_class: int = 4000, factors: int = 4, least_df: int = 3, z: float = 3.5, epochs: int = 12, seed: int = 11) -> ToxicityModel:
     """Learns from at most `per_class` documents of either label that satisfy `learn`.
 
     The driver gets the sets of hashed terms of those documents, nothing of the others. The share of
