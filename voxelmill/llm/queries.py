@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .decontaminate import DECONTAMINATE_SQL, decontaminate_query
+from .fingerprint import edited_query
 from .language import language_query
 from .mixing import mixing_query
 from .quality import quality_query
 from .toxicity import toxicity_query
+from .warc import ARCHIVE_SQL, archive_query
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,13 +32,22 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_query(read(spark, sf_dir, "documents"))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_query(read(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_query(read(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op5_language": op5_language, "op6_mixing": op6_mixing, "op10_decontaminate": op10_decontaminate}
+    each = (op1_toxicity, op3_quality, op5_language, op6_mixing, op7_fingerprint, op9_warc, op10_decontaminate)
+    return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": DECONTAMINATE_SQL}
+    return {"op9_warc": ARCHIVE_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
