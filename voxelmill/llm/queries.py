@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import CHAT_SQL, chat_query
 from .common import read
 from .decontaminate import DECONTAMINATE_SQL, decontaminate_query
 from .fingerprint import edited_query
@@ -13,6 +14,7 @@ from .language import language_query
 from .mixing import mixing_query
 from .quality import quality_query
 from .toxicity import toxicity_query
+from .urls import URL_SQL, url_query
 from .warc import ARCHIVE_SQL, archive_query
 
 
@@ -20,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_query(read(spark, sf_dir, "conversations"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -36,6 +42,10 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_query(read(spark, sf_dir, "documents"))
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_query(read(spark, sf_dir, "pages"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_query(read(spark, sf_dir, "pages"))
 
@@ -45,9 +55,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_toxicity, op3_quality, op5_language, op6_mixing, op7_fingerprint, op9_warc, op10_decontaminate)
+    each = (op1_toxicity, op2_chat, op3_quality, op5_language, op6_mixing, op7_fingerprint, op8_urls, op9_warc, op10_decontaminate)
     return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": ARCHIVE_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
+    return {"op2_chat": CHAT_SQL, "op8_urls": URL_SQL, "op9_warc": ARCHIVE_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
