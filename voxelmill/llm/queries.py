@@ -12,6 +12,7 @@ from .decontaminate import DECONTAMINATE_SQL, decontaminate_query
 from .fingerprint import edited_query
 from .language import language_query
 from .mixing import mixing_query
+from .neardup import neardup_query
 from .quality import quality_query
 from .toxicity import toxicity_query
 from .urls import URL_SQL, url_query
@@ -30,6 +31,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_query(read(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(read(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_toxicity, op2_chat, op3_quality, op5_language, op6_mixing, op7_fingerprint, op8_urls, op9_warc, op10_decontaminate)
+    each = (op1_toxicity, op2_chat, op3_quality, op4_neardup, op5_language, op6_mixing, op7_fingerprint, op8_urls, op9_warc, op10_decontaminate)
     return {f.__name__: f for f in each}
 
 
