@@ -45,7 +45,8 @@ def components(pixels: DataFrame, block: Sequence[str], axes: Sequence[str], val
     # Each run is an edge to itself, and so a run without others a component.
     edges = met.select(F.col("node").alias("a"), "b").union(own.select(F.col("node").alias("a"), F.col("node").alias("b")))
     labels = connected(edges)
-    found = own.join(labels, "node").withColumn("first", F.struct(*[F.col(f"label.{c}") for c in [*outer, "lo"]]))
+    labels = labels.withColumnRenamed("label", "__root")
+    found = own.join(labels, "node").withColumn("first", F.struct(*[F.col(f"__root.{c}") for c in [*outer, "lo"]]))
     return found.withColumn(x, F.explode(F.sequence("lo", "hi"))).select(*block, *axes, value, "first")
 
 

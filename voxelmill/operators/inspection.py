@@ -63,11 +63,11 @@ def level_scales(scale: dict[str, float], source: dict[str, int], target: dict[s
 
 
 def active_blocks(mask: DataFrame, block: Sequence[str], axes: Sequence[str], size: int, margin: int = 0) -> DataFrame:
-    """(block, b{axis}): blocks of the grid with a mask pixel, and with a margin those beside them in y and x."""
-    active = mask.select(*block, *[F.floor(F.col(a) / size).cast("int").alias(f"b{a}") for a in axes]).distinct()
+    """(block, block_{axis}): blocks of the grid with a mask pixel, and with a margin those beside them in y and x."""
+    active = mask.select(*block, *[F.floor(F.col(a) / size).cast("int").alias(f"block_{a}") for a in axes]).distinct()
     for a in ("y", "x") if margin else ():
-        active = active.withColumn(f"b{a}", F.explode(F.sequence(F.col(f"b{a}") - margin, F.col(f"b{a}") + margin)))
-    return active.where(" AND ".join(f"b{a} >= 0" for a in axes)).distinct() if margin else active
+        active = active.withColumn(f"block_{a}", F.explode(F.sequence(F.col(f"block_{a}") - margin, F.col(f"block_{a}") + margin)))
+    return active.where(" AND ".join(f"block_{a} >= 0" for a in axes)).distinct() if margin else active
 
 
 def clip_to_mask(labels: DataFrame, mask: DataFrame, keys: Sequence[str]) -> DataFrame:

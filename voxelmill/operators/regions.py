@@ -46,7 +46,7 @@ def ellipse(yy: Column, xx: Column, yx: Column) -> dict[str, Column]:
     """Axis lengths, eccentricity and orientation of the ellipse with these second moments."""
     root = F.sqrt(F.pow((yy - xx) / 2, F.lit(2)) + yx * yx)
     large, small = (yy + xx) / 2 + root, F.greatest((yy + xx) / 2 - root, F.lit(0.0))
-    turned = F.when(yy == xx, F.when(yx < 0, np.pi / 4).otherwise(-np.pi / 4)).otherwise(0.5 * F.atan2(-2 * yx, xx - yy))
+    turned = F.when(yy == xx, F.when(yx > 0, np.pi / 4).otherwise(-np.pi / 4)).otherwise(0.5 * F.atan2(2 * yx, yy - xx))
     return {"major_axis": 4 * F.sqrt(large), "minor_axis": 4 * F.sqrt(small), "eccentricity": F.sqrt(1 - small / large), "orientation": turned}
 
 

@@ -114,7 +114,7 @@ def group_by_common_name(folders: Sequence[DataFrame], path: str = "path", separ
     Names are cut at the separator to their leading parts; a file of the first channel goes with those of
     the others that share its longest leading part. That part is the join's key, so no pairs are tried.
     """
-    leading = lambda df, k: df.select(F.col(path).alias(f"file_{k}"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size(F.split(path, separator))), lambda n: F.substring_index(path, separator, n))).alias("n", "name"))
+    leading = lambda df, k: df.select(F.col(path).alias(f"file_{k}"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size(F.split(path, separator))), lambda n: F.array_join(F.slice(F.split(path, separator), F.lit(1), n), separator))).alias("n", "name"))
     out = leading(folders[0], 0)
     for k, other in enumerate(folders[1:], 1):
         own = leading(other, k).groupBy("name").agg(F.min(f"file_{k}").alias(f"file_{k}"))

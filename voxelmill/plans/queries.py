@@ -701,7 +701,7 @@ def spots_to_labels(spark, sf):
 # Blocks and quality control
 
 
-@query(f"WITH {VOX}, a AS (SELECT DISTINCT image_id, z // 4 AS bz, y // 16 AS by, x // 16 AS bx FROM vox WHERE v > 49), d AS (SELECT dy, dx FROM (VALUES (-1), (0), (1)) p(dy), (VALUES (-1), (0), (1)) q(dx)) SELECT DISTINCT image_id, bz, by + dy AS by, bx + dx AS bx FROM a CROSS JOIN d WHERE by + dy >= 0 AND bx + dx >= 0")
+@query(f"WITH {VOX}, a AS (SELECT DISTINCT image_id, z // 4 AS block_z, y // 16 AS by0, x // 16 AS bx0 FROM vox WHERE v > 49), d AS (SELECT dy, dx FROM (VALUES (-1), (0), (1)) p(dy), (VALUES (-1), (0), (1)) q(dx)) SELECT DISTINCT image_id, block_z, by0 + dy AS block_y, bx0 + dx AS block_x FROM a CROSS JOIN d WHERE by0 + dy >= 0 AND bx0 + dx >= 0")
 def active_block_grid(spark, sf):
     deep = X.vox(spark, sf).where("v > 49").withColumn("z", F.col("z") * 4)
     return I.active_blocks(deep, IMAGE, ["z", "y", "x"], 16, 1)
