@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TEXT = "__text"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of text that a kernel gets at a time.
+BLOCK = 1 << 18
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,12 +47,20 @@ def blocks(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def map_text(docs: DataFrame, keep: Sequence[str], text: str, kernel: Callable, fields: Sequence[T.StructField], block: int = 1 << 20) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Batches of a few MB between Spark and Python, unless the session asks for smaller ones."""
+    now = spark.conf.get(BATCH_BYTES)
+    if not now.isdigit() or int(now) > 4 << 20:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
+
+
+def map_text(docs: DataFrame, keep: Sequence[str], text: str, kernel: Callable, fields: Sequence[T.StructField], block: int = BLOCK) -> DataFrame:
     """The `keep` columns of each row beside what `kernel` makes of its text.
 
     kernel(data, offsets) gets the bytes of up to about `block` bytes of rows and returns one sequence
     for each of `fields`. Only `keep` and the text column are read, so other columns may have any name.
     """
+    small_batches(docs.sparkSession)
     schema = T.StructType([docs.schema[c] for c in keep] + list(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,8 +80,9 @@ def map_text(docs: DataFrame, keep: Sequence[str], text: str, kernel: Callable,
     return docs.select(*[F.col(c) for c in keep], F.col(text).alias(TEXT)).mapInArrow(run, schema)
 
 
-def filter_text(docs: DataFrame, text: str, keeps: Callable, block: int = 1 << 20) -> DataFrame:
+def filter_text(docs: DataFrame, text: str, keeps: Callable, block: int = BLOCK) -> DataFrame:
     """The rows for whose text `keeps(data, offsets)` is true, with all their columns as they are."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
