@@ -44,8 +44,7 @@ def components(pixels: DataFrame, block: Sequence[str], axes: Sequence[str], val
     met = own.join(moved, [*block, *outer, value]).where((F.col("lo") <= F.col("__hi") + reach) & (F.col("__lo") <= F.col("hi") + reach))
     # Each run is an edge to itself, and so a run without others a component.
     edges = met.select(F.col("node").alias("a"), "b").union(own.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    labels = connected(edges)
-    labels = labels.withColumnRenamed("label", "__root")
+    labels = connected(edges).withColumnRenamed("label", "__root")
     found = own.join(labels, "node").withColumn("first", F.struct(*[F.col(f"__root.{c}") for c in [*outer, "lo"]]))
     return found.withColumn(x, F.explode(F.sequence("lo", "hi"))).select(*block, *axes, value, "first")
 
@@ -78,4 +77,4 @@ def otsu_instance(pixels: DataFrame, block: Sequence[str] = ("image_id",), axes:
 
 def fuse_labels(labels: DataFrame, block: Sequence[str], axes: Sequence[str], label: str = "label") -> DataFrame:
     """Components of all that is labelled, ids ignored, so touching objects become one."""
-    return binary_to_labels(labels.withColumn(label, (F.col(label) != 0).cast("int")), block, axes, label)
+    return binary_to_labels(labels.select(*block, *axes, (F.col(label) != 0).cast("int").alias("v")), block, axes)
