@@ -348,10 +348,10 @@ step AS (SELECT image_id, vs, a, b, 0 AS i FROM vs UNION ALL
 found AS (SELECT image_id, a, b, CASE WHEN a < b THEN (a + b) / 2 END AS threshold FROM step WHERE i = 9)"""
 
 
-@query(f"{MEDOIDS} SELECT image_id, CASE WHEN a < b THEN [round(a, 6), round(b, 6)] ELSE [round(a, 6)] END AS medoids, round(threshold, 6) AS threshold FROM found")
+@query(f"{MEDOIDS} SELECT image_id, round(a, 6) AS low, CASE WHEN a < b THEN round(b, 6) END AS high, round(threshold, 6) AS threshold FROM found")
 def kmedoids_threshold(spark, sf):
     found = L.kmedoids_threshold(L.label_means(X.lbl(spark, sf), IMAGE), IMAGE)
-    return rounded(found, "threshold").withColumn("medoids", F.transform("medoids", lambda m: F.round(m, 6)))
+    return found.select("image_id", F.round(F.get("medoids", F.lit(0)), 6).alias("low"), F.round(F.get("medoids", F.lit(1)), 6).alias("high"), F.round("threshold", 6).alias("threshold"))
 
 
 @query(f"{MEDOIDS}, low AS (SELECT image_id, label FROM means JOIN found USING (image_id) WHERE mean < threshold) SELECT image_id, y, x, v, label FROM lbl ANTI JOIN low USING (image_id, label) WHERE label <> 0")
@@ -435,7 +435,7 @@ def regionprops_moments(spark, sf):
     return rounded(rounded(R.regionprops(X.lbl(spark, sf), value=None, size=False, centroid=False, bbox=False, moments=True), "major_axis", "minor_axis"), "eccentricity", digits=4).drop("orientation")
 
 
-SUMMARY = ", ".join(f"round({f}({c}), 5) AS {c}_{k}" for c in ("size", "mean_int") for k, f in (("sum", "sum"), ("mean", "avg"), ("median", "median"), ("std", "stddev_samp")))
+SUMMARY = "CAST(sum(size) AS BIGINT) AS size_sum, " + ", ".join(f"round({f}({c}), 5) AS {c}_{k}" for c in ("size", "mean_int") for k, f in (("sum", "sum"), ("mean", "avg"), ("median", "median"), ("std", "stddev_samp")) if (c, k) != ("size", "sum"))
 
 
 @query(f"WITH {LBL}, r AS (SELECT image_id, label, count(*) AS size, avg(v) AS mean_int FROM lbl WHERE label > 0 GROUP BY ALL) SELECT image_id, count(*) AS label_count, {SUMMARY} FROM r GROUP BY ALL")
@@ -779,7 +779,7 @@ def dense_frames(spark, sf):
     return dense(mov, ["t"], {"y": 24, "x": 16}, ["v"])
 
 
-@query(f"WITH {MOV} SELECT t, sum(v) AS total, max(v) AS most FROM mov GROUP BY 1")
+@query(f"WITH {MOV} SELECT t, CAST(sum(v) AS BIGINT) AS total, max(v) AS most FROM mov GROUP BY 1")
 def planes_round_trip(spark, sf):
     there = to_pixels(to_planes(X.mov(spark, sf), ["t"], 24, 16), ["t"])
     return there.groupBy("t").agg(F.sum("v").cast("long").alias("total"), F.max("v").cast("int").alias("most"))
