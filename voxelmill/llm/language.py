@@ -26,6 +26,8 @@ from .common import filter_text, held_out, map_text
 
 UNKNOWN = "und"
 BINS = 1 << 15
+#: Bytes of text that are labelled together: Viterbi takes one step for all of them at a time.
+BLOCK = 1 << 20
 #: Nats that a switch of language costs.
 SWITCH = 14.0
 #: First and last code point of the blocks whose letters tell scripts apart.
@@ -237,7 +239,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
         return [lang, score, spans(model, len(o) - 1, words, state)]
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))]
-    return map_text(docs, [id_col], text, kernel, fields)
+    return map_text(docs, [id_col], text, kernel, fields, BLOCK)
 
 
 def filter_language(docs: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "text") -> DataFrame:
@@ -247,7 +249,7 @@ def filter_language(docs: DataFrame, model: LanguageModel, least: float = 0.5, t
         lang, score, _, _ = model.label(d, o)
         return (np.array(lang, object) != UNKNOWN) & (score >= least)
 
-    return filter_text(docs, text, keeps)
+    return filter_text(docs, text, keeps, BLOCK)
 
 
 def language_query(docs: DataFrame) -> DataFrame:

@@ -86,6 +86,12 @@ def spaced(data: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
     return chunks[pick]
 
 
+def cropped(chunks: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Chunks cut to a few words: what short documents look like, of which a sample has few."""
+    keep = rng.integers(14, 97, len(chunks))
+    return np.where(np.arange(CHUNK) < keep[:, None], chunks, PAD).astype(chunks.dtype)
+
+
 def fit_filters(chunks: np.ndarray, y: np.ndarray, epochs: int, seed: int, rate: float = 0.01) -> QualityModel:
     """Filters that tell chunks of label 1 from those of label 0, by Adam on the logistic loss."""
     rng = np.random.default_rng(seed)
@@ -135,7 +141,7 @@ def fit_head(x: np.ndarray, y: np.ndarray, steps: int = 400, decay: float = 1e-3
     return w[:-1] / dev, float(w[-1] - (w[:-1] / dev) @ mean)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, learn, per_class: int = 1500, chunks: int = 4, epochs: int = 6, seed: int = 7) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, learn, per_class: int = 2500, chunks: int = 6, epochs: int = 10, seed: int = 7) -> QualityModel:
     """Learns from at most `per_class` documents of either label that satisfy `learn`.
 
     The driver gets `chunks` chunks of each, then 2 * FILTERS numbers of each whole document: bounded by
@@ -148,10 +154,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn, per_class: int = 1500
     if len(set(y.tolist())) < 2:
         return QualityModel(np.zeros((257, EMBED), np.float32), np.zeros((WIDTH * EMBED, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS), 0.0)
     codes = np.stack([np.frombuffer(r["c"], "<i2").reshape(chunks, CHUNK) for r in rows])
-    model = fit_filters(codes.reshape(-1, CHUNK), np.repeat(y, chunks), epochs, seed)
+    short = cropped(codes[:, 0], np.random.default_rng(seed))
+    model = fit_filters(np.concatenate([codes.reshape(-1, CHUNK), short]), np.concatenate([np.repeat(y, chunks), y]), epochs, seed)
     wide = map_text(sample, ["__id", "y"], "text", lambda d, o: [model.features(d, o).tolist()], [T.StructField("x", T.ArrayType(T.FloatType()))], BLOCK)
     rows = sorted(wide.collect(), key=lambda r: r["__id"])
-    model.head, model.head_bias = fit_head(np.array([r["x"] for r in rows], float), np.array([r["y"] for r in rows], float))
+    top = model.pooled(short)[0]
+    model.head, model.head_bias = fit_head(np.concatenate([[r["x"] for r in rows], np.concatenate([top, top], 1)]).astype(float), np.concatenate([[r["y"] for r in rows], y]))
     return model
 
 
