@@ -116,12 +116,6 @@ def test_weighted_samples_estimate_the_similarity():
     assert abs(agree - neardup.weighted_jaccard(a, b)) < 0.05
 
 
-def test_connected_components(spark):
-    edges = [(f"{k:03d}", f"{k + 1:03d}") for k in range(40)] + [("x", "y"), ("y", "x"), ("z", "z")]
-    got = {r["node"]: r["label"] for r in neardup.connected(spark.createDataFrame(edges, "a string, b string")).collect()}
-    assert got == {f"{k:03d}": "000" for k in range(41)} | {"x": "x", "y": "x"}
-
-
 def test_spans_map_to_the_original(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
     text = "Ünrelated — ONE, two three\nfour five six seven eight nine TEN? Eleven! tail"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.graph import checkpoint_dir, cut  # noqa: F401  for the operators beside this module
+
 TEXT = "__text"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of text that a kernel gets at a time.
@@ -109,24 +110,3 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     chosen = each[0].unionByName(each[1]).drop("__h")
     found = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id")
     return found.groupBy("__id", "y").agg(F.max("text").alias("text"))
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    have = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not have:
-        have = tempfile.mkdtemp(prefix="voxelmill-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(have)
-    return have
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read from a checkpoint in the shared folder, so lost executors lose nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
