@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxelmill.functions import graph
 from voxelmill.operators import components, editing, enhance, inspection, labels, models, pixelmaps, regions, slices, stacks, stencils, thresholds, tracking
 from voxelmill.plans import catalog, registry
 
@@ -363,6 +364,13 @@ def test_stacks_through_a_model(spark):
         models.predict_stacks(df, ["s"], lambda v: v, depth=5)
 
 
+def test_connected(spark):
+    edges = [(f"{k:03d}", f"{k + 1:03d}") for k in range(40)] + [("x", "y"), ("y", "x"), ("z", "z")]
+    got = {r["node"]: r["label"] for r in graph.connected(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {f"{k:03d}": "000" for k in range(41)} | {"x": "x", "y": "x", "z": "z"}
+    assert graph.connected(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
 def test_registry(spark):
     assert len(registry.names()) >= 40
     m = np.array([[0, 2], [3, 3]])

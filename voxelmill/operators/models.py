@@ -11,16 +11,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.registry import register
 from .components import semantic_to_instance
 from .enhance import on_planes
 from .inspection import clip_to_mask
 
 
+@register("Denoise with a Model", "_denoised")
 def predict_planes(planes: DataFrame, model: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Each plane through a model that returns a plane of any size."""
     return on_planes(planes, model)
 
 
+@register("Virtual Staining with a Model", "_virtual_stain")
 def predict_stacks(planes: DataFrame, block: Sequence[str], model: Callable[[np.ndarray], np.ndarray], depth: int = 15) -> DataFrame:
     """Planes (block, z, h, w, data) in batches of `depth` along z through a model of volumes; the last may be shallower.
 
@@ -46,11 +49,13 @@ def axis_is_time(depth: int, most: int) -> bool:
     return depth <= most
 
 
+@register("Pixel Classes to Objects", "_class_labels")
 def pixel_classes_to_objects(classes: DataFrame, block: Sequence[str], axes: Sequence[str], background_label: int = 1, value: str = "v") -> DataFrame:
     """Predicted classes with the background's id as 0, as separate objects."""
     return semantic_to_instance(classes.withColumn(value, F.when(F.col(value) == background_label, 0).otherwise(F.col(value))), block, axes, value)
 
 
+@register("Segment with a Model", "_labels")
 def segment_inside(planes: DataFrame, mask: DataFrame, block: Sequence[str], model: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(block, y, x, label): a model's labels where the mask is."""
     out = predict_planes(planes, model).select(*block, "w", F.posexplode("data").alias("p", "label"))

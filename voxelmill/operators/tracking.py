@@ -9,10 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.graph import connected, cut
+from ..functions.ranking import global_rank
 from ..plans.registry import register
 from .labels import apply_lookup
 
 
+@register("Candidate Edges", "_edges")
 def candidate_edges(regions: DataFrame, block: Sequence[str] = (), max_dt: int = 3, max_distance: float = 300.0, neighbors: int = 5) -> DataFrame:
     """(block, t1, label1, t2, label2, distance) from each region (t, label, cy, cx) to the nearest ones of the next frames.
 
@@ -33,6 +35,7 @@ def candidate_edges(regions: DataFrame, block: Sequence[str] = (), max_dt: int =
     return near.select(*block, "t1", "label1", "t2", "label2", "distance")
 
 
+@register("Greedy Links", "_links")
 def greedy_link(edges: DataFrame, block: Sequence[str] = ()) -> DataFrame:
     """Edges of a one-to-one assignment, shortest first (ties by labels): a baseline of ours, not a tracker's result.
 
@@ -57,8 +60,6 @@ def tracks_of(links: DataFrame, regions: DataFrame) -> DataFrame:
     own = regions.select(node("t", "label").alias("a"), node("t", "label").alias("b"))
     labels = connected(links.select(node("t1", "label1").alias("a"), node("t2", "label2").alias("b")).union(own))
     firsts = labels.select("label").distinct()
-    from ..functions.ranking import global_rank
-
     ranked = global_rank(firsts, "label")
     return labels.join(ranked, "label").select(F.col("node.t").alias("t"), F.col("node.label").alias("label"), (F.col("rank") + 1).alias("track_id"))
 
