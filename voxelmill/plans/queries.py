@@ -773,10 +773,9 @@ def model_segmentation(spark, sf):
     return segment_inside(X.planes(spark, sf), X.px(spark, sf).where("y < 4"), IMAGE, lambda p: (p > 120).astype(int) + (p > 180))
 
 
-@query(f"WITH {MOV} SELECT CAST(a.t AS INT) AS t, CAST(b.y AS INT) AS y, CAST(c.x AS INT) AS x, coalesce(v, 0) AS v FROM range(3) a(t), range(24) b(y), range(16) c(x) LEFT JOIN mov m ON m.t = a.t AND m.y = b.y AND m.x = c.x")
+@query(f"WITH {MOV} SELECT CAST(a.t AS INT) AS t, CAST(b.y AS INT) AS y, CAST(c.x AS INT) AS x, coalesce(v, 0) AS v FROM (SELECT DISTINCT t FROM mov) a, range(24) b(y), range(16) c(x) LEFT JOIN mov m ON m.t = a.t AND m.y = b.y AND m.x = c.x")
 def dense_frames(spark, sf):
-    mov = X.mov(spark, sf).where("t < 3").select("t", "y", "x", "v")
-    return dense(mov, ["t"], {"y": 24, "x": 16}, ["v"])
+    return dense(X.mov(spark, sf).select("t", "y", "x", "v"), ["t"], {"y": 24, "x": 16}, ["v"])
 
 
 @query(f"WITH {MOV} SELECT t, CAST(sum(v) AS BIGINT) AS total, max(v) AS most FROM mov GROUP BY 1")
