@@ -74,7 +74,7 @@ def machine(w0: float, w: np.ndarray, v: np.ndarray, row: np.ndarray, term: np.n
 def choose(row: np.ndarray, term: np.ndarray, y: np.ndarray, least_df: int, z: float) -> np.ndarray:
     """Terms in at least `least_df` documents whose share of label 1 differs from the mean by `z` deviations."""
     df = np.bincount(term, minlength=1 << BITS)
-    pos = np.bincount(term, y[row], 1 << BITS)
+    pos = np.bincount(term[(y == 1)[row]], minlength=1 << BITS)
     p = y.mean()
     far = np.abs(pos - df * p) >= z * np.sqrt(np.maximum(df, 1) * p * (1 - p))
     return np.flatnonzero(far & (df >= least_df))
@@ -126,19 +126,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, per_class: int = 400
         row, term = terms(d, o, pw)
         return [np.split(term.astype(np.int32), np.searchsorted(row, np.arange(1, len(o) - 1)))]
 
-    rows = sorted(map_text(sample, ["__id", "y"], "text", sets, [T.StructField("t", T.ArrayType(T.IntegerType()))]).toArrow().to_pylist(), key=lambda r: r["__id"])
-    y = np.array([r["y"] for r in rows], float)
-    none = ToxicityModel(np.zeros(0, np.int64), 0.0, np.zeros(1), np.zeros((1, factors)))
+    found = map_text(sample, ["__id", "y"], "text", sets, [T.StructField("t", T.ArrayType(T.IntegerType()))]).toArrow()
+    y = found.column("y").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
-        return none
+        return ToxicityModel(np.zeros(0, np.int64), 0.0, np.zeros(1), np.zeros((1, factors)))
     prior = labels.where(learn & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
-    row = np.repeat(np.arange(len(rows)), [len(r["t"]) for r in rows])
-    term = np.concatenate([np.array(r["t"], np.int64) for r in rows])
+    lists = found.column("t").combine_chunks()
+    order = np.argsort(found.column("__id").to_numpy(), kind="stable")  # so that reruns fit the same
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    row, term, y = np.repeat(place, np.diff(lists.offsets.to_numpy())), lists.values.to_numpy(), y[order]
     chosen = choose(row, term, y, least_df, z)
     slot = np.zeros(1 << BITS, np.int32)
     slot[chosen] = np.arange(1, len(chosen) + 1)
-    term = slot[term].astype(np.int64)
-    w0, w, v = fit_machine(row[term > 0], term[term > 0], y, min(max(prior, 1e-3), 1 - 1e-3), factors, epochs, seed)
+    term = slot[term]
+    row, term = row[term > 0], term[term > 0].astype(np.int64)
+    again = np.lexsort((term, row))
+    row, term = row[again].astype(np.int64), term[again]
+    w0, w, v = fit_machine(row, term, y, min(max(prior, 1e-3), 1 - 1e-3), factors, epochs, seed)
     w, v = np.resize(w, len(chosen) + 1) if len(w) > len(chosen) else np.r_[w, np.zeros(len(chosen) + 1 - len(w))], np.r_[v, np.zeros((max(0, len(chosen) + 1 - len(v)), factors))]
     return ToxicityModel(chosen, w0, w, v)
 
