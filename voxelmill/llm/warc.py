@@ -34,6 +34,8 @@ from .common import checkpoint_dir, cut
 
 #: Records of a file beside its first, which describes the file.
 PER_FILE = 5000
+#: Of gzip: a third of the time of the usual sixth level for files that are a twentieth larger.
+LEVEL = "FOUR"
 #: The URL record definitions of the two versions of the ARC format.
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -79,7 +81,7 @@ def numbered(rows: Iterator[str], first: str) -> Iterator[pa.RecordBatch]:
 
 
 def save(records: DataFrame, path: str, end: str) -> None:
-    records.write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE + 1).text(path)
+    records.write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", LEVEL).option("maxRecordsPerFile", PER_FILE + 1).text(path)
 
 
 def write_arc(pages: DataFrame, path: str, version: int | None = None) -> None:
