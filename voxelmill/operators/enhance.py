@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.grid import beside
@@ -49,15 +50,12 @@ def clahe(pixels: DataFrame, h: int, w: int, block: Sequence[str] = ("image_id",
     level = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (bins - 1))).otherwise(0).cast("int")
     flat = wide.withColumns({"__bin": level, "__ty": F.floor(F.col("y") / k).cast("int"), "__tx": F.floor(F.col("x") / k).cast("int")}).drop("__lo", "__hi")
     tile = [*block, "__ty", "__tx"]
-    hist = flat.groupBy(*tile, "__bin").agg(F.count("*").alias("n"))
-    held = hist.groupBy(*tile).agg(F.map_from_entries(F.collect_list(F.struct("__bin", "n"))).alias("m"), F.sum("n").alias("total"))
+    hist = beside(flat.groupBy(*tile, "__bin").agg(F.count("*").alias("n")), tile, total=F.sum("n"))
     limit = F.greatest(F.lit(1.0), clip_limit * F.col("total"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0)).cast("double"))
-    cut_off = held.select(*tile, "total", counts.alias("c"), limit.alias("limit"))
-    cut_off = cut_off.withColumn("over", F.aggregate("c", F.lit(0.0), lambda s, n: s + F.greatest(n - F.col("limit"), F.lit(0.0))))
-    spread = F.transform("c", lambda n: F.least(n, F.col("limit")) + F.col("over") / bins)
-    upto = F.aggregate(spread, F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("a")), lambda acc, n: F.struct((acc["s"] + n).alias("s"), F.array_append(acc["a"], (acc["s"] + n) / F.col("total")).alias("a")), lambda acc: acc["a"])
-    cdf = cut_off.select(*tile, upto.alias("cdf"))
+    upto = F.sum(F.least(F.col("n"), limit)).over(W.partitionBy(*tile).orderBy("__bin").rowsBetween(W.unboundedPreceding, 0))
+    over = F.greatest(F.col("n") - limit, F.lit(0.0))
+    steps = hist.select(*tile, "total", over.alias("over"), F.struct(F.col("__bin").alias("bin"), upto.alias("upto")).alias("step"))
+    cdf = steps.groupBy(*tile).agg(F.first("total").alias("total"), F.sum("over").alias("over"), F.array_sort(F.collect_list("step")).alias("steps"))
     place = lambda c, n: F.least(F.lit(n - 1.0), F.greatest(F.lit(0.0), (F.col(c) - (k - 1) / 2) / k))
     near = flat.drop("__ty", "__tx").withColumns({"__fy": place("y", ny), "__fx": place("x", nx)})
     corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
@@ -65,7 +63,9 @@ def clahe(pixels: DataFrame, h: int, w: int, block: Sequence[str] = ("image_id",
     four = near.withColumn("__c", F.explode(corners))
     share = lambda f, t, d: F.when(F.col(d) == 1, f - t).otherwise(1 - (f - t))
     four = four.withColumns({"__wt": share(F.col("__fy"), ty, "__c.a") * share(F.col("__fx"), tx, "__c.b"), "__ty": F.least(ty + F.col("__c.a"), F.lit(ny - 1)), "__tx": F.least(tx + F.col("__c.b"), F.lit(nx - 1))})
-    mixed = four.join(cdf, tile).groupBy(*block, "y", "x").agg(F.sum(F.col("__wt") * F.get("cdf", F.col("__bin"))).alias("s"))
+    below = F.coalesce(F.try_element_at(F.filter("steps", lambda s: s["bin"] <= F.col("__bin")), F.lit(-1))["upto"], F.lit(0.0))
+    share_below = (below + (F.col("__bin") + 1) * F.col("over") / bins) / F.col("total")
+    mixed = four.join(cdf, tile).groupBy(*block, "y", "x").agg(F.sum(F.col("__wt") * share_below).alias("s"))
     return mixed.select(*block, "y", "x", F.floor(F.least(F.lit(1.0), F.col("s")) * top + 1e-9).cast("int").alias(value))
 
 
