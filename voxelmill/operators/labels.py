@@ -50,14 +50,14 @@ def kmedoids_threshold(means: DataFrame, block: Sequence[str], n_clusters: int =
     Means are reduced to distinct ones with their numbers first, so a task gets one row for each.
     """
     distinct = means.groupBy(*block, "mean").agg(F.count("*").alias("n"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in distinct.select(*block).dtypes) + ", medoids array<double>, threshold double"
+    sorted_means = distinct.groupBy(*block).agg(F.array_sort(F.collect_list(F.struct("mean", "n"))).alias("__m"))
 
-    def cluster(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("mean")
-        m = medoids_of(rows["mean"].to_numpy(), rows["n"].to_numpy(), n_clusters)
-        return pd.DataFrame([[*key, m.tolist(), float((m[0] + m[1]) / 2) if len(m) > 1 else None]], columns=[*block, "medoids", "threshold"])
+    @F.pandas_udf("array<double>")
+    def medoids(values: pd.Series, weights: pd.Series) -> pd.Series:
+        return pd.Series([medoids_of(np.asarray(v), np.asarray(w), n_clusters).tolist() for v, w in zip(values, weights, strict=True)])
 
-    return distinct.groupBy(*block).applyInPandas(cluster, schema)
+    found = sorted_means.select(*block, medoids(F.col("__m.mean"), F.col("__m.n")).alias("medoids"))
+    return found.withColumn("threshold", (F.get("medoids", F.lit(0)) + F.get("medoids", F.lit(1))) / 2)
 
 
 @register("Filter Labels by Intensity (K-medoids)", "_intensity_filtered")
