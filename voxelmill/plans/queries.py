@@ -733,12 +733,24 @@ def frames_to_bytes(spark, sf):
     return I.frames_to_bytes(X.mov(spark, sf).drop("label"), ["t"])
 
 
-@query()
+@query(f"""WITH {PX}, r AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM px GROUP BY 1),
+f AS (SELECT image_id, y, x, CASE WHEN hi > lo THEN CAST(floor((v - lo) / (hi - lo) * 255) AS INT) ELSE 0 END AS b FROM px JOIN r USING (image_id)),
+h AS (SELECT image_id, y // 5 AS ty, x // 5 AS tx, b, count(*) AS n FROM f GROUP BY ALL),
+t AS (SELECT *, sum(n) OVER w AS total, greatest(1.0::DOUBLE, 0.2::DOUBLE * sum(n) OVER w) AS most FROM h WINDOW w AS (PARTITION BY image_id, ty, tx)),
+o AS (SELECT image_id, ty, tx, any_value(total) AS total, sum(greatest(n - most, 0.0::DOUBLE)) AS over FROM t GROUP BY ALL),
+g AS (SELECT image_id, y, x, b, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (y - 2.0::DOUBLE) / 5)) AS fy, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (x - 2.0::DOUBLE) / 5)) AS fx FROM f),
+m AS (SELECT image_id, y, x, b, i, j, CAST(least(floor(fy) + i, 1) AS INT) AS ty, CAST(least(floor(fx) + j, 1) AS INT) AS tx,
+  CASE i WHEN 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END * CASE j WHEN 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END AS wt FROM g, range(2) p(i), range(2) q(j)),
+c AS (SELECT m.image_id, m.y, m.x, m.i, m.j, m.b, any_value(wt) AS wt, any_value(total) AS total, any_value(over) AS over, coalesce(sum(least(t.n, t.most)) FILTER (t.b <= m.b), 0) AS below
+  FROM m JOIN o USING (image_id, ty, tx) JOIN (SELECT image_id, ty, tx, b, n, most FROM t) t USING (image_id, ty, tx) GROUP BY m.image_id, m.y, m.x, m.i, m.j, m.b)
+SELECT image_id, y, x, CAST(floor(least(1.0::DOUBLE, sum(wt * ((below + (b + 1) * over / 256) / total))) * 255 + 1e-9) AS INT) AS v FROM c GROUP BY ALL""")
 def clahe(spark, sf):
     return E.clahe(X.px(spark, sf), 8, 8, kernel_size=4, clip_limit=0.2)
 
 
-@query()
+@query(f"""WITH {PX}, o AS (SELECT a, b, 4 - sqrt(16 - a * a - b * b) AS up FROM range(-4, 5) s(a), range(-4, 5) t(b) WHERE a * a + b * b <= 16),
+ball AS (SELECT p.image_id, p.y, p.x, min(q.v + up) AS low FROM px p CROSS JOIN o JOIN px q ON q.image_id = p.image_id AND q.y = p.y + a AND q.x = p.x + b GROUP BY ALL)
+SELECT image_id, y, x, round(greatest(v - low, 0.0::DOUBLE), 6) AS v FROM px JOIN ball USING (image_id, y, x)""")
 def rolling_ball(spark, sf):
     return of_planes(E.rolling_ball(X.planes(spark, sf), 4), 6)
 
@@ -748,10 +760,15 @@ def resize_yx(spark, sf):
     return of_planes(E.resize_yx(X.planes(spark, sf), 0.5))
 
 
-@query()
+FOLD_Z = "CASE WHEN p.z + d.dz < 0 THEN 0 WHEN p.z + d.dz > 3 THEN 3 ELSE p.z + d.dz END"
+
+
+@query(f"""WITH {PX}, cube AS (SELECT image_id // 4 AS scene, image_id % 4 AS z, y, x, v FROM px), d AS (SELECT dz, dy, dx FROM range(-1, 2) r(dz), range(-1, 2) s(dy), range(-1, 2) t(dx)),
+n AS (SELECT p.scene, p.z, p.y, p.x, {FOLD_Z} AS nz, {REFLECT.format("(p.y + d.dy)")} AS ny, {REFLECT.format("(p.x + d.dx)")} AS nx FROM cube p, d)
+SELECT n.scene, n.z, n.y, n.x, median(q.v) AS v FROM n JOIN cube q ON q.scene = n.scene AND q.z = nz AND q.y = ny AND q.x = nx GROUP BY ALL""")
 def median_volume(spark, sf):
     cube = X.planes(spark, sf).select(F.floor(F.col("image_id") / 4).alias("scene"), (F.col("image_id") % 4).alias("z"), "h", "w", "data")
-    return N.median_volume(cube, ["scene"], 3)
+    return to_pixels(N.median_volume(cube, ["scene"], 3), ["scene", "z"])
 
 
 @query()
