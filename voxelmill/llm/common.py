@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -77,6 +78,7 @@ def map_text(docs: DataFrame, keep: Sequence[str], text: str, kernel: Callable,
                 made = kernel(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 own = [batch.column(k).slice(i, j - i) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(own + [pa.array(v, type=t) for v, t in zip(made, types, strict=True)], names=[f.name for f in schema])
+        gc.collect()  # the task's functions and their tables are a cycle that would stay in the worker
 
     return docs.select(*[F.col(c) for c in keep], F.col(text).alias(TEXT)).mapInArrow(run, schema)
 
@@ -93,6 +95,7 @@ def filter_text(docs: DataFrame, text: str, keeps: Callable, block: int = BLOCK)
             data, off = utf8(batch.column(at))
             mask = np.concatenate([np.asarray(keeps(data[off[i] : off[j]], off[i : j + 1] - off[i]), bool) for i, j in blocks(off, block)])
             yield batch.filter(pa.array(mask))
+        gc.collect()
 
     return docs.mapInArrow(run, docs.schema)
 
