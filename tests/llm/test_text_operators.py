@@ -66,6 +66,16 @@ def test_viterbi_matches_plain_one():
             assert np.isclose(own[np.arange(len(own)), mine].sum() - 6 * (np.diff(mine) != 0).sum(), value)
 
 
+def test_settled_words_leave_the_best_path():
+    rng = np.random.default_rng(4)
+    for seed in range(40):
+        count = rng.integers(0, 12, 6)
+        row = np.repeat(np.arange(6), count)
+        if len(row):
+            e = rng.normal(0, 4, (len(row), 3)) * rng.choice([1, 4], (len(row), 1))
+            assert (language.best_labels(e, row, 5.0) == language.viterbi(e, row, 6, 5.0)).all(), seed
+
+
 def test_shingles_match_plain_ones():
     pw = Powers()
     texts = ["a b c d e f g", "", "x y", "Ä ö Ü b c d e f g!"]

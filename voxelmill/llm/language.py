@@ -26,8 +26,6 @@ from .common import filter_text, held_out, map_text
 
 UNKNOWN = "und"
 BINS = 1 << 15
-#: Bytes of text that are labelled together: Viterbi takes one step for all of them at a time.
-BLOCK = 1 << 20
 #: Nats that a switch of language costs.
 SWITCH = 14.0
 #: First and last code point of the blocks whose letters tell scripts apart.
@@ -137,7 +135,7 @@ class LanguageModel:
         w = words_of(data, off, self.tables)
         if not len(w.start) or not self.langs:
             return [UNKNOWN] * n, np.zeros(n), None, np.zeros(0, np.int32)
-        state = viterbi(self.emissions(w), w.row, n, SWITCH)
+        state = best_labels(self.emissions(w), w.row, SWITCH)
         letters = np.bincount(w.row * len(self.langs) + state, w.length, n * len(self.langs)).reshape(n, -1)
         known = np.bincount(w.row, self.allowed[w.script].any(1), n) > 0
         best, total = letters.argmax(1), letters.sum(1)
@@ -145,6 +143,30 @@ class LanguageModel:
         return [self.langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], score, w, state
 
 
+def best_labels(e: np.ndarray, row: np.ndarray, penalty: float) -> np.ndarray:
+    """The best label of each word; rows are cut where a word settles its own label, so Viterbi has short rows.
+
+    A word that is better in one language by two penalties or more is in it on the best path, as going
+    there and back costs no more. So what is before it and what is after it don't depend on each other: the
+    word ends one stretch and begins the next.
+    """
+    top = e.argmax(1)
+    others = e.copy()
+    others[np.arange(len(e)), top] = -np.inf
+    settled = e[np.arange(len(e)), top] - others.max(1) >= 2 * penalty
+    begins = np.r_[True, row[1:] != row[:-1]]
+    twice = settled & ~begins & ~np.r_[begins[1:], True]
+    last = np.cumsum(1 + twice) - 1
+    word = np.repeat(np.arange(len(e)), 1 + twice)
+    start = np.zeros(len(word), bool)
+    start[last[begins]] = start[last[twice]] = True
+    fixed = e.copy()
+    fixed[settled] = -1e9
+    fixed[settled, top[settled]] = 0
+    stretch = np.cumsum(start) - 1
+    return viterbi(fixed[word], stretch, int(stretch[-1]) + 1, penalty)[last]
+
+
 def viterbi(e: np.ndarray, row: np.ndarray, n: int, penalty: float) -> np.ndarray:
     """The best label of each word, for all rows at once: step k deals with the k-th word of every row that has one."""
     count = np.bincount(row, minlength=n)
@@ -239,7 +261,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
         return [lang, score, spans(model, len(o) - 1, words, state)]
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))]
-    return map_text(docs, [id_col], text, kernel, fields, BLOCK)
+    return map_text(docs, [id_col], text, kernel, fields)
 
 
 def filter_language(docs: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "text") -> DataFrame:
@@ -249,7 +271,7 @@ def filter_language(docs: DataFrame, model: LanguageModel, least: float = 0.5, t
         lang, score, _, _ = model.label(d, o)
         return (np.array(lang, object) != UNKNOWN) & (score >= least)
 
-    return filter_text(docs, text, keeps, BLOCK)
+    return filter_text(docs, text, keeps)
 
 
 def language_query(docs: DataFrame) -> DataFrame:
