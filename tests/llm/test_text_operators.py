@@ -116,6 +116,19 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == {k: find(k) for k in keys}
 
 
+def test_pairs_far_from_all_hubs_of_a_bucket(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 1 << 40, n)]
+    passage, rows = words(300), []
+    for k in range(100):
+        own = words(100)
+        rows += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join(passage + own[:-4] + words(4)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # One sample a band: whose sample is of the passage is in one bucket of more than 100 texts.
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs, bands=4, rows=1).collect()}
+    assert got == {k: k - k % 2 for k in range(200)}
+
+
 def test_weighted_samples_estimate_the_similarity():
     rng = np.random.default_rng(2)
     h = np.sort(rng.integers(0, 1 << 63, 600).astype(np.uint64))

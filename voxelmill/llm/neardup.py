@@ -10,7 +10,9 @@ Improved consistent weighted sampling draws BANDS * ROWS samples of a text; text
 samples of a band share a bucket. Within a bucket texts are compared with its hubs, first with the member
 that shares most buckets, then, where they are still apart, with all members of buckets of up to nine
 texts and with the best of each of eight random parts of larger ones: a number of pairs that is linear in
-the bucket's size. Pairs whose samples
+the bucket's size. What is then still apart in a large bucket is compared member with member, in blocks of
+texts, but for pairs of one component: all pairs of a bucket are tried or known to be of one class.
+Pairs whose samples
 agree too seldom for the threshold are left out, the others are verified by the weighted Jaccard
 similarity of their whole texts. Classes are the connected components of verified pairs and exact copies.
 
@@ -38,6 +40,9 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
 RARE = 256
 HUBS = 8
+#: Members of a bucket, and bytes of their texts, that are compared at a time with as many others.
+SIDE = 512
+SIDE_BYTES = 4 << 20
 #: Documents of a block in which shingles are counted at least, while shingles fit in memory.
 COUNTED = 2048
 #: Standard deviations below the threshold that the share of agreeing samples may be.
@@ -191,6 +196,59 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, width: int, t
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(check, schema)
 
 
+def links_apart(known: DataFrame, sigs: DataFrame, texts: DataFrame, weights: Weights, width: int, threshold: float, bands: int, rows: int, least: float) -> DataFrame:
+    """(a, b): the pairs of members of a bucket with other labels whose texts have at least the threshold's similarity.
+
+    known (band, key, th, label). Members are dealt into blocks of about SIDE, or of SIDE_BYTES of text, by hash;
+    those of a label with more into blocks of their own, which don't meet each other. Blocks meet, not rows: a
+    text goes with its block, and only links come out. A pair is tried in the first band that it shares.
+    """
+    long = known.join(texts.select("th", F.octet_length("text").alias("bytes")), "th")
+    sizes = long.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    few = (F.col("n") < SIDE) & (F.col("bytes") < SIDE_BYTES)
+    rest = sizes.where(few).groupBy("key").agg(F.sum("n").alias("m"), F.sum("bytes").alias("m_bytes"))
+    parts = lambda n, size: F.ceil(F.greatest(F.col(n) / SIDE, F.col(size) / SIDE_BYTES, F.lit(1.0)))
+    # part: the label of blocks of one label, empty for blocks of several.
+    dealt = sizes.join(rest, "key", "left").select("key", "label", F.when(few, "").otherwise(F.col("label")).alias("part"), F.when(few, parts("m", "m_bytes")).otherwise(parts("n", "bytes")).alias("parts"))
+    placed = known.join(dealt, ["key", "label"]).withColumn("block", F.pmod(F.xxhash64("th"), F.col("parts"))).join(sigs, "th").join(texts, "th")
+    each = ["th", "label", "sig", "text"]
+    held = placed.groupBy("band", "key", "part", "block").agg(F.collect_list(F.struct(*each)).alias("x")).select("band", "key", "part", "block", *[F.col(f"x.{c}").alias(c) for c in each])
+    held = cut(held)
+    names = held.select("key", "part", "block")
+    left, right = names.toDF("key", "part_a", "block_a"), names.toDF("key", "part_b", "block_b")
+    ordered = (F.col("part_a") < F.col("part_b")) | ((F.col("part_a") == F.col("part_b")) & (F.col("part_a") == "") & (F.col("block_a") <= F.col("block_b")))
+    met = left.join(right, "key").where(ordered)
+    met = met.join(held.toDF("band", "key", "part_a", "block_a", *[f"{c}_a" for c in each]), ["key", "part_a", "block_a"])
+    met = met.join(held.drop("band").toDF("key", "part_b", "block_b", *[f"{c}_b" for c in each]), ["key", "part_b", "block_b"])
+    pw, samples = Powers(), bands * rows
+    small_batches(known.sparkSession)
+
+    def weighted(text: pa.Array, used: np.ndarray) -> dict:
+        used = np.unique(used)
+        return {k: (s, weights.of(s, tf)) for k, (s, tf) in zip(used.tolist(), shingle_sets(*utf8(text.take(pa.array(used))), pw, width), strict=True)}
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                band, (th_a, label_a, sig_a, text_a, th_b, label_b, sig_b, text_b) = batch.column(0)[k].as_py(), [c[k].values for c in batch.columns[1:]]
+                a, b = (x.flatten().to_numpy().reshape(len(x), samples) for x in (sig_a, sig_b))
+                same = np.zeros((len(a), len(b)), np.int32)
+                for x, y in zip(a.T, b.T, strict=True):
+                    same += x[:, None] == y
+                i, j = np.nonzero(same >= least * samples)
+                other = np.array(label_a.to_pylist(), object)[i] != np.array(label_b.to_pylist(), object)[j]
+                i, j = i[other], j[other]
+                here = [(a[i[lo : lo + 4096]] == b[j[lo : lo + 4096]]).reshape(-1, bands, rows).all(2).argmax(1) == band for lo in range(0, len(i), 4096)]
+                if not here:
+                    continue
+                i, j = i[np.concatenate(here)], j[np.concatenate(here)]
+                sets_a, sets_b = weighted(text_a, i), weighted(text_b, j)
+                near = np.array([weighted_jaccard(sets_a[x], sets_b[y]) >= threshold for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                yield pa.RecordBatch.from_arrays([th_a.take(pa.array(i[near])), th_b.take(pa.array(j[near]))], names=["a", "b"])
+
+    return met.select("band", *[f"{c}_{side}" for side in "ab" for c in each]).mapInArrow(meet, "a string, b string").distinct()
+
+
 def text_classes(docs: DataFrame, id_col: str, text: str, width: int, threshold: float, bands: int, rows: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(id, th) of every document, th telling texts apart, and (node, label) of the texts with links."""
     whole = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.md5(F.col("text").cast("binary")))
@@ -204,7 +262,7 @@ def text_classes(docs: DataFrame, id_col: str, text: str, width: int, threshold:
     signed = map_text(whole, ["th"], "text", sign, [T.StructField("sig", T.ArrayType(T.IntegerType()))])
     signed = cut(signed.where("sig is not null").dropDuplicates(["th"]))
     keys = F.array(*[F.xxhash64(F.lit(k), F.slice("sig", k * rows + 1, rows)) for k in range(bands)])
-    buckets = signed.select("th", F.explode(keys).alias("key"))
+    buckets = signed.select("th", F.posexplode(keys).alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(buckets.join(shared, "key"))
     score = members.groupBy("th").agg(F.sum("size").alias("score"))
@@ -235,7 +293,15 @@ def text_classes(docs: DataFrame, id_col: str, text: str, width: int, threshold:
     open_hubs = hubs.where("rank = 2").join(apart, "key").join(labels, F.col("hub") == F.col("node"), "left").select("key", "hub", F.coalesce("label", "hub").alias("hub_label"))
     more = known.join(open_hubs, "key").where(F.col("label") != F.col("hub_label"))
     two = cut(links(more).unionByName(one))
-    return slim, connected(two)
+    labels = connected(two)
+    # Large buckets whose members are still not all in one component: all pairs of two components.
+    known = members.where(F.col("size") > HUBS + 1).join(labels, F.col("th") == F.col("node"), "left").select("band", "key", "th", F.coalesce("label", "th").alias("label"))
+    apart = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    still = cut(known.join(apart, "key"))
+    if still.isEmpty():
+        return slim, labels
+    three = cut(links_apart(still, sigs, texts, weights, width, threshold, bands, rows, least))
+    return slim, labels if three.isEmpty() else connected(two.unionByName(three))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, seed: int = 3) -> DataFrame:
