@@ -129,6 +129,18 @@ def test_pairs_far_from_all_hubs_of_a_bucket(spark):
     assert got == {k: k - k % 2 for k in range(200)}
 
 
+def test_small_blocks_send_the_driver_no_rare_shingles(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COUNTED", 8)  # blocks of few documents, as long documents make them
+    rng = np.random.default_rng(7)
+    rows = [(" ".join(["one two three four five"] * (k % 100 == 0) + [f"w{x}" for x in rng.integers(0, 1 << 40, 14)]),) for k in range(2000)]
+    texts = spark.createDataFrame(rows, "text string").repartition(20)
+    seen, to_arrow = [], type(texts).toArrow
+    monkeypatch.setattr(type(texts), "toArrow", lambda self: seen.append(to_arrow(self)) or seen[-1])
+    weights = neardup.frequent_shingles(texts, 2000, 5)
+    assert seen and max(x.num_rows for x in seen) <= 2 * neardup.RARE * 12 < 2000 * 10
+    assert len(weights.shingle) == 1 and weights.factor[0] < 1
+
+
 def test_weighted_samples_estimate_the_similarity():
     rng = np.random.default_rng(2)
     h = np.sort(rng.integers(0, 1 << 63, 600).astype(np.uint64))

@@ -130,8 +130,10 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 def frequent_shingles(texts: DataFrame, n: int, width: int) -> Weights:
     """Exact document frequencies of all shingles in more than 1 / RARE of the n rows of `texts` (text).
 
-    A shingle that frequent is as frequent in at least one block of rows, whatever the blocks: the first
-    pass gathers what is, the second counts it in all rows.
+    The first pass gathers, of each block of rows, the shingles in at least 1 / (2 * RARE) of it, by how much
+    they pass that. A shingle in 1 / RARE of all rows passes it by n / (2 * RARE) rows or more in sum, whatever
+    the blocks; Spark sums, and of what passes, at most 2 * RARE times the mean number of shingles of a
+    document, the second pass counts all rows.
     """
     pw = Powers()
     small_batches(texts.sparkSession)
@@ -142,7 +144,8 @@ def frequent_shingles(texts: DataFrame, n: int, width: int) -> Weights:
 
         def frequent(part: list[np.ndarray]) -> pa.RecordBatch:
             s, df = np.unique(np.concatenate(part), return_counts=True) if part else (np.zeros(0, np.uint64), np.zeros(0, int))
-            return pa.RecordBatch.from_arrays([pa.array(s[df >= len(part) / RARE].view(np.int64))], names=["s"])
+            over = 2 * RARE * df - len(part)
+            return pa.RecordBatch.from_arrays([pa.array(s[over >= 0].view(np.int64)), pa.array(over[over >= 0])], names=["s", "over"])
 
         for batch in batches:
             data, off = utf8(batch.column(0))
@@ -156,7 +159,7 @@ def frequent_shingles(texts: DataFrame, n: int, width: int) -> Weights:
                     held = []
         yield frequent(held)
 
-    found = few.mapInArrow(candidates, "s long").distinct().toArrow().column("s").to_numpy()
+    found = few.mapInArrow(candidates, "s long, over long").groupBy("s").agg(F.sum("over").alias("over")).where(F.col("over") >= n).select("s").toArrow().column("s").to_numpy()
     if not len(found):
         return Weights(np.zeros(0, np.uint64), np.zeros(0), n)
     wanted = np.sort(found.view(np.uint64))
