@@ -40,6 +40,14 @@ def test_scripts_narrow_candidates(spark):
     assert [r["lang_pred"] for r in language.identify_language(asked, model).orderBy("doc_id").collect()] == ["ru", "el", "en", "und", "ru"]
 
 
+def test_languages_of_any_script(spark):
+    known = [("the cat and the dog " * 40 + "дом", "en"), ("కుక్క పిల్లి ఇల్లు", "te"), ("ರಾಮ ಮನೆ ನಾಯಿ", "kn"), ("ሰላም ቤት ውሻ", "am")]
+    docs = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(known * 5)], "doc_id long, text string, lang string")
+    model = language.fit_language(docs, F.lit(True))
+    asked = spark.createDataFrame([(1, "పిల్లి"), (2, "ನಾಯಿ"), (3, "ቤት"), (4, "дом"), (5, "dog"), (6, "漢字"), (7, "1")], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language.identify_language(asked, model).orderBy("doc_id").collect()] == ["te", "kn", "am", "en", "en", "und", "und"]
+
+
 def viterbi_of(e, penalty):
     best, back = e[0].copy(), []
     for x in e[1:]:

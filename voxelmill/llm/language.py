@@ -1,7 +1,7 @@
 """Language ID: script ranges narrow the candidates, Viterbi labels the spans of mixed-language text.
 
 A word is a run of letters. The script of its letters narrows the languages that it can be in to those
-whose learned texts use that script; its score for each of them is the log probability of its
+whose learned texts use that script (for over 1% of their letters; where it is so in none, at all); its score for each of them is the log probability of its
 character trigrams. Viterbi over a document's words, with a penalty for each switch, gives the labels;
 words between two switches are a span. The prediction is the language of most letters, of several the
 first by name, and its score the share of letters in its spans.
@@ -14,6 +14,7 @@ nothing to learn from, every text is `und`.
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ UNKNOWN = "und"
 BINS = 1 << 15
 #: Nats that a switch of language costs.
 SWITCH = 14.0
-#: First and last code point of the blocks whose letters tell scripts apart.
+#: First and last code point of blocks of letters. The script of other letters is the first word of their names.
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A)],
     "greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
@@ -43,23 +44,35 @@ SCRIPTS = {
     "georgian": [(0x10A0, 0x10FF), (0x1C90, 0x1CBF)],
     "hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)],
     "kana": [(0x3040, 0x30FF), (0x31F0, 0x31FF)],
-    "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F)],
+    "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F), (0x30000, 0x3347F)],
 }
+CODES = 0x33480
+
+
+def script_name(letter: str) -> str:
+    words = [w for w in unicodedata.name(letter, "unnamed").lower().split() if w not in ("halfwidth", "fullwidth")]
+    return {"katakana": "kana", "hiragana": "kana", "katakana-hiragana": "kana", "cjk": "han"}.get(words[0], words[0])
 
 
 class Tables:
-    """By code point: whether it is a letter, and the number of its script (0: another one)."""
+    """By code point: whether it is a letter, and the number of its script (0: no letter)."""
 
     letter: np.ndarray | None = None
     script: np.ndarray | None = None
+    scripts = 0
 
     def load(self) -> Tables:
         if self.letter is None:
-            self.letter = np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000)
-            self.script = np.zeros(0x30000, np.uint8)
+            self.letter = np.fromiter((chr(c).isalpha() for c in range(CODES)), bool, CODES)
+            self.script = np.zeros(CODES, np.uint16)
             for k, ranges in enumerate(SCRIPTS.values(), 1):
                 for lo, hi in ranges:
                     self.script[lo : hi + 1] = k
+            others = {c: script_name(chr(c)) for c in np.flatnonzero(self.letter & (self.script == 0)).tolist()}
+            place = {x: k for k, x in enumerate([*SCRIPTS, *sorted(set(others.values()) - set(SCRIPTS))], 1)}
+            for c, x in others.items():
+                self.script[c] = place[x]
+            self.scripts = len(place) + 1
         return self
 
     def __reduce__(self):
@@ -84,7 +97,7 @@ def words_of(data: np.ndarray, off: np.ndarray, tables: Tables) -> Words:
     cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.cumsum(np.r_[0, (data & 0xC0) != 0x80])
     base = lead[off]  # rows in code points
-    low = np.minimum(cp, 0x2FFFF)
+    low = np.minimum(cp, CODES - 1)
     inside = np.zeros(len(cp) + 1, bool)
     inside[:-1] = t.letter[low]
     begin, end = inside.copy(), np.zeros(len(cp) + 1, bool)
@@ -105,7 +118,7 @@ def words_of(data: np.ndarray, off: np.ndarray, tables: Tables) -> Words:
     bins = (h >> np.uint32(17)).astype(np.int32)
     n = e - s
     first = np.r_[0, np.cumsum(n)[:-1]].astype(np.int64)
-    return Words(s, n, np.searchsorted(base, s, "right") - 1, t.script[low[s]] if len(s) else np.zeros(0, np.uint8), bins, first, base)
+    return Words(s, n, np.searchsorted(base, s, "right") - 1, t.script[low[s]] if len(s) else np.zeros(0, np.uint16), bins, first, base)
 
 
 def lowered(cp: np.ndarray) -> np.ndarray:
@@ -221,7 +234,8 @@ def fit_language(docs: DataFrame, learn: Column, per_lang: int = 1500, lang: str
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(1.5 * per_lang) / F.col("n"))
     chosen = known.join(F.broadcast(counts), "lang").where((F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < share * (1 << 30)))
-    tables, scripts = Tables(), len(SCRIPTS) + 1
+    tables = Tables()
+    scripts = tables.load().scripts
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def count(batches):
@@ -248,7 +262,8 @@ def fit_language(docs: DataFrame, learn: Column, per_lang: int = 1500, lang: str
     seen, script = table[:BINS], table[BINS:]
     logp = np.log((seen + 0.5) / (seen.sum(0) + 0.5 * BINS)).astype(np.float32)
     allowed = script > 0.01 * np.maximum(script.sum(0), 1)
-    allowed[0] = False
+    rare = ~allowed.any(1)  # a script that is little of every language is still in those that have it
+    allowed[rare] = script[rare] > 0
     return LanguageModel(langs, logp, allowed, tables)
 
 
