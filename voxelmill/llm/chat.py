@@ -10,6 +10,10 @@ Inside roles and texts `&`, `<` and `[` (and, in roles, a line end) are written
 string of this or another template can stand in them, and reading back gives exactly what was written.
 The training text comes as segments, each in or out of the loss mask, which holds the texts of assistants.
 
+Spark's variants hold 128 MiB and their parser texts of 20 million characters. Of a longer record the layout is
+that of its skeleton, the record with empty texts and runs of equal objects once, and its values are read with a
+schema instead; so a record may be as long as a string.
+
 Everything is built of Spark's own expressions. A null text or role is empty. A record that is null, no
 JSON, or of a layout without a mapping has null turns and null outputs. A conversation without turns is an
 empty text. Repeated rows are turns of their own; ties of the turn number go by role, then text. An empty
@@ -28,6 +32,8 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 #: What stands for what inside roles and texts; `&` is first when written, last when read.
 ENTITIES = [("&", "&amp;"), ("<", "&lt;"), ("[", "&lsqb;")]
 IN_ROLES = [("\n", "&nl;")]
+#: Bytes of a record that surely fits a variant, with room for its offsets.
+LARGE = 1 << 24
 TURN = "array<struct<role: string, text: string>>"
 
 
@@ -55,14 +61,30 @@ class Mapping:
         return ["OBJECT<" + ", ".join(f"{c}: _" for c in sorted([*needed, *some])) + ">" for n in range(len(self.optional) + 1) for some in combinations(self.optional, n)]
 
     def turns(self, record: Column) -> Column:
+        """Of a variant."""
+        if self.messages:
+            path, role, text = self.messages
+            return self.spoken(F.try_variant_get(record, f"$.{path}", f"array<struct<{role}: string, {text}: string>>"))
+        return self.fielded(lambda path: F.try_variant_get(record, f"$.{path}", "string"))
+
+    def long_turns(self, record: Column) -> Column:
+        """Of JSON of any length."""
+        options = {"maxStringLen": str((1 << 31) - 1)}
         if self.messages:
             path, role, text = self.messages
-            got = F.try_variant_get(record, f"$.{path}", f"array<struct<{role}: string, {text}: string>>")
-            spoken = lambda m: F.coalesce(m[role], F.lit(""))
-            return F.transform(got, lambda m: F.struct(self.canonical(spoken(m)).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+            return self.spoken(F.from_json(record, f"`{path}` array<struct<`{role}`: string, `{text}`: string>>", options)[path])
+        read = F.from_json(record, ", ".join(f"`{path}` string" for path, _ in self.fields), options)
+        return self.fielded(lambda path: read[path])
+
+    def spoken(self, got: Column) -> Column:
+        _, role, text = self.messages
+        said = lambda m: F.coalesce(m[role], F.lit(""))
+        return F.transform(got, lambda m: F.struct(self.canonical(said(m)).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+
+    def fielded(self, of) -> Column:
         each = []
         for path, role in self.fields:
-            text = F.try_variant_get(record, f"$.{path}", "string")
+            text = of(path)
             turn = F.struct(F.lit(role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
             each.append(F.when(F.length(text) > 0, F.array(turn)).otherwise(F.array().cast(TURN)) if path in self.optional else F.array(turn))
         return F.concat(*each)
@@ -92,16 +114,25 @@ def fingerprint_of(layout: Column) -> Column:
     return F.xxhash64(layout)
 
 
+def skeleton(record: Column) -> Column:
+    """The JSON with every text empty and of equal objects in a row one, which has the same layout. All quantifiers are possessive."""
+    string = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    marked = F.regexp_replace(record, rf"({string}\s*+:)|{string}", "$1\x01")
+    bare = F.replace(F.replace(marked, F.lit(":\x01"), F.lit(":")), F.lit("\x01"), F.lit('""'))
+    return F.regexp_replace(bare, r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++", "$1")
+
+
 def to_turns(records: DataFrame, record: str = "record", mappings: list[Mapping] | None = None, keep: list[str] | None = None) -> DataFrame:
     """(keep, fingerprint, layout, turns) of each JSON record; layout names the mapping."""
     mappings = MAPPINGS if mappings is None else mappings
     keep = [c for c in records.columns if c != record] if keep is None else keep
-    parsed = records.select(*keep, F.try_parse_json(F.col(record)).alias("__v"))
+    long = F.octet_length(F.col(record)) > LARGE
+    parsed = records.select(*keep, F.col(record).alias("__r"), long.alias("__long"), F.try_parse_json(F.when(long, skeleton(F.col(record))).otherwise(F.col(record))).alias("__v"))
     parsed = parsed.withColumn("fingerprint", fingerprint_of(layout_of(F.col("__v"))))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURN)
     for m in mappings:
         own = F.col("fingerprint").isin(*[fingerprint_of(F.lit(s)) for s in m.schemas()])
-        name, turns = F.when(own, m.name).otherwise(name), F.when(own, m.turns(F.col("__v")).cast(TURN)).otherwise(turns)
+        name, turns = F.when(own, m.name).otherwise(name), F.when(own & F.col("__long"), m.long_turns(F.col("__r")).cast(TURN)).when(own, m.turns(F.col("__v")).cast(TURN)).otherwise(turns)
     return parsed.select(*keep, "fingerprint", name.alias("layout"), turns.alias("turns"))
 
 
