@@ -168,12 +168,35 @@ def test_spans_map_to_the_original(spark):
 
 
 def test_parts_of_a_large_benchmark_find_the_same(spark):
-    bench, docs = read(spark, BIG, "benchmark"), [r["text"].encode() for r in read(spark, BIG, "documents").collect()]
-    whole, parts = decontaminate.automata(bench), decontaminate.automata(bench, most_bytes=4000)
-    assert len(whole) == 1 and len(parts) > 3
-    for t in docs:
-        a, b = decontaminate.hits(whole, t), decontaminate.hits(parts, t)
-        assert a[0] == b[0] and a[1].tolist() == b[1].tolist() and a[2] == b[2]
+    """Also a window that several items share, and an item without an id."""
+    shared = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    more = spark.createDataFrame([("1001", f"{shared} one"), ("1002", f"two {shared}"), (None, f"{shared} lambda mu")], "item_id string, text string")
+    bench = read(spark, BIG, "benchmark").select(F.col("item_id").cast("string").alias("item_id"), "text").unionByName(more)
+    docs = read(spark, BIG, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(10**9, f"x {shared} y"), (10**9, f"x {shared} y"), (10**9 + 1, f"{shared} lambda mu"), (10**9 + 2, None)], "doc_id long, text string"))
+    assert len(list(decontaminate.automata(decontaminate.windows_of(bench), 4000))) > 3
+    whole, parts = (decontaminate.find_leaks(docs, bench, most_bytes=n).collect() for n in (1 << 26, 4000))
+    assert sorted(whole, key=str) == sorted(parts, key=str)
+    got = {r["doc_id"]: r for r in parts}
+    assert got[10**9]["items"] == ["1001", "1002", None] and got[10**9]["n_hit"] == 10 and got[10**9 + 1]["n_hit"] == 12 and got[10**9 + 2]["n_hit"] == 0
+    kept = [{r["doc_id"] for r in decontaminate.remove_leaks(docs, bench, most_bytes=n).collect()} for n in (1 << 26, 4000)]
+    assert kept[0] == kept[1] == {r["doc_id"] for r in whole if not r["n_hit"]}
+
+
+def test_decontamination_equals_sql_with_shared_windows_and_null_ids(spark, tmp_path):
+    import duckdb
+
+    bench = [(1, "Sat on the MAT"), (2, "sat on the mat"), (3, "!!"), (None, "the cat"), (None, None), (1, "Sat on the MAT"), (4, "34"), (5, " ".join(f"w{k % 13}" for k in range(40)))]
+    docs = [(1, "the cat sat on the mat"), (2, None), (3, "12 34 !!"), (4, "w3 w4 " + " ".join(f"W{k % 13}" for k in range(60))), (5, ""), (5, "the, CAT"), (6, "nothing")]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/b")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    for name, path in (("benchmark", "b"), ("documents", "d")):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{path}/*.parquet')")
+    found = con.execute(decontaminate.DECONTAMINATE_SQL)
+    names = [c[0] for c in found.description]
+    want = {tuple(r[names.index(c)] for c in sorted(names)) for r in found.fetchall() if r[0] != 5}
+    got = decontaminate.decontaminate_query(spark.read.parquet(f"{tmp_path}/d"), spark.read.parquet(f"{tmp_path}/b"))
+    assert {tuple(r[c] for c in sorted(names)) for r in got.collect() if r["doc_id"] != 5} == want and len(want) == 5
 
 
 def test_equal_substrings_share_interior_names():

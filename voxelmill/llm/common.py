@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.graph import checkpoint_dir, cut  # noqa: F401  for the operators beside this module
+from ..functions.graph import Scratch, checkpoint_dir, cut, remove  # noqa: F401  for the operators beside this module
 
 TEXT = "__text"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
