@@ -49,6 +49,10 @@ class Scratch:
             if any(df is t for t in tables):
                 remove(self.spark, path)
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops all other tables."""
+        self.drop(*[df for df, _ in self.paths if not any(df is t for t in tables)])
+
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a table in the shared folder."""
