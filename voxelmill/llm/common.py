@@ -29,6 +29,16 @@ def held_out(key: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % mod == rest, F.lit(True))
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def hashable(docs: DataFrame) -> list[Column]:
+    """The columns that Spark can hash: all but those with a map or a variant in them."""
+    return [quoted(f.name) for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes end to end and the offsets of its rows; nulls are empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
