@@ -4,6 +4,12 @@ The terms of a document are the set of its words and of their prefixes of four t
 The score is the logistic of w0 + sum of w + sum over pairs of <v_i, v_j>, so pairs of terms that are
 toxic only together, such as an insult with a mention of a group, weigh beyond their sums.
 
+Of the sample's hundred thousands of terms the machine gets those that tell something alone, by their share of
+label 1, and those that tell something in pairs: what a machine of the first kind misjudges is searched for
+pairs of terms whose share of label 1 together is far from the mean, however balanced each is alone.
+
+Repeated ids of documents are scored each by its own text; of repeated ids in the sample the greatest text
+counts. Only the id and the text are read, so other columns may have any name.
 Nulls and texts without words have no terms and get the logistic of w0. Terms of other documents never
 count. Equal texts get equal scores. An empty table gives an empty result; without labels of both
 kinds every score is 0.5.
@@ -11,14 +17,16 @@ kinds every score is 0.5.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filter_text, held_out, labelled_sample, map_text
+from .common import Scratch, filter_text, held_out, labelled_sample, map_text
 from .words import Powers, mix, prefix_sums, span_hash, word_spans
 
 BITS = 20
@@ -80,6 +88,33 @@ def choose(row: np.ndarray, term: np.ndarray, y: np.ndarray, least_df: int, z: f
     return np.flatnonzero(far & (df >= least_df))
 
 
+def choose_pairs(row: np.ndarray, term: np.ndarray, y: np.ndarray, missed: np.ndarray, least_df: int, share: float, z: float) -> np.ndarray:
+    """Terms of pairs whose share of label 1, where both are there, differs from the mean by `z` deviations.
+
+    Pairs are those of terms that are each in `least_df` documents and in a `share` of the `missed` documents
+    of one label; all pairs of those are counted over the whole sample, in blocks.
+    """
+    some = np.zeros(1 << BITS, bool)
+    for c in (0, 1):
+        own = missed & (y == c)
+        some |= np.bincount(term[own[row]], minlength=1 << BITS) >= max(least_df, share * own.sum())
+    names = np.flatnonzero(some)
+    place = np.full(1 << BITS, -1)
+    place[names] = np.arange(len(names))
+    has = np.zeros((len(y), len(names)), np.float32)
+    k = place[term] >= 0
+    has[row[k], place[term[k]]] = 1
+    p, told = y.mean(), np.zeros(len(names), bool)
+    for lo in range(0, len(names), 512):
+        block = has[:, lo : lo + 512]
+        both = block.T @ has
+        ones = block[y == 1].T @ has[y == 1]
+        far = (both >= least_df) & (np.abs(ones - both * p) >= z * np.sqrt(np.maximum(both, 1) * p * (1 - p)))
+        far[np.arange(len(far)), lo + np.arange(len(far))] = False  # a term with itself
+        told |= far.any(0)
+    return names[told]
+
+
 def fit_machine(row: np.ndarray, term: np.ndarray, y: np.ndarray, prior: float, factors: int, epochs: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
     """Adagrad on the logistic loss, with soft thresholds on w and decay on v. term: slots from 1."""
     rng = np.random.default_rng(seed)
@@ -113,12 +148,39 @@ def fit_machine(row: np.ndarray, term: np.ndarray, y: np.ndarray, prior: float,
     return w0, w, v
 
 
+def fit_terms(row: np.ndarray, term: np.ndarray, y: np.ndarray, chosen: np.ndarray, prior: float, factors: int, epochs: int, seed: int) -> ToxicityModel:
+    """A machine of the chosen terms."""
+    slot = np.zeros(1 << BITS, np.int32)
+    slot[chosen] = np.arange(1, len(chosen) + 1)
+    own = slot[term].astype(np.int64)
+    rows, own = row[own > 0], own[own > 0]
+    again = np.lexsort((own, rows))
+    w0, w, v = fit_machine(rows[again].astype(np.int64), own[again], y, prior, factors, epochs, seed)
+    more = len(chosen) + 1 - len(w)
+    return ToxicityModel(chosen, w0, np.r_[w, np.zeros(more)], np.r_[v, np.zeros((more, factors))])
+
+
+def fit_sample(row: np.ndarray, term: np.ndarray, y: np.ndarray, prior: float, factors: int, least_df: int, z: float, epochs: int, seed: int, least_pair: int = 8, pair_share: float = 0.02, pair_z: float = 6.0) -> ToxicityModel:
+    """A machine of terms that tell something alone and, where that misjudges documents, one with those of telling pairs too."""
+    chosen = choose(row, term, y, least_df, z)
+    model = fit_terms(row, term, y, chosen, prior, factors, epochs, seed)
+    slot = np.zeros(1 << BITS, np.int32)
+    slot[chosen] = np.arange(1, len(chosen) + 1)
+    own = slot[term]
+    value, _ = machine(model.w0, model.w, model.v, row[own > 0], own[own > 0].astype(np.int64), len(y))
+    missed = (y == 1) != (value > 0)
+    more = np.union1d(chosen, choose_pairs(row, term, y, missed, least_pair, pair_share, pair_z))
+    return model if len(more) == len(chosen) else fit_terms(row, term, y, more, prior, factors, epochs, seed)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, per_class: int = 4000, factors: int = 4, least_df: int = 3, z: float = 3.5, epochs: int = 12, seed: int = 11) -> ToxicityModel:
     """Learns from at most `per_class` documents of either label that satisfy `learn`.
 
-    The driver gets the sets of hashed terms of those documents, nothing of the others. The share of
-    label 1 among all of `labels` that satisfy `learn` is the prior of the scores.
+    The driver gets the sets of those documents' hashed terms, without terms of fewer than `least_df` of them,
+    and nothing of other documents. The share of label 1 among all of `labels` that satisfy `learn` is the prior
+    of the scores.
     """
+    scratch = Scratch(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", learn, per_class, seed)
     pw = Powers()
 
@@ -126,7 +188,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, per_class: int = 400
         row, term = terms(d, o, pw)
         return [np.split(term.astype(np.int32), np.searchsorted(row, np.arange(1, len(o) - 1)))]
 
-    found = map_text(sample, ["__id", "y"], "text", sets, [T.StructField("t", T.ArrayType(T.IntegerType()))]).toArrow()
+    every = scratch.cut(map_text(sample, ["__id", "y"], "text", sets, [T.StructField("t", T.ArrayType(T.IntegerType()))]))
+    counted = every.select(F.explode("t").alias("t")).groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") >= least_df).toArrow()
+    often = np.zeros(1 << BITS, bool)
+    often[counted.column("t").to_numpy()] = True
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("t")
+            flat = lists.flatten().to_numpy()
+            kept, row = often[flat], np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            ends = np.r_[0, np.cumsum(np.bincount(row[kept], minlength=len(lists)))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[kept]))], names=["__id", "y", "t"])
+
+    found = every.mapInArrow(thinned, every.schema).toArrow()
+    scratch.keep()
     y = found.column("y").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return ToxicityModel(np.zeros(0, np.int64), 0.0, np.zeros(1), np.zeros((1, factors)))
@@ -135,17 +211,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, per_class: int = 400
     order = np.argsort(found.column("__id").to_numpy(), kind="stable")  # so that reruns fit the same
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order), dtype=np.int32)
-    row, term, y = np.repeat(place, np.diff(lists.offsets.to_numpy())), lists.values.to_numpy(), y[order]
-    chosen = choose(row, term, y, least_df, z)
-    slot = np.zeros(1 << BITS, np.int32)
-    slot[chosen] = np.arange(1, len(chosen) + 1)
-    term = slot[term]
-    row, term = row[term > 0], term[term > 0].astype(np.int64)
-    again = np.lexsort((term, row))
-    row, term = row[again].astype(np.int64), term[again]
-    w0, w, v = fit_machine(row, term, y, min(max(prior, 1e-3), 1 - 1e-3), factors, epochs, seed)
-    w, v = np.resize(w, len(chosen) + 1) if len(w) > len(chosen) else np.r_[w, np.zeros(len(chosen) + 1 - len(w))], np.r_[v, np.zeros((max(0, len(chosen) + 1 - len(v)), factors))]
-    return ToxicityModel(chosen, w0, w, v)
+    row = np.repeat(place, np.diff(lists.offsets.to_numpy()))
+    return fit_sample(row, lists.flatten().to_numpy(), y[order], min(max(prior, 1e-3), 1 - 1e-3), factors, least_df, z, epochs, seed)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
