@@ -1,15 +1,17 @@
 """Language ID: script ranges narrow the candidates, Viterbi labels the spans of mixed-language text.
 
-A word is a run of letters. The script of its letters narrows the languages that it can be in to those
-whose learned texts use that script (for over 1% of their letters; where it is so in none, at all); its score for each of them is the log probability of its
+A word is a run of letters of one script. The script narrows the languages that it can be in to those
+whose learned texts use it (for over 1% of their letters; where it is so in none, at all); its score for each of them is the log probability of its
 character trigrams. Viterbi over a document's words, with a penalty for each switch, gives the labels;
 words between two switches are a span. The prediction is the language of most letters, of several the
 first by name, and its score the share of letters in its spans.
 
 Texts that are null, empty or without letters are `und` with score 0 and no spans. Words of a script
-that no learned language uses say nothing and go with their neighbours; a text of such words only is
-`und` with score 0. Equal texts get equal results. An empty table gives an empty result; if there is
-nothing to learn from, every text is `und`.
+that no learned language uses say nothing and go with their neighbours; a text of such words only gets the
+language whose trigrams fit it best, with score 0, as nothing speaks for it. Equal texts get equal results, and
+so do repeated rows and ids. Only the id and the text are read, so other columns may have any name; filters keep
+all columns. Texts beyond PIECE bytes are dealt with piece by piece. An empty table gives an empty result; if there
+is nothing to learn from, every text is `und`.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import filter_text, held_out, map_text
+from .words import PIECE, pieces
 
 UNKNOWN = "und"
 BINS = 1 << 15
@@ -49,6 +52,10 @@ SCRIPTS = {
 CODES = 0x33480
 
 
+#: Letters that have no script of their own, such as a modifier apostrophe, belong to the word around them.
+LOOSE = "modifier"
+
+
 def script_name(letter: str) -> str:
     words = [w for w in unicodedata.name(letter, "unnamed").lower().split() if w not in ("halfwidth", "fullwidth")]
     return {"katakana": "kana", "hiragana": "kana", "katakana-hiragana": "kana", "cjk": "han"}.get(words[0], words[0])
@@ -60,6 +67,7 @@ class Tables:
     letter: np.ndarray | None = None
     script: np.ndarray | None = None
     scripts = 0
+    loose = 0
 
     def load(self) -> Tables:
         if self.letter is None:
@@ -72,7 +80,7 @@ class Tables:
             place = {x: k for k, x in enumerate([*SCRIPTS, *sorted(set(others.values()) - set(SCRIPTS))], 1)}
             for c, x in others.items():
                 self.script[c] = place[x]
-            self.scripts = len(place) + 1
+            self.scripts, self.loose = len(place) + 1, place[LOOSE]
         return self
 
     def __reduce__(self):
@@ -103,6 +111,9 @@ def words_of(data: np.ndarray, off: np.ndarray, tables: Tables) -> Words:
     begin, end = inside.copy(), np.zeros(len(cp) + 1, bool)
     begin[1:] &= ~inside[:-1]
     end[1:] = inside[:-1] & ~inside[1:]
+    script = t.script[low]
+    turn = np.flatnonzero(inside[1:-1] & inside[:-2] & (script[1:] != script[:-1]) & (script[1:] != t.loose) & (script[:-1] != t.loose)) + 1
+    begin[turn] = end[turn] = True
     edge = base[1:-1]
     begin[edge] |= inside[edge]
     end[edge[edge > 0]] |= inside[edge[edge > 0] - 1]
@@ -118,7 +129,7 @@ def words_of(data: np.ndarray, off: np.ndarray, tables: Tables) -> Words:
     bins = (h >> np.uint32(17)).astype(np.int32)
     n = e - s
     first = np.r_[0, np.cumsum(n)[:-1]].astype(np.int64)
-    return Words(s, n, np.searchsorted(base, s, "right") - 1, t.script[low[s]] if len(s) else np.zeros(0, np.uint16), bins, first, base)
+    return Words(s, n, np.searchsorted(base, s, "right") - 1, script[s], bins, first, base)
 
 
 def lowered(cp: np.ndarray) -> np.ndarray:
@@ -134,39 +145,77 @@ class LanguageModel:
     allowed: np.ndarray  # (script, lang)
     tables: Tables
 
-    def emissions(self, w: Words) -> np.ndarray:
-        """(word, lang): log probabilities; 0 for all where the script tells nothing."""
-        e = np.add.reduceat(self.logp[w.bins], w.first, axis=0)
+    def emissions(self, w: Words, known: np.ndarray) -> np.ndarray:
+        """(word, lang): log probabilities; 0 for all where the script tells nothing in a row that has words of `known` scripts."""
+        e = np.empty((len(w.start), len(self.langs)), np.float32)
+        for lo in range(0, len(e), 1 << 16):
+            hi = min(lo + (1 << 16), len(e))
+            first = w.first[lo:hi]
+            stop = w.first[hi] if hi < len(e) else len(w.bins)
+            e[lo:hi] = np.add.reduceat(self.logp[w.bins[first[0] : stop]], first - first[0], axis=0)
         ok = self.allowed[w.script]
-        e[~ok] = -1e6
-        e[~ok.any(1)] = 0
+        some = ok.any(1)
+        e[~ok & some[:, None]] = -1e6
+        e[~some & known[w.row]] = 0
         return e
 
+    def has_known(self, w: Words, n: int) -> np.ndarray:
+        """Of each of n rows: whether it has a word of a script that a learned language uses."""
+        return np.bincount(w.row, self.allowed[w.script].any(1), n) > 0
+
     def label(self, data: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray, Words | None, np.ndarray]:
         """Prediction and score of each row, its words, and the language number of each word."""
         n = len(off) - 1
-        w = words_of(data, off, self.tables)
+        if n == 1 and len(data) > 2 * PIECE:
+            w, state = self.long_words(data)
+        else:
+            w = words_of(data, off, self.tables)
+            state = best_labels(self.emissions(w, self.has_known(w, n)), w.row, SWITCH) if len(w.start) and self.langs else None
         if not len(w.start) or not self.langs:
             return [UNKNOWN] * n, np.zeros(n), None, np.zeros(0, np.int32)
-        state = best_labels(self.emissions(w), w.row, SWITCH)
         letters = np.bincount(w.row * len(self.langs) + state, w.length, n * len(self.langs)).reshape(n, -1)
-        known = np.bincount(w.row, self.allowed[w.script].any(1), n) > 0
         best, total = letters.argmax(1), letters.sum(1)
-        score = np.where(known, letters[np.arange(n), best] / np.maximum(total, 1), 0.0)
-        return [self.langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], score, w, state
+        score = np.where(self.has_known(w, n), letters[np.arange(n), best] / np.maximum(total, 1), 0.0)
+        return [self.langs[k] if some else UNKNOWN for k, some in zip(best, total > 0, strict=True)], score, w, state
+
+    def long_words(self, data: np.ndarray) -> tuple[Words, np.ndarray]:
+        """Words and labels of one long text; only what follows the last settled word waits for the next piece."""
+        each = [data[a:z] for a, z in pieces(data)]
+        parts = lambda: (words_of(d, np.array([0, len(d)]), self.tables) for d in each)
+        known = np.array([any(self.allowed[w.script].any() for w in parts())])
+        kept, states, waiting, point = [], [], np.zeros((0, len(self.langs)), np.float32), 0
+        for d, w in zip(each, parts(), strict=True):
+            kept.append((w.start + point, w.length, w.script))
+            point += int(w.base[-1])
+            if len(w.start) and self.langs:
+                waiting = np.concatenate([waiting, self.emissions(w, known)])
+                at = np.flatnonzero(settled_words(waiting, SWITCH))
+                if len(at) and at[-1]:
+                    states.append(best_labels(waiting[: at[-1] + 1], np.zeros(at[-1] + 1, np.int64), SWITCH)[:-1])
+                    waiting = waiting[at[-1] :]
+        if len(waiting):
+            states.append(best_labels(waiting, np.zeros(len(waiting), np.int64), SWITCH))
+        start, length, script = (np.concatenate(x) for x in zip(*kept, strict=True))
+        empty = np.zeros(0, np.int64)
+        return Words(start, length, np.zeros(len(start), np.int64), script, empty, empty, np.array([0, point])), np.concatenate(states) if states else empty
+
+
+def settled_words(e: np.ndarray, penalty: float) -> np.ndarray:
+    """Words that are better in one language by two penalties or more: they are in it on the best path, as going there and back costs no more."""
+    top = e.argmax(1)
+    others = e.copy()
+    others[np.arange(len(e)), top] = -np.inf
+    return e[np.arange(len(e)), top] - others.max(1) >= 2 * penalty
 
 
 def best_labels(e: np.ndarray, row: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of each word; rows are cut where a word settles its own label, so Viterbi has short rows.
 
-    A word that is better in one language by two penalties or more is in it on the best path, as going
-    there and back costs no more. So what is before it and what is after it don't depend on each other: the
-    word ends one stretch and begins the next.
+    What is before a settled word and what is after it don't depend on each other: the word ends one stretch
+    and begins the next.
     """
     top = e.argmax(1)
-    others = e.copy()
-    others[np.arange(len(e)), top] = -np.inf
-    settled = e[np.arange(len(e)), top] - others.max(1) >= 2 * penalty
+    settled = settled_words(e, penalty)
     begins = np.r_[True, row[1:] != row[:-1]]
     twice = settled & ~begins & ~np.r_[begins[1:], True]
     last = np.cumsum(1 + twice) - 1
@@ -244,10 +293,11 @@ def fit_language(docs: DataFrame, learn: Column, per_lang: int = 1500, lang: str
         bins = defaultdict(lambda: np.zeros(BINS + scripts, np.int64))
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                d = np.frombuffer((text or "").encode(), np.uint8)
-                w = words_of(d, np.array([0, len(d)]), tables)
-                bins[name][:BINS] += np.bincount(w.bins, minlength=BINS)
-                bins[name][BINS:] += np.bincount(w.script, w.length, scripts).astype(np.int64)
+                whole = np.frombuffer((text or "").encode(), np.uint8)
+                for a, z in pieces(whole):
+                    w = words_of(whole[a:z], np.array([0, z - a]), tables)
+                    bins[name][:BINS] += np.bincount(w.bins, minlength=BINS)
+                    bins[name][BINS:] += np.bincount(w.script, w.length, scripts).astype(np.int64)
         for name, n in bins.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bin", "n"])

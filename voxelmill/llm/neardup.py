@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from ..functions.graph import connected
 from .common import BLOCK, Scratch, blocks, hashable, map_text, quoted, small_batches, utf8
-from .words import Powers, mix, prefix_sums, shingles, span_hash, word_spans
+from .words import Powers, hashed_words, mix, shingles
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -56,8 +56,7 @@ SLOTS = 4096
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, pw: Powers, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sorted distinct shingle hashes and their counts, for each row."""
-    b, s, e, row = word_spans(data, off)
-    hashed, at = shingles(span_hash(prefix_sums(b, pw), s, e, pw), row, width, pw)
+    hashed, at = shingles(*hashed_words(data, off, pw), width, pw)
     edge = np.searchsorted(at, np.arange(len(off)))
     return [np.unique(hashed[a:z], return_counts=True) for a, z in zip(edge[:-1], edge[1:], strict=True)]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Odd, so that it has an inverse modulo 2**64.
@@ -80,6 +82,31 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return b, s, e, np.searchsorted(off, s, "right") - 1
 
 
+#: Bytes of one text that are hashed at a time.
+PIECE = 1 << 20
+
+
+def pieces(data: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about `most` bytes that cover a text and end at no word's inside; longer where a word is."""
+    lo = 0
+    while lo < len(data):
+        hi = lo + most
+        while hi < len(data) and not (gap := np.flatnonzero(FOLD[data[hi : hi + most]] == 0)).size:
+            hi += most
+        hi = min(hi + int(gap[0]), len(data)) if hi < len(data) else len(data)
+        yield lo, hi
+        lo = hi
+
+
+def hashed_words(data: np.ndarray, off: np.ndarray, pw: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each word; a text beyond PIECE is dealt with piece by piece."""
+    if len(off) == 2 and len(data) > 2 * PIECE:
+        each = [hashed_words(data[a:z], np.array([0, z - a]), pw) for a, z in pieces(data)]
+        return np.concatenate([h for h, _ in each]), np.concatenate([r for _, r in each])
+    b, s, e, row = word_spans(data, off)
+    return span_hash(prefix_sums(b, pw), s, e, pw), row
+
+
 def prefix_sums(b: np.ndarray, pw: Powers) -> np.ndarray:
     up, _ = pw.get(len(b) + 1)
     h = np.zeros(len(b) + 1, np.uint64)
