@@ -119,7 +119,7 @@ def test_urls(spark):
 def test_chat(spark):
     said = [(1, 0, "user", "a&<b> [x] &amp; <|im_end|>\n"), (1, 1, "assistant", None), (2, 1, None, "x"), (2, 1, None, "x"), (3, None, "odd\nrole", "é"), (None, 0, "user", ""), (4, 0, "assistant", LONG)]
     turns = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumn("n_turns", F.lit("own"))
-    back = chat.format_turns(chat.to_turns(chat.as_records(turns))).select("conv_id", chat.turns_of(F.col("formatted")).alias("t"), chat.loss_text(F.col("segments")).alias("loss"))
+    back = chat.format_turns(chat.to_turns(chat.as_records(turns))).select("conv_id", chat.turns_of(F.col("formatted")).alias("t"), chat.loss_text(F.col("formatted"), F.col("mask")).alias("loss"))
     got = {r["conv_id"]: ([tuple(t) for t in r["t"]], r["loss"]) for r in back.collect()}
     assert got[1] == ([("user", "a&<b> [x] &amp; <|im_end|>\n"), ("assistant", "")], "") and got[2] == ([("", "x")] * 2, "")
     assert got[3] == ([("odd\nrole", "é")], "") and got[None] == ([("user", "")], "") and got[4][1] == LONG

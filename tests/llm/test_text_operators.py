@@ -37,7 +37,10 @@ def test_scripts_narrow_candidates(spark):
     docs = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate([("the cat and the dog", "en"), ("кот и собака в доме", "ru"), ("ο γάτος και ο σκύλος", "el")] * 5)], "doc_id long, text string, lang string")
     model = language.fit_language(docs, F.lit(True))
     asked = spark.createDataFrame([(1, "дом"), (2, "γάτος"), (3, "dog"), (4, "漢字"), (5, "漢字 кот")], "doc_id long, text string")
-    assert [r["lang_pred"] for r in language.identify_language(asked, model).orderBy("doc_id").collect()] == ["ru", "el", "en", "und", "ru"]
+    got = language.identify_language(asked, model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got[:3]] == ["ru", "el", "en"] and got[4]["lang_pred"] == "ru"
+    # A letter of a script that nobody learned: some learned language, for which nothing speaks; only texts without letters are und.
+    assert got[3]["lang_pred"] in ("ru", "el", "en") and got[3]["score"] == 0
 
 
 def test_languages_of_any_script(spark):
@@ -45,7 +48,8 @@ def test_languages_of_any_script(spark):
     docs = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(known * 5)], "doc_id long, text string, lang string")
     model = language.fit_language(docs, F.lit(True))
     asked = spark.createDataFrame([(1, "పిల్లి"), (2, "ನಾಯಿ"), (3, "ቤት"), (4, "дом"), (5, "dog"), (6, "漢字"), (7, "1")], "doc_id long, text string")
-    assert [r["lang_pred"] for r in language.identify_language(asked, model).orderBy("doc_id").collect()] == ["te", "kn", "am", "en", "en", "und", "und"]
+    got = [r["lang_pred"] for r in language.identify_language(asked, model).orderBy("doc_id").collect()]
+    assert got[:5] == ["te", "kn", "am", "en", "en"] and got[5] in ("te", "kn", "am", "en") and got[6] == "und"
 
 
 def viterbi_of(e, penalty):
@@ -267,10 +271,32 @@ def test_layouts_select_mappings(spark):
     ]
 
 
+def test_nested_and_ignored_fields(spark):
+    rows = ['{"messages":[{"role":"user","content":"a","name":"n"},{"content":"b","role":"assistant","weight":{"x":[1]}}],"id":7}', '{"data":{"prompt":"x","response":"y"},"meta":{"prompt":[1]}}', '{"prompt":"x","response":"y","source":"s"}',
+            '{"instruction":"i","input":"j","output":"o"}', '{"instruction":"i","input":"","output":"o","system":""}', '{"record":{"messages":[{"role":"user","content":"z"}]}}', '{"prompt":"x","response":"y","messages":[]}', '{"messages":[{"role":"user"}]}']
+    got = [(r["layout"], [tuple(t) for t in r["turns"]] if r["turns"] is not None else None) for r in chat.to_turns(spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, record string")).orderBy("k").collect()]
+    assert got == [
+        ("messages", [("user", "a"), ("assistant", "b")]), ("prompt", [("user", "x"), ("assistant", "y")]), ("prompt", [("user", "x"), ("assistant", "y")]), ("instruction", [("user", "i\n\nj"), ("assistant", "o")]),
+        ("instruction", [("user", "i"), ("assistant", "o")]), ("messages", [("user", "z")]), (None, None), (None, None),
+    ]
+
+
+def test_loss_mask_holds_offsets_of_the_formatted_text(spark):
+    said = [(1, 0, "user", "é<b>"), (1, 1, "assistant", "[ü] &"), (1, 2, "user", "\n"), (1, 3, "assistant", "z")]
+    r = chat.format_turns(chat.to_turns(chat.as_records(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")))).first()
+    at, cut = 0, []
+    for m in r["mask"]:
+        at += m["skip"]
+        cut += [r["formatted"][at : at + m["take"]]] if m["loss"] else []
+        at += m["take"]
+    assert cut == ["&lsqb;ü] &amp;", "z"] and r["formatted"][at:] == chat.END
+
+
 @pytest.mark.parametrize("large", [-1, 1 << 24])
 def test_long_records_read_the_same(spark, monkeypatch, large):
     monkeypatch.setattr(chat, "LARGE", large)
     test_layouts_select_mappings(spark)
+    test_nested_and_ignored_fields(spark)
     rows = [r'{"messages":[{"role":"user","content":"a\":\\"},{"role" : "assistant", "content":"{[\n,:"},{"role":"user","content":null}]}', r'{"prompt" : "x\"y", "response": "\u0041:\\"}']
     got = [[tuple(t) for t in r["turns"]] for r in chat.to_turns(spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, record string")).orderBy("k").collect()]
     assert got == [[("user", 'a":\\'), ("assistant", "{[\n,:"), ("user", "")], [("user", 'x"y'), ("assistant", "A:\\")]]
