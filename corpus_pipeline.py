@@ -2,6 +2,12 @@
 
 Quality and language reject documents, one document of each near-duplicate class stays, documents with
 benchmark windows go, and the sources are mixed to target weights.
+
+Null texts count as empty: the quality stage scores them as a chunk of padding, and the language stage drops
+them as `und`. Null ids are documents, which models don't learn from; null sources are one source. Of rows with equal
+texts the near-duplicate stage keeps one, that with the smallest id, so repeated rows are one document from there on.
+Documents may have more columns, of any name; all stay as they are. Empty tables of documents give an empty
+corpus, an empty benchmark drops nothing, and without labels of both kinds every document has quality 0.5 and stays.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm.common import checkpoint_dir, held_out, read
+from voxelmill.llm.common import checkpoint_dir, held_out, read, remove
 from voxelmill.llm.decontaminate import remove_leaks
 from voxelmill.llm.language import filter_language, fit_language
 from voxelmill.llm.mixing import mix
@@ -20,8 +26,8 @@ from voxelmill.llm.quality import filter_quality, fit_quality
 
 #: What the quality stage keeps scores this or more.
 QUALITY = 0.3
-#: Share of a document's letters that its language's spans must hold; `und` goes in any case.
-LANGUAGE = 0.3
+#: Share of a document's letters that its language's spans must hold: documents in which no language has half go, and so do those without letters or of scripts that nobody learned.
+LANGUAGE = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
+    """All stages over `documents`, each written to the shared folder and read again; a table goes when the next one is there."""
     docs, folder = read(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(f"{folder}/{name}")
+        docs = spark.read.schema(made.schema).parquet(f"{folder}/{name}")
+        if k:
+            remove(spark, f"{folder}/{STAGES[k - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -228,23 +228,66 @@ def test_fingerprint_query_matches_plain_order(spark):
     assert {r["doc_id"]: r["edited_sha256"] for r in fingerprint.edited_query(docs).collect()} == want
 
 
-@pytest.mark.parametrize("version", [1, 2])
-def test_both_arc_versions(spark, tmp_path, version):
-    pages = spark.createDataFrame([(k, f"http://h/{k}", f"<p>{k % 3}</p>\n") for k in range(9)], "page_id long, url string, html string")
-    warc.write_arc(pages, f"{tmp_path}/arc", version)
-    warc.convert_arc(spark, f"{tmp_path}/arc", f"{tmp_path}/warc", least_bytes=5)
-    got = sorted((r["page_id"], r["record_type"]) for r in warc.read_warc(spark, f"{tmp_path}/warc").collect())
-    assert got == [(k, "response" if k < 3 else "revisit") for k in range(9)]
-    warc.convert_arc(spark, f"{tmp_path}/arc", f"{tmp_path}/all", least_bytes=500)
+@pytest.mark.parametrize(("version", "compress"), [(1, True), (2, True), (1, False), (2, False)])
+def test_both_arc_versions(spark, tmp_path, version, compress):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", bytes(range(256)) + b"\r\n\r\n%d" % (k % 3)) for k in range(9)], "page_id long, url string, html binary")
+    warc.write_arc(pages, f"{tmp_path}/arc", version, compress)
+    assert warc.convert_arc(spark, f"{tmp_path}/arc", f"{tmp_path}/warc", 5, compress).count() == 0
+    got = sorted((r["page_id"], r["record_type"], r["payload_digest"]) for r in warc.read_warc(spark, f"{tmp_path}/warc").collect())
+    assert got == [(k, "response" if k < 3 else "revisit", warc.base32_sha1(bytes(range(256)) + b"\r\n\r\n%d" % (k % 3))) for k in range(9)]
+    warc.convert_arc(spark, f"{tmp_path}/arc", f"{tmp_path}/all", 500, compress)
     assert {r["record_type"] for r in warc.read_warc(spark, f"{tmp_path}/all").collect()} == {"response"}
+    each = [f for f in (tmp_path / "warc").iterdir() if f.name.startswith("part-")]
+    whole = b"".join(f.read_bytes() for f in each)
+    if compress:  # every record can be read from its own member
+        import zlib
+
+        kinds, rest = [], whole
+        while rest:
+            z = zlib.decompressobj(31)
+            kinds.append(z.decompress(rest)[:8])
+            rest = z.unused_data
+        assert set(kinds) == {b"WARC/1.1", b""} and kinds.count(b"") == len(each) and kinds.count(b"WARC/1.1") == 9 + len(each)
+    else:
+        assert whole.count(b"WARC/1.1\r\nWARC-Type") == 9 + len(each) and all(f.read_bytes().endswith(b"\r\n\r\n") for f in each)
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Latin-1 and binary payloads, LF heads, both versions, plain and gzipped, and what can't be read."""
+    import gzip
+
+    http = b"HTTP/1.0 200 OK\nContent-Type: text/html; charset=iso-8859-1\n\ncaf\xe9"
+    one = warc.version_block(1, "a.arc") + b"\n".join([
+        b"http://h/caf\xe9 x 1.2.3.4 19990102 text/html %d\n%s" % (len(http), http), b"http://h/bad 1.2.3.4 19990102030405 text/html\nlost\nlost too",
+        b"dns:h 1.2.3.4 19990102030405 text/dns 3\n\x00\xff\n", b"http://h/cut 1.2.3.4 19990102030405 text/html 99\nshort",
+    ])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.arc").write_bytes(one)
+    (tmp_path / "in" / "b.arc.gz").write_bytes(gzip.compress(warc.version_block(2, "b.arc") + warc.url_record(2, "b.arc", "http://h/b", "20010203040506", http) + b"\n"))
+    (tmp_path / "in" / "c.arc.gz").write_bytes(gzip.compress(warc.version_block(1, "c.arc") + warc.url_record(1, "c.arc", "http://h/c", "20010203040506", bytes(range(256)) * 400))[:-300])
+    bad = {(r["path"].rsplit("/", 1)[1], r["error"].split(":")[0]) for r in warc.convert_arc(spark, f"{tmp_path}/in", f"{tmp_path}/out", compress=False).collect()}
+    assert bad == {("a.arc", "no header line"), ("a.arc", "5 of 99 declared bytes"), ("c.arc.gz", "broken gzip")}
+    got = sorted((r["record_type"], r["payload_bytes"], r["payload_digest"]) for r in warc.read_warc(spark, f"{tmp_path}/out").collect())
+    cafe = warc.base32_sha1(b"caf\xe9")
+    assert got == [("resource", 3, warc.base32_sha1(b"\x00\xff\n")), ("response", 4, cafe), ("response", 4, cafe)]
+    text = b"".join(f.read_bytes() for f in (tmp_path / "out").iterdir() if f.name.startswith("part-"))
+    assert b"WARC-Target-URI: http://h/caf%E9%20x\r\n" in text and b"WARC-Date: 1999-01-02\r\n" in text and b"WARC-Date: 2001-02-03T04:05:06Z" in text and b"Content-Type: text/dns" in text
+
+
+def test_archives_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    rows = list(warc.archives(iter([b"x" * 600] * 10), b"first", b"\n", False))
+    assert len(rows) == 1
+    monkeypatch.setattr(warc, "ARCHIVE", 1000)
+    rows = [r.column(0)[0].as_py() for r in warc.archives(iter([b"x" * 600] * 10), b"first", b"\n", False)]
+    assert len(rows) == 5 and all(r.startswith(b"first\n") for r in rows)
 
 
 def test_declared_lengths_rule():
     import io
 
-    text = warc.version_block(1, "n.arc") + warc.url_record(1, "n.arc", "http://h/a b", "20200102030405", b"HTTP/1.1 200 OK\r\n\r\nhttp://x 0.0.0.0 20200101000000 text/html 3\nabc") + "\n"
-    (fields, content), = warc.arc_records(io.BytesIO(text.encode()))
-    assert fields["URL"] == "http://h/a b" and content.endswith(b"\nabc") and warc.http_parts(b"plain") == (b"", b"plain")
+    text = warc.version_block(1, "n.arc") + warc.url_record(1, "n.arc", "http://h/a b", "20200102030405", b"HTTP/1.1 200 OK\r\n\r\nhttp://x 0.0.0.0 20200101000000 text/html 3\nabc") + b"\n"
+    (fields, content), = warc.arc_records(io.BytesIO(text))
+    assert fields["URL"] == "http://h/a%20b" and content.endswith(b"\nabc") and warc.http_parts(b"plain") == (b"", b"plain")
 
 
 def test_targets_stop_and_reshare():

@@ -9,11 +9,15 @@ inside, whatever their offset. The fingerprint is the `SIZE` smallest hashes of
 their sets of names, exact where both are smaller.
 
 Null texts are empty; the fingerprint of an empty text is empty and its likeness is 1 to an empty one and
-0 to others. Equal texts have equal fingerprints.
+0 to others. Equal texts have equal fingerprints. Ids are integers or strings, which sort by code points; null ids come
+first, rows of one id go by a hash of their texts, then by them, and equal rows follow each other. Only the id and
+the text are read, so other columns may have any name. An empty table gives an empty result, an only
+document is its own next one. Parsing takes some 60 bytes a code point of a text, which is not cut into pieces.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -23,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_text
+from .common import map_text, quoted
 from .words import Powers, mix, span_hash
 
 FIRST, LAST, SIZE = 2, 6, 64
@@ -118,31 +123,47 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return map_text(docs, [id_col], text, kernel, [T.StructField("fingerprint", T.StringType())], BLOCK)
 
 
+#: Sampled rows of each range that ranges are cut by.
+SAMPLED = 64
+
+
 def neighbours(docs: DataFrame, id_col: str, text: str, parts: int) -> DataFrame:
-    """(id, text, ahead) dealt by ranges of ids and sorted within them, so that each row's next one follows it.
+    """(id, text, ahead) dealt by ranges of (id, hash of the text) and sorted within them, so that each row's next one follows it.
 
     Each range ends with the first row of the next range, or of all rows after the last one; there
-    `ahead` is true. Ties of the id go by text. Ranges come from approximate quantiles of the ids.
+    `ahead` is true. Ranges are cut by SAMPLED rows for each, those with the smallest hashes.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
-    cuts = np.array(sorted(set(cuts or [])), np.int64)
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType | T.StringType):
+        raise TypeError("ids are integers or strings")
+    texts = isinstance(kind, T.StringType)
+    none = "" if texts else -(1 << 63)
+    rows = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    key = F.coalesce(F.col("id"), F.lit(none)) if texts else F.coalesce(F.col("id").cast("long"), F.lit(none))
+    picked = rows.select(key.alias("k"), "h").orderBy(F.xxhash64("k", "h")).limit(SAMPLED * parts).collect() if parts > 1 else []
+    at = sorted(((r["k"].encode() if texts else r["k"]), r["h"]) for r in picked)
+    cuts = sorted({at[k * len(at) // parts] for k in range(1, parts)}) if at else []
+    cut_ids, cut_hashes = np.array([c for c, _ in cuts], object if texts else np.int64), [h for _, h in cuts]
 
     @F.pandas_udf(T.IntegerType())
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy()).astype(np.int32))
-
-    rows = rows.withColumn("part", place(F.coalesce(F.col("id"), F.lit(-(1 << 63))).cast("long")))
-    # Of each range the least id (null before others), then the least text with it: one row a range.
-    least = rows.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id")).alias("least"))
-    heads = rows.join(F.broadcast(least.select("part", F.col("least.id").alias("least"))), "part").where(F.col("id").eqNullSafe(F.col("least")))
-    heads = heads.groupBy("part").agg(F.min("id").alias("id"), F.min("text").alias("text")).orderBy("part")
-    have = [r["part"] for r in least.select("part").orderBy("part").collect()]
+    def place(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        own = np.array([x.encode() for x in ids], object) if texts else ids.to_numpy()
+        low, high = (np.searchsorted(cut_ids, own, side) for side in ("left", "right"))
+        for k in np.flatnonzero(low < high):  # an id that cuts: its rows go by their hashes
+            low[k] = bisect.bisect_right(cut_hashes, hashes.iloc[k], low[k], high[k])
+        return pd.Series(low.astype(np.int32))
+
+    rows = rows.withColumn("part", place(key, "h"))
+    # Of each range the least id (null before others) and hash, then the least text with them: one row a range.
+    least = rows.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "h")).alias("least"))
+    heads = rows.join(F.broadcast(least), "part").where(F.col("id").eqNullSafe(F.col("least.id")) & (F.col("h") == F.col("least.h")))
+    heads = heads.groupBy("part").agg(F.min("id").alias("id"), F.min("h").alias("h"), F.min("text").alias("text"))
+    have = sorted(r["part"] for r in least.select("part").collect())
     before = {p: have[k - 1] for k, p in enumerate(have)}  # the first range's head follows the last range
     follows = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0), F.lit(0))
-    heads = heads.select("id", "text", follows[F.col("part")].alias("part"))
+    heads = heads.select("id", "text", "h", follows[F.col("part")].alias("part"))
     both = rows.withColumn("ahead", F.lit(False)).unionByName(heads.withColumn("ahead", F.lit(True)))
-    return both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "ahead", "id", "text")
+    return both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "ahead", "id", "h", "text")
 
 
 def edited_query(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,7 +171,7 @@ def edited_query(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pw = Powers()
     schema = T.StructType([
-        T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()),
+        T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()),
         T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),
     ])
 
@@ -170,7 +191,7 @@ def edited_query(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         types = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
 
-    kind = pa.int64()
+    kind = to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []

@@ -12,17 +12,18 @@ documents), so neither a source nor a size is ever sorted in one task; offsets a
 hashes of a seed, so reruns agree.
 
 Null texts and those without words have size 0 and are laid out as the others. Repeated rows are
-documents of their own, in an order that doesn't matter as they are equal. An empty table gives an empty
-result.
+documents of their own, in an order that doesn't matter as they are equal (but for maps, which have no hash, in
+rows that differ in them only). Columns may have any name and type; all stay as they are. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hashable, quoted
 
 MOST = 3.0
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,46 +45,45 @@ def targets(sizes: list[tuple[str | None, int]], share: float = 1.0, most: float
     return out
 
 
-def lay_out(docs: DataFrame, share: float, most: float, source: str, text: str, seed: int) -> DataFrame:
-    """The rows of `docs` with __size, __source_size, __target and __copies.
+def lay_out(rows: DataFrame, share: float, most: float, seed: int) -> DataFrame:
+    """`rows` (source, size, order, ...) with source_size, target and copies.
 
-    What comes to the driver is one row for each source.
+    What comes to the driver is one row for each source, as the weights go round by the sources' order.
     """
-    names = docs.columns
-    rows = docs.withColumns({
-        "__key": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")),
-        "__size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)) if text in names else F.col("__words"), F.lit(0)).cast("long"),
-        "__order": F.xxhash64(F.lit(seed), *[F.col(c) for c in names]),
-    })
-    rows = rows.withColumn("__class", F.floor(4 * F.log2(F.col("__size") + 1)).cast("int"))
-    by_source = rows.groupBy(F.col(source).alias("s"), "__key").agg(F.sum("__size").alias("n"), F.count("*").alias("docs")).collect()
+    rows = rows.withColumns({"key": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")), "class": F.floor(4 * F.log2(F.col("size") + 1)).cast("int")})
+    by_source = rows.groupBy(F.col("source").cast("string").alias("s"), "key").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
     goal = targets([(r["s"], r["n"]) for r in by_source], share, most)
-    plan = docs.sparkSession.createDataFrame(
-        [(r["__key"], r["n"], r["docs"], float(goal[r["s"]]), goal[r["s"]] / r["n"] if r["n"] else 0.0) for r in by_source],
-        "__key string, __source_size long, __docs long, __target double, __rate double",
+    plan = rows.sparkSession.createDataFrame(
+        [(r["key"], r["n"], r["docs"], float(goal[r["s"]]), goal[r["s"]] / r["n"] if r["n"] else 0.0) for r in by_source],
+        "key string, source_size long, docs long, target double, rate double",
     )
-    rows = rows.join(F.broadcast(plan), "__key").withColumn("__salt", F.pmod(F.shiftright("__order", 20), F.ceil(F.sqrt("__docs") / 8)))
-    cell = ["__key", "__class", "__salt"]
-    before = F.sum("__n").over(W.partitionBy("__key").orderBy("__class", "__salt").rowsBetween(W.unboundedPreceding, -1))
-    cells = rows.groupBy(*cell).agg(F.count("*").alias("__n")).select(*cell, F.coalesce(before, F.lit(0)).alias("__before"))
-    ranked = rows.withColumn("__place", F.row_number().over(W.partitionBy(*cell).orderBy("__size", "__order"))).join(cells, cell)
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "__key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rank = F.col("__before") + F.col("__place")
-    crossed = F.floor(F.col("__rate") * rank + offset) - F.floor(F.col("__rate") * (rank - 1) + offset)
-    return ranked.withColumn("__copies", F.least(F.greatest(crossed, F.lit(0)), F.ceil("__rate")).cast("long"))
+    rows = rows.join(F.broadcast(plan), "key").withColumn("salt", F.pmod(F.shiftright("order", 20), F.ceil(F.sqrt("docs") / 8)))
+    cell = ["key", "class", "salt"]
+    before = F.sum("n").over(W.partitionBy("key").orderBy("class", "salt").rowsBetween(W.unboundedPreceding, -1))
+    cells = rows.groupBy(*cell).agg(F.count("*").alias("n")).select(*cell, F.coalesce(before, F.lit(0)).alias("before"))
+    ranked = rows.withColumn("place", F.row_number().over(W.partitionBy(*cell).orderBy("size", "order"))).join(cells, cell)
+    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rank = F.col("before") + F.col("place")
+    crossed = F.floor(F.col("rate") * rank + offset) - F.floor(F.col("rate") * (rank - 1) + offset)
+    return ranked.withColumn("copies", F.least(F.greatest(crossed, F.lit(0)), F.ceil("rate")).cast("long"))
+
+
+def sized(docs: DataFrame, source: str, text: str, seed: int) -> list[Column]:
+    """Source, size and order of rows; the order is of all columns that Spark can hash."""
+    return [quoted(source).alias("source"), F.coalesce(F.regexp_count(quoted(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), *hashable(docs)).alias("order")]
 
 
 def mix_plan(docs: DataFrame, keep: list[str], share: float = 1.0, most: float = MOST, source: str = "source", text: str = "text", seed: int = 17) -> DataFrame:
     """(keep, source, size, source_size, target, copies) of every document; texts are read once and not moved."""
-    slim = docs.select(*keep, F.col(source).alias("__source"), F.regexp_count(F.col(text), F.lit(WORD)).alias("__words"))
-    out = lay_out(cut(slim), share, most, "__source", text, seed)
-    return out.select(*keep, F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"))
+    slim = docs.select(F.struct(*[quoted(c) for c in keep]).alias("kept"), *sized(docs.select(*[quoted(c) for c in keep], quoted(source)), source, text, seed))
+    return lay_out(cut(slim), share, most, seed).select("kept.*", "source", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, share: float = 1.0, most: float = MOST, source: str = "source", text: str = "text", seed: int = 17) -> DataFrame:
     """The documents that the mix takes, with all their columns, each as often as it is taken."""
-    taken = lay_out(docs, share, most, source, text, seed).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.select(F.struct("*").alias("row"), *sized(docs, source, text, seed))
+    taken = lay_out(cut(named), share, most, seed).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:

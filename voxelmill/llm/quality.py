@@ -62,7 +62,7 @@ class QualityModel:
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         if len(off) < 2:
             return np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.features(data, off).astype(float) @ self.head + self.head_bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((self.features(data, off).astype(float) * self.head).sum(1) + self.head_bias, -30, 30)))
 
 
 def unfold(vectors: np.ndarray) -> np.ndarray:
