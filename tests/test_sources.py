@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelmill.sources import arrays, sinks
+from voxelmill.sources import arrays, sinks, store, zarr
+from voxelmill.sources import tiff as form
 from voxelmill.streaming import folders
 
 
@@ -35,10 +36,79 @@ def tiff(pages, end="<", deflate=False, big=False):
 @pytest.mark.parametrize(("end", "deflate", "big", "kind"), [("<", False, False, "u1"), (">", True, False, "u2"), ("<", True, True, "f4"), (">", False, True, "i4")])
 def test_tiff_round_trip(end, deflate, big, kind):
     pages = [np.random.default_rng(k).integers(0, 99, (4, 6)).astype(kind) for k in range(3)]
-    got = arrays.tiff_pages(tiff(pages, end, deflate, big))
+    data = tiff(pages, end, deflate, big)
+    read = lambda at, n: data[at : at + n]
+    got = [form.page_sample(read, p) for p in form.pages(read)]
     assert all((a == b).all() and a.dtype.itemsize == b.dtype.itemsize for a, b in zip(got, pages, strict=True))
 
 
+def test_tiles_samples_and_predictor():
+    """A tiled page of three samples with differences along rows, deflated and as Zstandard."""
+    zstandard = pytest.importorskip("zstandard")
+    image = np.random.default_rng(1).integers(0, 999, (5, 7, 3)).astype("<u2")
+    for code, pack in ((8, zlib.compress), (50000, zstandard.ZstdCompressor().compress), (1, bytes), (32773, lambda d: b"".join(bytes([0, x]) for x in d))):
+        tiles = []
+        for y in (0, 4):
+            for x in (0, 4):
+                t = np.zeros((4, 4, 3), "<u2")
+                part = image[y : y + 4, x : x + 4]
+                t[: part.shape[0], : part.shape[1]] = part
+                tiles.append(pack(np.diff(t, axis=1, prepend=np.zeros((4, 1, 3), "<u2")).astype("<u2").tobytes()))
+        data = b"".join(tiles)
+        at = np.cumsum([0] + [len(t) for t in tiles])
+        page = {"h": 5, "w": 7, "samples": 3, "planar": False, "compression": code, "predictor": 2, "dtype": "<u2", "th": 4, "tw": 4, "offsets": at[:-1].tolist(), "counts": np.diff(at).tolist()}
+        for k in range(3):
+            assert (form.page_sample(lambda o, n, data=data: data[o : o + n], page, k) == image[:, :, k]).all()
+
+
+def test_written_pages_are_read(tmp_path):
+    for text in ("", "x", "ImageJ=\nslices=3\n"):
+        pages = [np.random.default_rng(k).integers(0, 60000, (7, 9)).astype("u2") for k in range(3)]
+        with store.replacing(f"{tmp_path}/deep/a.tif") as out:
+            assert form.write_pages(out, iter(pages), text) == 3
+        with store.Ranges(f"{tmp_path}/deep/a.tif") as read:
+            found = list(form.pages(read))
+            assert found[0]["description"] == text and all((form.page_sample(read, p) == a).all() for p, a in zip(found, pages, strict=True))
+    assert store.names_in(f"{tmp_path}/deep") == ["a.tif"]
+
+
+def test_stacks_of_five_axes(spark, tmp_path):
+    """TIFF and Zarr, whole and one plane, with chunks of several planes and levels, as written elsewhere."""
+    stack = np.arange(2 * 3 * 2 * 5 * 6).reshape(2, 3, 2, 5, 6)
+    rows = [("img", t, c, z, 5, 6, stack[t, c, z].ravel().astype(float).tolist()) for t, c, z in np.ndindex(2, 3, 2)]
+    df = spark.createDataFrame(rows, "path string, t int, c int, z int, h int, w int, data array<double>")
+    same = lambda got: {(r["t"], r["c"], r["z"]): r["data"] for r in got.collect()} == {(r[1], r[2], r[3]): r[6] for r in rows}
+    assert [tuple(r) for r in sinks.write_images(df, f"{tmp_path}/t").collect()] == [(f"{tmp_path}/t/img.tif", 12)]
+    assert same(arrays.read_planes(spark, f"{tmp_path}/t"))
+    one = arrays.plane_plan(spark, f"{tmp_path}/t").where("t = 1 AND c = 2 AND z = 0")
+    assert arrays.load_planes(one).first()["data"] == rows[10][6]
+    np.save(tmp_path / "back.npy", np.asfortranarray(stack[0, 0]))
+    assert [r["data"] for r in arrays.read_planes(spark, str(tmp_path), (".npy",), recursive=False).orderBy("z").collect()] == [rows[0][6], rows[1][6]]
+    assert zarr.write_zarr(df, f"{tmp_path}/z", dtype="uint16", chunk=4).first()["planes"] == 12
+    assert same(zarr.read_zarr(spark, f"{tmp_path}/z")) and zarr.chunk_plan(spark, [f"{tmp_path}/z/img.zarr"]).count() == 12
+    # Version 3, chunks of two planes, gzip, one chunk missing: its pixels are the fill value.
+    import gzip
+    import json
+
+    image = tmp_path / "three.zarr"
+    (image / "0").mkdir(parents=True)
+    (image / "zarr.json").write_text(json.dumps({"zarr_format": 3, "node_type": "group", "attributes": {"ome": {"multiscales": [{"axes": [{"name": a} for a in "zyx"], "datasets": [{"path": "0"}]}]}}}))
+    coding = {"zarr_format": 3, "node_type": "array", "shape": [3, 5, 6], "data_type": "int32", "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [2, 4, 4]}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}},
+              "fill_value": 9, "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "gzip", "configuration": {"level": 1}}]}
+    (image / "0" / "zarr.json").write_text(json.dumps(coding))
+    want = np.arange(90).reshape(3, 5, 6)
+    for z, y, x in np.ndindex(2, 2, 2):
+        full = np.zeros((2, 4, 4), "<i4")
+        part = want[2 * z : 2 * z + 2, 4 * y : 4 * y + 4, 4 * x : 4 * x + 4]
+        full[: part.shape[0], : part.shape[1], : part.shape[2]] = part
+        if (z, y, x) != (1, 1, 1):
+            (image / "0" / "c" / str(z) / str(y)).mkdir(parents=True, exist_ok=True)
+            (image / "0" / "c" / str(z) / str(y) / str(x)).write_bytes(gzip.compress(full.tobytes()))
+    want[2, 4, 4:] = 9
+    got = zarr.read_zarr(spark, str(image)).orderBy("z").collect()
+    assert [r["data"] for r in got] == [p.ravel().tolist() for p in want] and got[0]["dtype"] == "int32"
+
+
 def test_read_planes(spark, tmp_path):
     stack = np.arange(2 * 3 * 4).reshape(2, 3, 4).astype("u2")
     np.save(tmp_path / "a.npy", stack)
@@ -54,7 +124,7 @@ def test_read_planes(spark, tmp_path):
     report = {r["path"].rsplit("/", 1)[1]: r["status"] for r in arrays.conversion_report(spark, str(tmp_path), planes).collect()}
     assert report == {"a.npy": "success", "b.tif": "success", "bad.tif": "failed", "notes.txt": "skipped"}
     assert {r["t"] for r in arrays.read_planes(spark, str(tmp_path), (".npy",), axes="TYX").collect()} == {0, 1}
-    with pytest.raises(Exception, match="strips|unpack|bytes|buffer"):
+    with pytest.raises(Exception, match="TIFF|strips|unpack|bytes|buffer"):
         arrays.read_planes(spark, str(tmp_path)).collect()
 
 

@@ -1,13 +1,13 @@
 """Pixels, labels and planes.
 
 `pixels` and `labels` are rows of coordinates and a value; a label image leaves its background out. `planes`
-hold one YX plane a row, its values in one array in row order, and are what neighbourhoods work on: no row
-moves, as a plane is all that a plane's stencil needs. Operators take the loop axes as `block` columns.
+hold one YX plane a row, its values in one array in row order, and are what neighbourhoods work on: see
+`functions.planes`. Operators take the loop axes as `block` columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,54 +16,11 @@ YX = ["y", "x"]
 ZYX = ["z", "y", "x"]
 
 
-def reflect(i: Column, n: Column) -> Column:
-    """The index inside 0..n-1 that index i has in an array mirrored at its edges, edge values doubled."""
-    m = F.pmod(i, 2 * n)
-    return F.least(m, 2 * n - 1 - m)
-
-
-def to_planes(pixels: DataFrame, block: Sequence[str], h: int, w: int, value: str = "v") -> DataFrame:
-    """(block, h, w, data) of dense or sparse pixels; a missing pixel is 0. A plane's rows meet in one task."""
-    held = F.map_from_entries(F.collect_list(F.struct((F.col("y") * w + F.col("x")).cast("int").alias("k"), F.col(value).cast("double").alias("v"))))
-    data = F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return pixels.groupBy(*block).agg(held.alias("m")).select(*block, F.lit(h).alias("h"), F.lit(w).alias("w"), data.alias("data"))
-
-
 def to_pixels(planes: DataFrame, block: Sequence[str], value: str = "v") -> DataFrame:
     out = planes.select(*block, "w", F.posexplode("data").alias("p", value))
     return out.select(*block, F.floor(F.col("p") / F.col("w")).cast("int").alias("y"), (F.col("p") % F.col("w")).alias("x"), value)
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with the value computed once, however often f looks at it inside a lambda."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-def over_plane(f: Callable[[Column, Column, Column, Column], Column], data: str | Column = "data") -> Column:
-    """The plane whose pixel (y, x) is f(data, i, y, x)."""
-    w = F.col("w")
-    return let(F.col(data) if isinstance(data, str) else data, lambda d: F.transform(F.sequence(F.lit(0), F.col("h") * w - 1), lambda i: f(d, i, F.floor(i / w).cast("int"), i % w)))
-
-
-def inside(y: Column, x: Column) -> Column:
-    return (y >= 0) & (y < F.col("h")) & (x >= 0) & (x < F.col("w"))
-
-
-def mirrored(data: Column, y: Column, x: Column) -> Column:
-    """The value at (y, x), beyond the edges of its mirror image."""
-    return F.get(data, (reflect(y, F.col("h")) * F.col("w") + reflect(x, F.col("w"))).cast("int"))
-
-
-def padded(data: Column, y: Column, x: Column, fill: float = 0.0) -> Column:
-    """The value at (y, x), beyond the edges `fill`."""
-    return F.when(inside(y, x), F.get(data, (y * F.col("w") + x).cast("int"))).otherwise(F.lit(fill))
-
-
-def ring(radius: int = 1, centre: bool = False) -> list[tuple[int, int]]:
-    r = range(-radius, radius + 1)
-    return [(dy, dx) for dy in r for dx in r if centre or dy or dx]
-
-
 def beside(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
     """`df` with statistics of each key's rows: partial sums and a join, so no key's rows meet in one task."""
     if not keys:

@@ -51,12 +51,21 @@ def coloc_intensity(grid: DataFrame, block: Sequence[str], c1: str = "c1", value
 
 def coloc_three_channel(grid: DataFrame, block: Sequence[str], c1: str = "c1", c2: str = "c2", c3: str = "c3", value: str | None = None) -> DataFrame:
     """Objects of c3, or intensities, inside and outside of c2 within each region of c1."""
-    in2 = F.col(c2) != 0
+    in2, there = F.col(c2) != 0, grid.where(F.col(c1) != 0)
     if value:
         out = [*stats(F.col(value), in2, "ch3_in_ch2_in_ch1"), *stats(F.col(value), ~in2, "ch3_not_in_ch2_but_in_ch1")]
     else:
+        there = there.select(*block, c1, c2, c3).distinct()  # voxels by their labels, before three distinct counts multiply them
         out = [distinct_where(F.col(c3), in2).alias("ch3_in_ch2_in_ch1_count"), distinct_where(F.col(c3), ~in2).alias("ch3_not_in_ch2_but_in_ch1_count")]
-    return grid.where(F.col(c1) != 0).groupBy(*block, c1).agg(distinct_where(F.col(c2), F.lit(True)).alias("ch2_in_ch1_count"), *out)
+    return there.groupBy(*block, c1).agg(distinct_where(F.col(c2), F.lit(True)).alias("ch2_in_ch1_count"), *out)
+
+
+def coloc_intensity_third(grid: DataFrame, block: Sequence[str], c1: str = "c1", c2_value: str = "v", c3: str | None = None, c3_value: str | None = None) -> DataFrame:
+    """Intensities of the second channel in each region of c1, with the objects of c3 there and their size, or its intensities."""
+    if (c3 is None) == (c3_value is None):
+        raise ValueError("the third channel is labels or intensities")
+    third = stats(F.col(c3_value), F.lit(True), "ch3_in_ch1") if c3_value else [distinct_where(F.col(c3), F.lit(True)).alias("ch3_in_ch1_count"), F.count_if(F.col(c3) != 0).alias("ch3_in_ch1_size")]
+    return grid.where(F.col(c1) != 0).groupBy(*block, c1).agg(*stats(F.col(c2_value), F.lit(True), "ch2_in_ch1"), *third)
 
 
 def shares(positive: Column) -> list[Column]:

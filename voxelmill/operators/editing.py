@@ -25,8 +25,14 @@ def squared_distance(mask: np.ndarray) -> np.ndarray:
         step = -1 if order.step == 1 else 1
         for y in order:
             column[y] = np.minimum(column[y], column[y + step] + 1)
-    across = (np.arange(w)[:, None] - np.arange(w)) ** 2
-    return (column[:, None, :] ** 2 + across[None]).min(2)
+    out = column**2
+    up = out.copy()
+    for d in range(1, w):  # columns d to the left and right, until none can be nearer
+        if d * d >= out.max():
+            break
+        out[:, d:] = np.minimum(out[:, d:], up[:, :-d] + d * d)
+        out[:, :-d] = np.minimum(out[:, :-d], up[:, d:] + d * d)
+    return out
 
 
 def flood(height: np.ndarray, mask: np.ndarray, seeds: list[tuple[int, int]]) -> np.ndarray:
@@ -115,9 +121,19 @@ def constrained(region: np.ndarray, seed: np.ndarray, free: np.ndarray, most: fl
 
 
 def constrain_regions(drawn: DataFrame, block: Sequence[str], max_px: float = 0, smooth_px: float = 0) -> DataFrame:
-    """(block, y, x) of the constrained region of each block of (block, y, x, region, seed, free)."""
+    """(block, y, x) of the constrained region of each block of (block, y, x, region, seed, free).
+
+    A task gets what lies in the box of the block's region and seed, with a margin that smoothing can reach.
+    """
     block = list(block)
     schema = drawn.select(*block, "y", "x").schema
+    margin = 2 * round(max(0, smooth_px)) + 1
+    ends = {f"__{f}{a}": getattr(F, f)(a) for f in ("min", "max") for a in "yx"}
+    box = drawn.where("region OR seed").groupBy(*block).agg(*[c.alias(n) for n, c in ends.items()])
+    near = F.lit(True)
+    for a in "yx":
+        near = near & F.col(a).between(F.col(f"__min{a}") - margin, F.col(f"__max{a}") + margin)
+    drawn = drawn.join(box, block).where(near).select(drawn.columns)
 
     def constrain(rows: pd.DataFrame) -> pd.DataFrame:
         at = rows[["y", "x"]].to_numpy()

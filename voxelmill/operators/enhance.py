@@ -6,88 +6,87 @@ compared with it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.grid import beside
+from ..functions.grid import to_pixels
+from ..functions.planes import neighbours, on_planes, over_volumes, to_planes
 from ..plans.registry import register
 
 
-def on_planes(planes: DataFrame, f: Callable[[np.ndarray], np.ndarray], resized: bool = False) -> DataFrame:
-    """`planes` with each plane's data, as a matrix, through a numpy function; one plane is in memory at a time."""
-
-    @F.pandas_udf("struct<h: int, w: int, data: array<double>>")
-    def run(h: pd.Series, w: pd.Series, data: pd.Series) -> pd.DataFrame:
-        out = [f(np.asarray(d, float).reshape(a, b)) for a, b, d in zip(h, w, data, strict=True)]
-        return pd.DataFrame({"h": [o.shape[0] for o in out], "w": [o.shape[1] for o in out], "data": [o.ravel() for o in out]})
-
-    made = planes.withColumn("__made", run("h", "w", "data"))
-    return made.withColumns({c: F.col(f"__made.{c}") for c in ("h", "w", "data")}).drop("__made")
-
-
 def tile_size(h: int, w: int, kernel_size: int = 0) -> int:
     """The side of a tile: as given or an eighth of the shorter side within 16..128, made odd."""
     k = kernel_size or min(128, max(16, min(h, w) // 8))
     return k + (k % 2 == 0)
 
 
+def equalised(plane: np.ndarray, k: int, clip_limit: float, top: int, bins: int) -> np.ndarray:
+    """One plane by tiles of side k; see `clahe`."""
+    (h, w), low, high = plane.shape, plane.min(), plane.max()
+    ny, nx = -(-h // k), -(-w // k)
+    level = np.floor((plane - low) / (high - low) * (bins - 1)).astype(np.int64) if high > low else np.zeros(plane.shape, np.int64)
+    ty, tx = np.arange(h) // k, np.arange(w) // k
+    hist = np.bincount(((ty[:, None] * nx + tx) * bins + level).ravel(), minlength=ny * nx * bins).reshape(ny, nx, bins)
+    total = hist.sum(-1, keepdims=True)
+    limit = np.maximum(1.0, clip_limit * total)
+    over = np.maximum(hist - limit, 0).sum(-1, keepdims=True)
+    below = (np.cumsum(np.minimum(hist, limit), -1) + np.arange(1, bins + 1) * over / bins) / total
+    fy, fx = (np.clip((np.arange(n) - (k - 1) / 2) / k, 0, m - 1) for n, m in ((h, ny), (w, nx)))
+    out = np.zeros(plane.shape)
+    for a in (0, 1):
+        for b in (0, 1):
+            cy, cx = np.floor(fy).astype(int), np.floor(fx).astype(int)
+            share = np.outer(fy - cy if a else 1 - (fy - cy), fx - cx if b else 1 - (fx - cx))
+            out += share * below[np.minimum(cy + a, ny - 1)[:, None], np.minimum(cx + b, nx - 1), level]
+    return np.floor(np.minimum(1.0, out) * top + 1e-9)
+
+
+def clahe_planes(planes: DataFrame, clip_limit: float = 0.01, kernel_size: int = 0, top: int = 255, bins: int = 256) -> DataFrame:
+    """`clahe` of `planes`; a task holds a plane and the histograms of its tiles."""
+    return on_planes(planes, lambda s: np.stack([equalised(p, tile_size(*p.shape, kernel_size), clip_limit, top, bins) for p in s]))
+
+
 @register("CLAHE (Adaptive Histogram Equalization)", "_clahe")
 def clahe(pixels: DataFrame, h: int, w: int, block: Sequence[str] = ("image_id",), clip_limit: float = 0.01, kernel_size: int = 0, value: str = "v", top: int = 255, bins: int = 256) -> DataFrame:
     """Contrast-limited equalisation of dense planes by tiles, truncated to 0..top.
 
     A tile's histogram is cut at the limit and what is over is spread evenly; a pixel gets the mean of the
-    cumulative histograms of the four tiles around it, weighed by nearness. Tiles are rows, so a plane of
-    any size is spread over tasks.
+    cumulative histograms of the four tiles around it, weighed by nearness.
     """
-    block, k = list(block), tile_size(h, w, kernel_size)
-    ny, nx = -(-h // k), -(-w // k)
-    wide = beside(pixels, block, __lo=F.min(value), __hi=F.max(value))
-    level = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (bins - 1))).otherwise(0).cast("int")
-    flat = wide.withColumns({"__bin": level, "__ty": F.floor(F.col("y") / k).cast("int"), "__tx": F.floor(F.col("x") / k).cast("int")}).drop("__lo", "__hi")
-    tile = [*block, "__ty", "__tx"]
-    hist = beside(flat.groupBy(*tile, "__bin").agg(F.count("*").alias("n")), tile, total=F.sum("n"))
-    limit = F.greatest(F.lit(1.0), clip_limit * F.col("total"))
-    upto = F.sum(F.least(F.col("n"), limit)).over(W.partitionBy(*tile).orderBy("__bin").rowsBetween(W.unboundedPreceding, 0))
-    over = F.greatest(F.col("n") - limit, F.lit(0.0))
-    steps = hist.select(*tile, "total", over.alias("over"), F.struct(F.col("__bin").alias("bin"), upto.alias("upto")).alias("step"))
-    cdf = steps.groupBy(*tile).agg(F.first("total").alias("total"), F.sum("over").alias("over"), F.array_sort(F.collect_list("step")).alias("steps"))
-    place = lambda c, n: F.least(F.lit(n - 1.0), F.greatest(F.lit(0.0), (F.col(c) - (k - 1) / 2) / k))
-    near = flat.drop("__ty", "__tx").withColumns({"__fy": place("y", ny), "__fx": place("x", nx)})
-    corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
-    ty, tx = F.floor("__fy").cast("int"), F.floor("__fx").cast("int")
-    four = near.withColumn("__c", F.explode(corners))
-    share = lambda f, t, d: F.when(F.col(d) == 1, f - t).otherwise(1 - (f - t))
-    four = four.withColumns({"__wt": share(F.col("__fy"), ty, "__c.a") * share(F.col("__fx"), tx, "__c.b"), "__ty": F.least(ty + F.col("__c.a"), F.lit(ny - 1)), "__tx": F.least(tx + F.col("__c.b"), F.lit(nx - 1))})
-    below = F.coalesce(F.try_element_at(F.filter("steps", lambda s: s["bin"] <= F.col("__bin")), F.lit(-1))["upto"], F.lit(0.0))
-    share_below = (below + (F.col("__bin") + 1) * F.col("over") / bins) / F.col("total")
-    mixed = four.join(cdf, tile).groupBy(*block, "y", "x").agg(F.sum(F.col("__wt") * share_below).alias("s"))
-    return mixed.select(*block, "y", "x", F.floor(F.least(F.lit(1.0), F.col("s")) * top + 1e-9).cast("int").alias(value))
-
-
-def shifted_least(plane: np.ndarray, heights: dict[tuple[int, int], float]) -> np.ndarray:
-    """At each pixel the least of the values around it plus their heights; beyond the edges is nothing."""
-    r = max(max(abs(a), abs(b)) for a, b in heights)
-    wide = np.pad(plane, r, constant_values=np.inf)
-    h, w = plane.shape
-    out = np.full(plane.shape, np.inf)
-    for (dy, dx), up in heights.items():
-        np.minimum(out, wide[r + dy : r + dy + h, r + dx : r + dx + w] + up, out=out)
-    return out
+    out = to_pixels(clahe_planes(to_planes(pixels, block, h, w, value), clip_limit, kernel_size, top, bins), block, value)
+    return out.withColumn(value, F.col(value).cast("int"))
+
+
+def ball(radius: int, axes: int) -> dict[tuple[int, ...], float]:
+    """How much lower than its top the surface of a ball is at each offset."""
+    steps = np.stack(np.meshgrid(*[np.arange(-radius, radius + 1)] * axes, indexing="ij"), -1).reshape(-1, axes)
+    far = (steps**2).sum(1)
+    return {tuple(o.tolist()): float(radius - np.sqrt(radius * radius - d)) for o, d in zip(steps, far, strict=True) if d <= radius * radius}
+
+
+def above_ball(stack: np.ndarray, heights: dict[tuple[int, ...], float]) -> np.ndarray:
+    """Values minus the least of those around them plus the ball's heights, at least 0; beyond the edges is nothing."""
+    under = np.full(stack.shape, np.inf)
+    for near, up in zip(neighbours(stack, list(heights), np.inf), heights.values(), strict=True):
+        np.minimum(under, near + up, out=under)
+    return np.maximum(stack - under, 0)
 
 
 @register("Rolling Ball Background Subtraction", "_rollingball")
-def rolling_ball(planes: DataFrame, radius: int = 50) -> DataFrame:
-    """v minus the background that a ball rolled below the surface reaches, at least 0."""
-    r = range(-radius, radius + 1)
-    heights = {(a, b): float(radius - np.sqrt(radius * radius - a * a - b * b)) for a in r for b in r if a * a + b * b <= radius * radius}
-    return on_planes(planes, lambda p: np.maximum(p - shifted_least(p, heights), 0))
+def rolling_ball(planes: DataFrame, radius: int = 50, volume: Sequence[str] | None = None) -> DataFrame:
+    """v minus the background that a ball rolled below the surface reaches, at least 0: of planes, or with `volume`, the columns that tell volumes apart, a ball of three axes."""
+    if volume is None:
+        heights = ball(radius, 2)
+        return on_planes(planes, lambda s: above_ball(s, heights))
+    heights = ball(radius, 3)
+    return over_volumes(planes, volume, lambda v: above_ball(v, heights), radius)
 
 
+@lru_cache(maxsize=64)
 def resize_weights(n: int, scale: float) -> np.ndarray:
     """(target, source) weights of linear resizing of an axis, after a Gaussian if it shrinks; mirrored at the edge pixels."""
     new = max(1, round(n * scale))
@@ -117,8 +116,8 @@ def resize_yx(planes: DataFrame, scale_factor: float = 0.5, integer: bool = True
     if scale_factor <= 0:
         raise ValueError("a scale factor is above 0")
 
-    def resize(p: np.ndarray) -> np.ndarray:
-        out = resize_weights(p.shape[0], scale_factor) @ p @ resize_weights(p.shape[1], scale_factor).T
-        return np.floor(out + 1e-9) if integer else out
+    def resize(s: np.ndarray) -> np.ndarray:
+        out = resize_weights(s.shape[1], scale_factor) @ s @ resize_weights(s.shape[2], scale_factor).T
+        return np.trunc(out + np.copysign(1e-9, out)) if integer else out
 
     return on_planes(planes, resize)

@@ -44,13 +44,24 @@ def grid_place(images: DataFrame, key: str = "image_id", columns: int | None = N
     return ranked.select(key, F.floor(F.col("rank") / columns).cast("int").alias("row"), (F.col("rank") % columns).cast("int").alias("column"))
 
 
-@register("Grid View: Intensity + Labels Overlay", "_grid_overlay")
 def grid_mosaic(pixels: DataFrame, h: int, w: int, key: str = "image_id", columns: int | None = None) -> DataFrame:
     """Images of h x w, their coordinates moved to their places in the mosaic; other columns stay."""
     placed = pixels.join(grid_place(pixels, key, columns), key)
     return placed.withColumns({"y": F.col("row") * h + F.col("y"), "x": F.col("column") * w + F.col("x")}).drop("row", "column", key)
 
 
+@register("Grid View: Intensity + Labels Overlay", "_grid_overlay")
+def grid_overlay(pixels: DataFrame, h: int, w: int, key: str = "image_id", most: int = 512, opacity: float = 0.6, columns: int | None = None, value: str = "v", label: str = "label") -> DataFrame:
+    """(y, x, r, g, b) of one mosaic: the images of h x w, projected along z if they have it, made smaller, and overlaid with their labels.
+
+    Images beyond `most` pixels a side keep every n-th pixel; the projection takes the largest value and label.
+    """
+    flat = pixels.groupBy(key, "y", "x").agg(F.max(value).alias(value), F.max(label).alias(label)) if "z" in pixels.columns else pixels.select(key, "y", "x", value, label)
+    n = max(1, -(-max(h, w) // most))
+    small = flat.where((F.col("y") % n == 0) & (F.col("x") % n == 0)).withColumns({a: F.floor(F.col(a) / n).cast("int") for a in "yx"})
+    return grid_mosaic(overlay_blend(small, [key], opacity, value, label), -(-h // n), -(-w // n), key, columns)
+
+
 def display_window(pixels: DataFrame, block: Sequence[str] = ("image_id",), value: str = "v") -> DataFrame:
     """(block, min, max, start, end): start at the 0.5th percentile, end at the maximum but at most ten times the 99th."""
     stats = pixels.groupBy(*block).agg(F.min(value).cast("long").alias("min"), F.max(value).cast("long").alias("max"), F.floor(F.percentile(value, 0.005)).cast("long").alias("start"), F.floor(F.percentile(value, 0.99)).cast("long").alias("__p"))
@@ -88,7 +99,7 @@ def model_input(width: int, height: int, megapixels: float = 2.0) -> float:
 
 
 @register("Compress with Zstandard", "_compressed")
-def compress(df: DataFrame, path: str = "", compression_level: int = 3) -> DataFrame:
+def compress(df: DataFrame, path: str, compression_level: int = 3) -> DataFrame:
     """Writes Parquet with Zstandard and returns what was written."""
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(compression_level)).mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -6,9 +6,12 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.graph import Scratch, connected
 from ..functions.grid import beside
 from ..plans.registry import register
 
@@ -81,10 +84,18 @@ def clustering_stats(labels: DataFrame, block: Sequence[str] = ("image_id",), n_
     return wide.select(*block, label, "mean", "size", cluster.alias("cluster"), (F.col("threshold").isNull() | (F.col("mean") >= F.col("threshold"))).alias("kept"))
 
 
+#: Replacements up to which a map is written into the plan.
+LITERAL = 100
+
+
 def relabel(labels: DataFrame, mapping: dict[int, int], t: int | None = None, label: str = "label") -> DataFrame:
     """All replacements of a map at once, in all frames or in one; 0 deletes."""
     if not mapping:
         return labels
+    if len(mapping) > LITERAL:  # a long log of edits is a table; it came from the driver, so it is small enough to be sent to all
+        rows = labels.sparkSession.createDataFrame(list(mapping.items()), "__old long, __new long")
+        met = labels.join(F.broadcast(rows), (F.col(label) == F.col("__old")) & (F.lit(True) if t is None else F.col("t") == t), "left")
+        return met.withColumn(label, F.coalesce(F.col("__new").cast(labels.schema[label].dataType), F.col(label))).drop("__old", "__new")
     table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
     new = F.coalesce(table[F.col(label)], F.col(label))
     return labels.withColumn(label, new if t is None else F.when(F.col("t") == t, new).otherwise(F.col(label)))
@@ -141,45 +152,75 @@ def merge_neighbors(labels: DataFrame, target: int, block: Sequence[str], axes:
     return labels.join(near, [*block, label], "left").withColumn(label, F.when(F.col("__near"), target).otherwise(F.col(label))).drop("__near")
 
 
-def merge_plane(plane: np.ndarray, min_size: int) -> np.ndarray:
-    """Small labels of a block into the neighbour they touch most, ids in order, each seeing what those before it did."""
-    out = plane.copy()
-    neighbours = [o for o in np.ndindex(*[3] * out.ndim) if any(d != 1 for d in o)]
-    for _ in range(50):
-        ids, sizes = np.unique(out[out != 0], return_counts=True)
-        small = set(ids[sizes < min_size].tolist())
-        if not small:
+def merge_cluster(at: np.ndarray, ids: np.ndarray, small: np.ndarray, min_size: int, passes: int = 50) -> np.ndarray:
+    """New ids of labelled pixels `at`, of which those with `small` belong to labels that may move.
+
+    A pass takes labels that are small at its beginning in order of their ids, with the boxes that they have then. One
+    moves what it has of its box and the ring around that to the label of most pixels in the ring around those
+    pixels, if it can to one that is not small; of equals to the smallest id; without any to 0.
+    """
+    axes, low = at.shape[1], at.min(0) - 1
+    grid = np.zeros(at.max(0) - low + 2, np.int64)
+    inside = tuple((at - low).T)
+    grid[inside] = ids
+    movable = set(ids[small].tolist())
+    for _ in range(passes):
+        now = grid[inside]
+        names, back, sizes = np.unique(now, return_inverse=True, return_counts=True)
+        tiny = {int(n) for n, k in zip(names, sizes, strict=True) if n and k < min_size and int(n) in movable}
+        if not tiny:
             break
-        for i in sorted(small):
-            own = np.argwhere(out == i)
-            ring = {tuple(p) for o in neighbours for p in own + np.array(o) - 1}
-            seen = [out[p] for p in ring if all(0 <= a < n for a, n in zip(p, out.shape, strict=True)) and out[p] not in (0, i)]
-            large = [x for x in seen if x not in small] or seen
-            names, counts = np.unique(large, return_counts=True)
-            out[tuple(own.T)] = names[counts.argmax()] if len(names) else 0
-    return out
+        spans = {}
+        for k in np.flatnonzero([int(n) in tiny for n in names]):
+            own = np.stack(inside, 1)[back == k]
+            spans[int(names[k])] = tuple(slice(a - 1, z + 2) for a, z in zip(own.min(0), own.max(0), strict=True))
+        for name in sorted(tiny):
+            window = grid[spans[name]]
+            mine = window == name
+            near = mine
+            for axis in range(axes):
+                wide = np.pad(near, [(1, 1) if k == axis else (0, 0) for k in range(axes)])
+                take = lambda lo, axis=axis, wide=wide, n=near.shape[axis]: np.take(wide, range(lo, lo + n), axis)
+                near = take(0) | take(1) | take(2)
+            met = window[near & ~mine & (window != 0)]
+            large = met[~np.isin(met, list(tiny))]
+            choice, count = np.unique(large if len(large) else met, return_counts=True)
+            window[mine] = choice[count.argmax()] if len(choice) else 0
+    return grid[inside]
 
 
 @register("Merge Small Labels to Neighbors", "_merged")
 def merge_small_labels(labels: DataFrame, block: Sequence[str] = ("image_id",), axes: Sequence[str] = ("y", "x"), min_size: int = 100, label: str = "label") -> DataFrame:
     """Labels of fewer than `min_size` pixels become the neighbour they touch most, large ones first; without neighbours, 0.
 
-    The result depends on the order of the labels, so a block's labelled pixels are dealt with together.
-    Blocks without a small label, most of them, are told by an aggregate and left as they are.
+    What a small label becomes depends on the order of the small labels that hang together with it, and on the pixels
+    around those. So each such cluster and its ring go to a task, not their image; all other pixels stay where they are.
     """
     block, axes = list(block), list(axes)
+    scratch = Scratch(labels.sparkSession)
     there = labels.where(F.col(label) != 0).select(*block, *axes, F.col(label).cast("long").alias(label))
-    touched = there.groupBy(*block, label).agg(F.count("*").alias("__n")).where(F.col("__n") < min_size).select(*block).distinct()
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        at = rows[axes].to_numpy()
-        low = at.min(0)
-        plane = np.zeros(at.max(0) - low + 1, np.int64)
-        plane[tuple((at - low).T)] = rows[label]
-        return rows.assign(**{label: merge_plane(plane, min_size)[tuple((at - low).T)]}).query(f"{label} != 0")
-
-    merged = there.join(touched, block, "left_semi").groupBy(*block).applyInPandas(merge, there.schema)
-    return there.join(touched, block, "left_anti").unionByName(merged)
+    sizes = there.groupBy(*block, label).agg(F.count("*").alias("__n"))
+    marked = scratch.cut(there.join(sizes, [*block, label]).withColumn("__small", F.col("__n") < min_size).drop("__n"))
+    small = marked.where("__small").drop("__small")
+    # Pixels that touch small ones: small ones link their labels, large ones are the ring.
+    steps = F.array(*[F.struct(*[F.lit(d).alias(a) for a, d in zip(axes, o, strict=True)]) for o in np.ndindex(*[3] * len(axes))])
+    sent = small.withColumn("__o", F.explode(steps)).select(*block, *[(F.col(a) + F.col(f"__o.{a}") - 1).alias(a) for a in axes], F.col(label).alias("__from")).distinct()
+    met = scratch.cut(marked.join(sent, [*block, *axes]))
+    node = lambda c: F.struct(*block, F.col(c).alias("__label"))
+    clusters = connected(met.where("__small").select(node("__from").alias("a"), node(label).alias("b")))
+    cluster = clusters.select(*[F.col(f"node.{b}").alias(b) for b in block], F.col("node.__label").alias("__from"), F.col("label.__label").alias("__cluster"))
+    own = met.join(cluster, [*block, "__from"]).select(*block, *axes, label, "__small", "__cluster").distinct()
+    schema = T.StructType([*[there.schema[c] for c in [*block, *axes]], T.StructField(label, T.LongType())])
+
+    def merge(table: pa.Table) -> pa.Table:
+        is_small = table.column("__small").to_numpy()
+        at = np.stack([table.column(a).to_numpy().astype(np.int64) for a in axes], 1)
+        new = merge_cluster(at, table.column(label).to_numpy(), is_small, min_size)
+        kept = table.filter(pa.array(is_small)).select([*block, *axes])
+        return kept.append_column(label, pa.array(new[is_small])).filter(pa.array(new[is_small] != 0))
+
+    merged = own.groupBy(*block, "__cluster").applyInArrow(merge, schema)
+    return marked.where("NOT __small").select(*block, *axes, label).unionByName(merged)
 
 
 def small_component_filter(components: DataFrame, block: Sequence[str], fraction: float, label: str = "label") -> DataFrame:

@@ -11,37 +11,44 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.planes import on_planes
 from ..plans.registry import register
 from .components import semantic_to_instance
-from .enhance import on_planes
 from .inspection import clip_to_mask
 
 
 @register("Denoise with a Model", "_denoised")
 def predict_planes(planes: DataFrame, model: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Each plane through a model that returns a plane of any size."""
-    return on_planes(planes, model)
+    return on_planes(planes, lambda s: np.stack([model(p) for p in s]))
 
 
 @register("Virtual Staining with a Model", "_virtual_stain")
 def predict_stacks(planes: DataFrame, block: Sequence[str], model: Callable[[np.ndarray], np.ndarray], depth: int = 15) -> DataFrame:
-    """Planes (block, z, h, w, data) in batches of `depth` along z through a model of volumes; the last may be shallower.
+    """Planes (block, z, h, w, data), z from 0, in batches of `depth` along z through a model of volumes.
 
-    Volumes of fewer planes than `depth` are refused.
+    The last batch begins early enough to be as deep as the others; of its planes those that the batch before has are
+    dropped. Volumes of fewer planes than `depth` are refused.
     """
     block = list(block)
-    shallow = planes.groupBy(*block).agg(F.count("*").alias("n")).where(F.col("n") < depth)
-    if not shallow.isEmpty():
+    deep = planes.groupBy(*block).agg(F.count("*").cast("int").alias("__n"))
+    if not deep.where(F.col("__n") < depth).isEmpty():
         raise ValueError(f"the model takes volumes of {depth} planes or more")
+    out_schema = planes.schema
 
     def run(rows):
         rows = rows.sort_values("z")
         shape = (len(rows), int(rows["h"].iloc[0]), int(rows["w"].iloc[0]))
         out = model(np.stack(rows["data"].to_numpy()).reshape(shape))
-        return rows.assign(data=[p.ravel().astype(float) for p in out]).drop(columns="__batch")
-
-    batched = planes.withColumn("__batch", F.floor(F.col("z") / depth))
-    return batched.groupBy(*block, "__batch").applyInPandas(run, planes.schema)
+        made = rows.assign(data=[p.ravel().astype(float) for p in out])
+        return made[made["z"] >= made["__batch"] * depth].drop(columns=["__batch"])
+
+    n, z = F.col("__n"), F.col("z")
+    last = F.floor((n - 1) / depth)
+    # A plane is in its own batch and, near the end, in the last one, which begins at n - depth.
+    batches = F.when((F.floor(z / depth) < last) & (z >= n - depth), F.array(F.floor(z / depth), last)).otherwise(F.array(F.floor(z / depth)))
+    batched = planes.join(deep, block).withColumn("__batch", F.explode(batches)).select(*planes.columns, "__batch")
+    return batched.groupBy(*block, "__batch").applyInPandas(run, out_schema)
 
 
 def axis_is_time(depth: int, most: int) -> bool:

@@ -15,7 +15,7 @@ from ..functions.grid import beside
 from ..plans.registry import register
 
 #: The largest value of each pixel type.
-MAXIMUM = {"uint8": 255, "uint16": 65535, "uint32": 4294967295, "float32": 1.0, "float64": 1.0}
+MAXIMUM = {"uint8": 255, "uint16": 65535, "uint32": 4294967295, "int8": 127, "int16": 32767, "int32": 2147483647, "float32": 1.0, "float64": 1.0}
 
 
 @register("Labels to Binary", "_binary")

@@ -41,11 +41,21 @@ def inclusive_range(df: DataFrame, axis: str, start: int = 0, end: int = -1, ste
 
 
 @register("Merge Timepoints", "_merge_timeseries")
-def merge_timepoints(pixels: DataFrame, path: str = "path", folder: Sequence[str] = (), start_timepoint: int = 0, subsample_factor: int = 1, max_timepoints: int | None = None) -> DataFrame:
-    """Images of one file each as frames of a new axis t, in natural order of the names, then start, step and count."""
-    names = natural_order(pixels.select(path, *folder).distinct(), path, folder)
-    frames = strided(names.withColumnRenamed("rank", "t"), "t", start_timepoint, subsample_factor, max_timepoints)
-    return pixels.join(frames, [path, *folder]).drop(path)
+def merge_timepoints(pixels: DataFrame, path: str = "path", folder: Sequence[str] = (), start_timepoint: int = 0, subsample_factor: int = 1, max_timepoints: int | None = None, shape: Sequence[str] = ()) -> DataFrame:
+    """Images of one file each as frames of an axis t, in natural order of the names, then start, step and count.
+
+    Files that have frames (a column t, from 0) follow each other along t. With `shape`, axes of dense images, files whose
+    sizes along them differ raise.
+    """
+    frames = "t" in pixels.columns
+    files = pixels.groupBy(path, *folder).agg((F.max("t") + 1 if frames else F.lit(1)).cast("long").alias("__n"), F.struct(*[F.max(a).alias(a) for a in shape], F.lit(0).alias("_")).alias("__shape"))
+    if shape and files.select("__shape").distinct().count() > 1:
+        raise ValueError("images of different sizes can't be frames of one movie")
+    names = natural_order(files, path, folder)
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*folder).orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = names.withColumn("__before", before if frames else F.col("rank")).select(path, *folder, "__before")
+    moved = pixels.join(placed, [path, *folder]).withColumn("t", F.col("__before") + (F.col("t") if frames else 0))
+    return strided(moved, "t", start_timepoint, subsample_factor, max_timepoints).drop(path, "__before")
 
 
 @register("Split TZYX into ZYX TIFs", "_split")
@@ -54,27 +64,31 @@ def split_timepoints(pixels: DataFrame, basename: str = "image", axis: str = "t"
     return pixels.withColumn("file", F.concat(F.lit(f"{basename}_t"), F.lpad(F.col(axis).cast("string"), 3, "0"))).drop(axis)
 
 
-def channel_axis(shape: Sequence[int], num_channels: int | None = None) -> int | None:
-    """The axis that holds channels, by its size: one of `num_channels` that isn't among the last two, else by the usual rules."""
-    n = len(shape)
-    if num_channels:
-        exact = [k for k in range(n - 2) if shape[k] == num_channels]
-        if exact:
-            return exact[0]
-    small = lambda k: 2 <= shape[k] <= 16
-    rules = (
-        (n >= 4 and small(1) and shape[0] > shape[1], 1),
-        (n >= 5 and small(2) and shape[-1] > shape[2] and shape[-2] > shape[2], 2),
-        (n >= 3 and small(0), 0),
-        (n >= 4 and small(1), 1),
-    )
-    return next((axis for holds, axis in rules if holds), None)
+def channel_axis(shape: Sequence[int], num_channels: int = 3, axes: str | None = None) -> int | None:
+    """The place of the channel axis: what metadata name so, else the first axis of `num_channels`, those before the last two first; null without one."""
+    if axes and len(axes) == len(shape) and "C" in axes.upper():
+        return axes.upper().index("C")
+    outer = range(len(shape) - 2)
+    return next((k for k in [*outer, *range(max(0, len(shape) - 2), len(shape))] if shape[k] == num_channels), None)
 
 
 @register("Split Color Channels", "_split")
-def split_channels(pixels: DataFrame, axis: str = "c", basename: str = "image") -> DataFrame:
-    """Every channel's rows under a name of its own, `{basename}_channel_{c}`, without the axis."""
-    return pixels.withColumn("file", F.concat(F.lit(f"{basename}_channel_"), F.col(axis).cast("string"))).drop(axis)
+def split_channels(pixels: DataFrame, axis: str = "c", basename: str = "image", output_format: str = "python", sort_by_timepoints: Sequence[str] = ()) -> DataFrame:
+    """Every channel's rows under a name of its own, `{basename}_channel_{c}`, without the axis; write it partitioned by `file`.
+
+    The format "fiji" has the columns t, z, y, x in this order before the others. With `sort_by_timepoints`, the columns that
+    tell images apart, names are in folders by the number of an image's frames: `T10/`.
+    """
+    if output_format not in ("python", "fiji"):
+        raise ValueError("the format is python or fiji")
+    name = F.concat(F.lit(f"{basename}_channel_"), F.col(axis).cast("string"))
+    if sort_by_timepoints:
+        keys = list(sort_by_timepoints)
+        pixels = pixels.join(pixels.groupBy(*keys).agg(F.count_distinct("t").alias("__frames")), keys)
+        name = F.concat(F.lit("T"), F.col("__frames").cast("string"), F.lit("/"), name)
+    out = pixels.withColumn("file", name).drop(axis, "__frames")
+    first = [a for a in "tzyx" if a in out.columns] if output_format == "fiji" else []
+    return out.select(*first, *[c for c in out.columns if c not in first])
 
 
 @register("Merge Color Channels", "_merged_colors")
@@ -108,16 +122,27 @@ def pair_by_suffix(files: DataFrame, suffixes: Sequence[str], path: str = "path"
     return images.join(best, "stem", "left").select("image", "partner")
 
 
-def group_by_common_name(folders: Sequence[DataFrame], path: str = "path", separator: str = "_") -> DataFrame:
-    """(name, file_0, file_1, ...): files of two or three channels of which the names begin alike.
+def parts_of(name: Column) -> Column:
+    """Every stretch of a name, with its start and length."""
+    stretch = lambda i, n: F.struct(F.substring(name, i, n).alias("part"), i.alias("at"), n.alias("n"))
+    size = F.length(name)
+    return F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: stretch(i, n))))
+
+
+def group_by_common_name(folders: Sequence[DataFrame], path: str = "path") -> DataFrame:
+    """(name, file_0, file_1, ...): files of two or three channels that share the longest stretch of their names.
 
-    Names are cut at the separator to their leading parts; a file of the first channel goes with those of
-    the others that share its longest leading part. That part is the join's key, so no pairs are tried.
+    For each file of the first channel that of the next one with the longest common stretch is taken, of several the first
+    by name; then that stretch looks for its file of the third. Files that end with the same stretch
+    are one group, that of the last by name; files without any are left out. The stretches of a channel's names are
+    reduced to the first file of each before they are met, so no pairs of files are tried.
     """
-    leading = lambda df, k: df.select(F.col(path).alias(f"file_{k}"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size(F.split(path, separator))), lambda n: F.array_join(F.slice(F.split(path, separator), F.lit(1), n), separator))).alias("n", "name"))
-    out = leading(folders[0], 0)
+    base = lambda c: F.regexp_replace(c, "^.*/", "")
+    found = folders[0].select(F.col(path).alias("file_0"), base(F.col(path)).alias("name")).where(F.length("name") > 0)
     for k, other in enumerate(folders[1:], 1):
-        own = leading(other, k).groupBy("name").agg(F.min(f"file_{k}").alias(f"file_{k}"))
-        out = out.join(own, "name")
-    longest = F.row_number().over(W.partitionBy("file_0").orderBy(F.desc("n")))
-    return out.withColumn("__r", longest).where("__r = 1").select("name", *[f"file_{k}" for k in range(len(folders))])
+        own = other.select(F.col(path).alias("file"), F.explode(parts_of(base(F.col(path)))).alias("s")).groupBy(F.col("s.part").alias("part")).agg(F.min("file").alias("file"))
+        asked = found.withColumn("s", F.explode(parts_of(F.col("name")))).select(*found.columns, "s.*").join(own, "part")
+        best = asked.groupBy(*[f"file_{j}" for j in range(k)]).agg(F.min(F.struct((-F.col("n")).alias("n"), "file", "at", "part")).alias("best"))
+        found = best.select(*[f"file_{j}" for j in range(k)], F.col("best.file").alias(f"file_{k}"), F.col("best.part").alias("name"))
+    names = [f"file_{k}" for k in range(len(folders))]
+    return found.groupBy("name").agg(F.max(F.struct(*names)).alias("f")).select("name", *[f"f.{c}" for c in names])

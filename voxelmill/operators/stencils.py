@@ -1,7 +1,7 @@
-"""Neighbourhoods in planes: rank and Gaussian filters, local thresholds, dilation, boundaries, contours.
+"""Neighbourhoods in planes and volumes: rank and Gaussian filters, local thresholds, dilation, boundaries, contours.
 
-Each works on `planes`, one row for a YX plane, with array functions: a plane's pixels need no other row, so
-nothing is shuffled, whatever the radius. Volumes take their z neighbours from `beside_z` first.
+Those of planes work on `planes`, one row for a YX plane, and shuffle nothing, whatever the radius. Those of volumes
+meet in tiles of all planes (`over_volumes`).
 """
 
 from __future__ import annotations
@@ -9,46 +9,26 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.grid import mirrored, over_plane, padded, ring
+from ..functions.planes import correlate, median, neighbours, on_planes, over_volumes, shifts
 from ..plans.registry import register
 
-
-def taps(offsets: Sequence[tuple[int, int]], at) -> Column:
-    return F.array(*[at(dy, dx) for dy, dx in offsets])
+FACES = [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)]
 
 
 @register("Median Filter", "_median")
 def median_filter(planes: DataFrame, size: int = 3) -> DataFrame:
     """The median of a square of odd `size`, mirrored at the edges."""
-    steps = ring(size // 2, centre=True)
-    mid = len(steps) // 2
-    return planes.withColumn("data", over_plane(lambda d, i, y, x: F.get(F.array_sort(taps(steps, lambda dy, dx: mirrored(d, y + dy, x + dx))), F.lit(mid))))
+    return on_planes(planes, lambda s: median(s, (size, size)))
 
 
 def median_volume(planes: DataFrame, block: Sequence[str], size: int = 3) -> DataFrame:
     """The median of a cube of odd `size` of planes (block, z, h, w, data) of one volume each, mirrored at the edges."""
-    r = size // 2
-    near = beside_z(planes, block, r)
-    steps = ring(r, centre=True)
-    every = lambda y, x: F.flatten(F.transform("__near", lambda d: taps(steps, lambda dy, dx: mirrored(d, y + dy, x + dx))))
-    return near.withColumn("data", over_plane(lambda d, i, y, x: F.get(F.array_sort(every(y, x)), F.lit(size**3 // 2)))).drop("__near")
-
-
-def beside_z(planes: DataFrame, block: Sequence[str], radius: int) -> DataFrame:
-    """`planes` with `__near`: the data of the planes at z - radius .. z + radius, mirrored at the ends.
-
-    A plane goes to the 2 * radius + 1 places that need it, mirrored ones among them.
-    """
-    depth = planes.groupBy(*block).agg((F.max("z") + 1).alias("__d"))
-    z, d = F.col("z"), F.col("__d")
-    places = F.flatten(F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda o: F.transform(F.filter(F.array(z - o, -1 - z - o, 2 * d - 1 - z - o), lambda t: (t >= 0) & (t < d)), lambda t: F.struct(t.alias("to"), o.alias("o")))))
-    sent = planes.join(depth, list(block)).select(*block, F.explode(F.array_distinct(places)).alias("__p"), "data")
-    own = sent.groupBy(*block, F.col("__p.to").alias("z")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("__p.o").alias("o"), F.col("data").alias("data")))), lambda s: s["data"]).alias("__near"))
-    return planes.join(own, [*block, "z"])
+    return over_volumes(planes, block, lambda v: median(v, (size, size, size)), size // 2)
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -57,49 +37,59 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def weighted(planes: DataFrame, weights: Sequence[float], out: str = "data") -> DataFrame:
-    """A separable filter of odd length: along y, then along x."""
-    r = len(weights) // 2
-    table = F.array(*[F.struct(F.lit(k - r).alias("o"), F.lit(float(w)).alias("w")) for k, w in enumerate(weights)])
-    total = lambda at: F.aggregate(table, F.lit(0.0), lambda s, t: s + t["w"] * at(t["o"]))
-    down = over_plane(lambda d, i, y, x: total(lambda o: mirrored(d, y + o, x)))
-    return planes.withColumn(out, over_plane(lambda d, i, y, x: total(lambda o: mirrored(d, y, x + o)), down))
+def separable(stack: np.ndarray, weights: Sequence[float], axes: Sequence[int]) -> np.ndarray:
+    for axis in axes:
+        stack = correlate(stack, weights, axis)
+    return stack
 
 
 @register("Gaussian Blur", "_blurred")
-def gaussian_blur(planes: DataFrame, sigma: float = 1.0) -> DataFrame:
-    """A Gaussian cut off at four sigma, mirrored at the edges."""
-    return planes if sigma <= 0 else weighted(planes, gaussian_weights(sigma))
+def gaussian_blur(planes: DataFrame, sigma: float = 1.0, volume: Sequence[str] | None = None) -> DataFrame:
+    """A Gaussian cut off at four sigma, mirrored at the edges: of each plane, or with `volume`, the columns that tell volumes (volume, z, h, w, data) apart, along z too."""
+    if sigma <= 0:
+        return planes
+    weights = gaussian_weights(sigma)
+    if volume is None:
+        return on_planes(planes, lambda s: separable(s, weights, (-2, -1)))
+    return over_volumes(planes, volume, lambda v: separable(v, weights, (0, 1, 2)), len(weights) // 2)
 
 
 @register("Adaptive Threshold (Bright Bias)", "_adaptive_bright")
 def adaptive_threshold(planes: DataFrame, block_size: int = 35, offset: float = -10) -> DataFrame:
     """255 above the Gaussian mean of a square minus the offset, else 0; an even square size counts as the next odd one."""
     size = block_size + (block_size % 2 == 0)
-    wide = weighted(planes, gaussian_weights((size - 1) / 6), "__local")
-    return wide.withColumn("data", F.zip_with("data", "__local", lambda v, m: F.when(v > m - offset, 255.0).otherwise(0.0))).drop("__local")
+    weights = gaussian_weights((size - 1) / 6)
+    return on_planes(planes, lambda s: np.where(s > separable(s, weights, (-2, -1)) - offset, 255.0, 0.0))
 
 
 def binary_dilation(planes: DataFrame, full: bool = True, iterations: int = 1) -> DataFrame:
     """1 where a pixel or one around it (with diagonals or faces only) isn't 0."""
-    steps = ring(1, centre=True) if full else [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)]
-    for _ in range(iterations):
-        planes = planes.withColumn("data", over_plane(lambda d, i, y, x: F.exists(taps(steps, lambda dy, dx: padded(d, y + dy, x + dx)), lambda v: v != 0).cast("double")))
-    return planes
+    offsets = shifts((1, 1)) if full else FACES
+
+    def grow(s: np.ndarray) -> np.ndarray:
+        for _ in range(iterations):
+            s = np.any([n != 0 for n in neighbours(s, offsets)], 0).astype(float)
+        return s
+
+    return on_planes(planes, grow)
 
 
 def binary_erosion(planes: DataFrame, full: bool = True, iterations: int = 1, border: float = 0.0) -> DataFrame:
     """1 where a pixel and all around it aren't 0; beyond the edges is `border`."""
-    steps = ring(1, centre=True) if full else [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)]
-    for _ in range(iterations):
-        planes = planes.withColumn("data", over_plane(lambda d, i, y, x: F.forall(taps(steps, lambda dy, dx: padded(d, y + dy, x + dx, border)), lambda v: v != 0).cast("double")))
-    return planes
+    offsets = shifts((1, 1)) if full else FACES
+
+    def shrink(s: np.ndarray) -> np.ndarray:
+        for _ in range(iterations):
+            s = np.all([n != 0 for n in neighbours(s, offsets, border)], 0).astype(float)
+        return s
+
+    return on_planes(planes, shrink)
 
 
 def label_boundaries(planes: DataFrame, out: str = "data") -> DataFrame:
     """1 on labelled pixels with a different value around them; beyond the edges is background."""
-    differs = lambda d, i, y, x: (F.get(d, i) > 0) & F.exists(taps(ring(), lambda dy, dx: padded(d, y + dy, x + dx)), lambda v: v != F.get(d, i))
-    return planes.withColumn(out, over_plane(lambda d, i, y, x: differs(d, i, y, x).cast("double")))
+    offsets = [o for o in shifts((1, 1)) if any(o)]
+    return on_planes(planes, lambda s: ((s > 0) & np.any([n != s for n in neighbours(s, offsets)], 0)).astype(float), out=out)
 
 
 @register("Label Contours", "_contours")

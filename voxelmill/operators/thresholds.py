@@ -20,12 +20,17 @@ def percentile_threshold(pixels: DataFrame, block: Sequence[str] = ("image_id",)
     return wide.withColumn(value, F.when(F.col(value) > F.col("__p"), kept).otherwise(0)).drop("__p")
 
 
-def otsu(pixels: DataFrame, block: Sequence[str] = ("image_id",), value: str = "v") -> DataFrame:
-    """(block, threshold): the value that parts an integer image in two classes of most variance between, the first of ties.
+def otsu(pixels: DataFrame, block: Sequence[str] = ("image_id",), value: str = "v", bins: int = 256) -> DataFrame:
+    """(block, threshold): the value that parts an image in two classes of most variance between, the first of ties.
 
-    Works on the histogram, one row for each value of an image, so the cumulative sums are over few rows. An
-    image of one value has that value.
+    Works on the histogram: one row for each value of an integer image, one for each of `bins` even bins of the range, by
+    its middle, of a floating-point one. So the cumulative sums are over few rows. An image of one value has that value.
     """
+    if pixels.schema[value].dataType.typeName() in ("float", "double"):
+        wide = beside(pixels.where(F.col(value).isNotNull() & ~F.isnan(value)), list(block), __lo=F.min(value), __hi=F.max(value))
+        lo, step = F.col("__lo").cast("double"), (F.col("__hi").cast("double") - F.col("__lo")) / bins
+        middle = lo + (F.least(F.floor((F.col(value) - lo) / step), F.lit(bins - 1)) + 0.5) * step
+        pixels = wide.withColumn(value, F.when(step > 0, middle).otherwise(lo)).drop("__lo", "__hi")
     hist = pixels.groupBy(*block, F.col(value).alias("v")).agg(F.count("*").alias("n"))
     up, whole = W.partitionBy(*block).orderBy("v"), W.partitionBy(*block)
     run = lambda c: F.sum(c).over(up.rowsBetween(W.unboundedPreceding, 0))

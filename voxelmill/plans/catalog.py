@@ -4,40 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from ..operators.stacks import channel_axis
-
-ORDERS = ("YX", "CYX", "TYX", "ZYX", "TCYX", "TZYX", "ZCYX", "TZCYX", "TCZYX")
+#: The axes that an image of so many dimensions has where nothing names them.
 BY_DIMENSIONS = {2: "YX", 3: "ZYX", 4: "TZYX", 5: "TCZYX"}
 
 
-def resolve_axes(shape: Sequence[int], hint: str | None = None, metadata: str | None = None) -> str:
+def resolve_axes(shape: Sequence[int], hint: str | None = None, metadata: str | None = None, strict: bool = False) -> str:
     """The axes of an image: from a hint, else its file's metadata, else its number of dimensions.
 
-    A hint that still names a channel axis that is gone loses it.
+    A hint that still names a channel axis that is gone loses it. One that names other axes than there are is passed
+    over, or with `strict`, for operators that need to know an image's blocks, raises.
     """
     for named in (hint, metadata):
         named = (named or "").upper().replace("S", "C")
         if len(named) == len(shape) + 1 and "C" in named:
             named = named.replace("C", "")
-        if len(named) == len(shape) and set(named) <= set("TCZYX"):
+        if len(named) == len(shape) and len(set(named)) == len(named) and {"Y", "X"} <= set(named) <= set("TCZYX"):
             return named
+        if named and strict:
+            raise ValueError(f"{named} doesn't name the axes of an image of sizes {tuple(shape)}")
     if len(shape) not in BY_DIMENSIONS:
         raise ValueError(f"no axes are known for {len(shape)} dimensions")
     return BY_DIMENSIONS[len(shape)]
 
 
-def channels_of(shape: Sequence[int], metadata: str | None = None) -> int:
-    """The number of channels: by metadata if there are any, else by the sizes of the axes."""
-    if metadata and len(metadata) == len(shape):
-        at = max(metadata.upper().find("C"), metadata.upper().find("S"))
-        return shape[at] if at >= 0 else 1
-    axis = channel_axis(shape)
-    return 1 if axis is None else shape[axis]
-
-
 def loop_axes(axes: str, spatial: int = 3) -> tuple[list[str], list[str]]:
     """Axes that blocks are told apart by, and the up to `spatial` axes of a block: t and c always loop."""
     names = [a.lower() for a in axes]
@@ -51,14 +40,3 @@ def label_type(largest: int, source: str) -> str:
     if source in width and largest < 2 ** width[source]:
         return source
     return next((t for t, n in width.items() if largest < 2**n), "uint64")
-
-
-def is_label_type(dtype: str) -> bool:
-    return dtype in ("int32", "uint32", "int64", "uint64")
-
-
-def has_any_end(path: Column, ends: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for e in ends:
-        out = out | path.endswith(e)
-    return out

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,11 @@ from ..operators import stencils as N
 from ..operators import thresholds as T
 from ..operators import tracking as G
 from ..operators.editing import constrain_regions, split_by_seeds
-from ..operators.models import segment_inside
-from ..functions.grid import dense, to_pixels, to_planes
+from ..operators.models import predict_planes, predict_stacks, segment_inside
+from ..sources import arrays, sinks, zarr
+from ..functions.graph import checkpoint_dir
+from ..functions.grid import dense, to_pixels
+from ..functions.planes import to_planes
 from . import fixtures as X
 from .fixtures import FILES, LBL, MOV, PX, VOX
 
@@ -755,7 +760,12 @@ def rolling_ball(spark, sf):
     return of_planes(E.rolling_ball(X.planes(spark, sf), 4), 6)
 
 
-@query()
+def sql_resize(n: int, scale: float) -> str:
+    """Weights of each target place and source place as rows."""
+    return "w(t, s, w) AS (VALUES " + ", ".join(f"({t}, {k}, {float(v)!r}::DOUBLE)" for t, row in enumerate(E.resize_weights(n, scale)) for k, v in enumerate(row)) + ")"
+
+
+@query(f"WITH {PX}, {sql_resize(8, 0.5)} SELECT image_id, CAST(a.t AS INT) AS y, CAST(b.t AS INT) AS x, trunc(sum(a.w * b.w * v) + 1e-9) AS v FROM px JOIN w a ON a.s = y JOIN w b ON b.s = x GROUP BY ALL")
 def resize_yx(spark, sf):
     return of_planes(E.resize_yx(X.planes(spark, sf), 0.5))
 
@@ -801,6 +811,160 @@ def planes_round_trip(spark, sf):
     return there.groupBy("t").agg(F.sum("v").cast("long").alias("total"), F.max("v").cast("int").alias("most"))
 
 
+# Volumes, files, and steps with a model
+
+CUBE = f"{PX}, cube AS (SELECT image_id // 4 AS scene, image_id % 4 AS z, y, x, v FROM px)"
+
+
+def cubes(spark, sf) -> DataFrame:
+    return X.planes(spark, sf).select(F.floor(F.col("image_id") / 4).alias("scene"), (F.col("image_id") % 4).cast("int").alias("z"), "h", "w", "data")
+
+
+def sql_gauss_volume(sigma: float) -> str:
+    """A pass along each axis of whole cubes of 4 x 8 x 8."""
+    w = N.gaussian_weights(sigma)
+    r, last, out = len(w) // 2, "whole", [f"w AS (SELECT * FROM (VALUES {sql_stencil('', len(w) // 2, w)}) t(d, w))"]
+    out.append("whole AS (SELECT * FROM cube WHERE scene IN (SELECT scene FROM cube GROUP BY 1 HAVING max(z) = 3))")
+    for axis, n in (("z", 4), ("y", 8), ("x", 8)):
+        fold = f"least(((p.{axis} + d) % {2 * n} + {2 * n}) % {2 * n}, {2 * n - 1} - ((p.{axis} + d) % {2 * n} + {2 * n}) % {2 * n})"
+        same = " AND ".join(f"q.{a} = p.{a}" for a in ("scene", "z", "y", "x") if a != axis)
+        out.append(f"along_{axis} AS (SELECT p.scene, p.z, p.y, p.x, sum(w * q.v) AS v FROM {last} p CROSS JOIN w JOIN {last} q ON {same} AND q.{axis} = {fold} GROUP BY ALL)")
+        last = f"along_{axis}"
+    return ", ".join(out)
+
+
+@query(f"WITH {CUBE}, {sql_gauss_volume(0.7)} SELECT scene, CAST(z AS INT) AS z, y, x, round(v, 4) AS v FROM along_x")
+def gaussian_volume(spark, sf):
+    return rounded(to_pixels(N.gaussian_blur(cubes(spark, sf), 0.7, ["scene"]), ["scene", "z"]), "v", digits=4)
+
+
+@query(f"""WITH {CUBE}, o AS (SELECT a, b, c, 2 - sqrt(4 - a * a - b * b - c * c) AS up FROM range(-2, 3) r(a), range(-2, 3) s(b), range(-2, 3) t(c) WHERE a * a + b * b + c * c <= 4),
+ball AS (SELECT p.scene, p.z, p.y, p.x, min(q.v + up) AS low FROM cube p CROSS JOIN o JOIN cube q ON q.scene = p.scene AND q.z = p.z + a AND q.y = p.y + b AND q.x = p.x + c GROUP BY ALL)
+SELECT scene, CAST(z AS INT) AS z, y, x, round(greatest(v - low, 0.0::DOUBLE), 6) AS v FROM cube JOIN ball USING (scene, z, y, x)""")
+def rolling_ball_volume(spark, sf):
+    return rounded(to_pixels(E.rolling_ball(cubes(spark, sf), 2, ["scene"]), ["scene", "z"]), "v")
+
+
+@query(f"""WITH {PX}, f AS (SELECT image_id, y, x, sqrt(v) AS v FROM px), r AS (SELECT image_id, min(v) AS lo, (max(v) - min(v)) / 256 AS step FROM f GROUP BY 1),
+h AS (SELECT image_id, CASE WHEN step > 0 THEN lo + (least(floor((v - lo) / step), 255) + 0.5::DOUBLE) * step ELSE lo END AS v, count(*) AS n FROM f JOIN r USING (image_id) GROUP BY ALL),
+c AS (SELECT image_id, v, sum(n) OVER u AS n1, sum(n * v) OVER u AS s1, sum(n) OVER w AS n, sum(n * v) OVER w AS s FROM h WINDOW u AS (PARTITION BY image_id ORDER BY v), w AS (PARTITION BY image_id)),
+b AS (SELECT image_id, v, coalesce(n1::DOUBLE * (n - n1) * (s1 / n1 - (s - s1) / nullif(n - n1, 0)) ** 2, -1) AS b FROM c)
+SELECT image_id, round(arg_max(v, (round(b, 6), -v)), 6) AS threshold FROM b GROUP BY 1""")
+def otsu_float(spark, sf):
+    return rounded(T.otsu(X.px(spark, sf).withColumn("v", F.sqrt("v"))), "threshold")
+
+
+@query(vox_where("count(DISTINCT nullif(o.c2, 0)) AS ch2_in_ch1_count, count(*) FILTER (coalesce(o.c2, 0) <> 0) AS ch2_in_ch1_size").replace("FROM vox WHERE", "FROM vox LEFT JOIN (SELECT image_id, t, z, y, x, c2 FROM vox WHERE c3 <> 0) o USING (image_id, t, z, y, x) WHERE"))
+def coloc_of_images_on_a_grid(spark, sf):
+    vox, keys = X.vox(spark, sf), ["image_id", "t", "z", "y", "x"]
+    grid = C.on_grid(vox.where("c1 <> 0").select(*keys, "c1"), {"c2": vox.where("c3 <> 0").select(*keys, "c2")}, keys)
+    return C.coloc_counts(grid, IMAGE).join(C.coloc_sizes(grid.withColumn("c3", F.lit(0)), IMAGE).select("image_id", "c1", "ch2_in_ch1_size"), ["image_id", "c1"])
+
+
+@query(vox_where(sql_stats("true", "ch2_in_ch1") + ", count(DISTINCT nullif(c3, 0)) AS ch3_in_ch1_count, count(*) FILTER (c3 <> 0) AS ch3_in_ch1_size"))
+def coloc_intensity_and_labels(spark, sf):
+    out = C.coloc_intensity_third(X.vox(spark, sf), IMAGE, c3="c3")
+    return rounded(out, *[c for c in out.columns if c.startswith("ch2")])
+
+
+@query(vox_where(sql_stats("true", "ch2_in_ch1") + ", " + sql_stats("true", "ch3_in_ch1").replace("THEN v ", "THEN 100 - v ")))
+def coloc_two_intensities(spark, sf):
+    out = C.coloc_intensity_third(X.vox(spark, sf).withColumn("u", 100 - F.col("v")), IMAGE, c3_value="u")
+    return rounded(out, *[c for c in out.columns if c.startswith("ch")])
+
+
+PROJECTED = "lbl AS (SELECT image_id // 4 AS image_id, y, x, max(v) AS v, max(label) AS label FROM lbl0 GROUP BY ALL), s AS (SELECT image_id, min(v)"
+
+
+@query("WITH o AS (" + SQL["overlay_blend"].replace(" lbl AS (", " lbl0 AS (", 1).replace("s AS (SELECT image_id, min(v)", PROJECTED, 1) + """),
+k AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS k, CAST(ceil(sqrt(count(*) OVER ())) AS INT) AS n FROM (SELECT DISTINCT image_id FROM o))
+SELECT CAST((k // n) * 8 + y AS INT) AS y, CAST((k % n) * 8 + x AS INT) AS x, r, g, b FROM o JOIN k USING (image_id)""")
+def grid_overlay(spark, sf):
+    stacks = X.lbl(spark, sf).select(F.floor(F.col("image_id") / 4).alias("image_id"), (F.col("image_id") % 4).alias("z"), "y", "x", "v", "label")
+    return I.grid_overlay(stacks, 8, 8)
+
+
+@query(f"""WITH {VOX}, n AS (SELECT image_id, max(t) + 1 AS n FROM vox GROUP BY 1), o AS (SELECT image_id, coalesce(sum(n) OVER (ORDER BY image_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM n)
+SELECT CAST((o + t - 3) // 2 AS BIGINT) AS t, z, y, x, v FROM vox JOIN o USING (image_id) WHERE o + t >= 3 AND (o + t - 3) % 2 = 0""")
+def merge_movies(spark, sf):
+    movies = X.vox(spark, sf).select(F.concat(F.lit("movie_"), F.col("image_id").cast("string")).alias("path"), "t", "z", "y", "x", "v")
+    return A.merge_timepoints(movies, start_timepoint=3, subsample_factor=2)
+
+
+@query("""WITH f AS (SELECT DISTINCT doc_id // 4 AS k, doc_id % 4 AS e FROM documents)
+SELECT 'Sample_' || a.k || '_' AS name, 'Sample_' || a.k || '_labels.tif' AS file_0, 'Sample_' || a.k || '_channel_1.tif' AS file_1 FROM f a JOIN f b ON a.k = b.k AND a.e = 1 AND b.e = 2""")
+def files_of_like_names(spark, sf):
+    names = X.files(spark, sf)
+    return A.group_by_common_name([names.where("path LIKE '%labels.tif'"), names.where("path LIKE '%channel_1.tif'")])
+
+
+SCENES = f"WITH {PX} SELECT 'scene_' || (image_id // 100) AS image, CAST(image_id % 100 AS INT) AS t, y, x, CAST(v AS DOUBLE) AS v FROM px"
+
+
+def scenes(spark, sf) -> DataFrame:
+    """Movies of 100 planes each."""
+    at = F.concat(F.lit("scene_"), F.floor(F.col("image_id") / 100).cast("string"))
+    return X.planes(spark, sf).select(at.alias("path"), (F.col("image_id") % 100).cast("int").alias("t"), F.lit(0).alias("c"), F.lit(0).alias("z"), "h", "w", "data")
+
+
+def of_files(planes: DataFrame) -> DataFrame:
+    return to_pixels(planes.withColumn("image", F.regexp_extract("path", "(scene_[0-9]+)", 1)), ["image", "t"])
+
+
+@query(SCENES)
+def zarr_round_trip(spark, sf):
+    folder = f"{checkpoint_dir(spark)}/zarr-{uuid.uuid4()}"
+    zarr.write_zarr(scenes(spark, sf), folder, dtype="uint8", chunk=5, levels=2)
+    return of_files(zarr.read_zarr(spark, folder))
+
+
+@query(f"WITH {PX} SELECT 'scene_' || (image_id // 100) AS image, CAST(image_id % 100 AS INT) AS t, y // 2 AS y, x // 2 AS x, CAST(v AS DOUBLE) AS v FROM px WHERE y % 2 = 0 AND x % 2 = 0")
+def zarr_second_level(spark, sf):
+    folder = f"{checkpoint_dir(spark)}/zarr-{uuid.uuid4()}"
+    zarr.write_zarr(scenes(spark, sf), folder, dtype="uint16", chunk=4, levels=2)
+    return of_files(zarr.read_zarr(spark, folder, 1))
+
+
+@query(SCENES)
+def tiff_round_trip(spark, sf):
+    folder = f"{checkpoint_dir(spark)}/tiff-{uuid.uuid4()}"
+    sinks.write_images(scenes(spark, sf), folder, dtype="uint16")
+    return of_files(arrays.read_planes(spark, folder))
+
+
+@query(SCENES)
+def npy_round_trip(spark, sf):
+    folder = f"{checkpoint_dir(spark)}/npy-{uuid.uuid4()}"
+    sinks.write_images(scenes(spark, sf), folder, dtype="float32", form="npy")
+    return of_files(arrays.read_planes(spark, folder, axes="TYX"))
+
+
+@query(SCENES + " WHERE image_id % 100 = 7")
+def single_planes(spark, sf):
+    """Of each file one plane, by its bytes alone."""
+    folder = f"{checkpoint_dir(spark)}/tiff-{uuid.uuid4()}"
+    sinks.write_images(scenes(spark, sf), folder, dtype="uint16")
+    return of_files(arrays.load_planes(arrays.plane_plan(spark, folder).where("t = 7")))
+
+
+@query(f"WITH {PX} SELECT image_id, y, x, v FROM px")
+def compressed(spark, sf):
+    return I.compress(X.px(spark, sf), f"{checkpoint_dir(spark)}/compressed-{uuid.uuid4()}", 5)
+
+
+@query(f"WITH {PX} SELECT image_id, y, x, CAST(2 * v + 1 AS DOUBLE) AS v FROM px")
+def denoised_planes(spark, sf):
+    return of_planes(predict_planes(X.planes(spark, sf), lambda p: 2 * p + 1))
+
+
+@query(f"""WITH {CUBE}, whole AS (SELECT * FROM cube WHERE scene IN (SELECT scene FROM cube GROUP BY 1 HAVING max(z) = 3))
+SELECT p.scene, CAST(p.z AS INT) AS z, p.y, p.x, CAST(sum(q.v) AS DOUBLE) AS v FROM whole p JOIN whole q ON q.scene = p.scene AND q.y = p.y AND q.x = p.x AND (CASE WHEN p.z < 3 THEN q.z < 3 ELSE q.z > 0 END) GROUP BY ALL""")
+def stained_stacks(spark, sf):
+    whole = cubes(spark, sf)
+    deep = whole.join(whole.groupBy("scene").agg(F.count("*").alias("n")).where("n = 4").select("scene"), "scene")
+    return to_pixels(predict_stacks(deep, ["scene"], lambda v: np.broadcast_to(v.sum(0), v.shape), 3), ["scene", "z"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k.removesuffix("_query"): f for k, f in QUERIES.items()}
 

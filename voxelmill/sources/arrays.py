@@ -1,106 +1,143 @@
-"""Image files to planes: NumPy arrays and baseline TIFF, read by Spark as bytes and decoded in the tasks.
+"""Image files to planes: NumPy arrays and TIFF, page by page.
 
-`read_planes` takes any folder that Spark reads. A file gives one row for each of its YX planes, with the
-indices of its leading axes, so a stack is spread out as soon as it is decoded.
+A plan of planes comes first: a row for each YX plane of each file, from the files' heads and tables of contents,
+without pixels. What is wanted of it is loaded by ranges of bytes, so files of any size are spread over tasks and
+a single plane is read alone. OME-Zarr is in `sources.zarr`.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.planes import lists
 from ..plans.catalog import loop_axes, resolve_axes
+from . import tiff
+from .store import Ranges
 
-#: TIFF field types as struct codes.
-TIFF_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d", 16: "Q"}
-WIDTH, HEIGHT, BITS, COMPRESSION, DESCRIPTION, OFFSETS, SAMPLES, COUNTS, PREDICTOR, FORMAT = 256, 257, 258, 259, 270, 273, 277, 279, 317, 339
-TILED = 322
-KINDS = {1: "u", 2: "i", 3: "f"}
+ENDS = (".npy", ".tif", ".tiff")
+PLAN = "path string, axes string, dtype string, t int, c int, z int, h int, w int, spec string"
 SCHEMA = "path string, axes string, dtype string, t int, c int, z int, h int, w int, data array<double>"
-
-
-def tiff_pages(data: bytes) -> list[np.ndarray]:
-    """The pages of a TIFF or BigTIFF of uncompressed or deflated strips, one sample a pixel or several."""
-    end = "<" if data[:2] == b"II" else ">"
-    big = struct.unpack(end + "H", data[2:4])[0] == 43
-    word, entry, count = ("Q", 20, "Q") if big else ("I", 12, "H")
-    size = struct.calcsize(word)
-    at, pages = struct.unpack_from(end + word, data, 8 if big else 4)[0], []
-    while at:
-        n = struct.unpack_from(end + count, data, at)[0]
-        at += struct.calcsize(count)
-        tags: dict[int, tuple] = {}
-        for k in range(n):
-            tag, kind, many = struct.unpack_from(end + "HH" + word, data, at + k * entry)
-            code = TIFF_TYPES.get(kind)
-            if code:
-                form = end + (f"{many}s" if code == "s" else f"{many}{code}")
-                place = at + k * entry + 4 + size
-                if struct.calcsize(form) > size:
-                    place = struct.unpack_from(end + word, data, place)[0]
-                tags[tag] = struct.unpack_from(form, data, place)
-        at = struct.unpack_from(end + word, data, at + n * entry)[0]
-        if TILED in tags or tags.get(COMPRESSION, (1,))[0] not in (1, 8, 32946) or tags.get(PREDICTOR, (1,))[0] != 1:
-            raise ValueError("only plain or deflated strips are read")
-        strips = [data[o : o + c] for o, c in zip(tags[OFFSETS], tags[COUNTS], strict=True)]
-        raw = b"".join(strips if tags.get(COMPRESSION, (1,))[0] == 1 else map(zlib.decompress, strips))
-        kind = np.dtype(f"{end}{KINDS[tags.get(FORMAT, (1,))[0]]}{tags[BITS][0] // 8}")
-        shape = (tags[HEIGHT][0], tags[WIDTH][0], tags.get(SAMPLES, (1,))[0])
-        page = np.frombuffer(raw, kind, int(np.prod(shape))).reshape(shape)
-        pages += [page[:, :, s] for s in range(shape[2])]
-    return pages
-
-
-def decode(path: str, data: bytes) -> np.ndarray:
-    if path.lower().endswith(".npy"):
-        return np.squeeze(np.load(io.BytesIO(data), allow_pickle=False))
-    pages = tiff_pages(data)
-    return pages[0] if len(pages) == 1 else np.stack(pages)
-
-
-def planes_of(path: str, array: np.ndarray, hint: str | None) -> Iterator[tuple]:
-    axes = resolve_axes(array.shape, hint)
-    if axes[-2:] != "YX":
-        order = [axes.index(a) for a in axes if a not in "YX"] + [axes.index("Y"), axes.index("X")]
-        array, axes = array.transpose(order), "".join(axes[k] for k in order)
-    for place in np.ndindex(*array.shape[:-2]):
-        at = dict(zip(axes, place, strict=False))
-        yield (path, axes, str(array.dtype), at.get("T", 0), at.get("C", 0), at.get("Z", 0), *array.shape[-2:], array[place].ravel().astype(float).tolist())
-
-
-def read_planes(spark: SparkSession, folder: str, ends: Sequence[str] = (".npy", ".tif", ".tiff"), recursive: bool = True, axes: str | None = None, on_error: str = "raise") -> DataFrame:
-    """(path, axes, dtype, t, c, z, h, w, data) of the image files in a folder; axes that a file lacks are 0.
-
-    With `on_error` "skip" files that can't be decoded give no rows; `conversion_report` lists them.
+ERRORS = (ValueError, struct.error, KeyError, zlib.error, OSError, OverflowError)
+
+
+def npy_planes(read: Ranges, hint: str | None) -> Iterator[tuple[str, str, dict, int, int, dict]]:
+    """(axes, type, place, h, w, spec) of each plane of a .npy file."""
+    head = io.BytesIO(read(0, min(read.size, 1 << 16)))
+    version = np.lib.format.read_magic(head)
+    shape, backwards, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
+    if kind.hasobject:
+        raise ValueError("arrays of objects aren't read")
+    sizes = [n for n in shape if n != 1] if len(shape) > 2 else list(shape)  # axes of one element tell nothing
+    axes = resolve_axes(sizes, hint)
+    outer = [a for a in axes if a not in "YX"]
+    plain = not backwards and axes.endswith("YX")
+    h, w = sizes[axes.index("Y")], sizes[axes.index("X")]
+    for k, place in enumerate(np.ndindex(*[sizes[axes.index(a)] for a in outer])):
+        spec = {"npy": kind.str, "at": head.tell() + k * h * w * kind.itemsize if plain else 0}
+        if not plain:
+            spec |= {"shape": sizes, "backwards": bool(backwards), "axes": axes, "place": place, "at": head.tell()}
+        yield "".join(outer) + "YX", kind.name, dict(zip(outer, place, strict=True)), h, w, spec
+
+
+def tiff_planes(read: Ranges, hint: str | None) -> Iterator[tuple[str, str, dict, int, int, dict]]:
+    """(axes, type, place, h, w, spec) of each sample of each page of a TIFF file."""
+    found = list(tiff.pages(read))
+    stated, sizes = tiff.hyperstack(found[0]["description"])
+    samples, n = found[0]["samples"], len(found)
+    if any((p["h"], p["w"], p["samples"]) != (found[0]["h"], found[0]["w"], samples) for p in found):
+        raise ValueError("pages of several sizes aren't one image")
+    if stated and int(np.prod(sizes)) == n and samples == 1 and not hint:
+        axes, sizes = stated + "YX", list(sizes)
+    else:
+        sizes = [m for m in (n, samples) if m > 1] or [1]
+        shape = [*([] if n == 1 else [n]), *([samples] if samples > 1 else []), found[0]["h"], found[0]["w"]]
+        axes = resolve_axes(shape, hint, "CYX" if samples > 1 and n == 1 else None)
+    for k in range(n * samples):
+        page = found[k // samples]
+        place = dict(zip(axes[:-2], np.unravel_index(k, sizes), strict=True)) if len(axes) > 2 else {}
+        spec = {**{x: page[x] for x in ("h", "w", "samples", "planar", "compression", "predictor", "dtype", "th", "tw", "offsets", "counts")}, "sample": k % samples}
+        yield axes, np.dtype(page["dtype"]).newbyteorder("=").name, {a: int(i) for a, i in place.items()}, page["h"], page["w"], spec
+
+
+def plane_plan(spark: SparkSession, folder: str, ends: Sequence[str] = ENDS, recursive: bool = True, axes: str | None = None, on_error: str = "raise") -> DataFrame:
+    """(path, axes, dtype, t, c, z, h, w, spec): the planes of the files of a folder, of which nothing is loaded; axes that a file lacks are 0.
+
+    Take the rows that are wanted, then `load_planes`. With `on_error` "skip" files that can't be read give no rows.
     """
     glob = "*{" + ",".join(ends) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(folder).select("path")
+    names = [c.split()[0] for c in PLAN.split(", ")]
+    schema = pa.schema(list(zip(names, [pa.string()] * 3 + [pa.int32()] * 5 + [pa.string()], strict=True)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                rows = []
+                try:
+                    with Ranges(path) as read:
+                        for order, kind, at, h, w, spec in (npy_planes if path.lower().endswith(".npy") else tiff_planes)(read, axes):
+                            rows.append(dict(zip(names, (path, order, kind, at.get("T", 0), at.get("C", 0), at.get("Z", 0), h, w, json.dumps(spec)), strict=True)))
+                except ERRORS:
+                    if on_error != "skip":
+                        raise
+                    continue
+                for lo in range(0, len(rows), 1024):
+                    yield pa.RecordBatch.from_pylist(rows[lo : lo + 1024], schema)
+
+    return files.mapInArrow(run, PLAN)
+
+
+def one_plane(read: Ranges, spec: dict, h: int, w: int) -> np.ndarray:
+    if "npy" not in spec:
+        return tiff.page_sample(read, spec, spec["sample"])
+    kind = np.dtype(spec["npy"])
+    if "shape" not in spec:
+        return np.frombuffer(read(spec["at"], h * w * kind.itemsize), kind).reshape(h, w)
+    n = int(np.prod(spec["shape"]))
+    whole = np.frombuffer(read(spec["at"], n * kind.itemsize), kind).reshape(spec["shape"], order="F" if spec["backwards"] else "C")
+    outer = [spec["axes"].index(a) for a in spec["axes"] if a not in "YX"]
+    return whole.transpose([*outer, spec["axes"].index("Y"), spec["axes"].index("X")])[tuple(spec["place"])]
+
+
+def load_planes(plan: DataFrame, on_error: str = "raise") -> DataFrame:
+    """(path, axes, dtype, t, c, z, h, w, data) of a plan's rows, dealt anew so that the planes of one file are spread; a task holds one plane at a time."""
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                h, w = row.column("h")[0].as_py(), row.column("w")[0].as_py()
                 try:
-                    array = decode(path, content)
-                except (ValueError, struct.error, KeyError, zlib.error):
-                    if on_error == "skip":
-                        continue
-                    raise
-                rows = list(planes_of(path, array, axes))
-                for lo in range(0, len(rows), 16):
-                    yield pd.DataFrame(rows[lo : lo + 16], columns=names)
+                    with Ranges(row.column("path")[0].as_py()) as read:
+                        data = one_plane(read, json.loads(row.column("spec")[0].as_py()), h, w)
+                except ERRORS:
+                    if on_error != "skip":
+                        raise
+                    continue
+                yield pa.RecordBatch.from_arrays([*[row.column(n) for n in names[:-1]], lists(data.reshape(1, -1))], names=names)
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return plan.repartition("path", "t", "c", "z").mapInArrow(run, SCHEMA)
+
+
+def read_planes(spark: SparkSession, folder: str, ends: Sequence[str] = ENDS, recursive: bool = True, axes: str | None = None, on_error: str = "raise") -> DataFrame:
+    """(path, axes, dtype, t, c, z, h, w, data) of the image files in a folder; axes that a file lacks are 0.
+
+    With `on_error` "skip" files and planes that can't be decoded give no rows; `conversion_report` lists files without any.
+    """
+    return load_planes(plane_plan(spark, folder, ends, recursive, axes, on_error), on_error)
 
 
-def conversion_report(spark: SparkSession, folder: str, planes: DataFrame, ends: Sequence[str] = (".npy", ".tif", ".tiff")) -> DataFrame:
+def conversion_report(spark: SparkSession, folder: str, planes: DataFrame, ends: Sequence[str] = ENDS) -> DataFrame:
     """(path, status, planes, at): success or failed for each image file of a folder, skipped for other files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
     read = planes.groupBy("path").agg(F.count("*").alias("planes"))

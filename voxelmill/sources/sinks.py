@@ -1,13 +1,22 @@
-"""Writers: planes and labels as Parquet, tables as CSV, image metadata as JSON columns."""
+"""Writers: planes and labels as Parquet, TIFF or NumPy files, tables as CSV, image metadata as JSON columns. OME-Zarr is in `sources.zarr`."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import itertools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.graph import cut
+from ..functions.planes import matrix
+from . import tiff
+from .store import replacing
+
 #: Fixed value: the part of OME metadata that holds the scales of the levels.
 OME = "multiscales array<struct<axes: array<struct<name: string, unit: string>>, datasets: array<struct<path: string, coordinateTransformations: array<struct<type: string, scale: array<double>>>>>>>"
 
@@ -18,6 +27,45 @@ def write_planes(planes: DataFrame, path: str, partition_by: Sequence[str] = (),
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
 
 
+def image_names(planes: DataFrame, folder: str, name: str, end: str) -> Column:
+    stem = F.regexp_replace(F.col(name).cast("string"), r"^.*/|\.[^./]*$", "")
+    return F.concat(F.lit(f"{folder.rstrip('/')}/"), stem, F.lit(end))
+
+
+def write_images(planes: DataFrame, folder: str, name: str = "path", dtype: str = "uint16", form: str = "tif", end: str = "") -> DataFrame:
+    """Writes planes (name, t, c, z, h, w, data) as one TIFF or .npy file an image and returns (image, planes) of what was written.
+
+    Planes follow each other in order of t, z and c; a task writes an image from front to back with one plane in memory.
+    TIFF pages carry the sizes of the axes. Files take their names when they are whole.
+    """
+    kind = np.dtype(dtype)
+    image = image_names(planes, folder, name, f"{end}.{form}")
+    rows = planes.select(image.alias("image"), *[F.col(a).cast("int").alias(a) for a in "tzc"], F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), "data")
+    sizes = rows.groupBy("image").agg(*[F.count_distinct(a).cast("int").alias(f"n{a}") for a in "tzc"])
+    sorted_rows = rows.join(sizes, "image").repartition("image").sortWithinPartitions("image", "t", "z", "c")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = tuple(batch.column(n)[k].as_py() for n in ("image", "nt", "nz", "nc", "h", "w"))
+                yield own, matrix(batch.column("data").slice(k, 1)).reshape(own[4], own[5]).astype(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, group in itertools.groupby(each(batches), key=lambda r: r[0]):
+            path, shape = own[0], (*own[1:4], *own[4:])
+            with replacing(path) as out:
+                if form == "npy":
+                    head = io.BytesIO()
+                    np.lib.format.write_array_header_2_0(head, {"descr": kind.str, "fortran_order": False, "shape": tuple(n for k, n in enumerate(shape) if n > 1 or k > 2)})
+                    out.write(head.getvalue())
+                    n = sum(out.write(p.tobytes()) is None or 1 for _, p in group)
+                else:
+                    n = tiff.write_pages(out, (p for _, p in group), f"ImageJ=\nimages={int(np.prod(shape[:3]))}\nframes={shape[0]}\nslices={shape[1]}\nchannels={shape[2]}\n")
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["image", "planes"])
+
+    return cut(sorted_rows.mapInArrow(run, "image string, planes long"))
+
+
 def write_frames(pixels: DataFrame, path: str) -> None:
     """A folder for each `file` of split_timepoints or split_channels."""
     pixels.write.mode("overwrite").partitionBy("file").option("compression", "zstd").parquet(path)
