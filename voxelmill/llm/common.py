@@ -60,7 +60,10 @@ def blocks(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Batches of a few MB between Spark and Python, unless the session asks for smaller ones."""
+    """Batches of a few MB between Spark and Python from here on, unless the session asks for smaller ones.
+
+    Spark reads this when a plan runs, which may be long after it was made, so the setting stays.
+    """
     now = spark.conf.get(BATCH_BYTES)
     if not now.isdigit() or int(now) > 4 << 20:
         spark.conf.set(BATCH_BYTES, str(4 << 20))
@@ -90,7 +93,7 @@ def map_text(docs: DataFrame, keep: Sequence[str], text: str, kernel: Callable,
                 yield pa.RecordBatch.from_arrays(own + [pa.array(v, type=t) for v, t in zip(made, types, strict=True)], names=[f.name for f in schema])
         gc.collect()  # the task's functions and their tables are a cycle that would stay in the worker
 
-    return docs.select(*[F.col(c) for c in keep], F.col(text).alias(TEXT)).mapInArrow(run, schema)
+    return docs.select(*[quoted(c).alias(f"k{n}") for n, c in enumerate(keep)], quoted(text).alias(TEXT)).mapInArrow(run, schema)
 
 
 def filter_text(docs: DataFrame, text: str, keeps: Callable, block: int = BLOCK) -> DataFrame:
@@ -107,7 +110,8 @@ def filter_text(docs: DataFrame, text: str, keeps: Callable, block: int = BLOCK)
             yield batch.filter(pa.array(mask))
         gc.collect()
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = T.StructType([T.StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(docs.schema)])
+    return docs.toDF(*plain.names).mapInArrow(run, plain).toDF(*docs.columns)  # names with dots don't pass otherwise
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, seed: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
