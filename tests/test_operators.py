@@ -283,6 +283,8 @@ def test_pairs_and_groups_of_files(spark):
     files = spark.createDataFrame([(n,) for n in ("a.tif", "a_seg.tif", "a_labels.tif", "b.tif", "b_seg.tif", "c.tif")], "path string")
     got = {r["image"]: r["partner"] for r in stacks.pair_by_suffix(files, ["_labels.tif", "_seg.tif"]).collect()}
     assert got == {"a.tif": "a_labels.tif", "b.tif": "b_seg.tif", "c.tif": None}
+    with pytest.raises(ValueError, match="c.tif has no partner"):
+        stacks.pair_by_suffix(files, ["_labels.tif", "_seg.tif"], strict=True)
     one, two = (spark.createDataFrame([(f"s{k}_x_{c}.tif",) for k in (1, 2)], "path string") for c in ("red", "green"))
     assert {r["name"]: (r["file_0"], r["file_1"]) for r in stacks.group_by_common_name([one, two]).collect()} == {f"s{k}_x_": (f"s{k}_x_red.tif", f"s{k}_x_green.tif") for k in (1, 2)}
 

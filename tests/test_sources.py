@@ -140,6 +140,23 @@ def test_sinks(spark, tmp_path):
     assert sinks.catalog(spark, str(tmp_path)).where("name LIKE 'part-%'").count() >= 3
 
 
+def test_labels_take_the_narrowest_type(spark, tmp_path):
+    df = spark.createDataFrame([("a.tif", 0, 0, 0, 1, 2, [0.0, 70000.0])], "path string, t int, c int, z int, h int, w int, data array<double>")
+    assert sinks.label_dtype(df, "uint8") == "uint32"
+    assert sinks.write_labels(df, str(tmp_path), source="uint8").first()["image"].endswith("/a_labels.tif")
+    got = arrays.read_planes(spark, str(tmp_path)).first()
+    assert got["dtype"] == "uint32" and got["data"] == [0.0, 70000.0]
+    assert [r["path"] for r in sinks.select_files(spark.createDataFrame([("x.TIF",), ("y.txt",)], "path string"), [".tif"]).collect()] == ["x.TIF"]
+
+
+def test_resized_images_have_the_new_scale(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0, 0, z, 4, 6, [float(k) for k in range(24)]) for z in range(2)], "path string, t int, c int, z int, h int, w int, data array<double>")
+    zarr.write_zarr(df, str(tmp_path), scale={"z": 2.0, "y": 0.5, "x": 0.5})
+    zarr.resize_zarr(spark, f"{tmp_path}/a.zarr", f"{tmp_path}/half", 0.5)
+    d = zarr.described(f"{tmp_path}/half/a.zarr")
+    assert d["shape"] == [1, 1, 2, 2, 3] and d["scale"] == {"t": 1.0, "c": 1.0, "z": 2.0, "y": 1.0, "x": 1.0}
+
+
 def test_metadata(spark):
     ome = '{"multiscales":[{"axes":[{"name":"z","unit":"um"},{"name":"y"}],"datasets":[{"path":"0","coordinateTransformations":[{"type":"scale","scale":[2.0,0.5]}]}]}]}'
     assert spark.createDataFrame([(ome,)], "j string").select(sinks.ome_scale(F.col("j"))).first()[0] == {"z": 2.0, "y": 0.5}

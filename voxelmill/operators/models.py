@@ -14,13 +14,37 @@ from pyspark.sql import functions as F
 from ..functions.planes import on_planes
 from ..plans.registry import register
 from .components import semantic_to_instance
-from .inspection import clip_to_mask
+from .enhance import resize_weights
+from .inspection import clip_to_mask, model_input
+
+
+def in_tiles(plane: np.ndarray, model: Callable[[np.ndarray], np.ndarray], tile: int, overlap: int) -> np.ndarray:
+    """A plane by tiles that overlap their neighbours; of an overlap each tile gives its own half."""
+    (h, w), step = plane.shape, tile - overlap
+    starts = [[0] if n <= tile else [*range(0, n - tile, step), n - tile] for n in (h, w)]
+    edges = [[0, *[(a + tile + b) // 2 for a, b in zip(s, s[1:], strict=False)], n] for s, n in zip(starts, (h, w), strict=True)]
+    out = np.empty(plane.shape)
+    for y, y0, y1 in zip(starts[0], edges[0], edges[0][1:], strict=False):
+        for x, x0, x1 in zip(starts[1], edges[1], edges[1][1:], strict=False):
+            made = model(plane[y : y + tile, x : x + tile])
+            out[y0:y1, x0:x1] = made[y0 - y : y1 - y, x0 - x : x1 - x]
+    return out
 
 
 @register("Denoise with a Model", "_denoised")
-def predict_planes(planes: DataFrame, model: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Each plane through a model that returns a plane of any size."""
-    return on_planes(planes, lambda s: np.stack([model(p) for p in s]))
+def predict_planes(planes: DataFrame, model: Callable[[np.ndarray], np.ndarray], tile: int = 0, overlap: int = 48) -> DataFrame:
+    """Each plane through a model that returns a plane of any size, or with `tile` through one of tiles that keep theirs."""
+    return on_planes(planes, lambda s: np.stack([in_tiles(p, model, tile, min(overlap, tile - 1)) if tile else model(p) for p in s]))
+
+
+def model_planes(planes: DataFrame, megapixels: float = 2.0) -> DataFrame:
+    """Planes as a model takes them that is given up to so many megapixels: larger ones are made smaller."""
+
+    def shrink(s: np.ndarray) -> np.ndarray:
+        factor = model_input(s.shape[2], s.shape[1], megapixels)
+        return s if factor == 1 else resize_weights(s.shape[1], factor) @ s @ resize_weights(s.shape[2], factor).T
+
+    return on_planes(planes, shrink)
 
 
 @register("Virtual Staining with a Model", "_virtual_stain")

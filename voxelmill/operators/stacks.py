@@ -106,10 +106,10 @@ def merge_channels(pixels: DataFrame, path: str = "path", channel_substring: str
     return pixels.join(ranked.select(path, "c", F.col("__first").alias("__path")), path).withColumn(path, F.col("__path")).drop("__path")
 
 
-def pair_by_suffix(files: DataFrame, suffixes: Sequence[str], path: str = "path", image_end: str = ".tif") -> DataFrame:
+def pair_by_suffix(files: DataFrame, suffixes: Sequence[str], path: str = "path", image_end: str = ".tif", strict: bool = False) -> DataFrame:
     """(image, partner): images and their label files, which have a suffix in place of the image's end; earlier suffixes win.
 
-    Label files are no images. Images without a partner have a null one.
+    Label files are no images. Images without a partner have a null one, or with `strict` raise.
     """
     f = F.col(path)
     which = F.coalesce(*[F.when(f.endswith(s), F.lit(k)) for k, s in enumerate(suffixes)])
@@ -119,7 +119,10 @@ def pair_by_suffix(files: DataFrame, suffixes: Sequence[str], path: str = "path"
     partners = known.where("k IS NOT NULL").withColumn("end", F.element_at(ends, F.col("k") + 1)).select(stem.alias("stem"), "path", "k")
     best = partners.groupBy("stem").agg(F.min_by("path", F.struct("k", "path")).alias("partner"))
     images = known.where(F.col("k").isNull() & F.col("path").endswith(image_end)).withColumn("end", F.lit(image_end)).select(F.col("path").alias("image"), stem.alias("stem"))
-    return images.join(best, "stem", "left").select("image", "partner")
+    out = images.join(best, "stem", "left").select("image", "partner")
+    if strict and (lone := out.where("partner IS NULL").first()):
+        raise ValueError(f"{lone['image']} has no partner that ends with any of {list(suffixes)}")
+    return out
 
 
 def parts_of(name: Column) -> Column:

@@ -22,6 +22,7 @@ from ..operators import stencils as N
 from ..operators import thresholds as T
 from ..operators import tracking as G
 from ..operators.editing import constrain_regions, split_by_seeds
+from ..operators.models import pixel_classes_to_objects as pixel_classes
 from ..operators.models import predict_planes, predict_stacks, segment_inside
 from ..sources import arrays, sinks, zarr
 from ..functions.graph import checkpoint_dir
@@ -939,12 +940,13 @@ def npy_round_trip(spark, sf):
     return of_files(arrays.read_planes(spark, folder, axes="TYX"))
 
 
-@query(SCENES + " WHERE image_id % 100 = 7")
-def single_planes(spark, sf):
-    """Of each file one plane, by its bytes alone."""
+@query(SCENES + " QUALIFY t = max(t) OVER (PARTITION BY image_id // 100)")
+def last_frames(spark, sf):
+    """The last plane of each movie, by its bytes alone: what is wanted is found from the plan."""
     folder = f"{checkpoint_dir(spark)}/tiff-{uuid.uuid4()}"
     sinks.write_images(scenes(spark, sf), folder, dtype="uint16")
-    return of_files(arrays.load_planes(arrays.plane_plan(spark, folder).where("t = 7")))
+    plan = arrays.plane_plan(spark, folder)
+    return of_files(arrays.load_planes(plan.join(plan.groupBy("path").agg(F.max("t").alias("t")), ["path", "t"])))
 
 
 @query(f"WITH {PX} SELECT image_id, y, x, v FROM px")
@@ -965,6 +967,26 @@ def stained_stacks(spark, sf):
     return to_pixels(predict_stacks(deep, ["scene"], lambda v: np.broadcast_to(v.sum(0), v.shape), 3), ["scene", "z"])
 
 
+@query(sql_components(f"{PX}, m AS (SELECT image_id, y, x, 2 AS v FROM px WHERE v > 150)", "first"))
+def pixel_classes_to_objects(spark, sf):
+    return pixel_classes(X.px(spark, sf).withColumn("v", F.when(F.col("v") > 150, 2).otherwise(1)), IMAGE, ["y", "x"])
+
+
+@query(f"WITH {PX} SELECT image_id, y, x, CAST(255 - v AS DOUBLE) AS v FROM px")
+def planes_in_tiles(spark, sf):
+    return of_planes(predict_planes(X.planes(spark, sf), lambda p: 255 - p, tile=5, overlap=2))
+
+
+@query(f"WITH {PX} SELECT 'scene_0' AS image, CAST(image_id AS INT) AS t, y // 2 AS y, x // 2 AS x, CAST(v AS DOUBLE) AS v FROM px WHERE y % 2 = 1 AND x % 2 = 1")
+def zarr_resized(spark, sf):
+    """All planes as one movie, resized to the nearest pixels and written anew."""
+    folder = f"{checkpoint_dir(spark)}/zarr-{uuid.uuid4()}"
+    movie = X.planes(spark, sf).select(F.lit("scene_0").alias("path"), F.col("image_id").cast("int").alias("t"), F.lit(0).alias("c"), F.lit(0).alias("z"), "h", "w", "data")
+    zarr.write_zarr(movie, folder, dtype="uint8", chunk=8)
+    zarr.resize_zarr(spark, f"{folder}/scene_0.zarr", f"{folder}/half", 0.5, nearest=True)
+    return of_files(zarr.read_zarr(spark, f"{folder}/half"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k.removesuffix("_query"): f for k, f in QUERIES.items()}
 

@@ -14,6 +14,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions.graph import cut
 from ..functions.planes import matrix
+from ..plans.catalog import label_type
 from . import tiff
 from .store import replacing
 
@@ -32,6 +33,24 @@ def image_names(planes: DataFrame, folder: str, name: str, end: str) -> Column:
     return F.concat(F.lit(f"{folder.rstrip('/')}/"), stem, F.lit(end))
 
 
+def label_dtype(planes: DataFrame, source: str = "uint32") -> str:
+    """The type that label planes are written with: that of their source if it holds the largest label."""
+    return label_type(int(planes.agg(F.max(F.array_max("data"))).first()[0] or 0), source)
+
+
+def select_files(files: DataFrame, ends: Sequence[str], path: str = "path") -> DataFrame:
+    """The files whose names end with one of `ends`, in any case."""
+    chosen = F.lit(False)
+    for e in ends:
+        chosen = chosen | F.lower(path).endswith(e.lower())
+    return files.where(chosen)
+
+
+def write_labels(planes: DataFrame, folder: str, name: str = "path", source: str = "uint32", suffix: str = "_labels") -> DataFrame:
+    """Label planes as TIFF files `{name}{suffix}.tif`, in the narrowest type that holds all labels, with the axes' sizes."""
+    return write_images(planes, folder, name, label_dtype(planes, source), end=suffix)
+
+
 def write_images(planes: DataFrame, folder: str, name: str = "path", dtype: str = "uint16", form: str = "tif", end: str = "") -> DataFrame:
     """Writes planes (name, t, c, z, h, w, data) as one TIFF or .npy file an image and returns (image, planes) of what was written.
 

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.graph import cut
-from ..functions.planes import lists, matrix
+from ..functions.planes import lists, matrix, on_planes
+from ..operators.enhance import resize_yx
+from ..operators.inspection import level_scales
 from .store import names_in, read_whole, replacing
 
 AXES = "tczyx"
@@ -69,7 +71,9 @@ def described(path: str, level: str | int = 0) -> dict:
     else:
         raise ValueError(f"{path}: no array at level {level!r}")
     axes = (axes or AXES[-len(shape) :]).lower()
-    return {"path": path, "level": name, "shape": shape, "chunk": chunk, "axes": axes, **spec}
+    own = next((d for d in scales.get("datasets", []) if d["path"] == name), {}).get("coordinateTransformations", [])
+    scale = next((t["scale"] for t in own if t.get("type") == "scale"), [1.0] * len(axes))
+    return {"path": path, "level": name, "shape": shape, "chunk": chunk, "axes": axes, "scale": dict(zip(axes, scale, strict=True)), **spec}
 
 
 def chunk_plan(spark: SparkSession, images: Sequence[str] | DataFrame, level: int = 0) -> DataFrame:
@@ -150,6 +154,24 @@ def read_zarr(spark: SparkSession, folder: str, level: int = 0) -> DataFrame:
     return load_chunks(chunk_plan(spark, images_in(folder), level))
 
 
+def resize_zarr(spark: SparkSession, image: str, folder: str, scale_factor: float, levels: int = 1, nearest: bool = False, chunk: int = 512) -> DataFrame:
+    """An image made smaller or larger in y and x, as a new one of `folder` whose metadata have the new scale; (image, planes).
+
+    Labels take the nearest pixel, others linear weights.
+    """
+    d = described(image)
+    size = dict(zip(d["axes"], d["shape"], strict=True))
+    target = {a: max(1, round(size[a] * scale_factor)) for a in "yx"}
+    planes = read_zarr(spark, image)
+    if nearest:
+        at = {a: np.minimum(((np.arange(target[a]) + 0.5) * size[a] / target[a]).astype(int), size[a] - 1) for a in "yx"}
+        planes = on_planes(planes, lambda s: s[:, at["y"]][:, :, at["x"]])
+    else:
+        planes = resize_yx(planes, scale_factor, np.dtype(d["dtype"]).kind in "ui")
+    new = level_scales(d["scale"], size, {**size, **target}, 1)[0]
+    return write_zarr(planes, folder, dtype=np.dtype(d["dtype"]).name, chunk=chunk, levels=levels, scale=new)
+
+
 def write_zarr(planes: DataFrame, folder: str, name: str = "path", dtype: str = "uint16", chunk: int = 512, levels: int = 1, scale: dict[str, float] | None = None) -> DataFrame:
     """Writes planes (name, t, c, z, h, w, data) as images `{folder}/{name}.zarr` and returns (image, planes) of what was written.
 
