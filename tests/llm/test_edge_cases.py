@@ -112,6 +112,8 @@ def test_urls(spark):
     assert got == [(1, "allow", "a.example.com"), (1, "allow", "a.example.com"), (1, "block", "example.com"), (2, "none", ""), (3, "none", ""), (4, "none", "")]
     assert urls.judge(captures.where("false"), dated).count() == 0
     assert {r["action"] for r in urls.judge(captures, dated.where("false")).collect()} == {"none"}
+    address = captures.limit(1).withColumn("url", F.lit("http://1.2.3.4/x"))
+    assert urls.judge(address, dated.limit(1).withColumn("pattern", F.lit("3.4"))).first()["action"] == "none" and urls.judge(address, dated.limit(1).withColumn("pattern", F.lit("1.2.3.4"))).first()["action"] == "block"
     kept = urls.filter_urls(captures, dated)
     assert kept.columns == captures.columns and kept.count() == 5
 

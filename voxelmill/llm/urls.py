@@ -12,7 +12,7 @@ equal pattern and month and each pair meets only intervals of its month.
 A null or unparsable url has no host, a null day no entries: such captures are kept with action `none`. Of
 several entries for a pattern on one day block wins over allow and allow over remove. Entries with a null
 pattern or day, or an action of another name, are ignored. Repeated rows are judged alike and all returned.
-Empty lists decide nothing; an empty table of captures gives an empty result.
+An address in digits is no part of another. There is no list of public suffixes: an entry for `co.uk` holds for all below it. Empty lists decide nothing; an empty table of captures gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 #: Days of a month of the join.
 MONTH = 30
 STRENGTH = ["remove", "allow", "block"]
+#: A host of digits and dots.
+ADDRESS = r"^[0-9.]+$"
 
 
 def host_of(url: Column) -> Column:
@@ -34,9 +36,13 @@ def host_of(url: Column) -> Column:
 
 
 def suffixes(host: Column) -> Column:
-    """The host and its parent domains down to two labels; a host of one label is its own only one."""
+    """The host and its parent domains down to two labels; a host of one label and an IPv4 address are their own only ones."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
+    return F.when(host.rlike(ADDRESS), F.array(host)).otherwise(parents(labels, n))
+
+
+def parents(labels: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, n), "."))
 
 
@@ -114,7 +120,7 @@ valid AS (SELECT pattern, strength, listed_on, lead(listed_on) OVER (PARTITION B
 pairs AS (SELECT DISTINCT host, fetched_on FROM captures WHERE host IS NOT NULL AND fetched_on IS NOT NULL),
 best AS (
   SELECT host, fetched_on, pattern, listed_on, strength FROM pairs JOIN valid
-    ON (host = pattern OR ends_with(host, '.' || pattern)) AND listed_on <= fetched_on AND (until IS NULL OR fetched_on < until)
+    ON (host = pattern OR ends_with(host, '.' || pattern) AND NOT regexp_matches(host, '^[0-9.]+$')) AND listed_on <= fetched_on AND (until IS NULL OR fetched_on < until)
   WHERE strength > 1 QUALIFY row_number() OVER (PARTITION BY host, fetched_on ORDER BY length(pattern) DESC) = 1
 )
 SELECT page_id, url, c.host AS host, strftime(c.fetched_on, '%Y-%m-%d') AS fetched_on, CASE strength WHEN 3 THEN 'block' WHEN 2 THEN 'allow' ELSE 'none' END AS action,
