@@ -369,3 +369,24 @@ def test_pipeline(spark):
     assert len({classes[k] for k in kept}) == len(kept)
     leaked = {r["doc_id"] for r in queries.op10_decontaminate(spark, BIG).where("contaminated").collect()}
     assert not kept & leaked
+
+
+def test_long_texts_in_pieces_give_the_same(monkeypatch):
+    """With small pieces every text is a long one; scores, shingles and spans stay what they are."""
+    from voxelmill.llm import toxicity, words
+
+    rng = np.random.default_rng(12)
+    text = " ".join(f"{'ABcdé'[k % 5]}w{k}ö漢" if k % 7 else "дом, 12 - кот" for k in rng.integers(0, 400, 3000)) + "x" * 500 + " end"
+    data, off = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+    pw = Powers()
+    model = language.LanguageModel(["a", "b", "c"], rng.normal(-9, 3, (language.BINS, 3)).astype(np.float32), rng.random((language.Tables().load().scripts, 3)) < 0.7, language.Tables())
+    whole = [toxicity.terms(data, off, pw), words.hashed_words(data, off, pw), neardup.shingle_sets(data, off, pw, 5)[0], model.label(data, off)]
+    for module in (words, toxicity, language):
+        monkeypatch.setattr(module, "PIECE", 64)
+    monkeypatch.setattr(words.pieces, "__defaults__", (64,))
+    parts = [toxicity.terms(data, off, pw), words.hashed_words(data, off, pw), neardup.shingle_sets(data, off, pw, 5)[0], model.label(data, off)]
+    for a, b in zip(whole[:3], parts[:3], strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+    assert whole[3][0] == parts[3][0] and np.allclose(whole[3][1], parts[3][1]) and np.array_equal(whole[3][3], parts[3][3])
+    assert language.spans(model, 1, *whole[3][2:]) == language.spans(model, 1, *parts[3][2:])
+    assert [text.encode()[a:z] for a, z in words.pieces(data)] and b"".join(data[a:z].tobytes() for a, z in words.pieces(data)) == text.encode()

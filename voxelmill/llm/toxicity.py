@@ -36,8 +36,12 @@ PREFIXES = (4, 5, 6, 7, 8)
 def terms(data: np.ndarray, off: np.ndarray, pw: Powers, slot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, term) without repeats, by row: the hashed terms, or their slots (above 0) if given."""
     if len(off) == 2 and len(data) > 2 * PIECE:
-        every = np.unique(np.concatenate([terms(data[a:z], np.array([0, z - a]), pw, slot)[1] for a, z in pieces(data)]))
+        every = np.unique(np.concatenate([terms_of(data[a:z], np.array([0, z - a]), pw, slot)[1] for a, z in pieces(data)]))
         return np.zeros(len(every), np.int64), every
+    return terms_of(data, off, pw, slot)
+
+
+def terms_of(data: np.ndarray, off: np.ndarray, pw: Powers, slot: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     b, s, e, row = word_spans(data, off)
     h = prefix_sums(b, pw)
     each = [span_hash(h, s, e, pw)]

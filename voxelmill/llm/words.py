@@ -100,11 +100,15 @@ def pieces(data: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
 
 def hashed_words(data: np.ndarray, off: np.ndarray, pw: Powers) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each word; a text beyond PIECE is dealt with piece by piece."""
+
+    def hashed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        b, s, e, row = word_spans(data, off)
+        return span_hash(prefix_sums(b, pw), s, e, pw), row
+
     if len(off) == 2 and len(data) > 2 * PIECE:
-        each = [hashed_words(data[a:z], np.array([0, z - a]), pw) for a, z in pieces(data)]
+        each = [hashed(data[a:z], np.array([0, z - a])) for a, z in pieces(data)]
         return np.concatenate([h for h, _ in each]), np.concatenate([r for _, r in each])
-    b, s, e, row = word_spans(data, off)
-    return span_hash(prefix_sums(b, pw), s, e, pw), row
+    return hashed(data, off)
 
 
 def prefix_sums(b: np.ndarray, pw: Powers) -> np.ndarray:
