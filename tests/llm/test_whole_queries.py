@@ -62,21 +62,19 @@ def test_toxicity(spark):
         assert got[k]["score"] == pytest.approx(score, abs=1e-9) and got[k]["predicted"] == int(got[k]["score"] >= 0.7) and got[k]["held_out"] == crc_is(k, 3, 1)
 
 
-def test_pairs_of_terms_that_tell_nothing_alone():
-    rng = np.random.default_rng(5)
-    for together in (0, 1):
-        docs, y = [], []
-        for _ in range(1200):
-            a, b = rng.integers(0, 2, 2)
-            own = [f"w{x}" for x in rng.zipf(1.3, 40) % 5000] + ["insult"] * a + ["group"] * b
-            docs.append(" ".join(rng.permutation(own)).encode())
-            y.append(float((a == b) == together))
-        data, off, y = np.frombuffer(b"".join(docs), np.uint8), np.cumsum([0] + [len(d) for d in docs]), np.array(y)
-        row, term = toxicity.terms(data, off, toxicity.Powers())
-        learn = row < 800
-        assert len(toxicity.choose(row[learn], term[learn], y[:800], 3, 3.5)) < 5
-        model = toxicity.fit_sample(row[learn], term[learn], y[:800], 0.5, 4, 3, 3.5, 12, 11)
-        assert (((model.score(data, off) > 0.5) == y)[800:]).mean() > 0.98
+@pytest.mark.parametrize("together", [0, 1])
+def test_pairs_of_terms_that_tell_nothing_alone(spark, together):
+    """Toxic with one of two words but not both, or with both or neither: each word is balanced."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(1200):
+        a, b = rng.integers(0, 2, 2)
+        own = [f"w{x}" for x in rng.zipf(1.3, 40) % 5000] + ["insult"] * a + ["group"] * b
+        rows.append((k, " ".join(rng.permutation(own)), int((a == b) == together)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    args = docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.col("doc_id") < 800
+    right = lambda model: docs.where("doc_id >= 800").join(toxicity.score_toxicity(docs, model), "doc_id").where((F.col("score") > 0.5).cast("int") == F.col("toxic")).count() / 400
+    assert right(toxicity.fit_toxicity(*args)) > 0.98
+    assert right(toxicity.fit_toxicity(*args, least_pair=10**9)) < 0.75  # single terms don't do
 
 
 def test_quality(spark):

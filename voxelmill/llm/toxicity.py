@@ -86,37 +86,20 @@ def machine(w0: float, w: np.ndarray, v: np.ndarray, row: np.ndarray, term: np.n
     return w0 + np.bincount(row, w[term], n) + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
-def choose(row: np.ndarray, term: np.ndarray, y: np.ndarray, least_df: int, z: float) -> np.ndarray:
-    """Terms in at least `least_df` documents whose share of label 1 differs from the mean by `z` deviations."""
-    df = np.bincount(term, minlength=1 << BITS)
-    pos = np.bincount(term[(y == 1)[row]], minlength=1 << BITS)
-    p = y.mean()
-    far = np.abs(pos - df * p) >= z * np.sqrt(np.maximum(df, 1) * p * (1 - p))
-    return np.flatnonzero(far & (df >= least_df))
+def telling(df, pos, p, z: float):
+    """Whether a share of label 1 differs from the mean p by `z` deviations, of numbers or of columns."""
+    return (pos - df * p) ** 2 >= z * z * df * p * (1 - p)
 
 
-def choose_pairs(row: np.ndarray, term: np.ndarray, y: np.ndarray, missed: np.ndarray, least_df: int, share: float, z: float) -> np.ndarray:
-    """Terms of pairs whose share of label 1, where both are there, differs from the mean by `z` deviations.
-
-    Pairs are those of terms that are each in `least_df` documents and in a `share` of the `missed` documents
-    of one label; all pairs of those are counted over the whole sample, in blocks.
-    """
-    some = np.zeros(1 << BITS, bool)
-    for c in (0, 1):
-        own = missed & (y == c)
-        some |= np.bincount(term[own[row]], minlength=1 << BITS) >= max(least_df, share * own.sum())
-    names = np.flatnonzero(some)
-    place = np.full(1 << BITS, -1)
-    place[names] = np.arange(len(names))
+def choose_pairs(row: np.ndarray, term: np.ndarray, y: np.ndarray, names: np.ndarray, least_df: int, z: float) -> np.ndarray:
+    """Those of `names` that are in a telling pair: one in `least_df` documents whose share of label 1 differs from the mean by `z` deviations. Pairs are counted in blocks."""
     has = np.zeros((len(y), len(names)), np.float32)
-    k = place[term] >= 0
-    has[row[k], place[term[k]]] = 1
+    has[row, np.searchsorted(names, term)] = 1
     p, told = y.mean(), np.zeros(len(names), bool)
     for lo in range(0, len(names), 512):
         block = has[:, lo : lo + 512]
         both = block.T @ has
-        ones = block[y == 1].T @ has[y == 1]
-        far = (both >= least_df) & (np.abs(ones - both * p) >= z * np.sqrt(np.maximum(both, 1) * p * (1 - p)))
+        far = (both >= least_df) & telling(both, block[y == 1].T @ has[y == 1], p, z)
         far[np.arange(len(far)), lo + np.arange(len(far))] = False  # a term with itself
         told |= far.any(0)
     return names[told]
@@ -167,27 +150,38 @@ def fit_terms(row: np.ndarray, term: np.ndarray, y: np.ndarray, chosen: np.ndarr
     return ToxicityModel(chosen, w0, np.r_[w, np.zeros(more)], np.r_[v, np.zeros((more, factors))])
 
 
-def fit_sample(row: np.ndarray, term: np.ndarray, y: np.ndarray, prior: float, factors: int, least_df: int, z: float, epochs: int, seed: int, least_pair: int = 8, pair_share: float = 0.02, pair_z: float = 6.0) -> ToxicityModel:
-    """A machine of terms that tell something alone and, where that misjudges documents, one with those of telling pairs too."""
-    chosen = choose(row, term, y, least_df, z)
-    model = fit_terms(row, term, y, chosen, prior, factors, epochs, seed)
-    slot = np.zeros(1 << BITS, np.int32)
-    slot[chosen] = np.arange(1, len(chosen) + 1)
-    own = slot[term]
-    value, _ = machine(model.w0, model.w, model.v, row[own > 0], own[own > 0].astype(np.int64), len(y))
-    missed = (y == 1) != (value > 0)
-    more = np.union1d(chosen, choose_pairs(row, term, y, missed, least_pair, pair_share, pair_z))
-    return model if len(more) == len(chosen) else fit_terms(row, term, y, more, prior, factors, epochs, seed)
+def sets_of(every: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and labels of the sample (__id, y, t) in order of ids, and (row, term) of those of its terms that are wanted."""
+    often = np.zeros(1 << BITS, bool)
+    often[wanted] = True
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("t")
+            flat = lists.flatten().to_numpy()
+            kept, row = often[flat], np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            ends = np.r_[0, np.cumsum(np.bincount(row[kept], minlength=len(lists)))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[kept]))], names=["__id", "y", "t"])
+
+    found = every.mapInArrow(thinned, every.schema).toArrow()
+    lists, ids = found.column("t").combine_chunks(), found.column("__id").to_numpy()
+    order = np.argsort(ids, kind="stable")  # so that reruns fit the same
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return ids[order], found.column("y").to_numpy().astype(float)[order], np.repeat(place, np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().astype(np.int64)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, per_class: int = 4000, factors: int = 4, least_df: int = 3, z: float = 3.5, epochs: int = 12, seed: int = 11) -> ToxicityModel:
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, learn, per_class: int = 4000, factors: int = 4, least_df: int = 3, z: float = 3.5, epochs: int = 12, seed: int = 11, least_pair: int = 8, pair_share: float = 0.02, pair_z: float = 6.0
+) -> ToxicityModel:
     """Learns from at most `per_class` documents of either label that satisfy `learn`.
 
-    The driver gets the sets of those documents' hashed terms, without terms of fewer than `least_df` of them,
-    and nothing of other documents. The share of label 1 among all of `labels` that satisfy `learn` is the prior
-    of the scores.
+    Their terms stay in a table; the driver gets those that tell something alone (in `least_df` documents, by `z`
+    deviations), then, to search for pairs, those that are in `least_pair` of the misjudged documents of one label and in
+    `pair_share` of them. Pairs are telling by `pair_z` deviations over the whole sample. The share of label 1
+    among all of `labels` that satisfy `learn` is the prior of the scores.
     """
-    scratch = Scratch(docs.sparkSession)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", learn, per_class, seed)
     pw = Powers()
 
@@ -196,30 +190,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, per_class: int = 400
         return [np.split(term.astype(np.int32), np.searchsorted(row, np.arange(1, len(o) - 1)))]
 
     every = scratch.cut(map_text(sample, ["__id", "y"], "text", sets, [T.StructField("t", T.ArrayType(T.IntegerType()))]))
-    counted = every.select(F.explode("t").alias("t")).groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") >= least_df).toArrow()
-    often = np.zeros(1 << BITS, bool)
-    often[counted.column("t").to_numpy()] = True
-
-    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("t")
-            flat = lists.flatten().to_numpy()
-            kept, row = often[flat], np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            ends = np.r_[0, np.cumsum(np.bincount(row[kept], minlength=len(lists)))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[kept]))], names=["__id", "y", "t"])
-
-    found = every.mapInArrow(thinned, every.schema).toArrow()
-    scratch.keep()
-    y = found.column("y").to_numpy().astype(float)
-    if len(set(y.tolist())) < 2:
+    n = {r["y"]: r["count"] for r in every.groupBy("y").count().collect()}
+    if len(n) < 2:
         return ToxicityModel(np.zeros(0, np.int64), 0.0, np.zeros(1), np.zeros((1, factors)))
-    prior = labels.where(learn & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
-    lists = found.column("t").combine_chunks()
-    order = np.argsort(found.column("__id").to_numpy(), kind="stable")  # so that reruns fit the same
-    place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
-    row = np.repeat(place, np.diff(lists.offsets.to_numpy()))
-    return fit_sample(row, lists.flatten().to_numpy(), y[order], min(max(prior, 1e-3), 1 - 1e-3), factors, least_df, z, epochs, seed)
+    prior = min(max(labels.where(learn & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0], 1e-3), 1 - 1e-3)
+    counted = every.select("y", F.explode("t").alias("t")).groupBy("t").agg(F.count("*").cast("double").alias("df"), F.sum("y").alias("pos"))
+    alone = counted.where((F.col("df") >= least_df) & telling(F.col("df"), F.col("pos"), n[1] / (n[0] + n[1]), z))
+    chosen = np.sort(alone.select("t").toArrow().column("t").to_numpy().astype(np.int64))
+    ids, y, row, term = sets_of(every, chosen)
+    model = fit_terms(row, term, y, chosen, prior, factors, epochs, seed)
+    missed = (y == 1) != (machine(model.w0, model.w, model.v, row, np.searchsorted(chosen, term) + 1, len(y))[0] > 0)
+    if missed.any():
+        lost = spark.createDataFrame([(i.item() if isinstance(i, np.generic) else i,) for i in ids[missed]], T.StructType([every.schema["__id"]]))
+        least = F.when(F.col("y") == 1, max(least_pair, pair_share * (missed & (y == 1)).sum())).otherwise(max(least_pair, pair_share * (missed & (y == 0)).sum()))
+        common = every.join(F.broadcast(lost), "__id").select("y", F.explode("t").alias("t")).groupBy("y", "t").count().where(F.col("count") >= least)
+        names = np.unique(common.select("t").toArrow().column("t").to_numpy().astype(np.int64))
+        more = np.union1d(chosen, choose_pairs(*sets_of(every, names)[2:], y, names, least_pair, pair_z)) if len(names) else chosen
+        if len(more) > len(chosen):
+            _, _, row, term = sets_of(every, more)
+            model = fit_terms(row, term, y, more, prior, factors, epochs, seed)
+    scratch.keep()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
