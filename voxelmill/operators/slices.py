@@ -83,17 +83,29 @@ def zoom_map(n: int, scale: float) -> list[tuple[int, int]]:
     return out
 
 
+def zoomed_to(source: Column, n: Column, scale: float) -> Column:
+    """`zoom_map` where the length of the axis is a column: the targets of one source index."""
+    new = F.rint(n * scale)
+    offset = ((n - new) / 2).cast("int")
+    first, last = F.floor(source * new / n) - 1, F.ceil((source + 1) * new / n) + 1
+    own = lambda j: (j >= 0) & (j < new) & (F.least(n - 1, F.floor((j + 0.5) * n / new)) == source) & (j + offset >= 0) & (j + offset < n)
+    return F.transform(F.filter(F.sequence(first.cast("int"), last.cast("int")), own), lambda j: (j + offset).cast("int"))
+
+
 @register("Resize Labels (Nearest)", "_scaled")
-def resize_labels(labels: DataFrame, axes: dict[str, int], scale_factor: float = 1.0, label: str = "label") -> DataFrame:
+def resize_labels(labels: DataFrame, axes: dict[str, int | str], scale_factor: float = 1.0, label: str = "label") -> DataFrame:
     """Objects scaled about the centre of the grid, which keeps its size; background is left out.
 
-    Every axis has a map from source to target indices; a row meets it in an array lookup, so no rows are
-    shuffled and a source pixel becomes as many targets as the map says.
+    axes: the length of each, or the column that has it. Every axis has a map from source to target indices; a row meets
+    it by itself, so no rows are shuffled and a source pixel becomes as many targets as the map says.
     """
     out = labels.where(F.col(label) != 0)
     if scale_factor == 1.0:
         return out
     for axis, n in axes.items():
+        if isinstance(n, str):
+            out = out.withColumn(axis, F.explode(zoomed_to(F.col(axis), F.col(n), scale_factor)))
+            continue
         targets: list[list[int]] = [[] for _ in range(n)]
         for source, target in zoom_map(n, scale_factor):
             targets[source].append(target)
@@ -117,16 +129,12 @@ def subdivide_labels(labels: DataFrame, block: Sequence[str], axes: dict[str, in
         cut_axis = cut_axis or next(iter(axes))
         area = there.groupBy(*block, cut_axis).agg(F.count("*").alias("__n"))
         ends = area.groupBy(*block).agg(F.min(cut_axis).alias("__lo"), F.max(cut_axis).alias("__hi"), F.min_by("__n", cut_axis).alias("__first"), F.max_by("__n", cut_axis).alias("__last"))
-        lengths = [r[0] for r in ends.select((F.col("__hi") - F.col("__lo") + 1).alias("n")).distinct().collect()]
         ends = ends.withColumn("__start", F.col("__first") >= F.col("__last")).withColumn("__n", F.col("__hi") - F.col("__lo") + 1)
         placed = there.join(ends, block)
         i, n, start = F.col(cut_axis) - F.col("__lo"), F.col("__n"), F.col("__start")
         own, other = F.when(start, n + i).otherwise(i), F.when(start, n - 1 - i).otherwise(2 * n - 1 - i)
-        whole = placed.withColumn(cut_axis, F.explode(F.array(own, other)))
-        parts = [layered(whole.where(F.col("__n") == k).select(*block, *axes, label), block, sizes | {cut_axis: 2 * k}, top, label) for k in lengths]
-        out = parts[0] if parts else layered(there, block, sizes, top, label)
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        whole = placed.withColumn(cut_axis, F.explode(F.array(own, other))).select(*block, *axes, label, (2 * n).alias("__length"))
+        out = layered(whole, block, sizes | {cut_axis: "__length"}, top, label)
         back = out.join(ends.select(*block, "__lo", "__n", "__start"), block)
         kept = back.where(F.when(F.col("__start"), F.col(cut_axis) >= F.col("__n")).otherwise(F.col(cut_axis) < F.col("__n")))
         return kept.withColumn(cut_axis, F.col(cut_axis) - F.when(F.col("__start"), F.col("__n")).otherwise(0) + F.col("__lo")).select(*block, *axes, label)
@@ -137,7 +145,7 @@ def layered(there: DataFrame, block: list[str], axes: dict[str, int], top: DataF
     keys = [*block, *axes]
     part = lambda scale, name: resize_labels(there, axes, scale, label).select(*keys, F.col(label).alias(name))
     inner, middle = part(0.33, "__inner"), part(0.67, "__middle")
-    joined = there.withColumnRenamed(label, "__full").join(middle, keys, "full").join(inner, keys, "full").join(top, block)
+    joined = there.select(*keys, F.col(label).alias("__full")).join(middle, keys, "full").join(inner, keys, "full").join(top, block)
     none = lambda c: F.col(c).isNull()
     out = F.when(~none("__full") & none("__middle"), F.col("__full") + 2 * F.col("__top")).when(~none("__middle") & none("__inner"), F.col("__middle") + F.col("__top")).otherwise(F.col("__inner"))
     return joined.select(*keys, out.alias(label)).where(F.col(label).isNotNull())
