@@ -96,6 +96,32 @@ def test_fingerprint(docs, none):
     assert one["near_next"] == 1.0  # the only document is its own next one
 
 
+def test_fingerprint_of_any_ids(spark, docs):
+    """Integers of other widths, strings, and one id for a third of the rows: each row's next one is the next by id, hash and text."""
+    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text").dropDuplicates(["doc_id"])
+    want = {r["doc_id"]: r["edited_sha256"] for r in fingerprint.edited_query(known).collect()}
+    for kind in ("int", "short"):
+        assert {r["doc_id"]: r["edited_sha256"] for r in fingerprint.edited_query(known.withColumn("doc_id", F.col("doc_id").cast(kind))).collect()} == want
+    assert {r["key"]: r["edited_sha256"] for r in fingerprint.edited_query(known.select(F.concat(F.lit("k"), "doc_id").alias("key"), "text"), "key").collect()} == {f"k{k}": v for k, v in want.items()}
+    hot = spark.range(300).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 10).alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.xxhash64(F.concat(F.lit("text number "), F.col("id").cast("string"))).alias("h"))
+    rows = hot.orderBy("doc_id", "h").collect()
+    import hashlib
+
+    plain = sorted((a["doc_id"], hashlib.sha256((a["text"][: len(a["text"]) - len(a["text"]) // 4] + b["text"][: len(a["text"]) // 4]).encode()).hexdigest()) for a, b in zip(rows, rows[1:] + rows[:1], strict=True))
+    assert sorted((r["doc_id"], r["edited_sha256"]) for r in fingerprint.edited_query(hot).collect()) == plain
+    with pytest.raises(TypeError):
+        fingerprint.edited_query(known.withColumn("doc_id", F.col("doc_id").cast("double")))
+
+
+def test_odd_columns(spark):
+    """Maps, dots and the operators' own names among the columns."""
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("words of the text number "), (F.col("id") % 20).cast("string")).alias("text"), F.lit("s").alias("source"), F.create_map(F.lit("k"), "id").alias("m"), F.lit(1).alias("a.b"), F.lit(2).alias("key"), F.lit(3).alias("size"), F.lit(4).alias("copies"), F.lit(5).alias("name"), F.lit(6).alias("row"))
+    mixed = mixing.mix(rows)
+    assert mixed.columns == rows.columns and mixed.count() == 40
+    kept = neardup.first_of_classes(rows)
+    assert kept.columns == rows.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
+
+
 def test_archives(spark):
     pages = spark.createDataFrame([(3, "http://a/ b", "x\r\n\r\nWARC/1.1\r\n"), (1, None, "x\r\n\r\nWARC/1.1\r\n"), (None, "u", "é"), (2, "u", None), (5, "u", ""), (5, "u", ""), (6, "u", LONG)], "page_id long, url string, html string")
     got = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_query(pages).collect())
