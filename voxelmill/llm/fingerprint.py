@@ -131,7 +131,7 @@ def neighbours(docs: DataFrame, id_col: str, text: str, parts: int) -> DataFrame
     """(id, text, ahead) dealt by ranges of (id, hash of the text) and sorted within them, so that each row's next one follows it.
 
     Each range ends with the first row of the next range, or of all rows after the last one; there
-    `ahead` is true. Ranges are cut by SAMPLED rows for each, those with the smallest hashes.
+    `ahead` is true. Ranges are cut by about SAMPLED rows for each, those whose hashes are below a share; equal rows count once.
     """
     kind = docs.schema[id_col].dataType
     if not isinstance(kind, T.IntegralType | T.StringType):
@@ -140,7 +140,8 @@ def neighbours(docs: DataFrame, id_col: str, text: str, parts: int) -> DataFrame
     none = "" if texts else -(1 << 63)
     rows = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     key = F.coalesce(F.col("id"), F.lit(none)) if texts else F.coalesce(F.col("id").cast("long"), F.lit(none))
-    picked = rows.select(key.alias("k"), "h").orderBy(F.xxhash64("k", "h")).limit(SAMPLED * parts).collect() if parts > 1 else []
+    share = min(1.0, SAMPLED * parts / max(1, docs.count()))
+    picked = rows.select(key.alias("k"), "h").where(F.pmod(F.xxhash64("k", "h"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().collect() if parts > 1 else []
     at = sorted(((r["k"].encode() if texts else r["k"]), r["h"]) for r in picked)
     cuts = sorted({at[k * len(at) // parts] for k in range(1, parts)}) if at else []
     cut_ids, cut_hashes = np.array([c for c, _ in cuts], object if texts else np.int64), [h for _, h in cuts]
