@@ -177,12 +177,12 @@ def test_parts_of_a_large_benchmark_find_the_same(spark):
     more = spark.createDataFrame([("1001", f"{shared} one"), ("1002", f"two {shared}"), (None, f"{shared} lambda mu")], "item_id string, text string")
     bench = read(spark, BIG, "benchmark").select(F.col("item_id").cast("string").alias("item_id"), "text").unionByName(more)
     docs = read(spark, BIG, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(10**9, f"x {shared} y"), (10**9, f"x {shared} y"), (10**9 + 1, f"{shared} lambda mu"), (10**9 + 2, None)], "doc_id long, text string"))
-    assert len(list(decontaminate.automata(decontaminate.windows_of(bench), 4000))) > 3
-    whole, parts = (decontaminate.find_leaks(docs, bench, most_bytes=n).collect() for n in (1 << 26, 4000))
+    assert len(list(decontaminate.automata(decontaminate.windows_of(bench), 40000))) > 3
+    whole, parts = (decontaminate.find_leaks(docs, bench, most_bytes=n).collect() for n in (1 << 26, 40000))
     assert sorted(whole, key=str) == sorted(parts, key=str)
     got = {r["doc_id"]: r for r in parts}
     assert got[10**9]["items"] == ["1001", "1002", None] and got[10**9]["n_hit"] == 10 and got[10**9 + 1]["n_hit"] == 12 and got[10**9 + 2]["n_hit"] == 0
-    kept = [{r["doc_id"] for r in decontaminate.remove_leaks(docs, bench, most_bytes=n).collect()} for n in (1 << 26, 4000)]
+    kept = [{r["doc_id"] for r in decontaminate.remove_leaks(docs, bench, most_bytes=n).collect()} for n in (1 << 26, 40000)]
     assert kept[0] == kept[1] == {r["doc_id"] for r in whole if not r["n_hit"]}
 
 
