@@ -11,9 +11,12 @@ from .common import read
 from .decontaminate import DECONTAMINATE_SQL, decontaminate_query
 from .fingerprint import edited_query
 from .language import language_query
+from .licenses import license_query
+from .manifest import MANIFEST_SQL, manifest_query
 from .mixing import mixing_query
 from .neardup import neardup_query
 from .quality import quality_query
+from .search import SEARCH_SQL, search_query
 from .toxicity import toxicity_query
 from .urls import URL_SQL, url_query
 from .warc import ARCHIVE_SQL, archive_query
@@ -59,10 +62,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_query(read(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_query(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_toxicity, op2_chat, op3_quality, op4_neardup, op5_language, op6_mixing, op7_fingerprint, op8_urls, op9_warc, op10_decontaminate)
+    each = (op1_toxicity, op2_chat, op3_quality, op4_neardup, op5_language, op6_mixing, op7_fingerprint, op8_urls, op9_warc, op10_decontaminate, op11_search, op12_manifest, op13_licenses)
     return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": CHAT_SQL, "op8_urls": URL_SQL, "op9_warc": ARCHIVE_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
+    return {"op2_chat": CHAT_SQL, "op8_urls": URL_SQL, "op9_warc": ARCHIVE_SQL, "op10_decontaminate": DECONTAMINATE_SQL, "op11_search": SEARCH_SQL, "op12_manifest": MANIFEST_SQL}
