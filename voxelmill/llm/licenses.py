@@ -6,7 +6,8 @@ template has end every stretch; single known words among unknown ones are passed
 
 * A **phrase** stands at each place where the automaton's state, or one that its suffix links lead to, is the phrase's and
   the stretch is long enough. So all places are found, also within longer matches.
-* **Matches** are stretches that can't go on. Those of `LONG` words and more are placed in the templates that hold them and chained: both in
+* **Matches** are stretches of `LONG` words and more that stand in a template and don't go on there with the text's next word; the state and
+  those that its links lead to give them for all templates, also while another template's goes on. They are chained: both in
   the text and in the template a match comes after the one before, at most `GAP` words on, and what overlaps counts once. A chain
   that covers `COVER` of its template is a span with the template's label; of spans of one template that overlap the
   better covered stays.
@@ -71,6 +72,13 @@ class Automaton:
         for v in reversed(by_length):
             if self.length[self.link[v]] >= LONG:
                 self.ends[self.link[v]] += self.ends[v]
+        # What stands in a template as long as a state's stretch or its suffixes: template, end, longest, and the word that goes on.
+        self.stops: list[list[tuple[int, int, int, int]]] = [[] for _ in self.next]
+        for v in by_length:
+            if self.length[v] >= LONG:
+                own = set(self.ends[v])
+                follow = lambda k, p: self.number[texts[k][p].encode()] if p < len(texts[k]) else -1
+                self.stops[v] = [(k, p, self.length[v], follow(k, p)) for k, p in sorted(own)] + [s for s in self.stops[self.link[v]] if s[:2] not in own]
         self.alone = any(len(words) == 1 for _, words in short)
         # The phrases that end wherever a state's stretches do, if these are long enough.
         self.phrases: list[tuple[tuple[str, int], ...]] = [()] * len(self.next)
@@ -126,23 +134,28 @@ class Chains:
         self.open: dict[int, deque[tuple[int, int, int, int]]] = {}
         self.spans: dict[int, list[tuple[int, int, float]]] = {}
 
-    def add(self, end: int, size: int, state: int) -> None:
-        """A match of `size` words that ends before word `end`."""
-        for k, upto in self.of.ends[state]:
-            ends = self.open.setdefault(k, deque())
-            reach = self.of.sizes[k] + GAP
-            while ends and ends[0][0] < end - reach:
-                ends.popleft()
-            covered, start = size, end - size
-            for e, p, c, s in ends:
-                step, across = end - size - e, upto - size - p
-                if step <= GAP and across <= GAP and (total := c + size + min(0, step, across)) > max(c, covered) and p < upto:
-                    covered, start = total, s
-            ends.append((end, upto, covered, start))
-            share = min(1.0, covered / self.of.sizes[k])
-            self.best = max(self.best, share)
-            if share >= COVER:
-                self.keep(k, start, end, share)
+    def stop(self, end: int, size: int, state: int, word: int) -> None:
+        """A stretch of `size` words that ends before word `end` of the text, which is `word`."""
+        for k, upto, longest, follow in self.of.stops[state]:
+            if follow != word:
+                self.add(end, min(size, longest), k, upto)
+
+    def add(self, end: int, size: int, k: int, upto: int) -> None:
+        """A match with the `size` words of template k that end before its word `upto`."""
+        ends = self.open.setdefault(k, deque())
+        reach = self.of.sizes[k] + GAP
+        while ends and ends[0][0] < end - reach:
+            ends.popleft()
+        covered, start = size, end - size
+        for e, p, c, s in ends:
+            step, across = end - size - e, upto - size - p
+            if step <= GAP and across <= GAP and (total := c + size + min(0, step, across)) > max(c, covered) and p < upto:
+                covered, start = total, s
+        ends.append((end, upto, covered, start))
+        share = min(1.0, covered / self.of.sizes[k])
+        self.best = max(self.best, share)
+        if share >= COVER:
+            self.keep(k, start, end, share)
 
     def keep(self, k: int, start: int, end: int, share: float) -> None:
         own = self.spans.setdefault(k, [])
@@ -167,7 +180,8 @@ def scan(automaton: Automaton, data: np.ndarray) -> tuple[int, list[dict], list[
         known = np.r_[True, ids > 0, True]  # the next piece may go on
         for k in np.flatnonzero(known[1:-1] & (known[:-2] | known[2:] | automaton.alone)).tolist():
             c, at = int(ids[k]), n + k
-            before, full = size, state
+            if size >= LONG:
+                chains.stop(last + 1, size, state, c if at == last + 1 else 0)
             if at != last + 1:
                 state = size = 0
             while state and c not in step[state]:
@@ -175,15 +189,13 @@ def scan(automaton: Automaton, data: np.ndarray) -> tuple[int, list[dict], list[
                 size = length[state]
             if c in step[state]:
                 state, size = step[state][c], size + 1
-            if size != before + 1 and before >= LONG:
-                chains.add(last + 1, before, full)
             last = at
             for label, m in phrases[state]:
                 if m <= size:
                     places.append({"label": label, "word": at - m + 1})
         n += len(words)
     if size >= LONG:
-        chains.add(last + 1, size, state)
+        chains.stop(last + 1, size, state, 0)
     return n, places, chains.found(), 1.0 if places else chains.best
 
 
