@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelmill.functions import graph
-from voxelmill.operators import components, editing, enhance, inspection, labels, models, pixelmaps, regions, slices, stacks, stencils, thresholds, tracking
+from voxelmill.operators import components, editing, enhance, inspection, labels, models, pixelmaps, regions, slices, stacks, stencils, stitching, thresholds, tracking
 from voxelmill.plans import catalog, registry
 
 
@@ -473,4 +473,4 @@ def test_registry(spark):
 
 def test_level_scales():
     assert inspection.level_scales({"z": 2.0, "y": 0.5}, {"z": 4, "y": 100}, {"z": 4, "y": 50}, 2) == [{"z": 2.0, "y": 1.0}, {"z": 2.0, "y": 2.0}]
-    assert inspection.model_input(1000, 1000) == 1.0 and np.isclose(inspection.model_input(4000, 2000), 0.5) and models.block_count(100, 40, 10) == 3
+    assert inspection.model_input(1000, 1000) == 1.0 and np.isclose(inspection.model_input(4000, 2000), 0.5) and stitching.block_count(100, 40, 10) == 3

@@ -1,52 +1,61 @@
-"""Connected components of equal pixels, with diagonals, in planes and volumes.
+"""Connected components of equal pixels, with diagonals, in images of any number of axes.
 
-Rows of an image are cut into runs of equal pixels; runs of neighbouring rows that touch are edges, and the
-components of the graph of runs are found by Spark joins, so an image of any size is spread over tasks.
+Pixels are dealt into tiles and labelled there by union-find; components that go over a tile's edge are nodes of
+a graph of the seams, whose components name them anew. So pixels move once, what is joined are pixels at the tiles'
+edges, and the graph grows with the seams' length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.graph import connected, cut
+from ..functions.tiles import SIDES, roots, seam_edges, tile_components
 from ..plans.registry import register
 from .thresholds import otsu_semantic
 
+#: Edges of seams that the driver connects by itself; more are connected by joins.
+FEW_EDGES = 1 << 16
 
-def runs(pixels: DataFrame, block: Sequence[str], axes: Sequence[str], value: str) -> DataFrame:
-    """(block, outer axes, lo, hi, value): stretches of equal nonzero pixels along the last axis."""
-    *outer, x = axes
-    line = W.partitionBy(*block, *outer).orderBy(x)
-    there = pixels.where(F.col(value) != 0)
-    fresh = ~F.coalesce((F.lag(x).over(line) == F.col(x) - 1) & (F.lag(value).over(line) == F.col(value)), F.lit(False))
-    numbered = there.withColumn("__run", F.sum(fresh.cast("int")).over(line.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(*block, *outer, "__run").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.first(value).alias(value)).drop("__run")
 
+def joined_at_seams(rows: DataFrame, edges: DataFrame, node: str, few: int | None = None) -> DataFrame:
+    """`rows` with the smallest node of its component in place of each node (a struct) that `edges` (a, b) connect.
 
-def components(pixels: DataFrame, block: Sequence[str], axes: Sequence[str], value: str = "v", full: bool = True) -> DataFrame:
+    Up to `few` edges are connected by the driver, which gets no more than these; more by joins.
+    """
+    few = FEW_EDGES if few is None else few
+    pairs = [(r["a"], r["b"]) for r in edges.limit(few + 1).collect()]
+    if not pairs:
+        return rows
+    if len(pairs) > few:
+        named = connected(edges).toDF("__n", "__l")
+    else:
+        nodes = sorted({n for pair in pairs for n in pair})
+        number = {n: k for k, n in enumerate(nodes)}
+        root = roots(len(nodes), *(np.array([number[pair[k]] for pair in pairs], np.int64) for k in (0, 1)))
+        kind = edges.schema["a"].dataType
+        named = edges.sparkSession.createDataFrame([(n, nodes[r]) for n, r in zip(nodes, root.tolist(), strict=True)], T.StructType([T.StructField("__n", kind), T.StructField("__l", kind)]))
+    return rows.join(named, F.col(node) == F.col("__n"), "left").withColumn(node, F.coalesce("__l", node)).drop("__n", "__l")
+
+
+def components(pixels: DataFrame, block: Sequence[str], axes: Sequence[str], value: str = "v", full: bool = True, side: int | None = None) -> DataFrame:
     """(block, axes, value, first): for each nonzero pixel the first pixel of its component, as coordinates in scan order.
 
-    With `full` pixels touch at corners too, else at faces.
+    With `full` pixels touch at corners too, else at faces. `side` is that of the tiles.
     """
-    *outer, x = axes
-    own = cut(runs(pixels, block, axes, value).withColumn("node", F.struct(*block, *outer, "lo")))
-    if len(outer) == 1:
-        steps = [(1,)]
-    else:
-        steps = [(0, 1), (1, -1), (1, 0), (1, 1)] if full else [(0, 1), (1, 0)]
-    reach = 1 if full else 0
-    moved = own.withColumn("__s", F.explode(F.array(*[F.struct(*[F.lit(d).alias(a) for a, d in zip(outer, s, strict=True)]) for s in steps])))
-    moved = moved.select(*block, *[(F.col(a) + F.col(f"__s.{a}")).alias(a) for a in outer], value, F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("node").alias("b"))
-    met = own.join(moved, [*block, *outer, value]).where((F.col("lo") <= F.col("__hi") + reach) & (F.col("__lo") <= F.col("hi") + reach))
-    # Each run is an edge to itself, and so a run without others a component.
-    edges = met.select(F.col("node").alias("a"), "b").union(own.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    labels = connected(edges).withColumnRenamed("label", "__root")
-    found = own.join(labels, "node").withColumn("first", F.struct(*[F.col(f"__root.{c}") for c in [*outer, "lo"]]))
-    return found.withColumn(x, F.explode(F.sequence("lo", "hi"))).select(*block, *axes, value, "first")
+    block, axes = list(block), list(axes)
+    side = side or SIDES.get(len(axes), 16)
+    found = cut(tile_components(pixels, block, axes, value, full, side))
+    edges = seam_edges(found, block, axes, value, full, side)
+    node = F.struct(*block, *[F.col(f"root.{a}").alias(a) for a in axes])
+    out = joined_at_seams(found.withColumn("__node", node), edges, "__node")
+    return out.select(*block, *axes, value, F.struct(*[F.col(f"__node.{a}").alias(a) for a in axes]).alias("first"))
 
 
 def numbered(found: DataFrame, block: Sequence[str], axes: Sequence[str], order: Sequence[str]) -> DataFrame:

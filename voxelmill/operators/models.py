@@ -93,7 +93,3 @@ def segment_inside(planes: DataFrame, mask: DataFrame, block: Sequence[str], mod
     placed = out.select(*block, F.floor(F.col("p") / F.col("w")).cast("int").alias("y"), (F.col("p") % F.col("w")).alias("x"), F.col("label").cast("long").alias("label")).where("label <> 0")
     return clip_to_mask(placed, mask, [*block, "y", "x"])
 
-
-def block_count(length: int, size: int, overlap: int = 60) -> int:
-    """Blocks of a size that overlap so much and cover a length."""
-    return 1 if length <= size else -(-(length - overlap) // (size - overlap))

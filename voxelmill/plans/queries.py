@@ -23,11 +23,13 @@ from ..operators import thresholds as T
 from ..operators import tracking as G
 from ..operators.editing import constrain_regions, split_by_seeds
 from ..operators.models import pixel_classes_to_objects as pixel_classes
+from ..operators.stitching import segment_stitched
 from ..operators.models import predict_planes, predict_stacks, segment_inside
 from ..sources import arrays, sinks, zarr
 from ..functions.graph import checkpoint_dir
 from ..functions.grid import dense, to_pixels
 from ..functions.planes import to_planes
+from ..functions.tiles import label_array
 from . import fixtures as X
 from .fixtures import FILES, LBL, MOV, PX, VOX
 
@@ -652,6 +654,12 @@ def fuse_labels(spark, sf):
     return K.fuse_labels(X.lbl(spark, sf), IMAGE, ["y", "x"])
 
 
+@query(sql_components(f"{PX}, m AS (SELECT image_id, y, x, 1 AS v FROM px WHERE v > 150)", "first"))
+def segment_by_blocks(spark, sf):
+    """Blocks of 5 x 5 that share two lines, each labelled by itself, stitched: the components of whole images."""
+    return segment_stitched(X.px(spark, sf).withColumn("v", (F.col("v") > 150).cast("int")), IMAGE, ["y", "x"], label_array, size=5, overlap=2, share=0.0)
+
+
 SMALL = sql_components(f"{PX}, m AS (SELECT image_id, y, x, 1 AS v FROM px WHERE v > 150)", "first")
 
 
