@@ -85,7 +85,7 @@ def test_stacks_of_five_axes(spark, tmp_path):
     np.save(tmp_path / "back.npy", np.asfortranarray(stack[0, 0]))
     assert [r["data"] for r in arrays.read_planes(spark, str(tmp_path), (".npy",), recursive=False).orderBy("z").collect()] == [rows[0][6], rows[1][6]]
     assert zarr.write_zarr(df, f"{tmp_path}/z", dtype="uint16", chunk=4).first()["planes"] == 12
-    assert same(zarr.read_zarr(spark, f"{tmp_path}/z")) and zarr.chunk_plan(spark, [f"{tmp_path}/z/img.zarr"]).count() == 12
+    assert same(zarr.read_zarr(spark, f"{tmp_path}/z")) and zarr.chunk_plan(spark, [f"{tmp_path}/z/img.zarr"]).select("t0", "c0", "z0").distinct().count() == 12
     # Version 3, chunks of two planes, gzip, one chunk missing: its pixels are the fill value.
     import gzip
     import json

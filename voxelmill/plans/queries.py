@@ -25,7 +25,7 @@ from ..operators.editing import constrain_regions, split_by_seeds
 from ..operators.models import pixel_classes_to_objects as pixel_classes
 from ..operators.stitching import segment_stitched
 from ..operators.models import predict_planes, predict_stacks, segment_inside
-from ..sources import arrays, sinks, zarr
+from ..sources import arrays, datasource, sinks, zarr
 from ..functions.graph import checkpoint_dir
 from ..functions.grid import dense, to_pixels
 from ..functions.planes import to_planes
@@ -934,6 +934,23 @@ def zarr_second_level(spark, sf):
     return of_files(zarr.read_zarr(spark, folder, 1))
 
 
+@query(SCENES)
+def sharded_round_trip(spark, sf):
+    """Version 3 with four chunks a shard."""
+    folder = f"{checkpoint_dir(spark)}/zarr-{uuid.uuid4()}"
+    zarr.write_zarr(scenes(spark, sf), folder, dtype="uint8", chunk=4, version=3, shard=8)
+    return of_files(zarr.read_zarr(spark, folder))
+
+
+@query(SCENES + " WHERE image_id % 100 IN (3, 97)")
+def data_source_frames(spark, sf):
+    """Two frames of each movie: the filter goes to the data source, which reads these pages' bytes alone."""
+    folder = f"{checkpoint_dir(spark)}/tiff-{uuid.uuid4()}"
+    sinks.write_images(scenes(spark, sf), folder, dtype="uint8")
+    datasource.register(spark)
+    return of_files(spark.read.format("voxelmill").load(folder).where("t IN (3, 97)"))
+
+
 @query(SCENES)
 def tiff_round_trip(spark, sf):
     folder = f"{checkpoint_dir(spark)}/tiff-{uuid.uuid4()}"
