@@ -7,6 +7,7 @@ together, so images and movies stay spread over tasks.
 from __future__ import annotations
 
 import heapq
+from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,77 +15,121 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FACES = [(0, 1), (0, -1), (1, 0), (-1, 0)]
+def lower_envelope(line: np.ndarray) -> np.ndarray:
+    """(line, i): the least of f(j) + (i - j)**2 over all j, of lines of values f; infinite where all are.
+
+    The parabolas that are lowest somewhere are kept from left to right with where each one begins, all lines at once.
+    """
+    lines, n = line.shape
+    row = np.arange(lines)
+    base, begin, count = np.zeros((lines, n), np.int64), np.zeros((lines, n)), np.zeros(lines, np.int64)
+    for q in range(n):
+        new = np.flatnonzero(np.isfinite(line[:, q]))
+        open_ = new[count[new] > 0]
+        while len(open_):
+            last = base[open_, count[open_] - 1]
+            cross = (line[open_, q] + q * q - line[open_, last] - last * last) / (2 * (q - last))
+            hidden = cross <= begin[open_, count[open_] - 1]
+            begin[open_[~hidden], np.minimum(count[open_[~hidden]], n - 1)] = cross[~hidden]
+            count[open_[hidden]] -= 1
+            open_ = open_[hidden]
+            first = open_[count[open_] == 0]
+            open_ = open_[count[open_] > 0]
+            begin[first, 0] = -np.inf
+        begin[new[count[new] == 0], 0] = -np.inf
+        base[new, count[new]] = q
+        count[new] += 1
+    out, at = np.full(line.shape, np.inf), np.zeros(lines, np.int64)
+    some = row[count > 0]
+    for q in range(n):
+        ahead = some[(at[some] + 1 < count[some])]
+        while len(ahead := ahead[begin[ahead, at[ahead] + 1] < q]):
+            at[ahead] += 1
+            ahead = ahead[at[ahead] + 1 < count[ahead]]
+        own = base[some, at[some]]
+        out[some, q] = line[some, own] + (q - own) ** 2
+    return out
 
 
 def squared_distance(mask: np.ndarray) -> np.ndarray:
-    """Of each pixel the squared distance to the nearest pixel that isn't in the mask; infinite without one."""
-    h, w = mask.shape
-    column = np.where(mask, np.inf, 0.0)
-    for order in (range(1, h), range(h - 2, -1, -1)):
-        step = -1 if order.step == 1 else 1
-        for y in order:
-            column[y] = np.minimum(column[y], column[y + step] + 1)
-    out = column**2
-    up = out.copy()
-    for d in range(1, w):  # columns d to the left and right, until none can be nearer
-        if d * d >= out.max():
-            break
-        out[:, d:] = np.minimum(out[:, d:], up[:, :-d] + d * d)
-        out[:, :-d] = np.minimum(out[:, :-d], up[:, d:] + d * d)
+    """Of each pixel the squared distance to the nearest pixel that isn't in the mask, axis by axis; infinite without one."""
+    out = np.where(mask, np.inf, 0.0)
+    for axis in range(mask.ndim):
+        turned = np.moveaxis(out, axis, -1)
+        out = np.moveaxis(lower_envelope(turned.reshape(-1, turned.shape[-1])).reshape(turned.shape), -1, axis)
     return out
 
 
-def flood(height: np.ndarray, mask: np.ndarray, seeds: list[tuple[int, int]]) -> np.ndarray:
-    """Basins 1.. of the seeds: pixels of the mask by rising height, each to the basin that reaches it first."""
-    out = np.zeros(mask.shape, int)
-    heap = []
-    for k, s in enumerate(seeds, 1):
-        if mask[s]:
-            out[s] = k
-            heap.append((height[s], len(heap), s))
-    heapq.heapify(heap)
-    n = len(heap)
-    while heap:
-        _, _, (y, x) = heapq.heappop(heap)
-        for dy, dx in FACES:
-            p = (y + dy, x + dx)
-            if 0 <= p[0] < mask.shape[0] and 0 <= p[1] < mask.shape[1] and mask[p] and not out[p]:
-                out[p] = out[y, x]
-                n += 1
-                heapq.heappush(heap, (height[p], n, p))
-    return out
+def flood(height: np.ndarray, mask: np.ndarray, seeds: list[tuple[int, ...]]) -> np.ndarray:
+    """Basins 1.. of the seeds: pixels of the mask by rising height, each to the basin that reaches it first through a face.
 
+    Pixels wait in one queue for each height, so what is sorted are heights, not pixels.
+    """
+    inner = np.pad(mask, 1)  # no step leaves the array
+    out, tall = np.where(inner, 0, -1).ravel().tolist(), np.pad(height, 1).ravel().tolist()
+    widths = [int(np.prod(inner.shape[k + 1 :])) for k in range(mask.ndim)]
+    steps = [d for n in reversed(widths) for d in (n, -n)]
+    queues: dict[float, deque[int]] = {}
+    levels: list[float] = []
+
+    def wait(p: int) -> None:
+        queue = queues.get(tall[p])
+        if queue is None:
+            queues[tall[p]] = deque((p,))
+            heapq.heappush(levels, tall[p])
+        else:
+            queue.append(p)
 
-def split_by_seeds(labels: DataFrame, seeds: DataFrame, block: Sequence[str], label: str = "label") -> DataFrame:
-    """Labels with two or more seeds (block, label, y, x, seed) in several: the first seed's part keeps the id.
+    for k, s in enumerate(seeds, 1):
+        p = int(np.ravel_multi_index([n + 1 for n in s], inner.shape))
+        if mask[s]:
+            out[p] = k
+            wait(p)
+    while levels:
+        now = levels[0]
+        queue = queues[now]
+        while queue and levels[0] == now:
+            p = queue.popleft()
+            own = out[p]
+            for d in steps:
+                if not out[p + d]:
+                    out[p + d] = own
+                    wait(p + d)
+        if levels[0] == now:
+            heapq.heappop(levels)
+            del queues[now]
+    return np.maximum(out, 0).reshape(inner.shape)[(slice(1, -1),) * mask.ndim]
+
+
+def split_by_seeds(labels: DataFrame, seeds: DataFrame, block: Sequence[str], label: str = "label", axes: Sequence[str] = ("y", "x")) -> DataFrame:
+    """Labels of planes or volumes with two or more seeds (block, label, axes, seed) in several: the first seed's part keeps the id.
 
     Others get ids after the block's largest, by label and seed. Parts are basins of the distance to the
-    object's edge. Objects without two seeds are left alone.
+    object's edge. Objects without two seeds are left alone. A task holds the box of one object.
     """
-    block = list(block)
-    there = labels.where(F.col(label) != 0).select(*block, "y", "x", F.col(label).cast("long").alias(label))
-    points = seeds.groupBy(*block, label).agg(F.array_sort(F.collect_list(F.struct("seed", "y", "x"))).alias("__seeds")).where(F.size("__seeds") > 1)
+    block, axes = list(block), list(axes)
+    there = labels.where(F.col(label) != 0).select(*block, *axes, F.col(label).cast("long").alias(label))
+    points = seeds.groupBy(*block, label).agg(F.array_sort(F.collect_list(F.struct("seed", *axes))).alias("__seeds")).where(F.size("__seeds") > 1)
     asked = there.join(points, [*block, label])
     schema = there.withColumn("part", F.lit(1)).schema
 
     def split(rows: pd.DataFrame) -> pd.DataFrame:
-        at = rows[["y", "x"]].to_numpy()
+        at = rows[axes].to_numpy()
         low = at.min(0) - 1
         mask = np.zeros(at.max(0) - low + 2, bool)
         mask[tuple((at - low).T)] = True
-        start = [(s["y"] - low[0], s["x"] - low[1]) for s in rows["__seeds"].iloc[0]]
-        start = [s for s in start if 0 <= s[0] < mask.shape[0] and 0 <= s[1] < mask.shape[1]]
+        start = [tuple(int(s[a]) - int(n) for a, n in zip(axes, low, strict=True)) for s in rows["__seeds"].iloc[0]]
+        start = [s for s in start if all(0 <= p < n for p, n in zip(s, mask.shape, strict=True))]
         part = flood(-squared_distance(mask), mask, start)[tuple((at - low).T)]
-        return rows[[*block, "y", "x", label]].assign(part=np.maximum(part, 1).astype("int32"))
+        return rows[[*block, *axes, label]].assign(part=np.maximum(part, 1).astype("int32"))
 
     parts = asked.groupBy(*block, label).applyInPandas(split, schema)
     top = there.groupBy(*block).agg(F.max(label).alias("__top"))
     fresh = parts.where("part > 1").select(*block, label, "part").distinct()
     numbered = fresh.groupBy(*block).agg(F.array_sort(F.collect_list(F.struct(label, "part"))).alias("__a")).join(top, block)
     numbered = numbered.select(*block, "__top", F.posexplode("__a").alias("__k", "__s")).select(*block, F.col(f"__s.{label}").alias(label), F.col("__s.part").alias("part"), (F.col("__top") + F.col("__k") + 1).alias("__new"))
-    renamed = parts.join(numbered, [*block, label, "part"], "left").select(*block, "y", "x", F.coalesce("__new", label).alias(label))
-    return there.join(points.select(*block, label), [*block, label], "left_anti").select(*block, "y", "x", label).unionByName(renamed)
+    renamed = parts.join(numbered, [*block, label, "part"], "left").select(*block, *axes, F.coalesce("__new", label).alias(label))
+    return there.join(points.select(*block, label), [*block, label], "left_anti").select(*block, *axes, label).unionByName(renamed)
 
 
 def grown(mask: np.ndarray, rounds: int, edge: bool = False) -> np.ndarray:

@@ -61,18 +61,46 @@ def clahe(pixels: DataFrame, h: int, w: int, block: Sequence[str] = ("image_id",
     return out.withColumn(value, F.col(value).cast("int"))
 
 
-def ball(radius: int, axes: int) -> dict[tuple[int, ...], float]:
-    """How much lower than its top the surface of a ball is at each offset."""
-    steps = np.stack(np.meshgrid(*[np.arange(-radius, radius + 1)] * axes, indexing="ij"), -1).reshape(-1, axes)
-    far = (steps**2).sum(1)
-    return {tuple(o.tolist()): float(radius - np.sqrt(radius * radius - d)) for o, d in zip(steps, far, strict=True) if d <= radius * radius}
-
-
-def above_ball(stack: np.ndarray, heights: dict[tuple[int, ...], float]) -> np.ndarray:
-    """Values minus the least of those around them plus the ball's heights, at least 0; beyond the edges is nothing."""
-    under = np.full(stack.shape, np.inf)
-    for near, up in zip(neighbours(stack, list(heights), np.inf), heights.values(), strict=True):
-        np.minimum(under, near + up, out=under)
+#: Rows that the ball is rolled over at a time, so that they stay in a core's cache.
+STRIP = 16
+
+
+def roll(under: np.ndarray, plane: np.ndarray, square: tuple[int, int]) -> None:
+    """Lowers `under` to the least of the plane's values around each pixel plus how far a ball's surface is below its top.
+
+    square: of the radius, and of that of the plane's cut through the ball. `plane` is wider than `under` by the radius on every side. Values left
+    and right, above and below of a pixel are at one height of the ball, so the least of them is taken before it is added.
+    """
+    h, w = under.shape
+    r = (plane.shape[0] - h) // 2
+    radius, high = np.sqrt(square[0]), square[1]
+    for lo in range(0, h, STRIP):
+        out = under[lo : lo + STRIP]
+        best = np.empty(out.shape)
+        for dy in range(r + 1):
+            if dy * dy > high:
+                break
+            rows = np.minimum(plane[lo + r - dy :][: len(out)], plane[lo + r + dy :][: len(out)])
+            for dx in range(r + 1):
+                if dy * dy + dx * dx > high:
+                    break
+                np.minimum(rows[:, r - dx :][:, :w], rows[:, r + dx :][:, :w], out=best)
+                best += radius - np.sqrt(high - dy * dy - dx * dx)
+                np.minimum(out, best, out=out)
+
+
+def above_ball(stack: np.ndarray, radius: int, axes: int) -> np.ndarray:
+    """Values minus the background that a ball of `axes` axes reaches from below, at least 0; beyond the edges is nothing."""
+    square, under = radius * radius, np.full(stack.shape, np.inf)
+    if axes == 2:
+        for own, low in zip(np.pad(stack, [(0, 0), (radius, radius), (radius, radius)], constant_values=np.inf), under, strict=True):
+            roll(low, own, (square, square))
+        return np.maximum(stack - under, 0)
+    wide = np.pad(stack, [(radius, radius)] * 3, constant_values=np.inf)
+    for z in range(len(stack)):
+        for dz in range(radius + 1):
+            if z >= dz or z + dz < len(stack):
+                roll(under[z], np.minimum(wide[z + radius - dz], wide[z + radius + dz]), (square, square - dz * dz))
     return np.maximum(stack - under, 0)
 
 
@@ -80,10 +108,8 @@ def above_ball(stack: np.ndarray, heights: dict[tuple[int, ...], float]) -> np.n
 def rolling_ball(planes: DataFrame, radius: int = 50, volume: Sequence[str] | None = None) -> DataFrame:
     """v minus the background that a ball rolled below the surface reaches, at least 0: of planes, or with `volume`, the columns that tell volumes apart, a ball of three axes."""
     if volume is None:
-        heights = ball(radius, 2)
-        return on_planes(planes, lambda s: above_ball(s, heights))
-    heights = ball(radius, 3)
-    return over_volumes(planes, volume, lambda v: above_ball(v, heights), radius)
+        return on_planes(planes, lambda s: above_ball(s, radius, 2))
+    return over_volumes(planes, volume, lambda v: above_ball(v, radius, 3), radius)
 
 
 @lru_cache(maxsize=64)

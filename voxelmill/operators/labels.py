@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -152,41 +153,72 @@ def merge_neighbors(labels: DataFrame, target: int, block: Sequence[str], axes:
     return labels.join(near, [*block, label], "left").withColumn(label, F.when(F.col("__near"), target).otherwise(F.col(label))).drop("__near")
 
 
+def touching_lists(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pixels `at` touch each one, with corners: where each one's list begins, and the lists end to end."""
+    low = at.min(0) - 1
+    code = np.ravel_multi_index(tuple((at - low).T), at.max(0) - low + 2)
+    order = np.argsort(code)
+    steps = np.array([o for o in np.ndindex(*[3] * at.shape[1]) if any(k != 1 for k in o)]) - 1
+    scale = np.r_[np.cumprod((at.max(0) - low + 2)[:0:-1])[::-1], 1]
+    here, there = [], []
+    for jump in (steps * scale).sum(1):
+        place = np.searchsorted(code[order], code + jump)
+        hit = (place < len(code)) & (code[order[np.minimum(place, len(code) - 1)]] == code + jump)
+        here.append(np.flatnonzero(hit))
+        there.append(order[place[hit]])
+    here, there = np.concatenate(here), np.concatenate(there)
+    return np.r_[0, np.cumsum(np.bincount(here, minlength=len(at)))], there[np.argsort(here, kind="stable")]
+
+
+class Cluster:
+    """Labelled pixels as a graph of those that touch, and which pixels each label has."""
+
+    def __init__(self, at: np.ndarray, ids: np.ndarray) -> None:
+        self.at, self.label = at, ids.copy()
+        self.start, self.near = touching_lists(at)
+        order = np.argsort(ids, kind="stable")
+        cuts = np.flatnonzero(np.diff(ids[order])) + 1
+        self.pixels = {int(ids[own[0]]): own for own in np.split(order, cuts)}
+
+    def votes(self, own: np.ndarray, low: np.ndarray, high: np.ndarray) -> Counter:
+        """How many pixels between two corners each other label has that touch those pixels."""
+        counts = self.start[own + 1] - self.start[own]
+        upto = np.cumsum(counts)
+        touched = self.near[np.repeat(self.start[own] - upto + counts, counts) + np.arange(counts.sum())]
+        touched = np.setdiff1d(touched, own)
+        return Counter(self.label[touched[self.between(touched, low, high)]].tolist())
+
+    def between(self, own: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return ((self.at[own] >= low) & (self.at[own] <= high)).all(1)
+
+    def give(self, name: int, own: np.ndarray, to: int) -> None:
+        self.label[own] = to
+        self.pixels[name] = np.setdiff1d(self.pixels[name], own)
+        if to:
+            self.pixels[to] = np.concatenate([self.pixels[to], own])
+
+
 def merge_cluster(at: np.ndarray, ids: np.ndarray, small: np.ndarray, min_size: int, passes: int = 50) -> np.ndarray:
     """New ids of labelled pixels `at`, of which those with `small` belong to labels that may move.
 
-    A pass takes labels that are small at its beginning in order of their ids, with the boxes that they have then. One
-    moves what it has of its box and the ring around that to the label of most pixels in the ring around those
-    pixels, if it can to one that is not small; of equals to the smallest id; without any to 0.
+    A pass takes labels that are small at its beginning in order of their ids, with the boxes that they have then, one pixel
+    wider. One moves what it has in its box to the label of which most pixels in the box touch that, if it can to one that is not
+    small; of equals to the smallest id; without any to 0.
     """
-    axes, low = at.shape[1], at.min(0) - 1
-    grid = np.zeros(at.max(0) - low + 2, np.int64)
-    inside = tuple((at - low).T)
-    grid[inside] = ids
-    movable = set(ids[small].tolist())
+    cluster, movable = Cluster(at, ids), set(ids[small].tolist())
     for _ in range(passes):
-        now = grid[inside]
-        names, back, sizes = np.unique(now, return_inverse=True, return_counts=True)
-        tiny = {int(n) for n, k in zip(names, sizes, strict=True) if n and k < min_size and int(n) in movable}
+        tiny = {n for n in movable if 0 < len(cluster.pixels[n]) < min_size}
+        boxes = {n: (at[cluster.pixels[n]].min(0) - 1, at[cluster.pixels[n]].max(0) + 1) for n in tiny}
+        for name in sorted(tiny):
+            own = cluster.pixels[name]
+            own = own[cluster.between(own, *boxes[name])]
+            votes = cluster.votes(own, *boxes[name])
+            votes.pop(0, None)
+            able = {n: k for n, k in votes.items() if n not in tiny} or votes
+            cluster.give(name, own, min(able, key=lambda n: (-able[n], n), default=0))
         if not tiny:
             break
-        spans = {}
-        for k in np.flatnonzero([int(n) in tiny for n in names]):
-            own = np.stack(inside, 1)[back == k]
-            spans[int(names[k])] = tuple(slice(a - 1, z + 2) for a, z in zip(own.min(0), own.max(0), strict=True))
-        for name in sorted(tiny):
-            window = grid[spans[name]]
-            mine = window == name
-            near = mine
-            for axis in range(axes):
-                wide = np.pad(near, [(1, 1) if k == axis else (0, 0) for k in range(axes)])
-                take = lambda lo, axis=axis, wide=wide, n=near.shape[axis]: np.take(wide, range(lo, lo + n), axis)
-                near = take(0) | take(1) | take(2)
-            met = window[near & ~mine & (window != 0)]
-            large = met[~np.isin(met, list(tiny))]
-            choice, count = np.unique(large if len(large) else met, return_counts=True)
-            window[mine] = choice[count.argmax()] if len(choice) else 0
-    return grid[inside]
+    return cluster.label
 
 
 @register("Merge Small Labels to Neighbors", "_merged")

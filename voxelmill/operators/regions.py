@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import exact_percentiles, many_values
 from ..plans.registry import register
 
 #: What each code of a border pixel and its neighbours adds to a perimeter.
@@ -39,7 +40,14 @@ def regionprops(labels: DataFrame, block: Sequence[str] = ("image_id",), axes: S
     if value:
         stats = {"mean_int": (mean, F.avg), "median_int": (median, F.median), "std_int": (std, F.stddev_pop), "max_int": (maximum, F.max), "min_int": (minimum, F.min)}
         out |= {k: f(value) for k, (wanted, f) in stats.items() if wanted}
-    return labels.where(F.col(label) > 0).groupBy(*block, F.col(label).alias("label")).agg(*[c.alias(k) for k, c in out.items()])
+    there = labels.where(F.col(label) > 0)
+    if not value or not median or not many_values(labels, value):
+        return there.groupBy(*block, F.col(label).alias("label")).agg(*[c.alias(k) for k, c in out.items()])
+    # Medians of floating-point images don't bring a region's values together.
+    keys = [*block, "label"]
+    del out["median_int"]
+    middle = exact_percentiles(there.select(*block, F.col(label).alias("label"), value), keys, value, {"median_int": 0.5})
+    return there.groupBy(*block, F.col(label).alias("label")).agg(*[c.alias(k) for k, c in out.items()]).join(middle, keys, "left")
 
 
 def ellipse(yy: Column, xx: Column, yx: Column) -> dict[str, Column]:
@@ -89,10 +97,12 @@ def hull_pixels(ys: np.ndarray, low: np.ndarray, high: np.ndarray) -> int:
             chain.append(p)
         chains.append(chain)
     hull = np.array(chains[0][:-1] + chains[1][:-1])
-    y, x = (g.ravel() for g in np.meshgrid(np.arange(ys.min(), ys.max() + 1), np.arange(low.min(), high.max() + 1), indexing="ij"))
     step = np.roll(hull, -1, 0) - hull
-    side = step[:, :1] * (x - hull[:, 1:]) - step[:, 1:] * (y - hull[:, :1])
-    return int((side >= -1e-9).all(0).sum())
+    # Of each row the stretch that all edges leave: an edge with its pixels on the right bounds it from the left, and so on.
+    y = np.arange(ys.min(), ys.max() + 1)[:, None]
+    rising, falling = step[:, 0] > 0, step[:, 0] < 0
+    bound = lambda k: hull[k, 1] + (step[k, 1] * (y - hull[k, 0]) - 1e-9) / step[k, 0]
+    return int(np.maximum(0, np.floor(bound(falling).min(1)) - np.ceil(bound(rising).max(1)) + 1).sum())
 
 
 def solidity(labels: DataFrame, block: Sequence[str], label: str = "label") -> DataFrame:

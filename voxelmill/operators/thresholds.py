@@ -9,13 +9,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.grid import beside
+from ..functions.ranks import exact_percentiles, many_values
 from ..plans.registry import register
 
 
 @register("Percentile Threshold", "_percentile")
 def percentile_threshold(pixels: DataFrame, block: Sequence[str] = ("image_id",), percentile: float = 90, output_type: str = "original", value: str = "v") -> DataFrame:
     """What is above the image's percentile (linear between values): the value itself, or 255, and 0 for the rest."""
-    wide = beside(pixels, list(block), __p=F.percentile(value, percentile / 100))
+    if many_values(pixels, value):
+        wide = pixels.join(exact_percentiles(pixels, block, value, {"__p": percentile / 100}), list(block))
+    else:
+        wide = beside(pixels, list(block), __p=F.percentile(value, percentile / 100))
     kept = F.col(value) if output_type == "original" else F.lit(255)
     return wide.withColumn(value, F.when(F.col(value) > F.col("__p"), kept).otherwise(0)).drop("__p")
 

@@ -29,6 +29,7 @@ from ..sources import arrays, datasource, sinks, zarr
 from ..functions.graph import checkpoint_dir
 from ..functions.grid import dense, to_pixels
 from ..functions.planes import to_planes
+from ..functions.ranks import exact_percentiles
 from ..functions.tiles import label_array
 from . import fixtures as X
 from .fixtures import FILES, LBL, MOV, PX, VOX
@@ -86,6 +87,21 @@ def invert_image(spark, sf):
     return P.invert_image(X.px(spark, sf))
 
 
+@query("SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice * (1 - l_discount), 0.5) AS median, quantile_cont(l_extendedprice * (1 - l_discount), 0.99) AS high, min(l_extendedprice * (1 - l_discount)) AS low FROM lineitem GROUP BY ALL")
+def exact_percentiles_of_floats(spark, sf):
+    """Percentiles of six groups of floating-point values by narrowing; no task holds a group's values."""
+    priced = X.table(spark, sf, "lineitem").withColumn("price", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return exact_percentiles(priced, ["l_returnflag", "l_linestatus"], "price", {"low": 0.0, "median": 0.5, "high": 0.99})
+
+
+@query("""WITH f AS (SELECT vec_id AS image_id, p // 8 AS y, p % 8 AS x, e::DOUBLE AS v FROM (SELECT vec_id, unnest(range(64)) AS p, unnest(embedding) AS e FROM embeddings)),
+q AS (SELECT image_id, quantile_cont(v, 0.9) AS q FROM f GROUP BY 1) SELECT image_id, y, x, CASE WHEN v > q THEN 255 ELSE 0 END AS v FROM f JOIN q USING (image_id)""")
+def percentile_threshold_floats(spark, sf):
+    e = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("p", "v"))
+    floats = e.select("image_id", F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).alias("x"), F.col("v").cast("double").alias("v"))
+    return T.percentile_threshold(floats, percentile=90, output_type="255")
+
+
 @query(f"WITH {PX} SELECT image_id, y, x, CAST(v > 128 AS INT) AS v FROM px")
 def manual_threshold(spark, sf):
     return P.manual_threshold(X.px(spark, sf))
