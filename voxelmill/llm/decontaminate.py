@@ -6,7 +6,7 @@ either end; one pass over a document's normalised text finds all occurrences, wh
 back to code points of the original.
 
 Windows are made and brought together on Spark, each once with the ids of all items that hold it. What the driver
-and a task hold is one automaton of about `most_bytes` of windows and ids. A benchmark within that, as nearly
+and a task hold is one automaton that takes about `most_bytes` of memory. A benchmark within that, as nearly
 all are, is one automaton. A larger one is dealt by the windows' hashes into parts of that size, which pass
 over the texts one after another; the hits of all parts are joined by text, so none is dropped.
 
@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from .common import Scratch, filter_text, map_text
 
 WINDOW = 10
-#: Bytes of windows and ids of one automaton.
-MOST_BYTES = 1 << 26
+#: Bytes of memory of one automaton, and about how many a byte of a window takes in it.
+MOST_BYTES, NODE = 1 << 27, 40
 #: Every byte to its lowered word byte or, between words, a blank.
 NORMAL = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else c if c >= 128 else 32 for c in range(256))
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -82,7 +82,7 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW, item: str = "item_id"
 
 def automata(windows: DataFrame, most_bytes: int = MOST_BYTES) -> Iterator[Automaton]:
     """The automaton of all windows or, where they pass `most_bytes`, one of each part of them, one at a time."""
-    size = F.octet_length("w") + 64 + F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+    size = F.octet_length("w") * NODE + 64 + F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
     parts = -(-(windows.agg(F.sum(size)).first()[0] or 0) // most_bytes)
     for k in range(max(1, parts)):
         own = windows.where(F.pmod(F.xxhash64("w"), F.lit(max(1, parts))) == k).toArrow()

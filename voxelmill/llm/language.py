@@ -50,6 +50,8 @@ SCRIPTS = {
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F), (0x30000, 0x3347F)],
 }
 CODES = 0x33480
+#: Signs that join letters of one word.
+JOINERS = (0x200C, 0x200D)
 
 
 #: Letters that have no script of their own, such as a modifier apostrophe, belong to the word around them.
@@ -62,9 +64,10 @@ def script_name(letter: str) -> str:
 
 
 class Tables:
-    """By code point: whether it is a letter, and the number of its script (0: no letter)."""
+    """By code point: whether it is a letter, whether it is a mark that goes with the letter before it, and the number of its script (0: no letter)."""
 
     letter: np.ndarray | None = None
+    mark: np.ndarray | None = None
     script: np.ndarray | None = None
     scripts = 0
     loose = 0
@@ -72,6 +75,7 @@ class Tables:
     def load(self) -> Tables:
         if self.letter is None:
             self.letter = np.fromiter((chr(c).isalpha() for c in range(CODES)), bool, CODES)
+            self.mark = np.fromiter((unicodedata.category(chr(c)) in ("Mn", "Mc") or c in JOINERS for c in range(CODES)), bool, CODES)
             self.script = np.zeros(CODES, np.uint16)
             for k, ranges in enumerate(SCRIPTS.values(), 1):
                 for lo, hi in ranges:
@@ -108,10 +112,18 @@ def words_of(data: np.ndarray, off: np.ndarray, tables: Tables) -> Words:
     low = np.minimum(cp, CODES - 1)
     inside = np.zeros(len(cp) + 1, bool)
     inside[:-1] = t.letter[low]
+    script = t.script[low]
+    marks = np.flatnonzero(t.mark[low])
+    if len(marks):  # vowel signs and other marks belong to the letter that they follow, in its word and script
+        place = np.arange(len(cp))
+        other = np.maximum.accumulate(np.where(t.mark[low], -1, place))  # the last that is no mark
+        of, row = other[marks], np.searchsorted(base, marks, "right")
+        held = (of >= 0) & (row == np.searchsorted(base, np.maximum(of, 0), "right"))
+        held[held] &= t.letter[low[of[held]]]
+        inside[marks[held]], script[marks[held]] = True, script[of[held]]
     begin, end = inside.copy(), np.zeros(len(cp) + 1, bool)
     begin[1:] &= ~inside[:-1]
     end[1:] = inside[:-1] & ~inside[1:]
-    script = t.script[low]
     turn = np.flatnonzero(inside[1:-1] & inside[:-2] & (script[1:] != script[:-1]) & (script[1:] != t.loose) & (script[:-1] != t.loose)) + 1
     begin[turn] = end[turn] = True
     edge = base[1:-1]

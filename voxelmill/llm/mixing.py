@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import cut, hashable, quoted
 
 MOST = 3.0
+#: Sources whose plan is broadcast; that of more meets the documents by a shuffle.
+MANY = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,7 +50,7 @@ def targets(sizes: list[tuple[str | None, int]], share: float = 1.0, most: float
 def lay_out(rows: DataFrame, share: float, most: float, seed: int) -> DataFrame:
     """`rows` (source, size, order, ...) with source_size, target and copies.
 
-    What comes to the driver is one row for each source, as the weights go round by the sources' order.
+    What comes to the driver is one row for each source, as the weights go round by the sources' order; it goes to all tasks if that is at most MANY rows.
     """
     rows = rows.withColumns({"key": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")), "class": F.floor(4 * F.log2(F.col("size") + 1)).cast("int")})
     by_source = rows.groupBy(F.col("source").cast("string").alias("s"), "key").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
@@ -57,7 +59,7 @@ def lay_out(rows: DataFrame, share: float, most: float, seed: int) -> DataFrame:
         [(r["key"], r["n"], r["docs"], float(goal[r["s"]]), goal[r["s"]] / r["n"] if r["n"] else 0.0) for r in by_source],
         "key string, source_size long, docs long, target double, rate double",
     )
-    rows = rows.join(F.broadcast(plan), "key").withColumn("salt", F.pmod(F.shiftright("order", 20), F.ceil(F.sqrt("docs") / 8)))
+    rows = rows.join(F.broadcast(plan) if len(by_source) <= MANY else plan, "key").withColumn("salt", F.pmod(F.shiftright("order", 20), F.ceil(F.sqrt("docs") / 8)))
     cell = ["key", "class", "salt"]
     before = F.sum("n").over(W.partitionBy("key").orderBy("class", "salt").rowsBetween(W.unboundedPreceding, -1))
     cells = rows.groupBy(*cell).agg(F.count("*").alias("n")).select(*cell, F.coalesce(before, F.lit(0)).alias("before"))

@@ -35,6 +35,8 @@ PAD = 256
 BLOCK = 1 << 17
 #: Shards that the sample is learned in, whatever the cluster; chunks of a step; chunks that are shuffled at a time.
 SHARDS, STEP, HELD = 4, 64, 4096
+#: Bytes of the sample that a shard has at most, about; a sample of long texts has more shards.
+SHARD_BYTES = 1 << 26
 
 
 @dataclass
@@ -192,7 +194,7 @@ def fit_head(x: np.ndarray, y: np.ndarray, steps: int = 400, decay: float = 1e-3
     return w[:-1] / dev, float(w[-1] - (w[:-1] / dev) @ mean)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, learn, per_class: int = 2500, epochs: int = 8, seed: int = 7) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, learn, per_class: int = 2500, epochs: int = 10, seed: int = 7) -> QualityModel:
     """Learns from all of at most `per_class` documents of either label that satisfy `learn`.
 
     The driver gets the parameters and 3 * FILTERS numbers of each of those documents, whatever their length.
@@ -201,13 +203,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn, per_class: int = 2500
     small_batches(docs.sparkSession)
     table = scratch.cut(labelled_sample(docs, labels, "quality", learn, per_class, seed))
     size = F.greatest(F.lit(1), F.ceil((F.octet_length("text") - OVERLAP) / (CHUNK - OVERLAP)))
-    known = {r["y"]: r for r in table.groupBy("y").agg(F.count("*").alias("docs"), F.sum(size + 1).alias("chunks")).collect()}
+    known = {r["y"]: r for r in table.groupBy("y").agg(F.count("*").alias("docs"), F.sum(size + 1).alias("chunks"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
     if len(known) < 2:
         return QualityModel(np.zeros((257, EMBED), np.float32), np.zeros((WIDTH * EMBED, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS), 0.0)
     docs_of, chunks = [known[c]["docs"] for c in (0, 1)], known[0]["chunks"] + known[1]["chunks"]
     # Either label weighs half, and a chunk one on average.
     weights = tuple(0.5 * chunks / n / (1 + 1 / 6) for n in docs_of)
-    shards = table.repartition(SHARDS, "__id").sortWithinPartitions("__id").persist(StorageLevel.DISK_ONLY)
+    parts = max(SHARDS, -(-sum(r["bytes"] for r in known.values()) // SHARD_BYTES))
+    shards = table.repartition(parts, "__id").sortWithinPartitions("__id").persist(StorageLevel.DISK_ONLY)
     model = fit_filters(shards, weights, epochs, seed)
 
     def wide(data: np.ndarray, off: np.ndarray) -> list:

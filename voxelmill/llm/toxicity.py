@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,18 +91,40 @@ def telling(df, pos, p, z: float):
     return (pos - df * p) ** 2 >= z * z * df * p * (1 - p)
 
 
-def choose_pairs(row: np.ndarray, term: np.ndarray, y: np.ndarray, names: np.ndarray, least_df: int, z: float) -> np.ndarray:
-    """Those of `names` that are in a telling pair: one in `least_df` documents whose share of label 1 differs from the mean by `z` deviations. Pairs are counted in blocks."""
-    has = np.zeros((len(y), len(names)), np.float32)
-    has[row, np.searchsorted(names, term)] = 1
-    p, told = y.mean(), np.zeros(len(names), bool)
-    for lo in range(0, len(names), 512):
-        block = has[:, lo : lo + 512]
-        both = block.T @ has
-        far = (both >= least_df) & telling(both, block[y == 1].T @ has[y == 1], p, z)
-        far[np.arange(len(far)), lo + np.arange(len(far))] = False  # a term with itself
-        told |= far.any(0)
-    return names[told]
+#: Counts of pairs, and cells of documents and terms, that a task holds at a time.
+PAIRS = 1 << 22
+
+
+def choose_pairs(spark: SparkSession, row: np.ndarray, term: np.ndarray, y: np.ndarray, names: np.ndarray, least_df: int, z: float) -> np.ndarray:
+    """Those of `names` that are in a telling pair: one in `least_df` documents whose share of label 1 differs from the mean by `z` deviations.
+
+    Tasks count the pairs of a block of the names with all others each, over documents that have one of the block, so what a
+    task holds doesn't grow with the number of names or documents, but for the documents' terms.
+    """
+    n, p = len(names), float(y.mean())
+    width = max(1, PAIRS // n)
+    column, one = np.searchsorted(names, term).astype(np.int32), y == 1
+    row = row.astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lo in (v for batch in batches for v in batch.column(0).to_pylist()):
+            own = np.unique(row[(column >= lo) & (column < lo + width)])
+            both, toxic = np.zeros((2, min(width, n - lo), n), np.float32)
+            for k in range(0, len(own), width):
+                some = own[k : k + width]
+                place = np.searchsorted(some, row)
+                at = (place < len(some)) & (some[np.minimum(place, len(some) - 1)] == row)
+                has = np.zeros((len(some), n), np.float32)
+                has[place[at], column[at]] = 1
+                both += has[:, lo : lo + width].T @ has
+                toxic += has[one[some], lo : lo + width].T @ has[one[some]]
+            far = (both >= least_df) & telling(both, toxic, p, z)
+            far[np.arange(len(far)), lo + np.arange(len(far))] = False  # a term with itself
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(far.any(0)))], names=["told"])
+
+    blocks = spark.range(0, n, width, max(1, min(64, -(-n // width))))
+    told = blocks.mapInArrow(run, "told long").distinct().toArrow().column("told").to_numpy()
+    return names[np.sort(told)]
 
 
 def fit_machine(row: np.ndarray, term: np.ndarray, y: np.ndarray, prior: float, factors: int, epochs: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
@@ -205,7 +227,7 @@ def fit_toxicity(
         least = F.when(F.col("y") == 1, max(least_pair, pair_share * (missed & (y == 1)).sum())).otherwise(max(least_pair, pair_share * (missed & (y == 0)).sum()))
         common = every.join(F.broadcast(lost), "__id").select("y", F.explode("t").alias("t")).groupBy("y", "t").count().where(F.col("count") >= least)
         names = np.unique(common.select("t").toArrow().column("t").to_numpy().astype(np.int64))
-        more = np.union1d(chosen, choose_pairs(*sets_of(every, names)[2:], y, names, least_pair, pair_z)) if len(names) else chosen
+        more = np.union1d(chosen, choose_pairs(spark, *sets_of(every, names)[2:], y, names, least_pair, pair_z)) if len(names) else chosen
         if len(more) > len(chosen):
             _, _, row, term = sets_of(every, more)
             model = fit_terms(row, term, y, more, prior, factors, epochs, seed)

@@ -16,9 +16,9 @@ Archives are cut at about ARCHIVE bytes, whatever their number of records; a fil
 writer, so any store that Spark writes will do. In gzipped files each record is a gzip member of its own, so it can be read
 from its offset alone; the last member is empty and marks the end.
 
-A null payload is empty. A null url is `urn:none`, blanks in urls are escaped. Null page ids come after
-all others; where only such rows share a payload all of them are responses, as are repeated rows of the
-smallest id. Only page_id, url and html are read. An empty table gives no archives and an empty result.
+A null payload is empty. A null url is `urn:none`, blanks in urls are escaped. Null page ids, and what isn't a 64-bit integer in a
+foreign head, come after all others; where only such records share a payload the first by file and place is the response.
+Repeated rows of the smallest id are all responses. Only page_id, url and html are read. An empty table gives no archives and an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import urllib.parse
 import uuid
 import zlib
@@ -177,7 +178,10 @@ def header(lines: bytes, name: str) -> str | None:
 
 
 def number(text: str | None) -> int | None:
-    return int(text) if text and text.removeprefix("-").isdigit() else None
+    """A 64-bit integer in ASCII digits; null for anything else, as foreign heads may say."""
+    if not text or not re.fullmatch(r"-?[0-9]{1,19}", text):
+        return None
+    return n if -(1 << 63) <= (n := int(text)) < 1 << 63 else None
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -250,8 +254,11 @@ def convert_arc(spark: SparkSession, arc: str, warc: str, least_bytes: int = 0,
     scratch = Scratch(spark)
     found = scratch.cut(read_arc(spark, arc))
     known = found.where("error IS NULL AND http").where(F.col("bytes") >= least_bytes)
-    firsts = known.where("page_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("page_id", "record_id", "uri", "date")).alias("first"))
-    again = known.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select("path", F.struct("place", "first.record_id", "first.uri", "first.date").alias("r"))
+    # The smallest page id; without any, as in archives of others, the first record by file and place.
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.when(F.col("page_id").isNull(), F.struct("path", "place")).alias("at"), "record_id", "uri", "date", "path", "place")
+    firsts = known.groupBy("digest").agg(F.min(order).alias("first"))
+    itself = F.when(F.col("page_id").isNull(), (F.col("path") == F.col("first.path")) & (F.col("place") == F.col("first.place"))).otherwise(F.col("page_id") == F.coalesce("first.page_id", "page_id"))
+    again = known.join(firsts, "digest").where(~itself).select("path", F.struct("place", "first.record_id", "first.uri", "first.date").alias("r"))
     revisits = scratch.cut(again.groupBy("path").agg(F.collect_list("r").alias("revisits")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
