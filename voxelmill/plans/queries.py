@@ -25,7 +25,9 @@ from ..operators.editing import constrain_regions, split_by_seeds
 from ..operators.models import pixel_classes_to_objects as pixel_classes
 from ..operators.stitching import segment_stitched
 from ..operators.models import predict_planes, predict_stacks, segment_inside
-from ..sources import arrays, datasource, sinks, zarr
+from ..operators import contrast
+from ..sources import arrays, czi, datasource, sinks, zarr
+from ..streaming import movies
 from ..functions.graph import checkpoint_dir
 from ..functions.grid import dense, to_pixels
 from ..functions.planes import to_planes
@@ -845,6 +847,24 @@ def cubes(spark, sf) -> DataFrame:
     return X.planes(spark, sf).select(F.floor(F.col("image_id") / 4).alias("scene"), (F.col("image_id") % 4).cast("int").alias("z"), "h", "w", "data")
 
 
+@query(f"""WITH {CUBE}, r AS (SELECT scene, min(v) AS lo, max(v) AS hi FROM cube GROUP BY 1),
+lv AS (SELECT scene, z, y, x, CASE WHEN hi > lo THEN CAST(floor((v - lo)::DOUBLE / (hi - lo) * 15) AS INT) ELSE 0 END AS l FROM cube JOIN r USING (scene)),
+h AS (SELECT scene, z // 3 AS tz, y // 3 AS ty, x // 3 AS tx, l, count(*) AS c FROM lv GROUP BY ALL), n AS (SELECT scene, tz, ty, tx, sum(c)::DOUBLE AS n FROM h GROUP BY ALL),
+k AS (SELECT scene, tz, ty, tx, n, l, least(c, greatest(1.0::DOUBLE, 0.1::DOUBLE * n)) AS kept, greatest(c - greatest(1.0::DOUBLE, 0.1::DOUBLE * n), 0) AS over FROM h JOIN n USING (scene, tz, ty, tx)),
+o AS (SELECT scene, tz, ty, tx, any_value(n) AS n, sum(over) AS over FROM k GROUP BY ALL),
+lut AS (SELECT o.scene, o.tz, o.ty, o.tx, b.l, (coalesce(sum(kept), 0) + (b.l + 1) * any_value(o.over) / 16) / any_value(o.n) AS s
+  FROM o CROSS JOIN (SELECT unnest(range(16)) AS l) b LEFT JOIN k ON k.scene = o.scene AND k.tz = o.tz AND k.ty = o.ty AND k.tx = o.tx AND k.l <= b.l GROUP BY o.scene, o.tz, o.ty, o.tx, b.l),
+f AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (z - 1) / 3.0::DOUBLE)) AS fz, least(2.0::DOUBLE, greatest(0.0::DOUBLE, (y - 1) / 3.0::DOUBLE)) AS fy, least(2.0::DOUBLE, greatest(0.0::DOUBLE, (x - 1) / 3.0::DOUBLE)) AS fx FROM lv),
+e AS (SELECT f.*, a.a, b.b, c.c, CASE WHEN a.a = 1 THEN fz - floor(fz) ELSE 1 - (fz - floor(fz)) END * CASE WHEN b.b = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END * CASE WHEN c.c = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END AS w
+  FROM f, (VALUES (0), (1)) a(a), (VALUES (0), (1)) b(b), (VALUES (0), (1)) c(c))
+SELECT e.scene, e.z, e.y, e.x, CAST(floor(least(1.0::DOUBLE, sum(w * s)) * 255 + 1e-9) AS INT) AS v FROM e
+JOIN lut ON lut.scene = e.scene AND lut.tz = least(floor(fz) + a, 1) AND lut.ty = least(floor(fy) + b, 2) AND lut.tx = least(floor(fx) + c, 2) AND lut.l = e.l GROUP BY ALL""")
+def clahe_volume(spark, sf):
+    """Cubes of 4 x 8 x 8 by tiles of 3 along all axes and 16 levels."""
+    px = to_pixels(cubes(spark, sf), ["scene", "z"]).withColumn("v", F.col("v").cast("int"))
+    return contrast.clahe_volume(px, {"z": 4, "y": 8, "x": 8}, ["scene"], clip_limit=0.1, kernel_size=3, bins=16)
+
+
 def sql_gauss_volume(sigma: float) -> str:
     """A pass along each axis of whole cubes of 4 x 8 x 8."""
     w = N.gaussian_weights(sigma)
@@ -950,6 +970,29 @@ def zarr_second_level(spark, sf):
     return of_files(zarr.read_zarr(spark, folder, 1))
 
 
+@query(SCENES + " WHERE image_id % 100 < 40")
+def czi_round_trip(spark, sf):
+    """Movies as mosaics of 3 x 3 tiles with a level of half size; of the plan the full tiles of the first frames are read."""
+    folder = f"{checkpoint_dir(spark)}/czi-{uuid.uuid4()}"
+    czi.write_czi(scenes(spark, sf).withColumn("scene", F.lit(0)), folder, dtype="uint8", tile=3, level=True)
+    return of_files(czi.load_czi(czi.czi_plan(spark, folder).where("factor = 1 AND t < 40")))
+
+
+@query("SELECT 'scene_' || (vec_id // 100) AS movie, CAST(count(*) AS INT) AS frames, true AS complete, 'frame_' || min(vec_id) AS first FROM embeddings GROUP BY vec_id // 100")
+def movies_of_arriving_frames(spark, sf):
+    """Frames that come in the order of a hash, a fifth at a time; each movie is given on when its last one is there."""
+    folder = f"{checkpoint_dir(spark)}/frames-{uuid.uuid4()}"
+    ids = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("k"))
+    number = F.floor(F.col("k") / 100)
+    of = ids.groupBy(number.alias("m")).agg(F.count("*").cast("int").alias("frames"), F.min("k").alias("first"))
+    frames = ids.withColumn("m", number).join(of, "m").select(F.concat(F.lit("scene_"), F.col("m").cast("string")).alias("movie"), (F.col("k") - F.col("first")).cast("int").alias("t"), "frames", F.concat(F.lit("frame_"), F.col("k").cast("string")).alias("path"))
+    frames.repartition(5, F.xxhash64("path")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = movies.complete_movies(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(movies.OUT).parquet(f"{folder}/out").select("movie", "frames", "complete", F.element_at("paths", 1).alias("first"))
+
+
 @query(SCENES)
 def sharded_round_trip(spark, sf):
     """Version 3 with four chunks a shard."""
