@@ -70,5 +70,5 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: di
     after = beside_ranges(rows, ends, keys, F.col("__v") > F.col("__a")).groupBy(*keys, "__a").agg(F.min("__v").alias("__next"))
     found = beside_ranges(state, after, keys, (F.col("__lo") == F.col("__a")) & alone, "left")
     share, high = F.col("__at") - F.col("__rank"), F.coalesce("__next", "__lo")
-    exact = found.select(*keys, "__name", F.when(share > 0, F.col("__lo") * (1 - share) + high * share).otherwise(F.col("__lo")).alias("__p"))
+    exact = found.select(*keys, "__name", F.when(share > 0, F.col("__lo") + (high - F.col("__lo")) * share).otherwise(F.col("__lo")).alias("__p"))
     return exact.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == n, F.col("__p"))).alias(n) for n in shares])

@@ -89,11 +89,11 @@ def invert_image(spark, sf):
     return P.invert_image(X.px(spark, sf))
 
 
-@query("SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice * (1 - l_discount), 0.5) AS median, quantile_cont(l_extendedprice * (1 - l_discount), 0.99) AS high, min(l_extendedprice * (1 - l_discount)) AS low FROM lineitem GROUP BY ALL")
+@query("SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice * (1 - l_discount), 0.5), 4) AS median, round(quantile_cont(l_extendedprice * (1 - l_discount), 0.99), 4) AS high, round(min(l_extendedprice * (1 - l_discount)), 4) AS low FROM lineitem GROUP BY ALL")
 def exact_percentiles_of_floats(spark, sf):
     """Percentiles of six groups of floating-point values by narrowing; no task holds a group's values."""
     priced = X.table(spark, sf, "lineitem").withColumn("price", F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    return exact_percentiles(priced, ["l_returnflag", "l_linestatus"], "price", {"low": 0.0, "median": 0.5, "high": 0.99})
+    return rounded(exact_percentiles(priced, ["l_returnflag", "l_linestatus"], "price", {"low": 0.0, "median": 0.5, "high": 0.99}), "low", "median", "high", digits=4)
 
 
 @query("""WITH f AS (SELECT vec_id AS image_id, p // 8 AS y, p % 8 AS x, e::DOUBLE AS v FROM (SELECT vec_id, unnest(range(64)) AS p, unnest(embedding) AS e FROM embeddings)),
