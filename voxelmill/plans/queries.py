@@ -26,7 +26,7 @@ from ..operators.models import pixel_classes_to_objects as pixel_classes
 from ..operators.stitching import segment_stitched
 from ..operators.models import predict_planes, predict_stacks, segment_inside
 from ..operators import contrast
-from ..sources import arrays, czi, datasource, sinks, zarr
+from ..sources import arrays, containers, czi, datasource, sinks, zarr
 from ..streaming import movies
 from ..functions.graph import checkpoint_dir
 from ..functions.grid import dense, to_pixels
@@ -978,6 +978,30 @@ def czi_round_trip(spark, sf):
     return of_files(czi.load_czi(czi.czi_plan(spark, folder).where("factor = 1 AND t < 40")))
 
 
+SERIES = f"WITH {PX} SELECT CAST(image_id // 100 AS INT) AS series, CAST(image_id % 100 AS INT) AS t, y, x, CAST(v AS DOUBLE) AS v FROM px"
+
+
+def series_of(spark, sf) -> DataFrame:
+    """The movies of `scenes` as series of one file."""
+    return scenes(spark, sf).withColumns({"series": F.substring_index("path", "_", -1).cast("int"), "path": F.lit("plate")})
+
+
+@query(SERIES + " WHERE image_id % 100 < 40")
+def lif_series(spark, sf):
+    """Movies as series of a LIF file, of whose plan the first frames are read."""
+    folder = f"{checkpoint_dir(spark)}/lif-{uuid.uuid4()}"
+    containers.write_series(series_of(spark, sf), folder, form="lif", dtype="uint8")
+    return to_pixels(containers.load_series(containers.container_plan(spark, folder).where("t < 40 AND stored")), ["series", "t"])
+
+
+@query(SERIES)
+def nd2_series(spark, sf):
+    """Movies as positions of an ND2 file of deflated frames; a last movie that is shorter lacks frames."""
+    folder = f"{checkpoint_dir(spark)}/nd2-{uuid.uuid4()}"
+    containers.write_series(series_of(spark, sf), folder, form="nd2", dtype="uint8", packing=0)
+    return to_pixels(containers.load_series(containers.container_plan(spark, folder).where("stored")), ["series", "t"])
+
+
 @query("SELECT 'scene_' || (vec_id // 100) AS movie, CAST(count(*) AS INT) AS frames, true AS complete, 'frame_' || min(vec_id) AS first FROM embeddings GROUP BY vec_id // 100")
 def movies_of_arriving_frames(spark, sf):
     """Frames that come in the order of a hash, a fifth at a time; each movie is given on when its last one is there."""
