@@ -26,7 +26,7 @@ from ..operators.models import pixel_classes_to_objects as pixel_classes
 from ..operators.stitching import segment_stitched
 from ..operators.models import predict_planes, predict_stacks, segment_inside
 from ..operators import contrast
-from ..sources import arrays, containers, czi, datasource, sinks, zarr
+from ..sources import arrays, containers, czi, datasource, sinks, slides, wells, zarr
 from ..streaming import movies
 from ..functions.graph import checkpoint_dir
 from ..functions.grid import dense, to_pixels
@@ -1002,6 +1002,31 @@ def nd2_series(spark, sf):
     return to_pixels(containers.load_series(containers.container_plan(spark, folder).where("stored")), ["series", "t"])
 
 
+@query(f"""WITH {PX}, big AS (SELECT 'scene_' || (image_id // 100) AS image, (image_id % 100 // 10) * 8 + y AS y, (image_id % 10) * 8 + x AS x, CAST(v AS DOUBLE) AS v FROM px),
+grid AS (SELECT image, a AS y, b AS x FROM (SELECT DISTINCT image FROM big), range(0, 20) AS r(a), range(0, 30) AS s(b))
+SELECT g.image, CAST(g.y AS INT) AS y, CAST(g.x AS INT) AS x, coalesce(v, 0) AS v FROM grid g LEFT JOIN big b ON g.image = b.image AND b.y = 2 * (g.y + 5) AND b.x = 2 * (g.x + 10)""")
+def slide_region(spark, sf):
+    """A hundred images side by side as a slide of tiles of 16 and three levels; a region of the second level is read."""
+    folder = f"{checkpoint_dir(spark)}/slides-{uuid.uuid4()}"
+    at = F.col("image_id") % 100
+    big = X.px(spark, sf).select(F.concat(F.lit("scene_"), F.floor(F.col("image_id") / 100).cast("string")).alias("path"), F.lit(0).alias("c"), (F.floor(at / 10) * 8 + F.col("y")).cast("int").alias("y"), (at % 10 * 8 + F.col("x")).cast("int").alias("x"), "v")
+    slides.write_slides(to_planes(big, ["path", "c"], 80, 80), folder, tile=16)
+    read = slides.load_region(slides.slide_plan(spark, folder), 1, 5, 10, 20, 30)
+    return to_pixels(read.withColumn("image", F.regexp_extract("path", "(scene_[0-9]+)", 1)), ["image"])
+
+
+@query(f"""WITH {PX} SELECT printf('B%03d', image_id // 100) AS well, CAST(dense_rank() OVER (ORDER BY image_id // 100) - 1 AS INT) AS series, CAST(dense_rank() OVER (ORDER BY image_id % 100 // 10) - 1 AS INT) AS t,
+CAST(dense_rank() OVER (ORDER BY image_id % 10) - 1 AS INT) AS c, y, x, CAST(v AS DOUBLE) AS v FROM px WHERE image_id % 3 = 0 OR image_id % 100 < 60""")
+def plate_of_wells(spark, sf):
+    """Images as files of a plate that are named by well, loop and channel; names become series and axes."""
+    folder = f"{checkpoint_dir(spark)}/plate-{uuid.uuid4()}"
+    k = F.col("image_id") % 100
+    named = X.planes(spark, sf).where("image_id % 3 = 0 OR image_id % 100 < 60").select(
+        F.format_string("-B%03d--PO01--LO%03d--CO%d--SL010--PX32500--IN0020", F.floor(F.col("image_id") / 100), F.floor(k / 10) + 3, k % 10 + 1).alias("path"), *[F.lit(0).alias(a) for a in "tcz"], "h", "w", "data")
+    sinks.write_images(named, folder, dtype="uint8")
+    return to_pixels(arrays.load_planes(wells.well_plan(arrays.plane_plan(spark, folder))), ["well", "series", "t", "c"])
+
+
 @query("SELECT 'scene_' || (vec_id // 100) AS movie, CAST(count(*) AS INT) AS frames, true AS complete, 'frame_' || min(vec_id) AS first FROM embeddings GROUP BY vec_id // 100")
 def movies_of_arriving_frames(spark, sf):
     """Frames that come in the order of a hash, a fifth at a time; each movie is given on when its last one is there."""

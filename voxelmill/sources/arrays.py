@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.planes import lists
 from ..plans.catalog import loop_axes, resolve_axes
@@ -64,7 +65,7 @@ def tiff_planes(read: Ranges, hint: str | None) -> Iterator[tuple[str, str, dict
     for k in range(n * samples):
         page = found[k // samples]
         place = dict(zip(axes[:-2], np.unravel_index(k, sizes), strict=True)) if len(axes) > 2 else {}
-        spec = {**{x: page[x] for x in ("h", "w", "samples", "planar", "compression", "predictor", "dtype", "th", "tw", "offsets", "counts")}, "sample": k % samples}
+        spec = {**{x: page[x] for x in ("h", "w", "samples", "planar", "compression", "predictor", "dtype", "th", "tw", "offsets", "counts", "ycc", "tables")}, "sample": k % samples}
         yield axes, np.dtype(page["dtype"]).newbyteorder("=").name, {a: int(i) for a, i in place.items()}, page["h"], page["w"], spec
 
 
@@ -109,8 +110,12 @@ def one_plane(read: Ranges, spec: dict, h: int, w: int) -> np.ndarray:
 
 
 def load_planes(plan: DataFrame, on_error: str = "raise") -> DataFrame:
-    """(path, axes, dtype, t, c, z, h, w, data) of a plan's rows, dealt anew so that the planes of one file are spread; a task holds one plane at a time."""
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    """(path, axes, dtype, t, c, z, h, w, data) of a plan's rows, dealt anew so that the planes of one file are spread; a task holds one plane at a time.
+
+    Columns that a plan has beside its own come before the data.
+    """
+    names = [*[c for c in plan.columns if c != "spec"], "data"]
+    loaded = T.StructType([*[plan.schema[c] for c in names[:-1]], T.StructField("data", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +131,7 @@ def load_planes(plan: DataFrame, on_error: str = "raise") -> DataFrame:
                     continue
                 yield pa.RecordBatch.from_arrays([*[row.column(n) for n in names[:-1]], lists(data.reshape(1, -1))], names=names)
 
-    return plan.repartition("path", "t", "c", "z").mapInArrow(run, SCHEMA)
+    return plan.repartition("path", "t", "c", "z").mapInArrow(run, loaded)
 
 
 def read_planes(spark: SparkSession, folder: str, ends: Sequence[str] = ENDS, recursive: bool = True, axes: str | None = None, on_error: str = "raise") -> DataFrame:

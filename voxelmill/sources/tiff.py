@@ -1,7 +1,8 @@
 """TIFF and BigTIFF: pages by byte ranges, and files of pages written from front to back.
 
-Strips and tiles, plain, deflated, LZW, PackBits or Zstandard, with or without differences along rows, samples
-side by side or in planes of their own. A page's table of contents is read without its pixels.
+Strips and tiles, plain, deflated, LZW, PackBits, Zstandard or baseline JPEG, with or without differences along rows (of floating-point
+numbers too), samples side by side or in planes of their own. A page's table of contents is read without its pixels, and so are those
+of smaller levels that it names.
 """
 
 from __future__ import annotations
@@ -13,44 +14,79 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
+from . import jpeg
+
 Read = Callable[[int, int], bytes]
 #: Field types as struct codes, tags, compressions, and kinds of numbers.
-TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d", 13: "I", 16: "Q", 18: "Q"}
+TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d", 13: "I", 16: "Q", 18: "Q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR, FORMAT = 256, 257, 258, 259, 262, 270, 273, 277, 278, 279, 284, 317, 339
-TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
-PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS, ZSTD = 1, 5, 8, 32946, 32773, 50000
+TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SUB, TABLES, LENS = 322, 323, 324, 325, 330, 347, 65421
+ACROSS, UNIT = 282, 296
+PLAIN, LZW, JPEG, DEFLATE, OLD_DEFLATE, PACKBITS, ZSTD = 1, 5, 7, 8, 32946, 32773, 50000
+YCC = 6
 KINDS = {1: "u", 2: "i", 3: "f"}
 
 
-def pages(read: Read) -> Iterator[dict]:
-    """Of each page its size, type, description and where its segments are."""
+def layout(read: Read) -> tuple[str, bool, int]:
+    """Order of bytes, whether places are of 64 bits, and the place of the first page's table."""
     head = read(0, 16)
     if head[:2] not in (b"II", b"MM"):
         raise ValueError("not a TIFF file")
     end = "<" if head[:2] == b"II" else ">"
     big = struct.unpack(end + "H", head[2:4])[0] == 43
+    return end, big, struct.unpack_from(end + ("Q" if big else "I"), head, 8 if big else 4)[0]
+
+
+def page_at(read: Read, at: int, end: str, big: bool) -> tuple[dict, int]:
+    """A page's size, type, description and where its segments are, and the place of the next page's table."""
     word, entry, count = ("Q", 20, "Q") if big else ("I", 12, "H")
     size = struct.calcsize(word)
-    at, seen = struct.unpack_from(end + word, head, 8 if big else 4)[0], set()
+    n = struct.unpack(end + count, read(at, struct.calcsize(count)))[0]
+    table = read(at + struct.calcsize(count), n * entry + size)
+    tags: dict[int, tuple] = {}
+    shared = None
+    for k in range(n):
+        tag, kind, many = struct.unpack_from(end + "HH" + word, table, k * entry)
+        field = table[k * entry + 4 + size : (k + 1) * entry]
+        if tag == TABLES and many > size:
+            shared = [struct.unpack(end + word, field[:size])[0], many]
+        elif code := TYPES.get(kind):
+            form = end + (f"{many}s" if code == "s" else code * many)
+            length = struct.calcsize(form)
+            tags[tag] = struct.unpack(form, field[:length] if length <= size else read(struct.unpack(end + word, field[:size])[0], length))
+    one = lambda tag, default: tags.get(tag, (default,))[0]
+    h, w, tiled = one(HEIGHT, 0), one(WIDTH, 0), TILE_OFFSETS in tags
+    page = {
+        "h": h, "w": w, "samples": one(SAMPLES, 1), "planar": one(PLANAR, 1) == 2, "compression": one(COMPRESSION, PLAIN), "predictor": one(PREDICTOR, 1),
+        "dtype": f"{end}{KINDS[one(FORMAT, 1)]}{one(BITS, 8) // 8}", "th": one(TILE_HEIGHT, 0) if tiled else min(one(ROWS, h), h), "tw": one(TILE_WIDTH, 0) if tiled else w,
+        "offsets": list(tags[TILE_OFFSETS if tiled else OFFSETS]), "counts": list(tags[TILE_COUNTS if tiled else COUNTS]), "description": one(DESCRIPTION, b"").rstrip(b"\0").decode("utf-8", "replace"),
+        "tiled": tiled, "ycc": one(PHOTOMETRIC, 1) == YCC, "tables": shared, "sub": list(tags.get(SUB, ())), "lens": one(LENS, None), "across": tags.get(ACROSS, (0, 0)), "unit": one(UNIT, 2),
+    }
+    return page, struct.unpack_from(end + word, table, n * entry)[0]
+
+
+def pages(read: Read) -> Iterator[dict]:
+    """Of each page its size, type, description and where its segments are."""
+    end, big, at = layout(read)
+    seen = set()
     while at and at not in seen:
         seen.add(at)
-        n = struct.unpack(end + count, read(at, struct.calcsize(count)))[0]
-        table = read(at + struct.calcsize(count), n * entry + size)
-        tags: dict[int, tuple] = {}
-        for k in range(n):
-            tag, kind, many = struct.unpack_from(end + "HH" + word, table, k * entry)
-            if code := TYPES.get(kind):
-                form = end + (f"{many}s" if code == "s" else f"{many}{code}")
-                field, length = table[k * entry + 4 + size : (k + 1) * entry], struct.calcsize(form)
-                tags[tag] = struct.unpack(form, field[:length] if length <= size else read(struct.unpack(end + word, field[:size])[0], length))
-        at = struct.unpack_from(end + word, table, n * entry)[0]
-        one = lambda tag, default, tags=tags: tags.get(tag, (default,))[0]
-        h, w, tiled = one(HEIGHT, 0), one(WIDTH, 0), TILE_OFFSETS in tags
-        yield {
-            "h": h, "w": w, "samples": one(SAMPLES, 1), "planar": one(PLANAR, 1) == 2, "compression": one(COMPRESSION, PLAIN), "predictor": one(PREDICTOR, 1),
-            "dtype": f"{end}{KINDS[one(FORMAT, 1)]}{one(BITS, 8) // 8}", "th": one(TILE_HEIGHT, 0) if tiled else min(one(ROWS, h), h), "tw": one(TILE_WIDTH, 0) if tiled else w,
-            "offsets": list(tags[TILE_OFFSETS if tiled else OFFSETS]), "counts": list(tags[TILE_COUNTS if tiled else COUNTS]), "description": one(DESCRIPTION, b"").rstrip(b"\0").decode("utf-8", "replace"),
-        }
+        page, at = page_at(read, at, end, big)
+        yield page
+
+
+def levels(read: Read) -> list[dict]:
+    """The first page and its smaller copies, largest first: those that it names itself, else other pages of its form, laid out like it.
+
+    Labels, overviews of the slide and thumbnails have another form or layout, or a lens that says so.
+    """
+    end, big, _ = layout(read)
+    found = list(pages(read))
+    first = found[0]
+    others = [page_at(read, at, end, big)[0] for at in first["sub"]] or found[1:]
+    alike = [p for p in others if p["w"] < first["w"] and abs(first["w"] / p["w"] * p["h"] / first["h"] - 1) < 0.02 + 1 / min(p["h"], p["w"])]
+    alike = [p for p in alike if (p["tiled"], p["samples"], p["dtype"]) == (first["tiled"], first["samples"], first["dtype"]) and (p["lens"] is None or p["lens"] > 0)]
+    return [first, *sorted(alike, key=lambda p: -p["w"])]
 
 
 def unpack_bits(data: bytes) -> bytes:
@@ -91,9 +127,11 @@ def unpack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpacked(data: bytes, compression: int) -> bytes:
+def unpacked(data: bytes, compression: int, tables: bytes = b"", ycc: bool = False) -> bytes:
     if compression == PLAIN:
         return data
+    if compression == JPEG:
+        return jpeg.decode(data, tables, ycc).tobytes()
     if compression in (DEFLATE, OLD_DEFLATE):
         return zlib.decompress(data)
     if compression == LZW:
@@ -107,24 +145,43 @@ def unpacked(data: bytes, compression: int) -> bytes:
     raise ValueError(f"compression {compression} isn't read")
 
 
+def undone(raw: bytes, page: dict, rows: int, inner: int) -> np.ndarray:
+    """(y, x, sample) of a segment's bytes, the predictor undone."""
+    kind, tw = np.dtype(page["dtype"]), page["tw"]
+    native = kind.newbyteorder("=")
+    if page["predictor"] == 1:
+        return np.frombuffer(raw, kind, rows * tw * inner).reshape(rows, tw, inner).astype(native)
+    if page["predictor"] == 2:
+        return np.cumsum(np.frombuffer(raw, kind, rows * tw * inner).reshape(rows, tw, inner).astype(native), 1, dtype=native)
+    if page["predictor"] != 3 or kind.kind != "f":
+        raise ValueError("this predictor isn't read")
+    # Differences of bytes, of which a row has all first ones of its numbers, then all second ones, high ones first.
+    n = kind.itemsize
+    bytes_of = np.cumsum(np.frombuffer(raw, np.uint8, rows * tw * inner * n).reshape(rows, -1, inner), 1, dtype=np.uint8)
+    return np.ascontiguousarray(bytes_of.reshape(rows, n, tw * inner).transpose(0, 2, 1)).view(f">f{n}").reshape(rows, tw, inner).astype(native)
+
+
+def segment_at(read: Read, page: dict, k: int) -> np.ndarray:
+    """(y, x, sample) of the k-th strip or tile of a page; the last strip may have fewer rows. Tiles that were left out, of no bytes, are zeros."""
+    kind, inner = np.dtype(page["dtype"]), 1 if page["planar"] else page["samples"]
+    if not page["counts"][k]:
+        return np.zeros((page["th"], page["tw"], inner), kind.newbyteorder("="))
+    shared = page.get("tables")
+    raw = unpacked(read(page["offsets"][k], page["counts"][k]), page["compression"], read(*shared) if shared and page["compression"] == JPEG else b"", page.get("ycc", False))
+    return undone(raw, page, min(page["th"], len(raw) // (page["tw"] * inner * kind.itemsize)), inner)
+
+
 def page_sample(read: Read, page: dict, sample: int = 0) -> np.ndarray:
     """One sample of a page: its segments put in their places."""
     h, w, th, tw = page["h"], page["w"], page["th"], page["tw"]
-    if page["predictor"] not in (1, 2):
-        raise ValueError("this predictor isn't read")
-    kind, inner = np.dtype(page["dtype"]), 1 if page["planar"] else page["samples"]
     across = -(-w // tw)
     each = across * -(-h // th)
     first = sample * each if page["planar"] else 0
-    out = np.empty((h, w), kind.newbyteorder("="))
+    out = np.empty((h, w), np.dtype(page["dtype"]).newbyteorder("="))
     for k in range(each):
         y, x = k // across * th, k % across * tw
-        raw = unpacked(read(page["offsets"][first + k], page["counts"][first + k]), page["compression"])
-        rows = min(th, len(raw) // (tw * inner * kind.itemsize))
-        part = np.frombuffer(raw, kind, rows * tw * inner).reshape(rows, tw, inner)[:, :, 0 if page["planar"] else sample].astype(out.dtype)
-        if page["predictor"] == 2:
-            part = np.cumsum(part, 1, dtype=out.dtype)
-        out[y : y + rows, x : x + tw] = part[: h - y, : w - x]
+        part = segment_at(read, page, first + k)[:, :, 0 if page["planar"] else sample]
+        out[y : y + len(part), x : x + tw] = part[: h - y, : w - x]
     return out
 
 
