@@ -16,7 +16,7 @@ from ..plans.registry import register
 PERIMETER = {1.0: (5, 7, 15, 17, 25, 27), 2**0.5: (21, 33), (1 + 2**0.5) / 2: (13, 23)}
 
 
-@register("Extract Regionprops to CSV", "_regionprops")
+@register("Extract Regionprops to CSV", "_regionprops", kind="table")
 def regionprops(labels: DataFrame, block: Sequence[str] = ("image_id",), axes: Sequence[str] = ("y", "x"), value: str | None = "v", label: str = "label", size: bool = True, centroid: bool = True, bbox: bool = True, extent: bool = False, moments: bool = False,
                 mean: bool = True, median: bool = True, std: bool = True, maximum: bool = False, minimum: bool = False) -> DataFrame:
     """(block, label, ...) of every label above 0 of a block: size, centroid, bounding box, extent, axes of its ellipse, intensities."""
@@ -58,7 +58,7 @@ def ellipse(yy: Column, xx: Column, yx: Column) -> dict[str, Column]:
     return {"major_axis": 4 * F.sqrt(large), "minor_axis": 4 * F.sqrt(small), "eccentricity": F.sqrt(1 - small / large), "orientation": turned}
 
 
-@register("Regionprops Summary Statistics", "_regionprops_summary")
+@register("Regionprops Summary Statistics", "_regionprops_summary", kind="table")
 def regionprops_summary(regions: DataFrame, group: Sequence[str] = ("image_id",), columns: Sequence[str] = ("size", "mean_int", "median_int", "std_int")) -> DataFrame:
     """(group, label_count, {column}_{sum,mean,median,std}) over regions; the deviation of one region is null."""
     stats = {"sum": F.sum, "mean": F.avg, "median": F.median, "std": F.stddev_samp}

@@ -58,7 +58,7 @@ def merge_timepoints(pixels: DataFrame, path: str = "path", folder: Sequence[str
     return strided(moved, "t", start_timepoint, subsample_factor, max_timepoints).drop(path, "__before")
 
 
-@register("Split TZYX into ZYX TIFs", "_split")
+@register("Split TZYX into ZYX TIFs", "_split", loads=False)
 def split_timepoints(pixels: DataFrame, basename: str = "image", axis: str = "t") -> DataFrame:
     """Every frame's rows under a name of its own, `{basename}_t{frame, three digits}`; write it partitioned by `file`."""
     return pixels.withColumn("file", F.concat(F.lit(f"{basename}_t"), F.lpad(F.col(axis).cast("string"), 3, "0"))).drop(axis)
@@ -72,7 +72,7 @@ def channel_axis(shape: Sequence[int], num_channels: int = 3, axes: str | None =
     return next((k for k in [*outer, *range(max(0, len(shape) - 2), len(shape))] if shape[k] == num_channels), None)
 
 
-@register("Split Color Channels", "_split")
+@register("Split Color Channels", "_split", loads=False)
 def split_channels(pixels: DataFrame, axis: str = "c", basename: str = "image", output_format: str = "python", sort_by_timepoints: Sequence[str] = ()) -> DataFrame:
     """Every channel's rows under a name of its own, `{basename}_channel_{c}`, without the axis; write it partitioned by `file`.
 
@@ -91,7 +91,12 @@ def split_channels(pixels: DataFrame, axis: str = "c", basename: str = "image",
     return out.select(*first, *[c for c in out.columns if c not in first])
 
 
-@register("Merge Color Channels", "_merged_colors")
+def with_channel_number(files: DataFrame, channel_substring: str = "_channel_") -> DataFrame:
+    """The files whose names have a number after `channel_substring`."""
+    return files.where(F.col("path").rlike(rf"\Q{channel_substring}\E\d{{1,2}}"))
+
+
+@register("Merge Color Channels", "_merged_colors", wanted=with_channel_number, loads=False)
 def merge_channels(pixels: DataFrame, path: str = "path", channel_substring: str = "_channel_") -> DataFrame:
     """Files that differ in the number after `channel_substring` only as channels of one image, in order of the numbers.
 
@@ -103,7 +108,7 @@ def merge_channels(pixels: DataFrame, path: str = "path", channel_substring: str
     names = names.select(path, part(1).alias("__prefix"), part(2).cast("int").alias("__n"), part(3).alias("__end"))
     w = W.partitionBy("__prefix", "__end")
     ranked = names.withColumn("c", F.dense_rank().over(w.orderBy("__n")) - 1).withColumn("__first", F.min_by(path, "__n").over(w))
-    return pixels.join(ranked.select(path, "c", F.col("__first").alias("__path")), path).withColumn(path, F.col("__path")).drop("__path")
+    return pixels.drop("c").join(ranked.select(path, "c", F.col("__first").alias("__path")), path).withColumn(path, F.col("__path")).drop("__path")
 
 
 def pair_by_suffix(files: DataFrame, suffixes: Sequence[str], path: str = "path", image_end: str = ".tif", strict: bool = False) -> DataFrame:

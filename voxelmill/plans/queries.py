@@ -33,6 +33,8 @@ from ..functions.grid import dense, to_pixels
 from ..functions.planes import to_planes
 from ..functions.ranks import exact_percentiles
 from ..functions.tiles import label_array
+from ..functions import tables
+from . import batch
 from . import fixtures as X
 from .fixtures import FILES, LBL, MOV, PX, VOX
 
@@ -1027,6 +1029,31 @@ def plate_of_wells(spark, sf):
     return to_pixels(arrays.load_planes(wells.well_plan(arrays.plane_plan(spark, folder))), ["well", "series", "t", "c"])
 
 
+@query(f"""WITH {PX}, k AS (SELECT image_id, y * 8 + x AS p, CASE WHEN v < 140 THEN 0 WHEN v < 200 THEN 1 ELSE 2 END AS g FROM px),
+b AS (SELECT *, CASE WHEN g <> 0 AND g IS DISTINCT FROM lag(g) OVER (PARTITION BY image_id ORDER BY p) THEN 1 ELSE 0 END AS begins FROM k),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY image_id ORDER BY p) AS n FROM b)
+SELECT image_id, CAST(n AS INT) AS label, CAST(max(g) AS DOUBLE) AS value, count(*) AS size, CAST(min(p) AS INT) AS x0, CAST(max(p) + 1 AS INT) AS x1, avg(p) AS centre_x FROM r WHERE g <> 0 GROUP BY image_id, n""")
+def table_of_objects(spark, sf):
+    """A table function in SQL: runs of a grey level in images as one line."""
+    tables.register(spark)
+    level = lambda v: F.when(v < 140, 0.0).when(v < 200, 1.0).otherwise(2.0)
+    lines = X.planes(spark, sf).select("image_id", F.lit(1).alias("h"), F.lit(64).alias("w"), F.transform("data", level).alias("data"))
+    return spark.sql("SELECT image_id, o.label, o.value, o.size, o.x0, o.x1, o.centre_x FROM {lines}, LATERAL plane_objects(h, w, data) o", lines=lines)
+
+
+@query(f"""WITH {LBL} SELECT image, t, y, x, label FROM (SELECT 'scene_' || (image_id // 100) AS image, CAST(image_id % 100 AS INT) AS t, y, x, label,
+  count(*) OVER (PARTITION BY image_id, label) AS n FROM lbl WHERE label > 0) WHERE n > 5""")
+def operator_over_a_folder(spark, sf):
+    """A registered operator on a folder's label images, what it wrote read back."""
+    folder = f"{checkpoint_dir(spark)}/batch-{uuid.uuid4()}"
+    planes = to_planes(X.lbl(spark, sf), ["image_id"], 8, 8, "label")
+    at = F.concat(F.lit("scene_"), F.floor(F.col("image_id") / 100).cast("string"))
+    movies_of = planes.select(at.alias("path"), (F.col("image_id") % 100).cast("int").alias("t"), F.lit(0).alias("c"), F.lit(0).alias("z"), "h", "w", "data")
+    sinks.write_images(movies_of, f"{folder}/in", dtype="uint8")
+    batch.process(spark, f"{folder}/in", f"{folder}/out", "Remove Small Labels", dtype="uint8", min_size=5)
+    return of_files(arrays.read_planes(spark, f"{folder}/out")).where("v > 0").withColumn("label", F.col("v").cast("int")).drop("v")
+
+
 @query("SELECT 'scene_' || (vec_id // 100) AS movie, CAST(count(*) AS INT) AS frames, true AS complete, 'frame_' || min(vec_id) AS first FROM embeddings GROUP BY vec_id // 100")
 def movies_of_arriving_frames(spark, sf):
     """Frames that come in the order of a hash, a fifth at a time; each movie is given on when its last one is there."""
