@@ -128,7 +128,9 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == {k: find(k) for k in keys}
 
 
-def test_pairs_far_from_all_hubs_of_a_bucket(spark):
+@pytest.mark.parametrize("signed", [neardup.SIGNED, 8])
+def test_pairs_far_from_all_hubs_of_a_bucket(spark, monkeypatch, signed):
+    monkeypatch.setattr(neardup, "SIGNED", signed)
     rng = np.random.default_rng(6)
     words = lambda n: [f"w{k}" for k in rng.integers(0, 1 << 40, n)]
     passage, rows = words(300), []

@@ -42,6 +42,8 @@ RARE = 256
 HUBS = 8
 #: Partners of a hub whose pairs meet its text in one task.
 PARTNERS = 256
+#: Members of a bucket that meet the samples of a hub in one task.
+SIGNED = 1 << 16
 #: Members of a bucket, and bytes of their texts, that are compared at a time with as many others.
 SIDE = 512
 SIDE_BYTES = 4 << 20
@@ -290,16 +292,19 @@ def text_classes(docs: DataFrame, id_col: str, text: str, width: int, threshold:
     sigs = signed.join(members.select("th").distinct(), "th", "left_semi")
 
     def links(pairs: DataFrame) -> DataFrame:
-        once = pairs.groupBy(F.least("th", "hub").alias("a"), F.greatest("th", "hub").alias("b")).agg(F.max("hub").alias("hub"))
-        once = once.select(F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("th"), "hub")
+        once = pairs.groupBy(F.least("th", "hub").alias("a"), F.greatest("th", "hub").alias("b")).agg(F.max("hub").alias("hub"), F.max("size").alias("size"))
+        once = once.select(F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("th"), "hub", "size")
         agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
-        near = once.join(sigs.select("th", F.col("sig").alias("sig_a")), "th").join(sigs.select(F.col("th").alias("hub"), F.col("sig").alias("sig_b")), "hub").where(agree >= least * samples)
+        # The hub of a large bucket meets it in parts of about SIGNED: its samples go to the parts that it has texts in.
+        salted = once.select("th", "hub", F.pmod(F.xxhash64("th"), F.ceil(F.col("size") / SIGNED)).alias("salt"))
+        of_hubs = salted.select("hub", "salt").distinct().join(sigs.select(F.col("th").alias("hub"), F.col("sig").alias("sig_b")), "hub")
+        near = salted.join(sigs.select("th", F.col("sig").alias("sig_a")), "th").join(of_hubs, ["hub", "salt"]).where(agree >= least * samples)
         return verified(scratch.cut(near.select("th", "hub")), texts, weights, width, threshold)
 
     pairs = members.join(hubs.where("rank = 1"), "key").where("th <> hub")
     one = scratch.cut(links(pairs))
     labels = connected(one)
-    known = members.join(labels, F.col("th") == F.col("node"), "left").select("key", "th", F.coalesce("label", "th").alias("label"))
+    known = members.join(labels, F.col("th") == F.col("node"), "left").select("key", "size", "th", F.coalesce("label", "th").alias("label"))
     # Buckets whose members are not all in one component meet their other hubs.
     apart = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     open_hubs = hubs.where("rank = 2").join(apart, "key").join(labels, F.col("hub") == F.col("node"), "left").select("key", "hub", F.coalesce("label", "hub").alias("hub_label"))
