@@ -1,5 +1,10 @@
 """Operators against held-out labels, brute force and exact round trips."""
 
+import hashlib
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -390,3 +395,43 @@ def test_long_texts_in_pieces_give_the_same(monkeypatch):
     assert whole[3][0] == parts[3][0] and np.allclose(whole[3][1], parts[3][1]) and np.array_equal(whole[3][3], parts[3][3])
     assert language.spans(model, 1, *whole[3][2:]) == language.spans(model, 1, *parts[3][2:])
     assert [text.encode()[a:z] for a, z in words.pieces(data)] and b"".join(data[a:z].tobytes() for a, z in words.pieces(data)) == text.encode()
+
+
+def test_fingerprints_of_texts_in_pieces():
+    """Whatever pieces a text comes in, runs across their edges among them, the names are those of the whole text."""
+    pw, rng = Powers(), np.random.default_rng(11)
+    kinds = [
+        lambda n: "".join(map(chr, rng.integers(97, 123, n))), lambda n: "a" * n, lambda n: ("lorem ipsum " * n)[:n],
+        lambda n: "".join(chr(97 + x) * int(k) for x, k in zip(rng.integers(0, 3, n), rng.integers(1, 9, n), strict=True))[:n], lambda n: "".join(map(chr, rng.choice([10, 97, 0x4E00, 0x1F600], n))),
+    ]
+    for k in range(200):
+        text = kinds[k % len(kinds)](int(rng.integers(0, 2500)))
+        cuts = [0, *sorted(rng.integers(0, len(text) + 1, int(rng.integers(0, 40))).tolist()), len(text)]
+        got = fingerprint.long_fingerprint([text[a:z] for a, z in zip(cuts, cuts[1:], strict=False)], pw)
+        assert got.tolist() == fingerprint.fingerprints([text], pw)[0].tolist()
+    long = kinds[0](fingerprint.BLOCK + 7) * 2
+    texts = [[("", 0)], [("short", 5)], [(long, len(long))], [(long, fingerprint.BLOCK), ("end", 2)], [("short", 3)]]
+    assert [p.tolist() for p in fingerprint.prints_of(texts, pw)] == [p.tolist() for p in fingerprint.fingerprints(["", "short", long, long[:fingerprint.BLOCK] + "en", "sho"], pw)]
+
+
+def test_fingerprint_of_a_very_long_text_takes_little_memory():
+    """40 million code points with 100 MB beside the text."""
+    code = (
+        "import resource, numpy as np\n"
+        "from voxelmill.llm.fingerprint import prints_of\nfrom voxelmill.llm.words import Powers\n"
+        "text = ''.join(map(chr, np.random.default_rng(1).integers(97, 123, 1 << 16))) * 640\n"
+        "peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "before = peak()\nassert len(prints_of([[(text, len(text))]], Powers())[0]) == 64\nassert peak() - before < 100_000, peak() - before"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2])
+
+
+def test_fingerprint_query_of_texts_longer_than_a_block(spark):
+    texts = ["a é" * fingerprint.BLOCK, "short", "x" * (fingerprint.BLOCK + 1), "", "yz" * fingerprint.BLOCK]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = [fingerprint.shown(f) for f in fingerprint.fingerprints(texts, Powers())]
+    assert [r["fingerprint"] for r in fingerprint.fingerprint(docs).orderBy("doc_id").collect()] == whole
+    got = fingerprint.edited_query(docs).orderBy("doc_id").collect()
+    edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts, texts[1:] + texts[:1], strict=True)]
+    assert [r["fingerprint"] for r in got] == whole and [r["edited_fingerprint"] for r in got] == [fingerprint.shown(f) for f in fingerprint.fingerprints(edited, Powers())]
+    assert [r["edited_sha256"] for r in got] == [hashlib.sha256(t.encode()).hexdigest() for t in edited]
