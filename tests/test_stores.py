@@ -1,5 +1,6 @@
 """Blosc frames, shards, chunk-wise reading, and the data source of images."""
 
+import contextlib
 import json
 import struct
 import zlib
@@ -7,8 +8,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from voxelmill.sources import arrays, codecs, datasource, sinks, zarr
+from voxelmill.sources import arrays, codecs, datasource, metadata, sinks, store, zarr
 
 # Blosc
 
@@ -79,7 +81,7 @@ def image(h=37, w=45, n=2):
     return np.random.default_rng(7).integers(0, 60000, (n, h, w))
 
 
-def store(folder, data, chunk, order="C", sep=".", dtype="<u2"):
+def blosc_store(folder, data, chunk, order="C", sep=".", dtype="<u2"):
     """A version 2 store of TYX with Blosc frames, as most are."""
     level = folder / "0"
     level.mkdir(parents=True)
@@ -101,7 +103,7 @@ def planes(df):
 @pytest.mark.parametrize(("chunk", "order", "dtype"), [((1, 16, 16), "C", "<u2"), ((2, 20, 45), "F", ">u2"), ((2, 64, 64), "C", "<u4")])
 def test_blosc_stores_are_read(spark, tmp_path, chunk, order, dtype):
     data = image()
-    level = store(tmp_path / "a.zarr", data, chunk, order, dtype=dtype)
+    level = blosc_store(tmp_path / "a.zarr", data, chunk, order, dtype=dtype)
     got = planes(zarr.read_zarr(spark, str(tmp_path)))
     assert all((got[t, 0] == data[t]).all() for t in range(2))
     (level / "0.0.0").unlink()  # a chunk that isn't there has the fill value
@@ -217,3 +219,101 @@ def test_damaged_files(spark, tmp_path):
     (tmp_path / "none").mkdir()
     assert spark.read.format("voxelmill").load(f"{tmp_path}/none").count() == 0
     assert arrays.SCHEMA.startswith("path")
+
+
+def movie(spark, data, path="a.tif"):
+    rows = [(path, t, c, z, *data.shape[3:], data[t, c, z].ravel().tolist()) for t, c, z in np.ndindex(*data.shape[:3])]
+    return spark.createDataFrame(rows, "path string, t int, c int, z int, h int, w int, data array<double>")
+
+
+@pytest.mark.parametrize("axes", ["tczyx", "zyx", "xzy", "yxz", "zcxyt"])
+@pytest.mark.parametrize("how", [{"version": 2}, {"version": 3, "shard": 8}])
+def test_axes_of_any_order(spark, tmp_path, axes, how):
+    data = np.random.default_rng(3).integers(0, 900, (2 if "t" in axes else 1, 2 if "c" in axes else 1, 3, 9, 14)).astype(float)
+    zarr.write_zarr(movie(spark, data), str(tmp_path), chunk=4, axes=axes, levels=2, scale={"z": 2.0, "x": 0.5}, **how)
+    for level, step in ((0, 1), (1, 2)):
+        d = zarr.described(f"{tmp_path}/a.zarr", level)
+        assert d["axes"] == axes and d["scale"]["x"] == 0.5 * step and d["scale"]["z"] == 2.0
+        got = zarr.read_zarr(spark, str(tmp_path), level).collect()
+        assert len(got) == np.prod(data.shape[:3])
+        for r in got:
+            assert np.array_equal(np.reshape(r["data"], (r["h"], r["w"])), data[r["t"], r["c"], r["z"], ::step, ::step])
+    with pytest.raises(Exception, match="lack"):
+        zarr.write_zarr(movie(spark, data), f"{tmp_path}/other", axes="yx").collect()
+
+
+def test_labels_have_the_axes_levels_and_scales_of_their_source(spark, tmp_path):
+    data = np.random.default_rng(4).integers(0, 200, (2, 2, 3, 8, 8)).astype(float)
+    for name, axes, levels in (("a.b", "tczyx", 3), ("c", "zcyxt", 1)):
+        zarr.write_zarr(movie(spark, data, f"{name}.tif"), str(tmp_path), dtype="uint8", levels=levels, axes=axes, scale={"t": 5.0, "z": 3.0, "y": 0.5})
+    images = [f"{tmp_path}/a.b.zarr", f"{tmp_path}/c.zarr"]
+    sources = metadata.image_catalog(spark, images)
+    assert [(r["axes"], r["dtype"], r["levels"]) for r in sources.orderBy("path").collect()] == [("tczyx", "uint8", 3), ("zcyxt", "uint8", 1)]
+    projected = zarr.read_zarr(spark, str(tmp_path)).where("c = 0").withColumn("data", F.transform("data", lambda v: v * 300))
+    for _ in range(2):  # the second time they are replaced
+        done = metadata.write_labels_like(projected, sources, f"{tmp_path}/out", gone="c")
+        assert sorted(r["image"] for r in done.collect()) == [f"{tmp_path}/out/a.b_labels.zarr", f"{tmp_path}/out/c_labels.zarr"]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.b_labels.zarr", "c_labels.zarr"]
+    got = {r["path"].rsplit("/", 1)[1][0]: r for r in metadata.image_catalog(spark, [r["image"] for r in done.collect()]).collect()}
+    assert (got["a"]["axes"], got["a"]["levels"], got["a"]["dtype"]) == ("tzyx", 3, "uint32") and (got["c"]["axes"], got["c"]["levels"]) == ("zyxt", 1)
+    assert got["a"]["scales"] == [{"t": 5.0, "z": 3.0, "y": 0.5 * k, "x": 1.0 * k} for k in (1, 2, 4)]
+    assert {(r["t"], r["z"]): r["data"] for r in zarr.read_zarr(spark, f"{tmp_path}/out/a.b_labels.zarr").collect()} == {(t, z): (data[t, 0, z].ravel() * 300).tolist() for t in range(2) for z in range(3)}
+
+
+def test_a_replaced_store_is_whole_at_every_step(spark, tmp_path, monkeypatch):
+    """Whatever step of a swap a crash comes at, what is there afterwards is the old image or the new one."""
+    folder, new = tmp_path / "a.zarr", tmp_path / "draft" / "a.zarr"
+    real = store.place
+
+    class Crash(Exception):
+        pass
+
+    for steps in range(5):
+        for path, text in ((folder, "old"), (new, "new")):
+            path.mkdir(parents=True, exist_ok=True)
+            (path / "0").write_text(text)
+        left = [steps]
+
+        class Counted:
+            def __init__(self, system):
+                self.system = system
+
+            def __getattr__(self, name):
+                if name in ("move", "delete_dir"):
+                    left[0] -= 1
+                    if left[0] < 0:
+                        raise Crash
+                return getattr(self.system, name)
+
+        monkeypatch.setattr(store, "place", lambda p: (Counted(real(p)[0]), real(p)[1]))
+        with contextlib.suppress(Crash):
+            store.swap(str(new), str(folder))
+        monkeypatch.setattr(store, "place", real)
+        states = [p for p in (folder, tmp_path / "a.zarr.old") if p.exists()]
+        assert states and all((p / "0").read_text() in ("old", "new") for p in states)
+        metadata.restore(str(tmp_path), ["a.zarr"])
+        assert (folder / "0").read_text() == ("old" if steps < 2 else "new") and not (tmp_path / "a.zarr.old").exists()
+        store.swap(str(new), str(folder))  # a task that runs again
+        assert (folder / "0").read_text() == "new" and not new.exists()
+
+
+def test_a_failed_job_leaves_stores_as_they_were(spark, tmp_path):
+    data = np.ones((1, 1, 2, 4, 4))
+    zarr.write_zarr(movie(spark, data), str(tmp_path))
+    broken = movie(spark, 2 * data).withColumn("data", F.when(F.col("z") == 1, F.array(F.lit(1.0))).otherwise(F.col("data")))
+    with pytest.raises(Exception, match="reshape"):
+        metadata.replace_zarr(broken, str(tmp_path))
+    assert {tuple(r["data"]) for r in zarr.read_zarr(spark, str(tmp_path)).collect()} == {(1.0,) * 16} and [p.name for p in tmp_path.iterdir()] == ["a.zarr"]
+    metadata.replace_zarr(movie(spark, 2 * data), str(tmp_path))
+    assert {tuple(r["data"]) for r in zarr.read_zarr(spark, str(tmp_path)).collect()} == {(2.0,) * 16}
+
+
+@pytest.mark.parametrize("version", [2, 3])
+def test_patched_metadata(spark, tmp_path, version):
+    zarr.write_zarr(movie(spark, np.ones((1, 2, 1, 8, 8))), str(tmp_path), levels=3, version=version, scale={"z": 4.0})
+    patch = spark.createDataFrame([(f"{tmp_path}/a.zarr", {"y": 0.25}, [(0.0, 9.0, 1.0, 8.0)])], f"path string, scale map<string, double>, windows array<{metadata.WINDOW}>")
+    for _ in range(2):
+        assert metadata.patch_metadata(patch).first()["levels"] == 3
+    r = metadata.image_catalog(spark, [f"{tmp_path}/a.zarr"]).first()
+    assert [(s["z"], s["y"], s["x"]) for s in r["scales"]] == [(4.0, 0.25 * k, 1.0 * k) for k in (1, 2, 4)] and [tuple(w) for w in r["windows"]] == [(0.0, 9.0, 1.0, 8.0)]
+    assert zarr.read_zarr(spark, str(tmp_path)).count() == 2

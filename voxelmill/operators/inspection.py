@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.grid import beside
+from ..functions.planes import matrix
 from ..functions.ranking import global_rank
 from ..plans.registry import register
 
@@ -62,6 +66,72 @@ def grid_overlay(pixels: DataFrame, h: int, w: int, key: str = "image_id", most:
     return grid_mosaic(overlay_blend(small, [key], opacity, value, label), -(-h // n), -(-w // n), key, columns)
 
 
+def blended(values: np.ndarray, labels: np.ndarray, opacity: float) -> np.ndarray:
+    """(3, y, x) of 0..255: what `overlay_blend` makes of one plane."""
+    lo, hi = values.min(), values.max()
+    grey = (values - lo) / (hi - lo) if hi > 0 and hi > lo else np.zeros(values.shape)
+    inside = labels > 0
+    ids, rank = np.unique(labels[inside], return_inverse=True)
+    sixth = np.arange(len(ids)) * 137.5 % 360 / 60
+    # Each channel rises for a sixth of the circle, is full for two, falls for one and is off for two.
+    colour = np.stack([np.clip(2 - np.abs((sixth - peak + 3) % 6 - 3), 0, 1) for peak in (0, 2, 4)])
+    out = np.repeat(grey[None], 3, 0)
+    out[:, inside] = (1 - opacity) * grey[inside] + opacity * colour[:, rank]
+    return np.floor(out * 255)
+
+
+def overlay_tiles(planes: DataFrame, key: str = "image_id", most: int = 512, opacity: float = 0.6, columns: int | None = None) -> DataFrame:
+    """(key, row, column, h, w, r, g, b) of planes (key, h, w, data, labels): `grid_overlay`'s mosaic as a row an image, in arrays.
+
+    Planes are made smaller and blended where they are, and no pixel is a row. Those with z are made smaller first and meet by
+    key; the task then holds the largest values so far of one image, whatever its depth. Null values are 0.
+    """
+    deep = "z" in planes.columns
+    parts = [(n, T.ArrayType(T.DoubleType())) for n in ("data", "labels")]
+    small = T.StructType([planes.schema[key], T.StructField("h", T.IntegerType()), T.StructField("w", T.IntegerType()), *[T.StructField(n, t) for n, t in parts]])
+    final = T.StructType([*small.fields[:3], *[T.StructField(n, T.ArrayType(T.ShortType())) for n in "rgb"]])
+
+    def shrunk(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+        for k in range(batch.num_rows):
+            h, w = batch.column("h")[k].as_py(), batch.column("w")[k].as_py()
+            n = max(1, -(-max(h, w) // most))
+            yield batch.column(key).slice(k, 1), [matrix(batch.column(c).slice(k, 1)).reshape(h, w)[::n, ::n] for c, _ in parts]
+
+    def row(own: pa.Array, arrays: Sequence[np.ndarray], kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+        sizes = [pa.array([n], pa.int32()) for n in arrays[0].shape]
+        return pa.RecordBatch.from_arrays([own, *sizes, *[pa.array([a.ravel()], pa.list_(kind)) for a in arrays]], names=names)
+
+    def coloured(own: pa.Array, pair: Sequence[np.ndarray]) -> pa.RecordBatch:
+        return row(own, blended(*pair, opacity).astype(np.int16), pa.int16(), final.names)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, pair in shrunk(batch):
+                yield coloured(own, pair)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, pair in shrunk(batch):
+                yield row(own, pair, pa.float64(), small.names)
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, most_so_far = None, []
+        for batch in batches:
+            for own, pair in shrunk(batch):
+                if before is not None and own.equals(before):
+                    most_so_far = [np.maximum(a, b) for a, b in zip(most_so_far, pair, strict=True)]
+                    continue
+                if before is not None:
+                    yield coloured(before, most_so_far)
+                before, most_so_far = own, pair
+        if before is not None:
+            yield coloured(before, most_so_far)
+
+    rows = planes.select(key, F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), "data", "labels")
+    made = rows.mapInArrow(first, small).repartition(key).sortWithinPartitions(key).mapInArrow(projected, final) if deep else rows.mapInArrow(alone, final)
+    return made.join(grid_place(planes, key, columns), key).select(key, "row", "column", "h", "w", *"rgb")
+
+
 def display_window(pixels: DataFrame, block: Sequence[str] = ("image_id",), value: str = "v") -> DataFrame:
     """(block, min, max, start, end): start at the 0.5th percentile, end at the maximum but at most ten times the 99th."""
     stats = pixels.groupBy(*block).agg(F.min(value).cast("long").alias("min"), F.max(value).cast("long").alias("max"), F.floor(F.percentile(value, 0.005)).cast("long").alias("start"), F.floor(F.percentile(value, 0.99)).cast("long").alias("__p"))

@@ -26,7 +26,7 @@ from ..operators.models import pixel_classes_to_objects as pixel_classes
 from ..operators.stitching import segment_stitched
 from ..operators.models import predict_planes, predict_stacks, segment_inside
 from ..operators import contrast
-from ..sources import arrays, containers, czi, datasource, sinks, slides, wells, zarr
+from ..sources import arrays, containers, czi, datasource, metadata, sinks, slides, wells, zarr
 from ..streaming import movies
 from ..functions.graph import checkpoint_dir
 from ..functions.grid import dense, to_pixels
@@ -931,6 +931,17 @@ def grid_overlay(spark, sf):
     return I.grid_overlay(stacks, 8, 8)
 
 
+@query(SQL["grid_overlay"])
+def overlay_tiles(spark, sf):
+    """The same mosaic of planes, blended where they are."""
+    stacks = X.lbl(spark, sf).select(F.floor(F.col("image_id") / 4).alias("image_id"), (F.col("image_id") % 4).alias("z"), "y", "x", "v", "label")
+    block = ["image_id", "z"]
+    both = to_planes(stacks, block, 8, 8).join(to_planes(stacks, block, 8, 8, "label").select(*block, F.col("data").alias("labels")), block)
+    tiles = I.overlay_tiles(both).select("row", "column", "w", F.posexplode(F.arrays_zip(*"rgb")).alias("p", "rgb"))
+    at = {"y": F.col("row") * 8 + F.floor(F.col("p") / F.col("w")), "x": F.col("column") * 8 + F.col("p") % F.col("w")}
+    return tiles.select(*[c.cast("int").alias(n) for n, c in at.items()], *[F.col(f"rgb.{c}").cast("int").alias(c) for c in "rgb"])
+
+
 @query(f"""WITH {VOX}, n AS (SELECT image_id, max(t) + 1 AS n FROM vox GROUP BY 1), o AS (SELECT image_id, coalesce(sum(n) OVER (ORDER BY image_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM n)
 SELECT CAST((o + t - 3) // 2 AS BIGINT) AS t, z, y, x, v FROM vox JOIN o USING (image_id) WHERE o + t >= 3 AND (o + t - 3) % 2 = 0""")
 def merge_movies(spark, sf):
@@ -972,6 +983,27 @@ def zarr_second_level(spark, sf):
     return of_files(zarr.read_zarr(spark, folder, 1))
 
 
+@query(f"""WITH {PX} SELECT 'scene_' || (image_id // 100) AS image, CAST(image_id % 100 AS INT) AS t, y // 2 AS y, x // 2 AS x, CAST(v // 50 AS DOUBLE) AS v, 'tyx' AS axes, 1.0::DOUBLE AS scale_y, 0.5::DOUBLE AS scale_x
+FROM px WHERE y % 2 = 0 AND x % 2 = 0""")
+def labels_of_scaled_stores(spark, sf):
+    """Labels written with the axes, levels and scales of their sources; their second level beside its scale."""
+    folder = f"{checkpoint_dir(spark)}/zarr-{uuid.uuid4()}"
+    zarr.write_zarr(scenes(spark, sf), folder, dtype="uint8", chunk=5, levels=2, axes="tyx", scale={"y": 0.5, "x": 0.25})
+    sources = metadata.image_catalog(spark, zarr.images_in(folder))
+    made = zarr.read_zarr(spark, folder).withColumn("data", F.transform("data", lambda v: F.floor(v / 50).cast("double")))
+    metadata.write_labels_like(made, sources, f"{folder}/labels", chunk=4)
+    written = metadata.image_catalog(spark, zarr.images_in(f"{folder}/labels")).select(F.regexp_extract("path", "(scene_[0-9]+)", 1).alias("image"), "axes", *[F.col("scales")[1][a].alias(f"scale_{a}") for a in "yx"])
+    return of_files(zarr.read_zarr(spark, f"{folder}/labels", 1)).join(written, "image")
+
+
+@query(f"WITH {PX} SELECT 'scene_' || (image_id // 100) AS image, CAST(image_id % 100 AS INT) AS t, y, x, CAST(v AS DOUBLE) AS v FROM px")
+def zarr_of_other_axes(spark, sf):
+    """Planes written with x before y and time last, read back."""
+    folder = f"{checkpoint_dir(spark)}/zarr-{uuid.uuid4()}"
+    zarr.write_zarr(scenes(spark, sf), folder, dtype="uint16", chunk=3, axes="xyt", version=3, shard=6)
+    return of_files(zarr.read_zarr(spark, folder))
+
+
 @query(SCENES + " WHERE image_id % 100 < 40")
 def czi_round_trip(spark, sf):
     """Movies as mosaics of 3 x 3 tiles with a level of half size; of the plan the full tiles of the first frames are read."""

@@ -61,3 +61,33 @@ def names_in(path: str) -> list[str]:
     """What a folder holds, not what its folders hold."""
     system, name = place(path)
     return sorted(i.base_name for i in system.get_file_info(fs.FileSelector(name)))
+
+
+def there(path: str) -> bool:
+    system, name = place(path)
+    return system.get_file_info(name).type != fs.FileType.NotFound
+
+
+def settle(path: str) -> None:
+    """Ends the swap of a folder that was cut short: the old one goes if the new one has its place, else it comes back."""
+    system, name = place(path)
+    if not there(f"{path}.old"):
+        return
+    if there(path):
+        system.delete_dir(f"{name}.old")
+    else:
+        system.move(f"{name}.old", name)
+
+
+def swap(draft: str, path: str) -> None:
+    """Gives a whole folder its name; what had it is put aside first and goes last, so at every moment one of the two is whole.
+
+    Done twice it changes nothing more. For file systems whose folders can be moved.
+    """
+    (system, name), (_, new) = place(path), place(draft)
+    if there(draft):
+        if there(path):
+            settle(path)
+            system.move(name, f"{name}.old")
+        system.move(new, name)
+    settle(path)

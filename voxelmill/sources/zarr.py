@@ -61,13 +61,18 @@ def coding(path: str, chain: Sequence[dict]) -> dict:
     return out
 
 
+def attributes_of(path: str) -> dict:
+    """The OME metadata of an image, of either version."""
+    if (new := read_whole(f"{path.rstrip('/')}/zarr.json")) is not None:
+        attributes = json.loads(new).get("attributes", {})
+        return attributes.get("ome", attributes)
+    return json.loads(read_whole(f"{path.rstrip('/')}/.zattrs") or b"{}")
+
+
 def described(path: str, level: str | int = 0) -> dict:
     """Shape, chunk, type, axes and coding of one level of an image; `level` is its place in the list of levels or its name."""
     joined = lambda *parts: "/".join([path.rstrip("/"), *[str(p) for p in parts if p != ""]])
-    attributes = json.loads(read_whole(joined(".zattrs")) or b"{}")
-    if (new := read_whole(joined("zarr.json"))) is not None:
-        attributes = json.loads(new).get("attributes", {})
-        attributes = attributes.get("ome", attributes)
+    attributes = attributes_of(path)
     scales = (attributes.get("multiscales") or [{}])[0]
     levels = [d["path"] for d in scales.get("datasets", [])]
     if isinstance(level, int) and levels and level >= len(levels):
@@ -217,85 +222,114 @@ def resize_zarr(spark: SparkSession, image: str, folder: str, scale_factor: floa
     return write_zarr(planes, folder, dtype=np.dtype(d["dtype"]).name, chunk=chunk, levels=levels, scale=new)
 
 
-def layout(version: int, kind: np.dtype, shape: Sequence[int], chunk: int, shard: int, codec: str, level: int) -> tuple[str, dict]:
+def layout(version: int, kind: np.dtype, axes: str, sizes: dict[str, int], chunk: int, shard: int, codec: str, level: int) -> tuple[str, dict]:
     """Name and content of the metadata of an array of planes in chunks."""
     packer = {"id": codec, "level": level} if codec else None
+    shape, squares = [sizes[a] for a in axes], lambda n: [n if a in "yx" else 1 for a in axes]
     if version == 2:
-        return ".zarray", {"zarr_format": 2, "shape": shape, "chunks": [1, 1, 1, chunk, chunk], "dtype": kind.str, "compressor": packer, "fill_value": 0, "order": "C", "filters": None, "dimension_separator": "/"}
+        return ".zarray", {"zarr_format": 2, "shape": shape, "chunks": squares(chunk), "dtype": kind.str, "compressor": packer, "fill_value": 0, "order": "C", "filters": None, "dimension_separator": "/"}
     own = {"zstd": {"level": level, "checksum": False}, "gzip": {"level": level}}
     little = {"name": "bytes", "configuration": {"endian": "little"}} if kind.itemsize > 1 else {"name": "bytes"}
     chain = [little, *([{"name": codec, "configuration": own[codec]}] if codec else [])]
     if shard > chunk:
         index = [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "crc32c"}]
-        chain = [{"name": "sharding_indexed", "configuration": {"chunk_shape": [1, 1, 1, chunk, chunk], "codecs": chain, "index_codecs": index, "index_location": "end"}}]
-    grid = {"name": "regular", "configuration": {"chunk_shape": [1, 1, 1, max(chunk, shard), max(chunk, shard)]}}
+        chain = [{"name": "sharding_indexed", "configuration": {"chunk_shape": squares(chunk), "codecs": chain, "index_codecs": index, "index_location": "end"}}]
+    grid = {"name": "regular", "configuration": {"chunk_shape": squares(max(chunk, shard))}}
     return "zarr.json", {
         "zarr_format": 3, "node_type": "array", "shape": shape, "data_type": kind.name, "chunk_grid": grid, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}},
-        "fill_value": 0, "codecs": chain, "attributes": {}, "dimension_names": list(AXES),
+        "fill_value": 0, "codecs": chain, "attributes": {}, "dimension_names": list(axes),
     }
 
 
+def level_scale(scales: Sequence[dict], level: int, axes: str) -> list[float]:
+    """A level's scale along each axis: as stated, or that of the last level stated, doubled in y and x for each level after it."""
+    known = scales[min(level, len(scales) - 1)] if scales else {}
+    more = 2 ** max(0, level - max(0, len(scales) - 1))
+    return [(known.get(a) or 1.0) * (more if a in "yx" else 1) for a in axes]
+
+
 def write_zarr(
     planes: DataFrame, folder: str, name: str = "path", dtype: str = "uint16", chunk: int = 512, levels: int = 1, scale: dict[str, float] | None = None, codec: str = "zstd", level: int = 3, version: int = 2, shard: int = 0,
+    axes: str = AXES, like: DataFrame | None = None,
 ) -> DataFrame:
     """Writes planes (name, t, c, z, h, w, data) as images `{folder}/{name}.zarr` and returns (image, planes) of what was written.
 
     Each task writes the chunks of its planes, a file each or, with `shard` in version 3, in squares of so many pixels, under
     the names that they have for good, so what is done twice is the same. Chunks and shards of zeros aren't written. Levels are
     every second pixel of the one before, which keeps labels. Version 2 has OME metadata 0.4, version 3 has 0.5.
+    Axes may come in any order; those left out have no other place than 0, or it raises. like (name, axes, levels, scales,
+    windows), a row an image as `metadata.image_catalog` has them, goes before `axes`, `levels` and `scale` for the images that it names.
     """
     if version not in (2, 3) or (shard and (version == 2 or shard % chunk)) or (version == 3 and codec == "zlib"):
         raise ValueError("versions are 2 and 3, shards of version 3 are made of whole chunks, and version 3 has no zlib")
+    if len(set(axes)) != len(axes) or not {"y", "x"} <= set(axes) <= set(AXES):
+        raise ValueError(f"{axes} aren't axes of an image")
     codecs.packed(b"", codec, level)
     folder = folder.rstrip("/")
     kind = np.dtype(dtype).newbyteorder("<") if np.dtype(dtype).itemsize > 1 else np.dtype(dtype)
-    at = F.concat(F.lit(f"{folder}/"), F.regexp_replace(F.col(name).cast("string"), r"^.*/|\.[^./]*$", ""), F.lit(".zarr"))
-    rows = planes.select(at.alias("image"), *[F.col(a).cast("int").alias(a) for a in "tcz"], F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), "data")
-    side, key = max(chunk, shard), "c/" if version == 3 else ""
+    stem = F.regexp_replace(F.col(name).cast("string"), r"^.*/|\.[^./]*$", "")
+    rows = planes.select(stem.alias("stem"), *[F.col(a).cast("int").alias(a) for a in "tcz"], F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), "data")
+    plain = F.lit(json.dumps({"axes": axes, "levels": levels, "scales": [scale] if scale else []}))
+    if like is None:
+        rows = rows.withColumn("how", plain)
+    else:
+        own = like.groupBy(F.col("name").alias("__name")).agg(F.min(F.to_json(F.struct("axes", "levels", "scales", "windows"))).alias("how"))
+        rows = rows.join(own, F.col("stem") == F.col("__name"), "left").drop("__name").withColumn("how", F.coalesce("how", plain))
+    rows = rows.select(F.concat(F.lit(f"{folder}/"), "stem", F.lit(".zarr")).alias("image"), "t", "c", "z", "h", "w", "how", "data")
+    side, key = max(chunk, shard), ["c"] if version == 3 else []
 
-    def stored(part: np.ndarray) -> bytes | None:
+    def stored(part: np.ndarray, turned: bool) -> bytes | None:
         if not part.any():
             return None
         full = np.zeros((chunk, chunk), kind)
         full[: part.shape[0], : part.shape[1]] = part
-        return codecs.packed(full.tobytes(), codec, level)
+        return codecs.packed((full.T if turned else full).tobytes(), codec, level)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = batch.select(["image", "t", "c", "z", "h", "w"])
+            done = batch.select(["image", "t", "c", "z", "h", "w", "how"])
             for k in range(batch.num_rows):
-                image, t, c, z, h, w = (done.column(n)[k].as_py() for n in range(6))
+                image, t, c, z, h, w, how = (done.column(n)[k].as_py() for n in range(7))
+                how = json.loads(how)
+                at, order = {"t": t, "c": c, "z": z}, how["axes"]
+                if any(n and a not in order for a, n in at.items()):
+                    raise ValueError(f"{image} has planes along an axis that {order} lack")
+                turned = order.index("x") < order.index("y")
                 plane = matrix(batch.column("data").slice(k, 1)).reshape(h, w).astype(kind)
-                for down in range(levels):
+                for down in range(how["levels"]):
                     for y, x in itertools.product(range(0, plane.shape[0], side), range(0, plane.shape[1], side)):
-                        inner = itertools.product(range(y, y + side, chunk), range(x, x + side, chunk))
-                        parts = [stored(plane[a : a + chunk, b : b + chunk]) for a, b in inner]
+                        inner = [(a, b) for a in range(y, y + side, chunk) for b in range(x, x + side, chunk)]
+                        parts = [stored(plane[a : a + chunk, b : b + chunk], turned) for a, b in (sorted(inner, key=lambda p: p[::-1]) if turned else inner)]
                         if any(p is not None for p in parts):
-                            with replacing(f"{image}/{down}/{key}{t}/{c}/{z}/{y // side}/{x // side}") as out:
+                            place = at | {"y": y // side, "x": x // side}
+                            with replacing("/".join([image, str(down), *key, *[str(place[a]) for a in order]])) as out:
                                 out.write(codecs.shard_of(parts) if shard > chunk else parts[0])
                     plane = plane[::2, ::2]
             yield done
 
     number = T.IntegerType()
-    schema = T.StructType([T.StructField("image", T.StringType()), *[T.StructField(n, number) for n in ("t", "c", "z", "h", "w")]])
-    found = rows.mapInArrow(chunks, schema).groupBy("image").agg(F.count("*").alias("planes"), *[(F.max(a) + 1).alias(a) for a in "tcz"], F.max("h").alias("h"), F.max("w").alias("w"))
+    schema = T.StructType([T.StructField("image", T.StringType()), *[T.StructField(n, number) for n in ("t", "c", "z", "h", "w")], T.StructField("how", T.StringType())])
+    found = rows.mapInArrow(chunks, schema).groupBy("image").agg(F.count("*").alias("planes"), *[(F.max(a) + 1).alias(a) for a in "tcz"], F.max("h").alias("h"), F.max("w").alias("w"), F.min("how").alias("how"))
 
     def metadata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                sizes, datasets, files = [r[a] for a in "tcz"], [], {}
-                for down in range(levels):
-                    shape = [*sizes, -(-r["h"] // 2**down), -(-r["w"] // 2**down)]
-                    file, content = layout(version, kind, shape, chunk, shard, codec, level)
+                how, datasets, files = json.loads(r["how"]), [], {}
+                order = how["axes"]
+                for down in range(how["levels"]):
+                    sizes = {**{a: r[a] for a in "tcz"}, "y": -(-r["h"] // 2**down), "x": -(-r["w"] // 2**down)}
+                    file, content = layout(version, kind, order, sizes, chunk, shard, codec, level)
                     files[f"{down}/{file}"] = content
-                    own = [(scale or {}).get(a, 1.0) * (2**down if a in "yx" else 1) for a in AXES]
-                    datasets.append({"path": str(down), "coordinateTransformations": [{"type": "scale", "scale": own}]})
+                    datasets.append({"path": str(down), "coordinateTransformations": [{"type": "scale", "scale": level_scale(how["scales"], down, order)}]})
                 kinds = {"t": "time", "c": "channel"}
-                scales = [{"axes": [{"name": a, "type": kinds.get(a, "space")} for a in AXES], "datasets": datasets}]
+                ome = {"multiscales": [{"axes": [{"name": a, "type": kinds.get(a, "space")} for a in order], "datasets": datasets}]}
+                if how.get("windows"):
+                    ome["omero"] = {"channels": [{"window": w} for w in how["windows"]]}
                 if version == 2:
-                    files |= {".zattrs": {"multiscales": [{"version": "0.4", **scales[0]}]}, ".zgroup": {"zarr_format": 2}}
+                    ome["multiscales"][0] |= {"version": "0.4"}
+                    files |= {".zattrs": ome, ".zgroup": {"zarr_format": 2}}
                 else:
-                    files["zarr.json"] = {"zarr_format": 3, "node_type": "group", "attributes": {"ome": {"version": "0.5", "multiscales": scales}}}
+                    files["zarr.json"] = {"zarr_format": 3, "node_type": "group", "attributes": {"ome": {"version": "0.5", **ome}}}
                 for file, content in files.items():
                     with replacing(f"{r['image']}/{file}") as out:
                         out.write(json.dumps(content).encode())
