@@ -474,3 +474,14 @@ def test_registry(spark):
 def test_level_scales():
     assert inspection.level_scales({"z": 2.0, "y": 0.5}, {"z": 4, "y": 100}, {"z": 4, "y": 50}, 2) == [{"z": 2.0, "y": 1.0}, {"z": 2.0, "y": 2.0}]
     assert inspection.model_input(1000, 1000) == 1.0 and np.isclose(inspection.model_input(4000, 2000), 0.5) and stitching.block_count(100, 40, 10) == 3
+
+
+def test_planes_for_colour_models(spark):
+    plane = np.arange(24.0).reshape(4, 6) * 10
+    assert np.allclose(models.in_colour(plane), np.stack([plane / 255] * 3, 2)) and np.array_equal(models.in_colour(plane / 1000)[..., 1], plane / 1000)
+    big = np.kron(np.arange(4.0).reshape(2, 2), np.ones((20, 20))) * 80
+    small = models.in_colour(big, 4e-4)
+    assert small.shape == (20, 20, 3) and small[0, 0, 0] == pytest.approx(0) and small[-1, -1, 2] == pytest.approx(240 / 255)
+    df = spark.createDataFrame([(0, 40, 40, big.ravel().tolist()), (1, 4, 6, plane.ravel().tolist())], "i int, h int, w int, data array<double>")
+    got = {r["i"]: np.reshape(r["data"], (r["h"], r["w"])) for r in models.predict_in_colour(df, lambda a: a[..., 0] > 0.5, 4e-4).collect()}
+    assert np.array_equal(got[0], big > 127.5) and np.array_equal(got[1], plane > 127.5)

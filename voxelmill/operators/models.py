@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.planes import on_planes
+from ..functions.planes import DATA, lists, matrix, on_planes, with_type
 from ..plans.registry import register
 from .components import semantic_to_instance
 from .enhance import resize_weights
@@ -37,14 +39,24 @@ def predict_planes(planes: DataFrame, model: Callable[[np.ndarray], np.ndarray],
     return on_planes(planes, lambda s: np.stack([in_tiles(p, model, tile, min(overlap, tile - 1)) if tile else model(p) for p in s]))
 
 
-def model_planes(planes: DataFrame, megapixels: float = 2.0) -> DataFrame:
-    """Planes as a model takes them that is given up to so many megapixels: larger ones are made smaller."""
+def in_colour(plane: np.ndarray, megapixels: float = 2.0) -> np.ndarray:
+    """(y, x, 3) of 0..1 as models of photographs take it: made smaller beyond so many megapixels, bytes as shares, grey three times."""
+    h, w = plane.shape
+    factor = model_input(w, h, megapixels)
+    small = plane if factor == 1 else resize_weights(h, factor) @ plane @ resize_weights(w, factor).T
+    return np.repeat((small / 255 if small.max(initial=0) > 1 else small)[:, :, None], 3, 2)
 
-    def shrink(s: np.ndarray) -> np.ndarray:
-        factor = model_input(s.shape[2], s.shape[1], megapixels)
-        return s if factor == 1 else resize_weights(s.shape[1], factor) @ s @ resize_weights(s.shape[2], factor).T
 
-    return on_planes(planes, shrink)
+@register("Segment with a Colour Model", "_mask")
+def predict_in_colour(planes: DataFrame, model: Callable[[np.ndarray], np.ndarray], megapixels: float = 2.0) -> DataFrame:
+    """Each plane through a model that takes (y, x, 3) of 0..1 and gives a mask of that height and width; masks of smaller planes take the nearest pixel."""
+
+    def segmented(plane: np.ndarray) -> np.ndarray:
+        mask = np.asarray(model(in_colour(plane, megapixels)))
+        y, x = (np.minimum(((np.arange(n) + 0.5) * m / n).astype(int), m - 1) for n, m in zip(plane.shape, mask.shape, strict=True))
+        return mask[y][:, x]
+
+    return on_planes(planes, lambda s: np.stack([segmented(p) for p in s]))
 
 
 @register("Virtual Staining with a Model", "_virtual_stain")
@@ -58,21 +70,21 @@ def predict_stacks(planes: DataFrame, block: Sequence[str], model: Callable[[np.
     deep = planes.groupBy(*block).agg(F.count("*").cast("int").alias("__n"))
     if not deep.where(F.col("__n") < depth).isEmpty():
         raise ValueError(f"the model takes volumes of {depth} planes or more")
-    out_schema = planes.schema
+    out_schema, names = with_type(planes.schema, data=DATA), planes.columns
 
-    def run(rows):
-        rows = rows.sort_values("z")
-        shape = (len(rows), int(rows["h"].iloc[0]), int(rows["w"].iloc[0]))
-        out = model(np.stack(rows["data"].to_numpy()).reshape(shape))
-        made = rows.assign(data=[p.ravel().astype(float) for p in out])
-        return made[made["z"] >= made["__batch"] * depth].drop(columns=["__batch"])
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("z").combine_chunks()
+        h, w, first = (table.column(n)[0].as_py() for n in ("h", "w", "__batch"))
+        made = lists(np.asarray(model(matrix(table.column("data").combine_chunks()).reshape(-1, h, w))))
+        own = table.select(names).set_column(names.index("data"), "data", made)
+        return own.filter(pc.greater_equal(own.column("z"), first * depth))
 
     n, z = F.col("__n"), F.col("z")
     last = F.floor((n - 1) / depth)
     # A plane is in its own batch and, near the end, in the last one, which begins at n - depth.
     batches = F.when((F.floor(z / depth) < last) & (z >= n - depth), F.array(F.floor(z / depth), last)).otherwise(F.array(F.floor(z / depth)))
     batched = planes.join(deep, block).withColumn("__batch", F.explode(batches)).select(*planes.columns, "__batch")
-    return batched.groupBy(*block, "__batch").applyInPandas(run, out_schema)
+    return batched.groupBy(*block, "__batch").applyInArrow(run, out_schema)
 
 
 def axis_is_time(depth: int, most: int) -> bool:

@@ -24,7 +24,7 @@ from ..operators import tracking as G
 from ..operators.editing import constrain_regions, split_by_seeds
 from ..operators.models import pixel_classes_to_objects as pixel_classes
 from ..operators.stitching import segment_stitched
-from ..operators.models import predict_planes, predict_stacks, segment_inside
+from ..operators.models import predict_in_colour, predict_planes, predict_stacks, segment_inside
 from ..operators import contrast
 from ..sources import arrays, containers, czi, datasource, metadata, sinks, slides, wells, zarr
 from ..streaming import movies
@@ -1179,6 +1179,14 @@ def zarr_resized(spark, sf):
     return of_files(zarr.read_zarr(spark, f"{folder}/half"))
 
 
+@query(f"""WITH {PX}, m AS (SELECT image_id, max(v) AS most FROM px GROUP BY 1)
+SELECT image_id, y, x, CASE WHEN s + s + s > 1.2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v
+FROM (SELECT *, CAST(v AS DOUBLE) / CASE WHEN most > 1 THEN 255 ELSE 1 END AS s FROM px JOIN m USING (image_id))""")
+def masks_of_colour_models(spark, sf):
+    """A model of colour images that marks what is bright in all three together."""
+    return to_pixels(predict_in_colour(X.planes(spark, sf), lambda a: a.sum(2) > 1.2), IMAGE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k.removesuffix("_query"): f for k, f in QUERIES.items()}
 
