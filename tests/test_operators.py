@@ -485,3 +485,14 @@ def test_planes_for_colour_models(spark):
     df = spark.createDataFrame([(0, 40, 40, big.ravel().tolist()), (1, 4, 6, plane.ravel().tolist())], "i int, h int, w int, data array<double>")
     got = {r["i"]: np.reshape(r["data"], (r["h"], r["w"])) for r in models.predict_in_colour(df, lambda a: a[..., 0] > 0.5, 4e-4).collect()}
     assert np.array_equal(got[0], big > 127.5) and np.array_equal(got[1], plane > 127.5)
+
+
+def test_frames_before_each_file(spark):
+    sizes = [3, 1, 4, 1, 5, 9, 2, 6]
+    rows = [(f, k, n * (1 + (f == "b"))) for f in "ab" for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "folder string, rank long, __n long")
+    for each in (1, 3, 100):
+        got = {(r["folder"], r["rank"]): r["__before"] for r in stacks.frames_before(df, ["folder"], each).collect()}
+        assert got == {(f, k): sum(sizes[:k]) * (1 + (f == "b")) for f in "ab" for k in range(len(sizes))}
+        one = stacks.frames_before(df.where("folder = 'a'").drop("folder"), each=each).collect()
+        assert {r["rank"]: r["__before"] for r in one} == {k: sum(sizes[:k]) for k in range(len(sizes))}

@@ -40,6 +40,14 @@ def inclusive_range(df: DataFrame, axis: str, start: int = 0, end: int = -1, ste
     return strided(df if end < 0 else df.where(F.col(axis) <= end), axis, start, step)
 
 
+def frames_before(files: DataFrame, folder: Sequence[str] = (), each: int = 4096) -> DataFrame:
+    """`files` (rank, __n) with `__before`, the frames of all files before each one: summed in stretches of so many files, then over the stretches."""
+    earlier = lambda *keys, order: F.coalesce(F.sum("__n").over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    files = files.withColumn("__cell", F.floor(F.col("rank") / each))
+    cells = files.groupBy(*folder, "__cell").agg(F.sum("__n").alias("__n")).select(*folder, "__cell", earlier(*folder, order="__cell").alias("__cells"))
+    return files.withColumn("__before", earlier(*folder, "__cell", order="rank")).join(cells, [*folder, "__cell"]).withColumn("__before", F.col("__before") + F.col("__cells")).drop("__cell", "__cells")
+
+
 @register("Merge Timepoints", "_merge_timeseries")
 def merge_timepoints(pixels: DataFrame, path: str = "path", folder: Sequence[str] = (), start_timepoint: int = 0, subsample_factor: int = 1, max_timepoints: int | None = None, shape: Sequence[str] = ()) -> DataFrame:
     """Images of one file each as frames of an axis t, in natural order of the names, then start, step and count.
@@ -52,8 +60,7 @@ def merge_timepoints(pixels: DataFrame, path: str = "path", folder: Sequence[str
     if shape and files.select("__shape").distinct().count() > 1:
         raise ValueError("images of different sizes can't be frames of one movie")
     names = natural_order(files, path, folder)
-    before = F.coalesce(F.sum("__n").over(W.partitionBy(*folder).orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = names.withColumn("__before", before if frames else F.col("rank")).select(path, *folder, "__before")
+    placed = (frames_before(names, folder) if frames else names.withColumn("__before", F.col("rank"))).select(path, *folder, "__before")
     moved = pixels.join(placed, [path, *folder]).withColumn("t", F.col("__before") + (F.col("t") if frames else 0))
     return strided(moved, "t", start_timepoint, subsample_factor, max_timepoints).drop(path, "__before")
 
