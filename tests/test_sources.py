@@ -178,3 +178,21 @@ def test_arriving_images_are_done_once(spark, tmp_path):
     want = regionprops(df)
     got = spark.read.parquet(out).select(*want.columns)
     assert got.exceptAll(want).count() == 0 and got.count() == want.count() == 8
+
+
+@pytest.mark.parametrize("form", ["tif", "npy"])
+def test_images_stay_whole_where_joins_are_planned_anew(spark, tmp_path, form):
+    """Sizes too large to broadcast by the plan and small enough when they are there: an image's planes still meet in one task."""
+    ids = spark.range(0, 400, 1, 8)
+    frame = ids.select(F.concat(F.lit("m"), F.col("id") % 4).alias("path"), F.floor(F.col("id") / 4).cast("int").alias("t"), F.lit(0).alias("c"), F.lit(0).alias("z"), F.lit(16).alias("h"), F.lit(32).alias("w"), F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.when(i == 0, F.col("id") % 251).otherwise(F.pmod(F.xxhash64(i, "id"), F.lit(251))).cast("double")).alias("data"))
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "200k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for key, n in keys.items():
+            spark.conf.set(key, n)
+        done = sinks.write_images(frame, str(tmp_path / "out"), dtype="uint8", form=form)
+        assert sorted((r["image"][-6:-4], r["planes"]) for r in done.collect()) == [(f"m{k}", 100) for k in range(4)]
+        got = {(r["path"][-6:-4], r["t"]): r["data"][0] for r in arrays.read_planes(spark, str(tmp_path / "out"), axes="TYX" if form == "npy" else None).collect()}
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert got == {(f"m{k % 4}", k // 4): k % 251 for k in range(400)}

@@ -128,7 +128,7 @@ def overlay_tiles(planes: DataFrame, key: str = "image_id", most: int = 512, opa
             yield coloured(before, most_so_far)
 
     rows = planes.select(key, F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), "data", "labels")
-    made = rows.mapInArrow(first, small).repartition(key).sortWithinPartitions(key).mapInArrow(projected, final) if deep else rows.mapInArrow(alone, final)
+    made = rows.mapInArrow(first, small).repartition(F.xxhash64(key)).sortWithinPartitions(key).mapInArrow(projected, final) if deep else rows.mapInArrow(alone, final)
     return made.join(grid_place(planes, key, columns), key).select(key, "row", "column", "h", "w", *"rgb")
 
 

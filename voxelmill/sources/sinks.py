@@ -51,6 +51,16 @@ def write_labels(planes: DataFrame, folder: str, name: str = "path", source: str
     return write_images(planes, folder, name, label_dtype(planes, source), end=suffix)
 
 
+def headed(rows: DataFrame, heads: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows of images (image, ...) in order, all of an image in one partition, after a row of `heads` (image, ...) that tells of the whole image.
+
+    Heads come as rows and by a hash of the name: after a join by the name Spark leaves out a repartition by it, and what it then
+    reads by mappers splits images; and a column that is joined on is repeated with every plane.
+    """
+    both = rows.unionByName(heads, allowMissingColumns=True)
+    return both.repartition(F.xxhash64("image")).sortWithinPartitions("image", *[F.col(c).asc_nulls_first() for c in order])
+
+
 def write_images(planes: DataFrame, folder: str, name: str = "path", dtype: str = "uint16", form: str = "tif", end: str = "") -> DataFrame:
     """Writes planes (name, t, c, z, h, w, data) as one TIFF or .npy file an image and returns (image, planes) of what was written.
 
@@ -61,13 +71,17 @@ def write_images(planes: DataFrame, folder: str, name: str = "path", dtype: str
     image = image_names(planes, folder, name, f"{end}.{form}")
     rows = planes.select(image.alias("image"), *[F.col(a).cast("int").alias(a) for a in "tzc"], F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), "data")
     sizes = rows.groupBy("image").agg(*[F.count_distinct(a).cast("int").alias(f"n{a}") for a in "tzc"])
-    sorted_rows = rows.join(sizes, "image").repartition("image").sortWithinPartitions("image", "t", "z", "c")
+    sorted_rows = headed(rows, sizes, ("t", "z", "c"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
+        counts: tuple = ()
         for batch in batches:
             for k in range(batch.num_rows):
-                own = tuple(batch.column(n)[k].as_py() for n in ("image", "nt", "nz", "nc", "h", "w"))
-                yield own, matrix(batch.column("data").slice(k, 1)).reshape(own[4], own[5]).astype(kind)
+                image, t, h, w = (batch.column(n)[k].as_py() for n in ("image", "t", "h", "w"))
+                if t is None:
+                    counts = tuple(batch.column(n)[k].as_py() for n in ("nt", "nz", "nc"))
+                else:
+                    yield (image, *counts, h, w), matrix(batch.column("data").slice(k, 1)).reshape(h, w).astype(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, group in itertools.groupby(each(batches), key=lambda r: r[0]):
