@@ -24,9 +24,11 @@ def percentile_threshold(pixels: DataFrame, block: Sequence[str] = ("image_id",)
     return wide.withColumn(value, F.when(F.col(value) > F.col("__p"), kept).otherwise(0)).drop("__p")
 
 
-def otsu(pixels: DataFrame, block: Sequence[str] = ("image_id",), value: str = "v", bins: int = 256) -> DataFrame:
+def otsu(pixels: DataFrame, block: Sequence[str] = ("image_id",), value: str = "v", bins: int = 256, digits: int | None = None) -> DataFrame:
     """(block, threshold): the value that parts an image in two classes of most variance between, the first of ties.
 
+    With `digits` variances that agree to so many decimals are ties, so sums of floating-point values, whose last bits depend on their order, don't decide.
+
     Works on the histogram: one row for each value of an integer image, one for each of `bins` even bins of the range, by
     its middle, of a floating-point one. So the cumulative sums are over few rows. An image of one value has that value.
     """
@@ -42,6 +44,7 @@ def otsu(pixels: DataFrame, block: Sequence[str] = ("image_id",), value: str = "
     n2, s2 = F.col("n") - F.col("n1"), F.col("s") - F.col("s1")
     apart = F.col("s1") / F.col("n1") - s2 / F.nullif(n2, F.lit(0))
     between = F.coalesce(F.col("n1").cast("double") * n2 * apart * apart, F.lit(-1.0))
+    between = between if digits is None else F.round(between, digits)
     return sums.groupBy(*block).agg(F.max_by("v", F.struct(between.alias("b"), -F.col("v"))).alias("threshold"))
 
 
