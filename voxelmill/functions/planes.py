@@ -80,11 +80,12 @@ def to_planes(pixels: DataFrame, block: Sequence[str], h: int, w: int, value: st
     return kept.groupBy(*block).applyInArrow(run, schema)
 
 
-def over_volumes(planes: DataFrame, block: Sequence[str], kernel: Kernel, halo: int, tile: int = 256) -> DataFrame:
+def over_volumes(planes: DataFrame, block: Sequence[str], kernel: Kernel, halo: int, tile: int = 256, depth: int | None = None, fill: float = 0.0) -> DataFrame:
     """Planes (block, z, h, w, data) through a kernel of volumes (z, y, x) that looks at most `halo` pixels away in y and x.
 
     The kernel mirrors or pads at the volume's own edges. Where tiles meet, its results within the halo are left
-    to the neighbour. Planes of a volume have one height and width.
+    to the neighbour. Planes of a volume have one height and width. With `depth` volumes have planes 0 to depth - 1: the kernel
+    gets those that are missing filled with `fill`, and no planes come of them; else a volume's planes are taken as they follow each other.
     """
     block = list(block)
     keys = T.StructType([planes.schema[b] for b in [*block, "z"]])
@@ -109,7 +110,13 @@ def over_volumes(planes: DataFrame, block: Sequence[str], kernel: Kernel, halo:
     def filtered(table: pa.Table) -> pa.Table:
         table = table.sort_by("z").combine_chunks()
         one = {n: table.column(n)[0].as_py() for n in ("h", "w", "ty", "tx", "y0", "x0", "th", "tw")}
-        stack = kernel(matrix(table.column("data").combine_chunks()).reshape(-1, one["th"], one["tw"]))
+        stack = matrix(table.column("data").combine_chunks()).reshape(-1, one["th"], one["tw"])
+        if depth is None:
+            stack = kernel(stack)
+        else:
+            at, whole_stack = table.column("z").to_numpy().astype(np.int64), np.full((depth, *stack.shape[1:]), fill)
+            whole_stack[at] = stack
+            stack = kernel(whole_stack)[at]
         y, x = one["ty"] * tile - one["y0"], one["tx"] * tile - one["x0"]
         core = stack[:, y : y + min(tile, one["h"] - one["ty"] * tile), x : x + min(tile, one["w"] - one["tx"] * tile)]
         new = {"data": lists(core), **{n: pa.array(np.full(len(core), v, np.int32)) for n, v in (("y0", one["ty"] * tile), ("x0", one["tx"] * tile), ("th", core.shape[1]), ("tw", core.shape[2]))}}
@@ -138,8 +145,8 @@ def mirrored(stack: np.ndarray, reach: Sequence[int]) -> np.ndarray:
     return np.pad(stack, [(0, 0)] * (stack.ndim - len(reach)) + [(r, r) for r in reach], mode="symmetric")
 
 
-def median(stack: np.ndarray, size: Sequence[int]) -> np.ndarray:
-    """The median of windows of odd sizes over the last axes."""
+def median(stack: np.ndarray, size: Sequence[int], missing: bool = False) -> np.ndarray:
+    """The median of windows of odd sizes over the last axes; with `missing` of their values that aren't NaN, of an even number the mean of the middle two."""
     wide, axes = mirrored(stack, [s // 2 for s in size]), tuple(range(-len(size), 0))
     windows = np.lib.stride_tricks.sliding_window_view(wide, tuple(size), axes)
     n, out = int(np.prod(size)), np.empty(stack.shape)
@@ -147,7 +154,12 @@ def median(stack: np.ndarray, size: Sequence[int]) -> np.ndarray:
     for lo in range(0, stack.shape[-2], rows):
         part = windows[(slice(None),) * axis + (slice(lo, lo + rows),)]
         flat = part.reshape(*part.shape[: stack.ndim], n)
-        out[..., lo : lo + rows, :] = np.partition(flat, n // 2, axis=-1)[..., n // 2]
+        if missing and np.isnan(flat).any():
+            flat, known = np.sort(flat, axis=-1), np.maximum(n - np.isnan(flat).sum(-1, keepdims=True), 1)
+            middle = [np.take_along_axis(flat, k, -1)[..., 0] for k in ((known - 1) // 2, known // 2)]
+            out[..., lo : lo + rows, :] = (middle[0] + middle[1]) / 2
+        else:
+            out[..., lo : lo + rows, :] = np.partition(flat, n // 2, axis=-1)[..., n // 2]
     return out
 
 

@@ -26,9 +26,12 @@ def median_filter(planes: DataFrame, size: int = 3) -> DataFrame:
     return on_planes(planes, lambda s: median(s, (size, size)))
 
 
-def median_volume(planes: DataFrame, block: Sequence[str], size: int = 3) -> DataFrame:
-    """The median of a cube of odd `size` of planes (block, z, h, w, data) of one volume each, mirrored at the edges."""
-    return over_volumes(planes, block, lambda v: median(v, (size, size, size)), size // 2)
+def median_volume(planes: DataFrame, block: Sequence[str], size: int = 3, depth: int | None = None) -> DataFrame:
+    """The median of a cube of odd `size` of planes (block, z, h, w, data) of one volume each, mirrored at the edges.
+
+    With `depth` volumes have planes 0 to depth - 1, and those that are missing have no part in any median.
+    """
+    return over_volumes(planes, block, lambda v: median(v, (size, size, size), depth is not None), size // 2, depth=depth, fill=math.nan)
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -44,14 +47,17 @@ def separable(stack: np.ndarray, weights: Sequence[float], axes: Sequence[int])
 
 
 @register("Gaussian Blur", "_blurred")
-def gaussian_blur(planes: DataFrame, sigma: float = 1.0, volume: Sequence[str] | None = None) -> DataFrame:
-    """A Gaussian cut off at four sigma, mirrored at the edges: of each plane, or with `volume`, the columns that tell volumes (volume, z, h, w, data) apart, along z too."""
+def gaussian_blur(planes: DataFrame, sigma: float = 1.0, volume: Sequence[str] | None = None, depth: int | None = None) -> DataFrame:
+    """A Gaussian cut off at four sigma, mirrored at the edges: of each plane, or with `volume`, the columns that tell volumes (volume, z, h, w, data) apart, along z too.
+
+    With `depth` volumes have planes 0 to depth - 1, and those that are missing count as zeros.
+    """
     if sigma <= 0:
         return planes
     weights = gaussian_weights(sigma)
     if volume is None:
         return on_planes(planes, lambda s: separable(s, weights, (-2, -1)))
-    return over_volumes(planes, volume, lambda v: separable(v, weights, (0, 1, 2)), len(weights) // 2)
+    return over_volumes(planes, volume, lambda v: separable(v, weights, (0, 1, 2)), len(weights) // 2, depth=depth)
 
 
 @register("Adaptive Threshold (Bright Bias)", "_adaptive_bright")
