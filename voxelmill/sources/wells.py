@@ -1,6 +1,6 @@
 """Folders of well plates: a file a plane, whose name says its well, loop, channel and slice (`-A001--PO01--LO001--CO6--SL010--PX16250--...`).
 
-A folder is a dataset, a well a series. Values of a field are ranked within the dataset, so axes count from 0 whatever numbers were recorded.
+A folder is a dataset, a well a series; wells go by their row's letters (AA after P), then by their number. Values of a field are ranked within the dataset, so axes count from 0 whatever numbers were recorded.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ def well_plan(plan: DataFrame, by_position: bool = False) -> DataFrame:
         **{f"__{a}": F.coalesce(number(f), F.lit(0)) for a, f in FIELDS.items()},
     }).where("well <> ''")
     ranks = {"series": ["well", "position"] if by_position else ["well"], **{a: [f"__{a}"] for a in FIELDS}}
+    letters = F.regexp_extract("well", "^[A-Z]+", 0)
+    natural = [F.length(letters), letters, F.regexp_extract("well", "[0-9]+$", 0).cast("decimal(38,0)")]
     out = named.drop(*FIELDS)
     for axis, fields in ranks.items():
         # A plate's distinct values of one field: at most its wells, loops, channels or slices.
         values = named.select("dataset", *fields).distinct()
-        ranked = values.withColumn(axis, (F.row_number().over(Window.partitionBy("dataset").orderBy(*fields)) - 1).cast("int"))
+        ranked = values.withColumn(axis, (F.row_number().over(Window.partitionBy("dataset").orderBy(*(natural if fields[0] == "well" else []), *fields)) - 1).cast("int"))
         same = [F.col("o.dataset") == F.col("r.dataset"), *[F.col(f"o.{f}").eqNullSafe(F.col(f"r.{f}")) for f in fields]]
         condition = same[0]
         for s in same[1:]:
