@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.graph import cut
 from ..functions.planes import lists, matrix
 from . import lif, nd2
+from .sinks import headed
 from .store import Ranges, replacing
 
 ENDS = (".lif", ".nd2")
@@ -106,13 +107,17 @@ def write_series(planes: DataFrame, folder: str, name: str = "path", form: str =
     sizes = rows.groupBy("image", "series").agg(*most, F.max("h").alias("ah"), F.max("w").alias("aw"))
     whole = sizes.groupBy("image").agg(F.to_json(F.sort_array(F.collect_list(F.struct("series", "nt", "nz", "nc", F.col("ah").alias("h"), F.col("aw").alias("w"))))).alias("all"))  # a row a series
     order: Sequence[str] = ("series", "t", "z", "c") if form == "lif" else ("t", "series", "z", "c")
-    ready = rows.join(whole, "image").repartition("image").sortWithinPartitions("image", *order)
+    ready = headed(rows, whole, order)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple]]:
+        described = ""
         for batch in batches:
             for k in range(batch.num_rows):
                 one = {n: batch.column(n)[k].as_py() for n in ("image", "all", *order, "h", "w")}
-                yield (one["image"], one["all"]), (*[one[a] for a in order], matrix(batch.column("data").slice(k, 1)).reshape(one["h"], one["w"]))
+                if one["all"] is not None:
+                    described = one["all"]
+                else:
+                    yield (one["image"], described), (*[one[a] for a in order], matrix(batch.column("data").slice(k, 1)).reshape(one["h"], one["w"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (image, described), group in itertools.groupby(each(batches), key=lambda r: r[0]):
