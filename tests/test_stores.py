@@ -317,3 +317,11 @@ def test_patched_metadata(spark, tmp_path, version):
     r = metadata.image_catalog(spark, [f"{tmp_path}/a.zarr"]).first()
     assert [(s["z"], s["y"], s["x"]) for s in r["scales"]] == [(4.0, 0.25 * k, 1.0 * k) for k in (1, 2, 4)] and [tuple(w) for w in r["windows"]] == [(0.0, 9.0, 1.0, 8.0)]
     assert zarr.read_zarr(spark, str(tmp_path)).count() == 2
+
+
+def test_chunks_of_a_small_plan_are_loaded_by_many_tasks(spark, tmp_path):
+    """A plan's bytes are few, what its rows load aren't: partitions aren't merged."""
+    planes = spark.range(40).select(F.lit("m").alias("path"), F.col("id").cast("int").alias("t"), F.lit(0).alias("c"), F.lit(0).alias("z"), F.lit(2).alias("h"), F.lit(2).alias("w"), F.array_repeat(F.col("id").cast("double"), 4).alias("data"))
+    zarr.write_zarr(planes, str(tmp_path), dtype="uint8", chunk=2)
+    tiles = zarr.load_tiles(zarr.chunk_plan(spark, zarr.images_in(str(tmp_path))))
+    assert tiles.count() == 40 and tiles.select(F.spark_partition_id().alias("p")).distinct().count() == 4

@@ -38,6 +38,11 @@ def with_type(schema: T.StructType, **types: T.DataType) -> T.StructType:
     return T.StructType([*own, *[T.StructField(n, t, True) for n, t in types.items()]])
 
 
+def spread(plan: DataFrame, *keys: str) -> DataFrame:
+    """A plan's rows by keys in as many partitions as the session's shuffles have. The number is given as Spark else merges partitions by their bytes, of which a plan has few and what its rows load many."""
+    return plan.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def even_stretches(h: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of rows of one shape with up to VALUES values, or one row."""
     lo = 0

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.planes import lists
+from ..functions.planes import lists, spread
 from ..plans.catalog import loop_axes, resolve_axes
 from . import tiff
 from .store import Ranges
@@ -131,7 +131,7 @@ def load_planes(plan: DataFrame, on_error: str = "raise") -> DataFrame:
                     continue
                 yield pa.RecordBatch.from_arrays([*[row.column(n) for n in names[:-1]], lists(data.reshape(1, -1))], names=names)
 
-    return plan.repartition("path", "t", "c", "z").mapInArrow(run, loaded)
+    return spread(plan, "path", "t", "c", "z").mapInArrow(run, loaded)
 
 
 def read_planes(spark: SparkSession, folder: str, ends: Sequence[str] = ENDS, recursive: bool = True, axes: str | None = None, on_error: str = "raise") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.graph import cut
-from ..functions.planes import lists, matrix
+from ..functions.planes import lists, matrix, spread
 from . import lif, nd2
 from .sinks import headed
 from .store import Ranges, replacing
@@ -85,7 +85,7 @@ def load_series(plan: DataFrame, on_error: str = "raise") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[own.column(n) for n in names[:-1]], lists(data.reshape(1, -1))], names=names)
 
     frame = ["path", "series", "t", "m", "z"]
-    return plan.repartition(*frame).sortWithinPartitions(*frame, "c").mapInArrow(run, PLANES)
+    return spread(plan, *frame).sortWithinPartitions(*frame, "c").mapInArrow(run, PLANES)
 
 
 def read_series(spark: SparkSession, folder: str, series: int | None = None, on_error: str = "raise") -> DataFrame:

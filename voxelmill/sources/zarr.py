@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.graph import cut
-from ..functions.planes import lists, matrix, on_planes
+from ..functions.planes import lists, matrix, on_planes, spread
 from ..operators.enhance import resize_yx
 from ..operators.inspection import level_scales
 from . import codecs
@@ -178,7 +178,7 @@ def load_tiles(plan: DataFrame) -> DataFrame:
                     numbers = (first["t"] + t, first["c"] + c, first["z"] + z, first["y"], first["x"], h, w, size["y"], size["x"])
                     yield pa.RecordBatch.from_arrays([*own, *[pa.array([n], pa.int32()) for n in numbers], lists(chunk[t, c, z][None])], names=names)
 
-    return plan.repartition("path", *[f"{a}0" for a in AXES]).mapInArrow(run, TILES)
+    return spread(plan, "path", *[f"{a}0" for a in AXES]).mapInArrow(run, TILES)
 
 
 def to_plane(table: pa.Table) -> pa.Table:
