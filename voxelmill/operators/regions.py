@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,13 +107,19 @@ def hull_pixels(ys: np.ndarray, low: np.ndarray, high: np.ndarray) -> int:
 
 
 def solidity(labels: DataFrame, block: Sequence[str], label: str = "label") -> DataFrame:
-    """(block, label, area, convex_area, solidity) in the plane; a region comes to its task as the ends of its rows."""
+    """(block, label, area, convex_area, solidity) in the plane; a region comes to its task as the ends of its rows, in one row, and a batch of regions is dealt with at a time."""
     rows = labels.where(F.col(label) > 0).groupBy(*block, F.col(label).alias("label"), "y").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n"))
     keys = [*block, "label"]
+    whole = rows.groupBy(*keys).agg(F.sum("n").alias("area"), F.collect_list(F.struct("y", "low", "high")).alias("ends"))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keys).dtypes) + ", area long, convex_area long, solidity double"
 
-    def hull(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        area, convex = int(own["n"].sum()), hull_pixels(own["y"].to_numpy(), own["low"].to_numpy(), own["high"].to_numpy())
-        return pd.DataFrame([[*key, area, convex, area / convex]], columns=[*keys, "area", "convex_area", "solidity"])
+    def hulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("ends")
+            ends, at = column.flatten(), np.r_[0, np.cumsum(column.value_lengths().to_numpy())]
+            y, low, high = (ends.field(n).to_numpy() for n in ("y", "low", "high"))
+            convex = np.array([hull_pixels(y[a:b], low[a:b], high[a:b]) for a, b in itertools.pairwise(at)], np.int64)
+            area = batch.column("area").to_numpy()
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("area"), pa.array(convex), pa.array(area / convex)], names=[*keys, "area", "convex_area", "solidity"])
 
-    return rows.groupBy(*keys).applyInPandas(hull, schema)
+    return whole.mapInArrow(hulls, schema)
