@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 SIDES = {1: 1 << 16, 2: 512, 3: 64, 4: 24}
 #: Cells of the stack of tiles that are labelled at a time.
 CELLS = 1 << 21
+#: Rows of Arrow batches that are put together, so that many small groups are dealt with at a time.
+ROWS = 1 << 17
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,6 +107,19 @@ def changes(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of at least `rows` rows, the last of what is left."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= (rows or ROWS):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups of rows sorted by keys, and where each group begins; the last group waits for the next batch."""
     held: list[pa.RecordBatch] = []

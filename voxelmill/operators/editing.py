@@ -8,13 +8,18 @@ from __future__ import annotations
 
 import heapq
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.graph import cut
+from ..functions.tiles import CELLS, gathered, stacks, whole_groups
+
+
 def lower_envelope(line: np.ndarray) -> np.ndarray:
     """(line, i): the least of f(j) + (i - j)**2 over all j, of lines of values f; infinite where all are.
 
@@ -51,23 +56,25 @@ def lower_envelope(line: np.ndarray) -> np.ndarray:
     return out
 
 
-def squared_distance(mask: np.ndarray) -> np.ndarray:
-    """Of each pixel the squared distance to the nearest pixel that isn't in the mask, axis by axis; infinite without one."""
+def squared_distance(mask: np.ndarray, apart: int = 0) -> np.ndarray:
+    """Of each pixel the squared distance to the nearest pixel that isn't in the mask, axis by axis; infinite without one. The first `apart` axes tell arrays apart."""
     out = np.where(mask, np.inf, 0.0)
-    for axis in range(mask.ndim):
+    for axis in range(apart, mask.ndim):
         turned = np.moveaxis(out, axis, -1)
         out = np.moveaxis(lower_envelope(turned.reshape(-1, turned.shape[-1])).reshape(turned.shape), -1, axis)
     return out
 
 
-def flood(height: np.ndarray, mask: np.ndarray, seeds: list[tuple[int, ...]]) -> np.ndarray:
+def flood(height: np.ndarray, mask: np.ndarray, seeds: list[tuple[int, ...]], apart: int = 0) -> np.ndarray:
     """Basins 1.. of the seeds: pixels of the mask by rising height, each to the basin that reaches it first through a face.
 
-    Pixels wait in one queue for each height, so what is sorted are heights, not pixels.
+    Pixels wait in one queue for each height, so what is sorted are heights, not pixels. The first `apart` axes tell
+    arrays apart: no basin goes along them, so each array's pixels take their turns as if it were alone.
     """
-    inner = np.pad(mask, 1)  # no step leaves the array
-    out, tall = np.where(inner, 0, -1).ravel().tolist(), np.pad(height, 1).ravel().tolist()
-    widths = [int(np.prod(inner.shape[k + 1 :])) for k in range(mask.ndim)]
+    wide = [(int(k >= apart),) * 2 for k in range(mask.ndim)]
+    inner = np.pad(mask, wide)  # no step leaves the array
+    out, tall = np.where(inner, 0, -1).ravel().tolist(), np.pad(height, wide).ravel().tolist()
+    widths = [int(np.prod(inner.shape[k + 1 :])) for k in range(apart, mask.ndim)]
     steps = [d for n in reversed(widths) for d in (n, -n)]
     queues: dict[float, deque[int]] = {}
     levels: list[float] = []
@@ -81,7 +88,7 @@ def flood(height: np.ndarray, mask: np.ndarray, seeds: list[tuple[int, ...]]) ->
             queue.append(p)
 
     for k, s in enumerate(seeds, 1):
-        p = int(np.ravel_multi_index([n + 1 for n in s], inner.shape))
+        p = int(np.ravel_multi_index([n + w for n, (w, _) in zip(s, wide, strict=True)], inner.shape))
         if mask[s]:
             out[p] = k
             wait(p)
@@ -98,32 +105,47 @@ def flood(height: np.ndarray, mask: np.ndarray, seeds: list[tuple[int, ...]]) ->
         if levels[0] == now:
             heapq.heappop(levels)
             del queues[now]
-    return np.maximum(out, 0).reshape(inner.shape)[(slice(1, -1),) * mask.ndim]
+    return np.maximum(out, 0).reshape(inner.shape)[tuple(slice(w, n - w) for n, (w, _) in zip(inner.shape, wide, strict=True))]
 
 
 def split_by_seeds(labels: DataFrame, seeds: DataFrame, block: Sequence[str], label: str = "label", axes: Sequence[str] = ("y", "x")) -> DataFrame:
     """Labels of planes or volumes with two or more seeds (block, label, axes, seed) in several: the first seed's part keeps the id.
 
     Others get ids after the block's largest, by label and seed. Parts are basins of the distance to the
-    object's edge. Objects without two seeds are left alone. A task holds the box of one object.
+    object's edge. Objects without two seeds are left alone. A task holds the boxes of some small objects or of one.
     """
     block, axes = list(block), list(axes)
+    keys = [*block, label]
     there = labels.where(F.col(label) != 0).select(*block, *axes, F.col(label).cast("long").alias(label))
-    points = seeds.groupBy(*block, label).agg(F.array_sort(F.collect_list(F.struct("seed", *axes))).alias("__seeds")).where(F.size("__seeds") > 1)
-    asked = there.join(points, [*block, label])
+    points = seeds.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seed", *axes))).alias("__seeds")).where(F.size("__seeds") > 1)
+    asked = there.join(points, keys).repartition(*keys).sortWithinPartitions(*keys)
     schema = there.withColumn("part", F.lit(1)).schema
 
-    def split(rows: pd.DataFrame) -> pd.DataFrame:
-        at = rows[axes].to_numpy()
-        low = at.min(0) - 1
-        mask = np.zeros(at.max(0) - low + 2, bool)
-        mask[tuple((at - low).T)] = True
-        start = [tuple(int(s[a]) - int(n) for a, n in zip(axes, low, strict=True)) for s in rows["__seeds"].iloc[0]]
-        start = [s for s in start if all(0 <= p < n for p, n in zip(s, mask.shape, strict=True))]
-        part = flood(-squared_distance(mask), mask, start)[tuple((at - low).T)]
-        return rows[[*block, *axes, label]].assign(part=np.maximum(part, 1).astype("int32"))
-
-    parts = asked.groupBy(*block, label).applyInPandas(split, schema)
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, start in whole_groups(gathered(batches), keys):
+            size = np.diff(np.r_[start, table.num_rows])
+            at = [table.column(a).to_numpy().astype(np.int64) for a in axes]
+            low = [np.minimum.reduceat(c, start) - 1 for c in at]
+            place = [c - np.repeat(n, size) for c, n in zip(at, low, strict=True)]
+            beyond = [p + 1 for p in place]  # boxes have a margin on either side
+            own = table.column("__seeds").take(pa.array(start)).combine_chunks()
+            owner, each = np.repeat(np.arange(len(start)), own.value_lengths().to_numpy()), own.flatten()
+            point = [each.field(a).to_numpy(zero_copy_only=False).astype(np.int64) - n[owner] for a, n in zip(axes, low, strict=True)]
+            inside = np.logical_and.reduce([(p >= 0) & (p <= np.maximum.reduceat(b, start)[owner]) for p, b in zip(point, beyond, strict=True)])
+            owner, point = owner[inside], [p[inside] for p in point]
+            number = np.arange(len(owner)) - np.searchsorted(owner, owner) + 1  # a seed's, in its object
+            part = np.ones(table.num_rows, np.int32)
+            for lo, hi, box in stacks(start, beyond, CELLS):
+                rows, some = slice(start[lo], start[lo] + size[lo:hi].sum()), slice(*np.searchsorted(owner, [lo, hi]))
+                cells = (np.repeat(np.arange(hi - lo), size[lo:hi]), *[p[rows] for p in place])
+                mask = np.zeros((hi - lo, *box), bool)
+                mask[cells] = True
+                begin = list(zip((owner[some] - lo).tolist(), *[p[some].tolist() for p in point], strict=True))
+                part[rows] = np.r_[1, number[some]][flood(-squared_distance(mask, apart=1), mask, begin, apart=1)[cells]]
+            out = table.select([*block, *axes, label]).append_column("part", pa.array(part))
+            yield from out.combine_chunks().to_batches()
+
+    parts = cut(asked.mapInArrow(split, schema))
     top = there.groupBy(*block).agg(F.max(label).alias("__top"))
     fresh = parts.where("part > 1").select(*block, label, "part").distinct()
     numbered = fresh.groupBy(*block).agg(F.array_sort(F.collect_list(F.struct(label, "part"))).alias("__a")).join(top, block)
