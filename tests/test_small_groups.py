@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from voxelmill.operators import editing
+from voxelmill.functions import tiles
+from voxelmill.operators import components, editing, stitching
 
 
 @pytest.mark.parametrize("shape", [(20, 7, 9), (8, 5, 6, 7)])
@@ -49,3 +50,34 @@ def test_objects_of_a_stack_are_split_as_each_alone(spark, monkeypatch, cells):
             fresh += len(new) - 1
             want |= {(k, *map(int, p), new[q]) for p, q in zip(at, part.tolist(), strict=True)}
     assert len(got) == len(want) and {(r["image_id"], r["y"], r["x"], r["label"]) for r in got} == want
+
+
+@pytest.mark.parametrize("shape", [(30, 5, 5), (9, 1, 7), (6, 4, 5, 3), (1, 8), (0, 4, 4)])
+def test_a_stack_is_labelled_as_each_array(shape):
+    values = np.random.default_rng(33).integers(0, 3, shape)
+    values[::4] = 0
+    got = tiles.label_stack(values)
+    assert got.shape == values.shape
+    for own, array in zip(got, values, strict=True):
+        assert np.array_equal(own, tiles.label_array(array))
+
+
+@pytest.mark.parametrize("cells", [1, 60, 1 << 21])
+def test_blocks_are_labelled_as_stacks(spark, monkeypatch, cells):
+    """Images of several sizes with pixels missing: stacks of blocks of one shape give what each block alone gives, and what whole images give."""
+    monkeypatch.setattr(stitching, "CELLS", cells)
+    rng = np.random.default_rng(34)
+    pixels = [(k, *map(int, p), int(rng.random() < 0.5)) for k in range(9) for p in np.ndindex(4 + k, 12 - k) if rng.random() < 0.9]
+    df = spark.createDataFrame(pixels, "image_id int, y int, x int, v int")
+    args, blocks = (["image_id"], {"y": 12, "x": 12}), {"size": 5, "overlap": 2}
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    together = rows(stitching.segment_blocks(df, *args, tiles.label_stack, **blocks, stacked=True))
+    assert together and together == rows(stitching.segment_blocks(df, *args, tiles.label_array, **blocks))
+    whole = rows(components.binary_to_labels(df))
+    assert rows(stitching.segment_stitched(df, ["image_id"], ["y", "x"], tiles.label_stack, **blocks, share=0.0, stacked=True)) == whole
+
+
+def test_a_model_of_stacks_keeps_their_shape(spark):
+    df = spark.createDataFrame([(0, 0, 0, 1), (0, 1, 1, 1)], "image_id int, y int, x int, v int")
+    with pytest.raises(Exception, match="of a stack of"):
+        stitching.segment_stitched(df, ["image_id"], ["y", "x"], lambda s: s[:, :1], stacked=True).collect()

@@ -79,6 +79,13 @@ def label_array(values: np.ndarray, full: bool = True, apart: int = 0) -> np.nda
     return number[root][node]
 
 
+def label_stack(values: np.ndarray, full: bool = True) -> np.ndarray:
+    """`label_array` of each array of a stack, numbered from 1 in each."""
+    found = label_array(values, full, apart=1)
+    before = np.maximum.accumulate(np.r_[0, found.reshape(len(found), -1).max(axis=1, initial=0)[:-1]]) if len(found) else np.zeros(0, np.int64)
+    return np.where(found > 0, found - before.reshape(-1, *[1] * (values.ndim - 1)), 0)
+
+
 def dense(table: pa.Table, axes: Sequence[str], value: str) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
     """The values of a tile's pixels in their bounding box, their places in it, and its first corner."""
     at = [table.column(a).to_numpy().astype(np.int64) for a in axes]
@@ -153,6 +160,22 @@ def stacks(start: np.ndarray, place: Sequence[np.ndarray], most: int) -> Iterato
         lo = hi
 
 
+def stacks_of_one_shape(table: pa.Table, start: np.ndarray, axes: Sequence[str], most: int) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...], tuple[int, ...]]]:
+    """Groups whose pixels have bounding boxes of one shape, up to `most` cells together, or one group: their rows, the rows' cells (group and axes) and the stack's shape."""
+    size = np.diff(np.r_[start, table.num_rows])
+    at = [table.column(a).to_numpy().astype(np.int64) for a in axes]
+    place = [c - np.repeat(np.minimum.reduceat(c, start), size) for c in at]
+    boxes, kind = np.unique(np.stack([np.maximum.reduceat(p, start) + 1 for p in place], axis=1), axis=0, return_inverse=True)
+    by_shape = np.split(np.argsort(kind.ravel(), kind="stable"), np.cumsum(np.bincount(kind.ravel()))[:-1])
+    for box, own in zip(boxes, by_shape, strict=True):
+        each = max(1, most // int(np.prod(box)))
+        for lo in range(0, len(own), each):
+            groups = own[lo : lo + each]
+            n = size[groups]
+            rows = np.arange(n.sum()) + np.repeat(start[groups] - np.cumsum(n) + n, n)
+            yield rows, (np.repeat(np.arange(len(groups)), n), *[p[rows] for p in place]), (len(groups), *map(int, box))
+
+
 def tile_components(pixels: DataFrame, block: Sequence[str], axes: Sequence[str], value: str, full: bool, side: int) -> DataFrame:
     """(block, axes, value, root): nonzero pixels with the first pixel of their component within the tile, as a struct of axes.
 

@@ -8,7 +8,7 @@ What is compared are the bands, and what is connected are pairs of labels, never
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.graph import Scratch
-from ..functions.tiles import dense
+from ..functions.tiles import CELLS, gathered, stacks_of_one_shape, whole_groups
 from ..plans.registry import register
 from .components import joined_at_seams
 
@@ -80,28 +80,45 @@ def active_blocks(mask: DataFrame, block: Sequence[str], shape: dict[str, int],
 
 def segment_blocks(
     pixels: DataFrame, block: Sequence[str], shape: dict[str, int], model: Callable[[np.ndarray], np.ndarray], size: int = SIZE, overlap: int = OVERLAP, value: str = "v", only: DataFrame | None = None,
+    stacked: bool = False,
 ) -> DataFrame:
     """(block, b and each axis, axes, label): what a model of arrays labels in each block, background left out; with `only` in those blocks.
 
     `shape` names the axes and how long they are. The model gets the bounding box of the pixels that a block has and
-    returns whole numbers of the same shape.
+    returns whole numbers of the same shape; with `stacked` it gets blocks of one shape together, as a stack along a first axis.
     """
     block, axes = list(block), list(shape)
     places = [f"b{a}" for a in axes]
+    keys = [*block, *places]
     rows = with_blocks(pixels.select(*block, *axes, value), shape, size, overlap)
     if only is not None:
         rows = rows.join(only, [*block, *places], "left_semi")
     schema = T.StructType([*[rows.schema[c] for c in (*block, *places, *axes)], T.StructField("label", T.LongType())])
 
-    def kernel(table: pa.Table) -> pa.Table:
-        box, place, _ = dense(table, axes, value)
-        made = np.asarray(model(box))
-        if made.shape != box.shape:
-            raise ValueError(f"the model made {made.shape} of a block of {box.shape}")
-        own = made[place].astype(np.int64)
-        return table.select([*block, *places, *axes]).append_column("label", pa.array(own)).filter(pa.array(own != 0))
-
-    return rows.groupBy(*block, *places).applyInArrow(kernel, schema)
+    def labelled(stack: np.ndarray) -> np.ndarray:
+        if stacked:
+            made = np.asarray(model(stack))
+            if made.shape != stack.shape:
+                raise ValueError(f"the model made {made.shape} of a stack of {stack.shape}")
+            return made
+        each = [np.asarray(model(box)) for box in stack]
+        for made in each:
+            if made.shape != stack.shape[1:]:
+                raise ValueError(f"the model made {made.shape} of a block of {stack.shape[1:]}")
+        return np.stack(each)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, start in whole_groups(gathered(batches), keys):
+            values = table.column(value).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
+            own = np.zeros(table.num_rows, np.int64)
+            for rows, cells, full in stacks_of_one_shape(table, start, axes, CELLS):
+                stack = np.zeros(full, values.dtype)
+                stack[cells] = values[rows]
+                own[rows] = labelled(stack)[cells].astype(np.int64)
+            out = table.select([*keys, *axes]).append_column("label", pa.array(own)).filter(pa.array(own != 0))
+            yield from out.combine_chunks().to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def stitch_blocks(found: DataFrame, block: Sequence[str], shape: dict[str, int], size: int = SIZE, overlap: int = OVERLAP, share: float = SHARE) -> DataFrame:
@@ -127,11 +144,12 @@ def stitch_blocks(found: DataFrame, block: Sequence[str], shape: dict[str, int],
     inside = scratch.cut(seen.groupBy("node", "other").agg(F.count("*").alias("n")))
     pairs = both.join(inside.select(F.col("node").alias("a"), F.col("other").alias("pb"), F.col("n").alias("na")), ["a", "pb"])
     pairs = pairs.join(inside.select(F.col("node").alias("b"), F.col("other").alias("pa"), F.col("n").alias("nb")), ["b", "pa"])
-    edges = pairs.where(F.col("both") >= share * F.least("na", "nb")).select("a", "b")
+    edges = scratch.cut(pairs.where(F.col("both") >= share * F.least("na", "nb")).select("a", "b"))
     chosen = own
     for a, n in shape.items():
         chosen = chosen.where(F.col(f"b{a}") == deepest(a, n, size, overlap))
     labelled = joined_at_seams(chosen.select(*block, *axes, node.alias("node")), edges, "node")
+    scratch.keep(own)
     ids = labelled.groupBy(*block, "node").agg(F.min(F.struct(*axes)).alias("first"))
     ids = ids.withColumn("label", F.row_number().over(W.partitionBy(*block).orderBy("first", "node"))).drop("first")
     return labelled.join(ids, [*block, "node"]).select(*block, *axes, "label")
@@ -140,9 +158,9 @@ def stitch_blocks(found: DataFrame, block: Sequence[str], shape: dict[str, int],
 @register("Segment by Blocks", "_labels")
 def segment_stitched(
     pixels: DataFrame, block: Sequence[str], axes: Sequence[str], model: Callable[[np.ndarray], np.ndarray], size: int = SIZE, overlap: int = OVERLAP, share: float = SHARE, value: str = "v", mask: DataFrame | None = None,
-    margin: int = 1,
+    margin: int = 1, stacked: bool = False,
 ) -> DataFrame:
-    """(block, axes, label): an image of any size through a model of blocks, stitched; with a mask only its blocks and those around them."""
+    """(block, axes, label): an image of any size through a model of blocks, or with `stacked` of stacks of blocks, stitched; with a mask only its blocks and those around them."""
     shape = lengths(pixels, axes)
     only = active_blocks(mask, block, shape, size, overlap, margin, [a for a in axes if a in "yx"]) if mask is not None else None
-    return stitch_blocks(segment_blocks(pixels, block, shape, model, size, overlap, value, only), block, shape, size, overlap, share)
+    return stitch_blocks(segment_blocks(pixels, block, shape, model, size, overlap, value, only, stacked), block, shape, size, overlap, share)
