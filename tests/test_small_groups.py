@@ -81,3 +81,35 @@ def test_a_model_of_stacks_keeps_their_shape(spark):
     df = spark.createDataFrame([(0, 0, 0, 1), (0, 1, 1, 1)], "image_id int, y int, x int, v int")
     with pytest.raises(Exception, match="of a stack of"):
         stitching.segment_stitched(df, ["image_id"], ["y", "x"], lambda s: s[:, :1], stacked=True).collect()
+
+
+@pytest.mark.parametrize(("most", "smooth"), [(0, 0), (2, 0), (0, 1), (3, 2)])
+def test_regions_of_a_stack_are_constrained_as_each_alone(most, smooth):
+    rng = np.random.default_rng(35)
+    region, seed, free = (rng.random((40, 9, 12)) < share for share in (0.5, 0.05, 0.8))
+    seed[3], region[4], free[5], seed[6] = False, False, False, True
+    got = editing.constrained(region, seed, free, most, smooth)
+    for k in range(len(seed)):
+        assert np.array_equal(got[k], editing.constrained(region[k], seed[k], free[k], most, smooth))
+
+
+@pytest.mark.parametrize("cells", [1, 300, 1 << 21])
+def test_images_of_a_batch_are_constrained_as_each_alone(spark, monkeypatch, cells):
+    """Images of several sizes, some without a seed or region, flags that are null: as a plane by itself."""
+    monkeypatch.setattr(editing, "CELLS", cells)
+    rng = np.random.default_rng(36)
+    rows, want = [], set()
+    for k in range(14):
+        planes = [rng.random((6 + k % 5, 9 + k % 3)) < share for share in (0.4, 0.05, 0.8)]
+        if k in (3, 4):
+            planes[1][:] = False
+        if k == 4:
+            planes[0][:] = False
+        rows += [(f"i{k}", y, x, *[bool(p[y, x]) or (None if (y + x) % 2 else False) for p in planes]) for y, x in np.ndindex(planes[0].shape)]
+        if k != 4:
+            at = np.argwhere(planes[0] | planes[1])
+            box = tuple(slice(max(0, lo - 3), hi + 4) for lo, hi in zip(at.min(0), at.max(0), strict=True))
+            alone = editing.constrained(*[p[box] for p in planes], 3, 1)
+            want |= {(f"i{k}", int(y) + box[0].start, int(x) + box[1].start) for y, x in np.argwhere(alone)}
+    got = editing.constrain_regions(spark.createDataFrame(rows, "image_id string, y int, x int, region boolean, seed boolean, free boolean"), ["image_id"], 3, 1)
+    assert got.columns == ["image_id", "y", "x"] and sorted(map(tuple, got.collect())) == sorted(want)

@@ -11,13 +11,12 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.graph import cut
-from ..functions.tiles import CELLS, gathered, stacks, whole_groups
+from ..functions.tiles import CELLS, gathered, stacks, stacks_of_one_shape, whole_groups
 
 
 def lower_envelope(line: np.ndarray) -> np.ndarray:
@@ -155,42 +154,46 @@ def split_by_seeds(labels: DataFrame, seeds: DataFrame, block: Sequence[str], la
 
 
 def grown(mask: np.ndarray, rounds: int, edge: bool = False) -> np.ndarray:
+    """Planes, the last two axes, with the neighbours of what is in them, round by round."""
     for _ in range(rounds):
-        wide = np.pad(mask, 1, constant_values=edge)
-        mask = wide[1:-1, 1:-1] | wide[:-2, 1:-1] | wide[2:, 1:-1] | wide[1:-1, :-2] | wide[1:-1, 2:]
+        wide = np.pad(mask, [(0, 0)] * (mask.ndim - 2) + [(1, 1)] * 2, constant_values=edge)
+        mask = wide[..., 1:-1, 1:-1] | wide[..., :-2, 1:-1] | wide[..., 2:, 1:-1] | wide[..., 1:-1, :-2] | wide[..., 1:-1, 2:]
     return mask
 
 
 def reached(start: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """What of the mask hangs together, by faces, with the start."""
-    now = start & mask
-    while True:
-        new = grown(now, 1) & mask
-        if (new == now).all():
-            return now
-        now = new
+    """What of the mask hangs together, by faces in its plane, with the start. Planes of a stack that grow no more are left out of further rounds."""
+    shape = mask.shape
+    mask = mask if mask.ndim > 2 else mask[None]
+    now, open_ = start & mask, np.arange(len(mask))
+    while len(open_):
+        before = now[open_]
+        new = grown(before, 1) & mask[open_]
+        now[open_] = new
+        open_ = open_[(new != before).any(axis=(-2, -1))]
+    return now.reshape(shape)
 
 
 def constrained(region: np.ndarray, seed: np.ndarray, free: np.ndarray, most: float, smooth: float) -> np.ndarray:
-    """A region that only grows the seed: inside what is free, near enough, smoothed, without holes or islands."""
+    """Regions of planes, or of a stack of planes, that only grow the seed: inside what is free, near enough, smoothed, without holes or islands."""
     region = (region | seed) & free
     if most > 0:
-        region &= squared_distance(~seed) <= most * most
+        region &= squared_distance(~seed, apart=seed.ndim - 2) <= most * most
     if smooth > 0:
         n = round(smooth)
         region = grown(region, n)
         region = ~grown(~region, 2 * n)
         region = (grown(region, n) | seed) & free
     outside = np.zeros_like(region)
-    outside[[0, -1]] = outside[:, [0, -1]] = True
+    outside[..., [0, -1], :] = outside[..., [0, -1]] = True
     region = ~reached(outside, ~region) & free
-    return reached(seed, region) if (seed & region).any() else seed
+    return np.where((seed & region).any(axis=(-2, -1), keepdims=True), reached(seed, region), seed)
 
 
 def constrain_regions(drawn: DataFrame, block: Sequence[str], max_px: float = 0, smooth_px: float = 0) -> DataFrame:
     """(block, y, x) of the constrained region of each block of (block, y, x, region, seed, free).
 
-    A task gets what lies in the box of the block's region and seed, with a margin that smoothing can reach.
+    A task gets what lies in the box of a block's region and seed, with a margin that smoothing can reach; boxes of one shape are dealt with together.
     """
     block = list(block)
     schema = drawn.select(*block, "y", "x").schema
@@ -202,15 +205,17 @@ def constrain_regions(drawn: DataFrame, block: Sequence[str], max_px: float = 0,
         near = near & F.col(a).between(F.col(f"__min{a}") - margin, F.col(f"__max{a}") + margin)
     drawn = drawn.join(box, block).where(near).select(drawn.columns)
 
-    def constrain(rows: pd.DataFrame) -> pd.DataFrame:
-        at = rows[["y", "x"]].to_numpy()
-        low = at.min(0)
-        where = tuple((at - low).T)
-        planes = []
-        for c in ("region", "seed", "free"):
-            p = np.zeros(at.max(0) - low + 1, bool)
-            p[where] = rows[c]
-            planes.append(p)
-        return rows.loc[constrained(*planes, max_px, smooth_px)[where], [*block, "y", "x"]]
-
-    return drawn.groupBy(*block).applyInPandas(constrain, schema)
+    def constrain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, start in whole_groups(gathered(batches), block):
+            flags = [table.column(c).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False) for c in ("region", "seed", "free")]
+            kept = np.zeros(table.num_rows, bool)
+            for rows, cells, full in stacks_of_one_shape(table, start, ["y", "x"], CELLS):
+                planes = []
+                for flag in flags:
+                    p = np.zeros(full, bool)
+                    p[cells] = flag[rows]
+                    planes.append(p)
+                kept[rows] = constrained(*planes, max_px, smooth_px)[cells]
+            yield from table.select([*block, "y", "x"]).filter(pa.array(kept)).combine_chunks().to_batches()
+
+    return drawn.repartition(*block).sortWithinPartitions(*block).mapInArrow(constrain, schema)
