@@ -5,6 +5,7 @@ import pytest
 
 from voxelmill.functions import tiles
 from voxelmill.operators import components, editing, stitching
+from voxelmill.plans.queries import queries
 
 
 @pytest.mark.parametrize("shape", [(20, 7, 9), (8, 5, 6, 7)])
@@ -113,3 +114,18 @@ def test_images_of_a_batch_are_constrained_as_each_alone(spark, monkeypatch, cel
             want |= {(f"i{k}", int(y) + box[0].start, int(x) + box[1].start) for y, x in np.argwhere(alone)}
     got = editing.constrain_regions(spark.createDataFrame(rows, "image_id string, y int, x int, region boolean, seed boolean, free boolean"), ["image_id"], 3, 1)
     assert got.columns == ["image_id", "y", "x"] and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["region_constraint", "split_by_seeds", "segment_by_blocks"])
+def test_python_is_not_called_for_each_group(spark, sf_dir, monkeypatch, name):
+    from voxelmill.functions import graph
+
+    plans, cut = [], graph.Scratch.cut
+
+    def seen(self, df):
+        plans.append(df._jdf.queryExecution().toString())
+        return cut(self, df)
+
+    monkeypatch.setattr(graph.Scratch, "cut", seen)
+    plans.append(queries()[name](spark, sf_dir)._jdf.queryExecution().toString())
+    assert any("MapInArrow" in p for p in plans) and not any("FlatMapGroups" in p for p in plans)
